@@ -218,19 +218,20 @@ def pair_features(lines: DataFrame, min_orders: int = MIN_USER_ORDERS) -> DataFr
     users = user_features(lines, min_orders)
     products = product_features(lines)
     return pairs.join(users, "user_id", "left") \
-        .join(broadcast_if_within(products, DIMENSION_ROWS), "product_id", "left") \
+        .join(products, "product_id", "left") \
         .select("user_id", "product_id", "uxp_total_bought", "sticky",
                 *USER_FEATURES, *PRODUCT_FEATURES)
 
 
 def feature_table(lines: DataFrame, products: DataFrame, aisles: DataFrame,
-                  departments: DataFrame, min_orders: int = MIN_USER_ORDERS) -> DataFrame:
+                  departments: DataFrame, min_orders: int = MIN_USER_ORDERS,
+                  small: bool | None = None) -> DataFrame:
     """The long feature table: product id replaced by its name, aisle and department labels."""
-    dim = products.join(broadcast_if_within(aisles, DIMENSION_ROWS), "aisle_id", "left") \
-        .join(broadcast_if_within(departments, DIMENSION_ROWS), "department_id", "left") \
+    dim = products.join(F.broadcast(aisles) if small else aisles, "aisle_id", "left") \
+        .join(F.broadcast(departments) if small else departments, "department_id", "left") \
         .select("product_id", "product_name", "aisle", "department")
     pf = pair_features(lines, min_orders)
-    return pf.join(broadcast_if_within(dim, DIMENSION_ROWS), "product_id", "left").select(
+    return pf.join(broadcast_if_within(dim, DIMENSION_ROWS, small), "product_id", "left").select(
         "user_id", "product_name", "uxp_total_bought", "sticky",
         *USER_FEATURES, *PRODUCT_FEATURES, "aisle", "department")
 

@@ -16,6 +16,11 @@ def row_count_within(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_within(df: DataFrame, max_rows: int) -> DataFrame:
-    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``."""
-    return F.broadcast(df) if row_count_within(df, max_rows) else df
+def broadcast_if_within(df: DataFrame, max_rows: int, known: bool | None = None) -> DataFrame:
+    """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``.
+
+    ``known`` passes a bound proven elsewhere (for example on the table the
+    side is derived from), which saves the counting job.
+    """
+    small = row_count_within(df, max_rows) if known is None else known
+    return F.broadcast(df) if small else df

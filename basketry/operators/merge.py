@@ -31,35 +31,40 @@ def merge_lines(orders: DataFrame, order_products: DataFrame) -> DataFrame:
     return orders.join(order_products, "order_id", "inner")
 
 
-def merge_products(lines: DataFrame, products: DataFrame) -> DataFrame:
+def merge_products(lines: DataFrame, products: DataFrame, small: bool | None = None) -> DataFrame:
     """⋈ products on ``product_id`` (J2, inner)."""
-    return lines.join(broadcast_if_within(products, DIMENSION_ROWS), "product_id", "inner")
+    return lines.join(broadcast_if_within(products, DIMENSION_ROWS, small), "product_id", "inner")
 
 
-def merge_dimensions(lines: DataFrame, aisles: DataFrame, departments: DataFrame) -> DataFrame:
+def merge_dimensions(lines: DataFrame, aisles: DataFrame, departments: DataFrame,
+                     small: bool | None = None) -> DataFrame:
     """⋈ aisles on ``aisle_id``, ⋈ departments on ``department_id`` (J3, inner)."""
-    return lines.join(broadcast_if_within(aisles, DIMENSION_ROWS), "aisle_id", "inner") \
-        .join(broadcast_if_within(departments, DIMENSION_ROWS), "department_id", "inner")
+    return lines.join(broadcast_if_within(aisles, DIMENSION_ROWS, small), "aisle_id", "inner") \
+        .join(broadcast_if_within(departments, DIMENSION_ROWS, small), "department_id", "inner")
 
 
-def merge_full(tables: BasketTables) -> DataFrame:
-    """The merged order-line table: null days filled with 0, then J1, J2, J3."""
+def merge_full(tables: BasketTables, small: bool | None = None) -> DataFrame:
+    """The merged order-line table: null days filled with 0, then J1, J2, J3.
+
+    ``small``: the dimensions are already proven to fit a broadcast.
+    """
     orders = fill_nulls(tables.orders)
     lines = merge_lines(orders, tables.order_products)
-    lines = merge_products(lines, tables.products)
-    lines = merge_dimensions(lines, tables.aisles, tables.departments)
+    lines = merge_products(lines, tables.products, small)
+    lines = merge_dimensions(lines, tables.aisles, tables.departments, small)
     return lines.select(*LINE_COLUMNS)
 
 
-def counts_with_names(counts: DataFrame, products: DataFrame) -> DataFrame:
+def counts_with_names(counts: DataFrame, products: DataFrame, small: bool | None = None) -> DataFrame:
     """Per-product counts ⟕ products on ``product_id``."""
-    return counts.join(broadcast_if_within(products, DIMENSION_ROWS), "product_id", "left")
+    return counts.join(broadcast_if_within(products, DIMENSION_ROWS, small), "product_id", "left")
 
 
-def product_dim(products: DataFrame, aisles: DataFrame, departments: DataFrame) -> DataFrame:
+def product_dim(products: DataFrame, aisles: DataFrame, departments: DataFrame,
+                small: bool | None = None) -> DataFrame:
     """products ⟕ aisles ⟕ departments."""
-    return products.join(broadcast_if_within(aisles, DIMENSION_ROWS), "aisle_id", "left") \
-        .join(broadcast_if_within(departments, DIMENSION_ROWS), "department_id", "left") \
+    return products.join(broadcast_if_within(aisles, DIMENSION_ROWS, small), "aisle_id", "left") \
+        .join(broadcast_if_within(departments, DIMENSION_ROWS, small), "department_id", "left") \
         .select("product_id", "product_name", "aisle_id", "aisle", "department_id", "department")
 
 
@@ -76,9 +81,10 @@ def name_attributes(dim: DataFrame) -> DataFrame:
     )
 
 
-def lookup_with_default(names: DataFrame, dim: DataFrame, name_col: str = "product_name") -> DataFrame:
+def lookup_with_default(names: DataFrame, dim: DataFrame, name_col: str = "product_name",
+                        small: bool | None = None) -> DataFrame:
     """Attach aisle and department to a set of names, ``'Unknown'`` when absent."""
-    attrs = broadcast_if_within(name_attributes(dim), DIMENSION_ROWS)
+    attrs = broadcast_if_within(name_attributes(dim), DIMENSION_ROWS, small)
     return names.join(attrs, names[name_col] == attrs["product_name"], "left").select(
         names[name_col].alias(name_col),
         F.coalesce(attrs["aisle"], F.lit(UNKNOWN)).alias("aisle"),
@@ -86,16 +92,17 @@ def lookup_with_default(names: DataFrame, dim: DataFrame, name_col: str = "produ
     )
 
 
-def product_id_to_name(df: DataFrame, products: DataFrame) -> DataFrame:
+def product_id_to_name(df: DataFrame, products: DataFrame, small: bool | None = None) -> DataFrame:
     """Replace ``product_id`` by the product's name, keeping column position."""
-    named = df.join(broadcast_if_within(products.select("product_id", "product_name"), DIMENSION_ROWS),
-                    "product_id", "left")
+    named = df.join(broadcast_if_within(products.select("product_id", "product_name"),
+                                        DIMENSION_ROWS, small), "product_id", "left")
     cols = [F.col("product_name").alias("product_name") if c == "product_id" else F.col(c)
             for c in df.columns if c != "product_name"]
     return named.select(*cols)
 
 
-def category_codes(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
+def category_codes(df: DataFrame, column: str, out: str | None = None,
+                   small: bool | None = None) -> DataFrame:
     """0-based codes in ascending value order, NULL stays NULL (P6, pandas ``category``).
 
     The distinct values are numbered with the range-partitioned global row
@@ -105,7 +112,7 @@ def category_codes(df: DataFrame, column: str, out: str | None = None) -> DataFr
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
     codes = row_numbers(values, [], [column], "__code") \
         .select(column, (F.col("__code") - 1).cast("int").alias(out))
-    return df.join(broadcast_if_within(codes, DIMENSION_ROWS), column, "left") \
+    return df.join(broadcast_if_within(codes, DIMENSION_ROWS, small), column, "left") \
         .select(*df.columns, out)
 
 

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import broadcast_if_within
 from .sequence import running_aggregates
 
 # Fixed values of the selection step.
@@ -21,8 +20,6 @@ TOP_EXCLUDED = 6
 SAMPLE_FRACTION = 0.25
 SAMPLE_SEED = 16
 
-PRODUCT_SET_ROWS = 5_000_000
-
 
 def product_counts(lines: DataFrame, key: str = "product_id") -> DataFrame:
     """``value_counts()``: lines per product, as ``(key, observation_count)``.
@@ -78,13 +75,20 @@ def top_products(counts: DataFrame, n: int = TOP_EXCLUDED, key: str = "product_i
 
 
 def lines_in_products(lines: DataFrame, kept: DataFrame, key: str = "product_id") -> DataFrame:
-    """``isin(kept)`` as a semi join; the product set is broadcast when bounded."""
-    return lines.join(broadcast_if_within(kept.select(key), PRODUCT_SET_ROWS), key, "left_semi")
+    """``isin(kept)`` as a semi join.
+
+    The product set is derived from the lines themselves, so its size is
+    only known at run time: AQE broadcasts it from the shuffle statistics
+    when it is small and keeps the sort-merge semi join otherwise.
+    """
+    return lines.join(kept.select(key), key, "left_semi")
 
 
-def lines_without_products(lines: DataFrame, excluded: DataFrame, key: str = "product_id") -> DataFrame:
-    """``~isin(excluded)`` as an anti join."""
-    return lines.join(broadcast_if_within(excluded.select(key), PRODUCT_SET_ROWS), key, "left_anti")
+def lines_without_products(lines: DataFrame, excluded: DataFrame, key: str = "product_id",
+                           bounded: bool = False) -> DataFrame:
+    """``~isin(excluded)`` as an anti join (F5); ``bounded`` when ``excluded`` is a top-n."""
+    side = excluded.select(key)
+    return lines.join(F.broadcast(side) if bounded else side, key, "left_anti")
 
 
 def pareto_lines(lines: DataFrame, percent: float = PARETO_PERCENT, top: int = TOP_EXCLUDED,
@@ -93,7 +97,7 @@ def pareto_lines(lines: DataFrame, percent: float = PARETO_PERCENT, top: int = T
     counts = product_counts(lines, key)
     cutoff = pareto_cutoff(cumulative_share(counts, key), percent)
     kept = lines_in_products(lines, cutoff, key)
-    return lines_without_products(kept, top_products(counts, top, key), key)
+    return lines_without_products(kept, top_products(counts, top, key), key, bounded=True)
 
 
 def sample_hash(user: Column, seed: int) -> Column:

@@ -70,9 +70,10 @@ def _merge_lines(spark, sf_dir):
 @query("merge_products")
 def _merge_products(spark, sf_dir):
     """⋈ products."""
-    t = Basket(spark, sf_dir).tables
+    b = Basket(spark, sf_dir)
+    t = b.tables
     return merge.merge_products(merge.merge_lines(merge.fill_nulls(t.orders), t.order_products),
-                                t.products)
+                                t.products, b.small)
 
 
 @query("merge_full")
@@ -119,7 +120,7 @@ def _top6_products(spark, sf_dir):
     """The six most bought products with their names."""
     b = Basket(spark, sf_dir)
     top = sel.top_products(sel.product_counts(b.data))
-    return merge.counts_with_names(top, b.tables.products) \
+    return merge.counts_with_names(top, b.tables.products, b.small) \
         .select("product_id", "observation_count", "product_name", "aisle_id", "department_id")
 
 
@@ -128,7 +129,7 @@ def _counts_with_names(spark, sf_dir):
     """Counts ⟕ products with the share of all lines."""
     b = Basket(spark, sf_dir)
     shares = sel.observation_share(sel.product_counts(b.data))
-    return merge.counts_with_names(shares, b.tables.products)
+    return merge.counts_with_names(shares, b.tables.products, b.small)
 
 
 @query("lines_in_head_products")
@@ -143,7 +144,7 @@ def _lines_in_head(spark, sf_dir):
 def _lines_without_top6(spark, sf_dir):
     """lines of all but the six most bought products."""
     data = Basket(spark, sf_dir).data
-    return sel.lines_without_products(data, sel.top_products(sel.product_counts(data)))
+    return sel.lines_without_products(data, sel.top_products(sel.product_counts(data)), bounded=True)
 
 
 @query("pareto_lines")

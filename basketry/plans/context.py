@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from ..operators import features as feat
 from ..operators import merge
 from ..operators import selection as sel
-from ..sources.basket import BasketTables, basket_tables, latent_fixture
+from ..sources.basket import BasketTables, basket_tables, dimension_bound, latent_fixture
+from ..sources.storage import materialize
 
 DOUBLE_DIGITS = 6
 
@@ -39,30 +40,35 @@ class Basket:
         self.sf_dir = sf_dir
         self.grain = grain
 
+    @cached_property
+    def small(self) -> bool:
+        """Proven once: the product, aisle and department tables fit a broadcast."""
+        return dimension_bound(self.spark, self.sf_dir)
+
     @cached_property
     def tables(self) -> BasketTables:
-        return basket_tables(self.spark, self.sf_dir, self.grain)
+        return basket_tables(self.spark, self.sf_dir, self.grain, small=self.small)
 
     @cached_property
     def data(self) -> DataFrame:
-        """The merged order-line table (script 1 output)."""
-        return merge.merge_full(self.tables)
+        """The merged order-line table (script 1 output), written once."""
+        return materialize(merge.merge_full(self.tables, self.small), "lines")
 
     @cached_property
     def dim(self) -> DataFrame:
         t = self.tables
-        return merge.product_dim(t.products, t.aisles, t.departments)
+        return merge.product_dim(t.products, t.aisles, t.departments, self.small)
 
     @cached_property
     def pareto(self) -> DataFrame:
-        """Lines of the 80 % head products without the top 6 (script 2/3 selection)."""
-        return sel.pareto_lines(self.data)
+        """Lines of the 80 % head products without the top 6 (script 2/3 selection), written once."""
+        return materialize(sel.pareto_lines(self.data), "pareto_lines")
 
     @cached_property
     def features(self) -> DataFrame:
         """The long feature table (script 3 output)."""
         t = self.tables
-        return feat.feature_table(self.pareto, t.products, t.aisles, t.departments)
+        return feat.feature_table(self.pareto, t.products, t.aisles, t.departments, small=self.small)
 
 
 def latent(spark: SparkSession, sf_dir: str) -> DataFrame:

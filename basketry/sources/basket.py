@@ -12,21 +12,26 @@ adapters below derive those five tables from it (FIXTURES.md):
   product dimension keeps only parts with ``p_size > 5`` so that lookups
   meet unknown products.
 
-Every derived sequence number (order number per customer, cart position per
-order) is computed with the range-partitioned running aggregate in
-``operators.sequence``, so a hot customer or a huge order is split across
-tasks instead of landing in one window partition.
+The order number per customer (a customer may hold any share of all
+orders) is computed with the range-partitioned running aggregate in
+``operators.sequence``, so a hot customer is split across tasks. The cart
+position is a plain window per order: after grouping to one row per
+(order, product) an order holds at most one row per catalogue product, so
+its window partition is bounded by the catalogue, not by the data.
+Dimension vocabularies (aisles, departments) are numbered with a global
+window over their *distinct* values, which the catalogue bounds as well.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.joins import broadcast_if_within
-from ..operators.sequence import row_numbers, running_aggregates
+from ..operators.joins import broadcast_if_within, row_count_within
+from ..operators.sequence import running_aggregates
+from .storage import materialize
 
 # Fixed values of the fixture definition.
 EVAL_SET = "prior"
@@ -48,9 +53,9 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _vocabulary_ids(values: DataFrame, value_col: str, id_col: str) -> DataFrame:
-    """1-based ids in ascending value order for a small, distinct vocabulary."""
-    return row_numbers(values.where(F.col(value_col).isNotNull()), [], [value_col], id_col) \
-        .select(F.col(id_col).cast("long").alias(id_col), value_col)
+    """1-based ids in ascending order of a distinct dimension vocabulary."""
+    return values.where(F.col(value_col).isNotNull()).select(
+        F.row_number().over(Window.orderBy(value_col)).cast("long").alias(id_col), value_col)
 
 
 def fixture_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +79,13 @@ def fixture_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _product_maps(spark: SparkSession, sf_dir: str, grain: str):
+def dimension_bound(spark: SparkSession, sf_dir: str, max_rows: int = DIMENSION_BROADCAST_ROWS) -> bool:
+    """Every fixture dimension is derived from ``part`` and has at most as many
+    rows, so one bounded count of the raw ``part`` scan proves all of them."""
+    return row_count_within(read_table(spark, sf_dir, "part"), max_rows)
+
+
+def _product_maps(spark: SparkSession, sf_dir: str, grain: str, small: bool | None = None):
     """(part key -> product id, products, aisles, departments)."""
     part = read_table(spark, sf_dir, "part")
     if grain == "name":
@@ -86,7 +97,7 @@ def _product_maps(spark: SparkSession, sf_dir: str, grain: str):
         )
         part_map = part.select("p_partkey", "p_name").join(
             broadcast_if_within(names.select(F.col("product_name").alias("p_name"), "product_id"),
-                                DIMENSION_BROADCAST_ROWS),
+                                DIMENSION_BROADCAST_ROWS, small),
             "p_name").select("p_partkey", "product_id")
         attrs = names
     elif grain == "part":
@@ -107,8 +118,8 @@ def _product_maps(spark: SparkSession, sf_dir: str, grain: str):
     aisles = _vocabulary_ids(vocab_src.select("aisle").distinct(), "aisle", "aisle_id")
     departments = _vocabulary_ids(vocab_src.select("department").distinct(),
                                   "department", "department_id")
-    products = attrs.join(broadcast_if_within(aisles, DIMENSION_BROADCAST_ROWS), "aisle", "left") \
-        .join(broadcast_if_within(departments, DIMENSION_BROADCAST_ROWS), "department", "left") \
+    products = attrs.join(broadcast_if_within(aisles, DIMENSION_BROADCAST_ROWS, small), "aisle", "left") \
+        .join(broadcast_if_within(departments, DIMENSION_BROADCAST_ROWS, small), "department", "left") \
         .select("product_id", "product_name", "aisle_id", "department_id")
     return part_map, products, aisles, departments
 
@@ -119,7 +130,8 @@ def fixture_order_products(lineitem: DataFrame, part_map: DataFrame, orders: Dat
         .join(part_map, F.col("l_partkey") == F.col("p_partkey")) \
         .groupBy(F.col("l_orderkey").alias("order_id"), "product_id") \
         .agg(F.min("l_linenumber").alias("position"))
-    lines = row_numbers(lines, ["order_id"], ["position", "product_id"], "add_to_cart_order")
+    lines = lines.withColumn("add_to_cart_order", F.row_number().over(
+        Window.partitionBy("order_id").orderBy("position", "product_id")))
     seq = lines.join(orders.select("order_id", "user_id", "order_number"), "order_id")
     first = seq.groupBy("user_id", "product_id").agg(F.min("order_number").alias("first_number"))
     return seq.join(first, ["user_id", "product_id"]).select(
@@ -129,11 +141,20 @@ def fixture_order_products(lineitem: DataFrame, part_map: DataFrame, orders: Dat
     )
 
 
-def basket_tables(spark: SparkSession, sf_dir: str, grain: str = "name") -> BasketTables:
-    """The five reference tables derived from the star schema at ``sf_dir``."""
+def basket_tables(spark: SparkSession, sf_dir: str, grain: str = "name",
+                  written: bool = False, small: bool | None = None) -> BasketTables:
+    """The five reference tables derived from the star schema at ``sf_dir``.
+
+    ``written``: write the orders and order lines once (when many later
+    stages read them). ``small``: the dimension bound, if already proven.
+    """
     orders = fixture_orders(spark, sf_dir)
-    part_map, products, aisles, departments = _product_maps(spark, sf_dir, grain)
+    if written:
+        orders = materialize(orders, "orders")
+    part_map, products, aisles, departments = _product_maps(spark, sf_dir, grain, small)
     order_products = fixture_order_products(read_table(spark, sf_dir, "lineitem"), part_map, orders)
+    if written:
+        order_products = materialize(order_products, "order_products")
     return BasketTables(orders, order_products, products, aisles, departments)
 
 
