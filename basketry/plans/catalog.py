@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import features as feat
+from ..operators import matrix as mx
 from ..operators import merge
+from ..operators import profiles as prof
+from ..operators import quality as qual
 from ..operators import selection as sel
 from .context import Basket, rounded
 
@@ -179,4 +182,428 @@ def _feature_table(spark, sf_dir):
     return Basket(spark, sf_dir).features
 
 
-_unused = F
+
+@query("uxp_features")
+def _uxp_features(spark, sf_dir):
+    """Times bought and sticky per pair."""
+    return feat.uxp_features(Basket(spark, sf_dir).pareto)
+
+
+@query("pair_features")
+def _pair_features(spark, sf_dir):
+    """Pairs ⟕ user features ⟕ product features (removed users keep NULL features)."""
+    return feat.pair_features(Basket(spark, sf_dir).pareto)
+
+
+@query("order_span")
+def _order_span(spark, sf_dir):
+    """Total orders ⟖ first order per pair, with Order_Range_D."""
+    return feat.order_span(Basket(spark, sf_dir).pareto)
+
+
+@query("user_avg_days")
+def _user_avg_days(spark, sf_dir):
+    """A3: mean days since the prior order over the user's lines."""
+    return feat.user_avg_days(Basket(spark, sf_dir).pareto)
+
+
+@query("user_total_orders")
+def _user_total_orders(spark, sf_dir):
+    """A4: largest order number per user."""
+    return feat.user_total_orders(Basket(spark, sf_dir).pareto)
+
+
+@query("users_min_orders")
+def _users_min_orders(spark, sf_dir):
+    """users with at least three orders."""
+    return feat.users_min_orders(Basket(spark, sf_dir).pareto)
+
+
+@query("user_reorder_ratio")
+def _user_reorder_ratio(spark, sf_dir):
+    """A5: mean reorder flag per user."""
+    return feat.user_reorder_ratio(Basket(spark, sf_dir).pareto)
+
+
+@query("order_size")
+def _order_size(spark, sf_dir):
+    """Products per (user, order)."""
+    return feat.order_sizes(Basket(spark, sf_dir).pareto)
+
+
+@query("order_size_avg")
+def _order_size_avg(spark, sf_dir):
+    """Mean basket size per user."""
+    return feat.order_size_avg(Basket(spark, sf_dir).pareto)
+
+
+@query("product_purchases")
+def _product_purchases(spark, sf_dir):
+    """Purchases per product."""
+    return feat.product_purchases(Basket(spark, sf_dir).pareto)
+
+
+@query("product_reorder_ratio")
+def _product_reorder_ratio(spark, sf_dir):
+    """Mean reorder flag per product."""
+    return feat.product_reorder_ratio(Basket(spark, sf_dir).pareto)
+
+
+@query("product_cart_position")
+def _product_cart_position(spark, sf_dir):
+    """A10: mean cart position per product."""
+    return feat.product_cart_position(Basket(spark, sf_dir).pareto)
+
+
+@query("purchase_range")
+def _purchase_range(spark, sf_dir):
+    """F8: products with 0–1000 purchases and a reorder ratio in [0, 1]."""
+    return feat.purchase_range(feat.product_features(Basket(spark, sf_dir).pareto), (0, 1000), (0.0, 1.0))
+
+
+@query("pair_times_bought")
+def _pair_times_bought(spark, sf_dir):
+    """Purchases per (user, product)."""
+    return feat.pair_stats(Basket(spark, sf_dir).pareto).select(
+        "user_id", "product_id", F.col("n").alias("uxp_total_bought"))
+
+
+@query("pair_first_order")
+def _pair_first_order(spark, sf_dir):
+    """First order number per (user, product)."""
+    return feat.pair_stats(Basket(spark, sf_dir).pareto).select(
+        "user_id", "product_id", "first_order_number")
+
+
+@query("pair_spread")
+def _pair_spread(spark, sf_dir):
+    """Clipped sum of order gaps per (user, product), closed form."""
+    return feat.pair_spread(Basket(spark, sf_dir).pareto)
+
+
+@query("order_gaps")
+def _order_gaps(spark, sf_dir):
+    """Per-line order gap minus one (first purchase: -1)."""
+    return feat.order_gaps(Basket(spark, sf_dir).pareto).select(
+        "user_id", "product_id", "order_id", "order_number", "order_diff")
+
+
+@query("pair_modal_dow")
+def _pair_modal_dow(spark, sf_dir):
+    """Most frequent weekday per pair, ties to the smallest day."""
+    return feat.pair_modal_dow(Basket(spark, sf_dir).pareto)
+
+
+@query("weekday_names")
+def _weekday_names(spark, sf_dir):
+    """Weekday number (0 = Sunday) mapped to its name."""
+    return feat.weekday_names(merge.fill_nulls(Basket(spark, sf_dir).tables.orders)) \
+        .select("order_id", "user_id", "order_number", "order_dow")
+
+
+# ------------------------------------------------------------- projections --
+
+@query("select_features")
+def _select_features(spark, sf_dir):
+    """The columns the matrix step keeps."""
+    return mx.select_by_name(Basket(spark, sf_dir).features,
+                             ["user_id", "product_name", "sticky", "avg_days_since_prior_order",
+                              "u_reordered_ratio", "u_total_orders", "order_size_avg"])
+
+
+@query("select_tail_columns")
+def _select_tail_columns(spark, sf_dir):
+    """Positional selection ``iloc[:, 5:]`` of the merged line table."""
+    return mx.select_from_position(Basket(spark, sf_dir).data, 5)
+
+
+@query("drop_columns")
+def _drop_columns(spark, sf_dir):
+    """The merged table without the aisle and department ids."""
+    return mx.drop_columns(Basket(spark, sf_dir).data, ["aisle_id", "department_id"])
+
+
+@query("rename_columns")
+def _rename_columns(spark, sf_dir):
+    """Per-pair gap sum renamed to ``spread`` (before clipping)."""
+    gaps = feat.order_gaps(Basket(spark, sf_dir).pareto)
+    summed = gaps.groupBy("user_id", "product_id").agg(F.sum("order_diff").alias("order_diff"))
+    return mx.rename_columns(summed, {"order_diff": "spread"})
+
+
+@query("derive_columns")
+def _derive_columns(spark, sf_dir):
+    """P5: the reference's sticky frame with its derived helper columns."""
+    lines = Basket(spark, sf_dir).pareto
+    frame = feat.pair_stats(lines).join(feat.user_last_order(lines), "user_id", "inner")
+    n, total = F.col("n"), F.col("total_orders")
+    range_d = total - F.col("first_order_number") + F.lit(1)
+    spread = feat.spread_expr()
+    return frame.select(
+        "user_id", "product_id", n.alias("Times_Bought_N"), "total_orders", "first_order_number",
+        range_d.alias("Order_Range_D"), spread.cast("double").alias("spread"),
+        (F.lit(0.5) * (n / total) + F.lit(0.5) * (n / (range_d + spread).cast("double"))).alias("sticky"))
+
+
+@query("category_codes")
+def _category_codes(spark, sf_dir):
+    """0-based codes of product, aisle and department names (sorted order)."""
+    b = Basket(spark, sf_dir)
+    dim = b.dim.select("product_id", "product_name", "aisle", "department")
+    for c in ["product_name", "aisle", "department"]:
+        dim = merge.category_codes(dim, c, f"{c}_code", b.small)
+    return dim
+
+
+@query("product_id_to_name")
+def _product_id_to_name(spark, sf_dir):
+    """Pair features with the product id replaced by the product name."""
+    b = Basket(spark, sf_dir)
+    return merge.product_id_to_name(feat.uxp_features(b.pareto), b.tables.products, b.small)
+
+
+# ------------------------------------------------------------ dimensions --
+
+@query("product_dim")
+def _product_dim(spark, sf_dir):
+    """Products ⟕ aisles ⟕ departments, part-key grain (incomplete dimension)."""
+    return Basket(spark, sf_dir, grain="part").dim
+
+
+@query("product_lookup_unknown")
+def _product_lookup_unknown(spark, sf_dir):
+    """Name → aisle / department with 'Unknown' default; duplicated names: largest id wins."""
+    b = Basket(spark, sf_dir, grain="part")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    names = b.tables.order_products.join(
+        part.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name")),
+        "product_id").select("product_name").distinct()
+    return merge.lookup_with_default(names, b.dim, "product_name", b.small)
+
+
+@query("duplicate_keys")
+def _duplicate_keys(spark, sf_dir):
+    """(user, product name) keys with several products, part-key grain."""
+    pairs = Basket(spark, sf_dir, grain="part").data.select("user_id", "product_name", "product_id")
+    return mx.duplicate_keys(pairs)
+
+
+# ------------------------------------------------------------------ matrix --
+
+@query("sample_users")
+def _sample_users(spark, sf_dir):
+    """A 25 % user sample (hash threshold, seed 16)."""
+    return sel.sample_users(Basket(spark, sf_dir).features)
+
+
+@query("sample_user_rows")
+def _sample_user_rows(spark, sf_dir):
+    """All feature rows of the sampled users."""
+    return sel.sample_user_rows(Basket(spark, sf_dir).features)
+
+
+@query("distinct_users")
+def _distinct_users(spark, sf_dir):
+    """R2: distinct users of the selected lines."""
+    return sel.distinct_values(Basket(spark, sf_dir).pareto, "user_id")
+
+
+@query("user_constants")
+def _user_constants(spark, sf_dir):
+    """One row of user features per user."""
+    return Basket(spark, sf_dir).user_rows
+
+
+@query("sticky_matrix")
+def _sticky_matrix(spark, sf_dir):
+    """The wide user × product-name pivot, absent = 0."""
+    return mx.sticky_matrix(Basket(spark, sf_dir).features)
+
+
+@query("user_matrix")
+def _user_matrix(spark, sf_dir):
+    """User features ⋈ wide matrix."""
+    f = Basket(spark, sf_dir).features
+    return mx.user_matrix(f, mx.sticky_matrix(f))
+
+
+@query("user_vectors")
+def _user_vectors(spark, sf_dir):
+    """One sparse vector per user (index = rank of the product name)."""
+    b = Basket(spark, sf_dir)
+    index = mx.product_index(b.features)
+    size = index.count()
+    vec = mx.user_vectors(mx.sparse_triples(b.features, index), size)
+    return vec.select("user_id", F.col("features").cast("string").alias("features"))
+
+
+@query("holdout_split")
+def _holdout_split(spark, sf_dir):
+    """80 / 20 train-validation assignment per user."""
+    return mx.holdout_split(Basket(spark, sf_dir).user_rows.select("user_id"))
+
+
+@query("minibatch_id")
+def _minibatch_id(spark, sf_dir):
+    """Mini-batch bucket per user, ceil(users / 256) buckets."""
+    users = Basket(spark, sf_dir).user_rows.select("user_id")
+    return mx.minibatch_ids(users, mx.batch_count(users.count()))
+
+
+# ----------------------------------------------------------------- quality --
+
+@query("profile_info")
+def _profile_info(spark, sf_dir):
+    """info() of the feature table."""
+    return qual.profile_info(Basket(spark, sf_dir).features)
+
+
+@query("profile_describe")
+def _profile_describe(spark, sf_dir):
+    """describe() of the numeric feature columns, exact quartiles."""
+    return qual.profile_describe(Basket(spark, sf_dir).features)
+
+
+@query("describe_strings")
+def _describe_strings(spark, sf_dir):
+    """describe() of the string feature columns."""
+    return qual.describe_strings(Basket(spark, sf_dir).features)
+
+
+@query("distinct_counts")
+def _distinct_counts(spark, sf_dir):
+    """nunique() of every feature column."""
+    return qual.distinct_counts(Basket(spark, sf_dir).features)
+
+
+@query("product_check")
+def _product_check(spark, sf_dir):
+    """Purchases joined with reorder ratio, described."""
+    lines = Basket(spark, sf_dir).pareto
+    check = feat.product_purchases(lines).join(feat.product_reorder_ratio(lines), "product_id")
+    return qual.profile_describe(check)
+
+
+@query("sorted_lines")
+def _sorted_lines(spark, sf_dir):
+    """Selected lines sorted by user, product and order number."""
+    return qual.sorted_rows(Basket(spark, sf_dir).pareto, ["user_id", "product_id", "order_number"])
+
+
+@query("row_slice")
+def _row_slice(spark, sf_dir):
+    """Rows 6–17 of the selected lines in (order, cart position) order, six columns."""
+    return qual.row_slice(Basket(spark, sf_dir).pareto, ["order_id", "add_to_cart_order"], 6, 18,
+                          ["order_id", "user_id", "add_to_cart_order", "reordered", "product_name",
+                           "department"])
+
+
+@query("format_metrics")
+def _format_metrics(spark, sf_dir):
+    """Product metrics printed with 10 and 5 decimals."""
+    pf = feat.product_features(Basket(spark, sf_dir).pareto)
+    return qual.format_metrics(pf, {"p_reorder_ratio": 10, "mean_add_to_cart_order": 5})
+
+
+# ---------------------------------------------------------------- profiles --
+
+@query("labelled_users")
+def _labelled_users(spark, sf_dir):
+    """User features with the segment label attached by key."""
+    b = Basket(spark, sf_dir)
+    return prof.attach_labels(b.user_rows, b.labels)
+
+
+@query("cluster_sizes")
+def _cluster_sizes(spark, sf_dir):
+    """Users per segment."""
+    return prof.cluster_sizes(Basket(spark, sf_dir).labels)
+
+
+@query("segment_rows")
+def _segment_rows(spark, sf_dir):
+    """matrix rows of segment 1."""
+    b = Basket(spark, sf_dir)
+    return prof.segment_rows(prof.attach_labels(b.matrix, b.labels), 1)
+
+
+@query("segment_bases")
+def _segment_bases(spark, sf_dir):
+    """Mean user features per segment, transposed."""
+    b = Basket(spark, sf_dir)
+    return prof.segment_bases(b.user_rows, b.labels)
+
+
+def _level_values(b: Basket, level: str):
+    if level == "product_name":
+        return b.matrix
+    return prof.roll_up(b.matrix, b.dim, level, small=b.small).withColumnRenamed(level, level)
+
+
+@query("segment_product_means")
+def _segment_product_means(spark, sf_dir):
+    """Mean sticky per segment and product, absent = 0 (present cells listed)."""
+    b = Basket(spark, sf_dir)
+    return prof.segment_means(b.matrix, b.labels, "product_name")
+
+
+@query("user_aisle_matrix")
+def _user_aisle_matrix(spark, sf_dir):
+    """Sticky summed per user and aisle."""
+    b = Basket(spark, sf_dir)
+    return prof.roll_up(b.matrix, b.dim, "aisle", small=b.small)
+
+
+@query("user_department_matrix")
+def _user_department_matrix(spark, sf_dir):
+    """Sticky summed per user and department."""
+    b = Basket(spark, sf_dir)
+    return prof.roll_up(b.matrix, b.dim, "department", small=b.small)
+
+
+@query("segment_aisle_means")
+def _segment_aisle_means(spark, sf_dir):
+    """Mean aisle roll-up per segment."""
+    b = Basket(spark, sf_dir)
+    return prof.segment_means(_level_values(b, "aisle"), b.labels, "aisle")
+
+
+@query("segment_department_means")
+def _segment_department_means(spark, sf_dir):
+    """Mean department roll-up per segment."""
+    b = Basket(spark, sf_dir)
+    return prof.segment_means(_level_values(b, "department"), b.labels, "department")
+
+
+@query("aisle_product_counts")
+def _aisle_product_counts(spark, sf_dir):
+    """Products per aisle among the matrix columns, top 5."""
+    b = Basket(spark, sf_dir)
+    return prof.item_counts(b.matrix, b.dim, "aisle", small=b.small)
+
+
+@query("department_product_counts")
+def _department_product_counts(spark, sf_dir):
+    """Products per department among the matrix columns, top 5."""
+    b = Basket(spark, sf_dir)
+    return prof.item_counts(b.matrix, b.dim, "department", small=b.small)
+
+
+def _ranked(spark, sf_dir, level: str, top: int, bottom: int):
+    b = Basket(spark, sf_dir)
+    values = _level_values(b, level)
+    means = prof.segment_means(values, b.labels, level)
+    out = prof.ranked_items(means, values.select(level), level, top, bottom)
+    return out.withColumnRenamed(level, "item")
+
+
+for _level, _name in [("product_name", "products"), ("aisle", "aisles"), ("department", "departments")]:
+    def _top10(spark, sf_dir, level=_level):
+        return _ranked(spark, sf_dir, level, prof.TOP_N, 0).drop("end")
+    _top10.__doc__ = f"T4: top 10 {_name} per segment by mean, absent = 0."
+    query(f"segment_top10_{_name}")(_top10)
+
+    def _extremes(spark, sf_dir, level=_level):
+        return _ranked(spark, sf_dir, level, prof.EXTREME_N, prof.EXTREME_N)
+    _extremes.__doc__ = f"T5: top 5 and bottom 5 {_name} per segment, absent = 0."
+    query(f"segment_extremes_{_name}")(_extremes)

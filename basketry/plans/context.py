@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 
 from ..operators import features as feat
 from ..operators import merge
+from ..operators import matrix as mx
 from ..operators import selection as sel
+from ..operators.profiles import label_by_modulo
 from ..sources.basket import BasketTables, basket_tables, dimension_bound, latent_fixture
 from ..sources.storage import materialize
 
@@ -66,9 +68,26 @@ class Basket:
 
     @cached_property
     def features(self) -> DataFrame:
-        """The long feature table (script 3 output)."""
+        """The long feature table (script 3 output), written once."""
         t = self.tables
-        return feat.feature_table(self.pareto, t.products, t.aisles, t.departments, small=self.small)
+        return materialize(
+            feat.feature_table(self.pareto, t.products, t.aisles, t.departments, small=self.small),
+            "features")
+
+    @cached_property
+    def matrix(self) -> DataFrame:
+        """The user × product matrix in long form: ``(user_id, product_name, value)``."""
+        return self.features.select("user_id", "product_name", F.col("sticky").alias("value"))
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        """Fixture segment label ``user_id % 3`` for every user of the matrix."""
+        return label_by_modulo(self.matrix.select("user_id"))
+
+    @cached_property
+    def user_rows(self) -> DataFrame:
+        """One row per matrix user with the four user features."""
+        return mx.user_constants(self.features)
 
 
 def latent(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,201 @@ oracle("sticky", "SELECT user_id, product_id, sticky FROM sticky_t", ("sticky",)
 oracle("user_features", "SELECT * FROM user_t", USER_DOUBLES)
 oracle("product_features", "SELECT * FROM prd_t", PRODUCT_DOUBLES)
 oracle("feature_table", "SELECT * FROM feature_t", ("sticky",) + USER_DOUBLES + PRODUCT_DOUBLES)
+
+
+# ------------------------------------------------------------ batch two --
+FEATURE_DOUBLES = ("sticky",) + USER_DOUBLES + PRODUCT_DOUBLES
+
+
+def _hash(seed: int, col: str = "user_id") -> str:
+    return f"CAST(('0x' || substr(md5('{seed}:' || CAST({col} AS VARCHAR)), 1, 8)) AS BIGINT)"
+
+
+oracle("uxp_features", "SELECT user_id, product_id, n AS uxp_total_bought, sticky FROM sticky_t", ("sticky",))
+oracle("pair_features", "SELECT * FROM pairf_t", FEATURE_DOUBLES)
+oracle("order_span", """
+SELECT f.user_id, t.total_orders, f.product_id, f.first_order_number,
+       t.total_orders - f.first_order_number + 1 AS Order_Range_D
+FROM (SELECT user_id, product_id, min(order_number) AS first_order_number FROM pl_t GROUP BY 1, 2) f
+LEFT JOIN tot_t t ON f.user_id = t.user_id""")
+oracle("user_avg_days", """
+SELECT user_id, avg(days_since_prior_order) AS avg_days_since_prior_order FROM pl_t GROUP BY 1""",
+       ("avg_days_since_prior_order",))
+oracle("user_total_orders", """
+SELECT user_id, CAST(max(order_number) AS INTEGER) AS u_total_orders FROM pl_t GROUP BY 1""")
+oracle("users_min_orders", """
+SELECT user_id, CAST(max(order_number) AS INTEGER) AS u_total_orders FROM pl_t GROUP BY 1
+HAVING max(order_number) >= 3""")
+oracle("user_reorder_ratio", "SELECT user_id, avg(reordered) AS u_reordered_ratio FROM pl_t GROUP BY 1",
+       ("u_reordered_ratio",))
+oracle("order_size", "SELECT * FROM osize_t")
+oracle("order_size_avg", "SELECT * FROM osavg_t", ("order_size_avg",))
+oracle("product_purchases", "SELECT product_id, count(order_id) AS p_total_purchases FROM pl_t GROUP BY 1")
+oracle("product_reorder_ratio", "SELECT product_id, avg(reordered) AS p_reorder_ratio FROM pl_t GROUP BY 1",
+       ("p_reorder_ratio",))
+oracle("product_cart_position", """
+SELECT product_id, avg(add_to_cart_order) AS mean_add_to_cart_order FROM pl_t GROUP BY 1""",
+       ("mean_add_to_cart_order",))
+oracle("purchase_range", """
+SELECT * FROM prd_t WHERE p_total_purchases BETWEEN 0 AND 1000 AND p_reorder_ratio BETWEEN 0 AND 1""",
+       PRODUCT_DOUBLES)
+oracle("pair_times_bought", """
+SELECT user_id, product_id, count(order_id) AS uxp_total_bought FROM pl_t GROUP BY 1, 2""")
+oracle("pair_first_order", """
+SELECT user_id, product_id, min(order_number) AS first_order_number FROM pl_t GROUP BY 1, 2""")
+oracle("pair_spread", "SELECT user_id, product_id, spread FROM spread_t", ("spread",))
+oracle("order_gaps", "SELECT user_id, product_id, order_id, order_number, order_diff FROM gaps_t",
+       ("order_diff",))
+oracle("pair_modal_dow", """
+SELECT user_id, product_id, CAST(order_dow AS INTEGER) AS order_dow FROM (
+  SELECT user_id, product_id, order_dow,
+         row_number() OVER (PARTITION BY user_id, product_id ORDER BY c DESC, order_dow ASC) AS rn
+  FROM (SELECT user_id, product_id, order_dow, count(*) AS c FROM pl_t GROUP BY 1, 2, 3))
+WHERE rn = 1""")
+oracle("weekday_names", """
+SELECT order_id, user_id, order_number,
+       CASE order_dow WHEN 0 THEN 'Sunday' WHEN 1 THEN 'Monday' WHEN 2 THEN 'Tuesday'
+            WHEN 3 THEN 'Wednesday' WHEN 4 THEN 'Thursday' WHEN 5 THEN 'Friday'
+            WHEN 6 THEN 'Saturday' END AS order_dow
+FROM orders_t""")
+oracle("select_features", """
+SELECT user_id, product_name, sticky, avg_days_since_prior_order, u_reordered_ratio,
+       u_total_orders, order_size_avg FROM feature_t""", ("sticky",) + USER_DOUBLES)
+oracle("select_tail_columns", """
+SELECT days_since_prior_order, product_id, add_to_cart_order, reordered, product_name,
+       aisle_id, department_id, aisle, department FROM data_t""", DAYS)
+oracle("drop_columns", """
+SELECT order_id, user_id, eval_set, order_number, order_dow, days_since_prior_order, product_id,
+       add_to_cart_order, reordered, product_name, aisle, department FROM data_t""", DAYS)
+oracle("rename_columns", "SELECT user_id, product_id, sum(order_diff) AS spread FROM gaps_t GROUP BY 1, 2",
+       ("spread",))
+oracle("derive_columns", """
+SELECT s.user_id, s.product_id, s.n AS Times_Bought_N, t.total_orders, s.first_order_number,
+       t.total_orders - s.first_order_number + 1 AS Order_Range_D, s.spread, k.sticky
+FROM spread_t s JOIN tot_t t ON s.user_id = t.user_id
+JOIN sticky_t k ON s.user_id = k.user_id AND s.product_id = k.product_id""", ("spread", "sticky"))
+oracle("category_codes", """
+SELECT product_id, product_name, aisle, department,
+       CAST(dense_rank() OVER (ORDER BY product_name) - 1 AS INTEGER) AS product_name_code,
+       CAST(dense_rank() OVER (ORDER BY aisle) - 1 AS INTEGER) AS aisle_code,
+       CAST(dense_rank() OVER (ORDER BY department) - 1 AS INTEGER) AS department_code
+FROM dim_t""")
+oracle("product_id_to_name", """
+SELECT s.user_id, p.product_name, s.n AS uxp_total_bought, s.sticky
+FROM sticky_t s LEFT JOIN products_t p ON s.product_id = p.product_id""", ("sticky",))
+oracle("product_dim", "SELECT * FROM bdim_t")
+oracle("product_lookup_unknown", """
+SELECT n.product_name, COALESCE(a.aisle, 'Unknown') AS aisle, COALESCE(a.department, 'Unknown') AS department
+FROM (SELECT DISTINCT p.p_name AS product_name
+      FROM border_products_t op JOIN part p ON op.product_id = p.p_partkey) n
+LEFT JOIN battrs_t a ON n.product_name = a.product_name""")
+oracle("duplicate_keys", """
+SELECT user_id, product_name, count(DISTINCT product_id) AS n_items FROM bdata_t
+GROUP BY 1, 2 HAVING count(DISTINCT product_id) > 1""")
+oracle("sample_users", f"""
+SELECT DISTINCT user_id FROM feature_t WHERE {_hash(16)} < {int(0.25 * 2 ** 32)}""")
+oracle("sample_user_rows", f"SELECT * FROM feature_t WHERE {_hash(16)} < {int(0.25 * 2 ** 32)}",
+       FEATURE_DOUBLES)
+oracle("distinct_users", "SELECT DISTINCT user_id FROM pl_t")
+oracle("user_constants", "SELECT * FROM urows_t", USER_DOUBLES)
+oracle("sticky_matrix", """
+SELECT user_id, round(COALESCE(COLUMNS(* EXCLUDE (user_id)), 0), 6)
+FROM (PIVOT (SELECT user_id, product_name, sticky FROM feature_t) ON product_name
+      USING max(sticky) GROUP BY user_id)""")
+oracle("user_matrix", """
+SELECT u.user_id, round(u.avg_days_since_prior_order, 6) AS avg_days_since_prior_order,
+       round(u.u_reordered_ratio, 6) AS u_reordered_ratio, u.u_total_orders,
+       round(u.order_size_avg, 6) AS order_size_avg,
+       round(COALESCE(COLUMNS(w.* EXCLUDE (user_id)), 0), 6)
+FROM urows_t u JOIN (PIVOT (SELECT user_id, product_name, sticky FROM feature_t) ON product_name
+      USING max(sticky) GROUP BY user_id) w ON u.user_id = w.user_id""")
+oracle("holdout_split", f"""
+SELECT user_id, CASE WHEN {_hash(7)} < {int(0.2 * 2 ** 32)} THEN 'validation' ELSE 'train' END AS split
+FROM urows_t""")
+oracle("minibatch_id", f"""
+SELECT user_id, CAST({_hash(7)} % (SELECT CAST(ceil(count(*) / 256.0) AS BIGINT) FROM urows_t) AS INTEGER)
+       AS batch
+FROM urows_t""")
+
+_FEATURE_TYPES = [("user_id", "bigint"), ("product_name", "string"), ("uxp_total_bought", "bigint"),
+                  ("sticky", "double"), ("avg_days_since_prior_order", "double"),
+                  ("u_reordered_ratio", "double"), ("u_total_orders", "int"),
+                  ("order_size_avg", "double"), ("p_total_purchases", "bigint"),
+                  ("p_reorder_ratio", "double"), ("mean_add_to_cart_order", "double"),
+                  ("aisle", "string"), ("department", "string")]
+_NUMERIC = [c for c, t in _FEATURE_TYPES if t != "string"]
+_STRINGS = [c for c, t in _FEATURE_TYPES if t == "string"]
+_VALUES = ", ".join(f"({i}, '{c}', '{t}')" for i, (c, t) in enumerate(_FEATURE_TYPES))
+oracle("profile_info", f"""
+SELECT CAST(t.position AS INTEGER) AS position, t."column", n.non_null, t.dtype
+FROM (VALUES {_VALUES}) t(position, "column", dtype)
+JOIN (UNPIVOT (SELECT {", ".join(f"count({c}) AS {c}" for c, _ in _FEATURE_TYPES)} FROM feature_t)
+      ON COLUMNS(*) INTO NAME "column" VALUE non_null) n ON t."column" = n."column"
+""")
+
+
+def _describe(src: str, cols: list[str]) -> str:
+    casts = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+    return f"""
+SELECT "column", count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std,
+       min(value) AS min, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50,
+       quantile_cont(value, 0.75) AS q75, max(value) AS max
+FROM (UNPIVOT (SELECT {casts} FROM {src}) ON COLUMNS(*) INTO NAME "column" VALUE value)
+GROUP BY 1"""
+
+
+_DESC = ("mean", "std", "min", "q25", "q50", "q75", "max")
+oracle("profile_describe", _describe("feature_t", _NUMERIC), _DESC)
+oracle("product_check", _describe(
+    "(SELECT a.product_id, a.p_total_purchases, b.p_reorder_ratio FROM "
+    "(SELECT product_id, count(order_id) AS p_total_purchases FROM pl_t GROUP BY 1) a JOIN "
+    "(SELECT product_id, avg(reordered) AS p_reorder_ratio FROM pl_t GROUP BY 1) b "
+    "ON a.product_id = b.product_id)", ["product_id", "p_total_purchases", "p_reorder_ratio"]), _DESC)
+oracle("describe_strings", f"""
+SELECT "column", sum(n) AS count, count(*) AS unique,
+       arg_min(value, (-n, value)) AS top, max(n) AS freq
+FROM (SELECT "column", value, count(*) AS n
+      FROM (UNPIVOT (SELECT {", ".join(_STRINGS)} FROM feature_t) ON COLUMNS(*) INTO NAME "column" VALUE value)
+      GROUP BY 1, 2)
+GROUP BY 1""")
+oracle("distinct_counts", f"""
+UNPIVOT (SELECT {", ".join(f"count(DISTINCT {c}) AS {c}" for c, _ in _FEATURE_TYPES)} FROM feature_t)
+ON COLUMNS(*) INTO NAME "column" VALUE n_unique""")
+oracle("sorted_lines", f"SELECT {LINE_COLS} FROM pl_t", DAYS)
+oracle("row_slice", """
+SELECT order_id, user_id, add_to_cart_order, reordered, product_name, department FROM pl_t
+ORDER BY order_id, add_to_cart_order LIMIT 12 OFFSET 6""")
+oracle("format_metrics", """
+SELECT product_id, p_total_purchases, printf('%.10f', p_reorder_ratio) AS p_reorder_ratio,
+       printf('%.5f', mean_add_to_cart_order) AS mean_add_to_cart_order FROM prd_t""")
+oracle("labelled_users", """
+SELECT u.*, l.cluster FROM urows_t u JOIN lab_t l ON u.user_id = l.user_id""", USER_DOUBLES)
+oracle("cluster_sizes", "SELECT * FROM csize_t")
+oracle("segment_rows", """
+SELECT m.user_id, m.product_name, m.value, l.cluster FROM mx_t m JOIN lab_t l ON m.user_id = l.user_id
+WHERE l.cluster = 1""", ("value",))
+oracle("segment_bases", """
+UNPIVOT (SELECT l.cluster, avg(u.avg_days_since_prior_order) AS avg_days_since_prior_order,
+                avg(u.u_reordered_ratio) AS u_reordered_ratio, avg(u.u_total_orders) AS u_total_orders,
+                avg(u.order_size_avg) AS order_size_avg
+         FROM urows_t u JOIN lab_t l ON u.user_id = l.user_id GROUP BY l.cluster)
+ON avg_days_since_prior_order, u_reordered_ratio, u_total_orders, order_size_avg
+INTO NAME feature VALUE mean""", ("mean",))
+oracle("segment_product_means", "SELECT * FROM segpm_t", ("mean",))
+oracle("user_aisle_matrix", "SELECT * FROM uam_t", ("value",))
+oracle("user_department_matrix", "SELECT * FROM udm_t", ("value",))
+oracle("segment_aisle_means", "SELECT * FROM segam_t", ("mean",))
+oracle("segment_department_means", "SELECT * FROM segdm_t", ("mean",))
+oracle("aisle_product_counts", """
+SELECT aisle, count(*) AS n_products FROM lk_t GROUP BY aisle ORDER BY n_products DESC, aisle LIMIT 5""")
+oracle("department_product_counts", """
+SELECT department, count(*) AS n_products FROM lk_t GROUP BY department
+ORDER BY n_products DESC, department LIMIT 5""")
+for _cte, _name in [("rkp_t", "products"), ("rka_t", "aisles"), ("rkd_t", "departments")]:
+    oracle(f"segment_top10_{_name}", f"""
+SELECT cluster, r_top AS rank, item, mean FROM {_cte} WHERE r_top <= 10""", ("mean",))
+    oracle(f"segment_extremes_{_name}", f"""
+SELECT cluster, 'top' AS "end", r_top AS rank, item, mean FROM {_cte} WHERE r_top <= 5
+UNION ALL
+SELECT cluster, 'bottom' AS "end", r_bottom AS rank, item, mean FROM {_cte} WHERE r_bottom <= 5""",
+           ("mean",))

@@ -164,3 +164,48 @@ SELECT f.user_id, d.product_name, f.uxp_total_bought, f.sticky,
        f.avg_days_since_prior_order, f.u_reordered_ratio, f.u_total_orders, f.order_size_avg,
        f.p_total_purchases, f.p_reorder_ratio, f.mean_add_to_cart_order, d.aisle, d.department
 FROM pairf_t f LEFT JOIN dim_t d ON f.product_id = d.product_id""")
+
+# ------------------------------------------------------- matrix / profiles --
+add("mx_t", "SELECT user_id, product_name, sticky AS value FROM feature_t")
+add("lab_t", "SELECT DISTINCT user_id, CAST(user_id % 3 AS INTEGER) AS cluster FROM mx_t")
+add("csize_t", "SELECT cluster, count(*) AS users FROM lab_t GROUP BY cluster")
+add("urows_t", """
+SELECT user_id, max(avg_days_since_prior_order) AS avg_days_since_prior_order,
+       max(u_reordered_ratio) AS u_reordered_ratio, max(u_total_orders) AS u_total_orders,
+       max(order_size_avg) AS order_size_avg
+FROM feature_t GROUP BY user_id""")
+add("attrs_t", """
+SELECT product_name, arg_max(aisle, product_id) AS aisle, arg_max(department, product_id) AS department
+FROM dim_t WHERE product_name IS NOT NULL GROUP BY product_name""")
+add("lk_t", """
+SELECT n.product_name, COALESCE(a.aisle, 'Unknown') AS aisle,
+       COALESCE(a.department, 'Unknown') AS department
+FROM (SELECT DISTINCT product_name FROM mx_t) n LEFT JOIN attrs_t a ON n.product_name = a.product_name""")
+add("uam_t", """
+SELECT m.user_id, k.aisle, sum(m.value) AS value
+FROM mx_t m JOIN lk_t k ON m.product_name = k.product_name GROUP BY 1, 2""")
+add("udm_t", """
+SELECT m.user_id, k.department, sum(m.value) AS value
+FROM mx_t m JOIN lk_t k ON m.product_name = k.product_name GROUP BY 1, 2""")
+for _cte, _src, _item in [("segpm_t", "mx_t", "product_name"), ("segam_t", "uam_t", "aisle"),
+                          ("segdm_t", "udm_t", "department")]:
+    add(_cte, f"""
+SELECT l.cluster, m.{_item}, sum(m.value) / c.users AS mean
+FROM {_src} m JOIN lab_t l ON m.user_id = l.user_id JOIN csize_t c ON l.cluster = c.cluster
+GROUP BY l.cluster, m.{_item}, c.users""")
+for _cte, _src, _means, _item in [("rkp_t", "mx_t", "segpm_t", "product_name"),
+                                  ("rka_t", "uam_t", "segam_t", "aisle"),
+                                  ("rkd_t", "udm_t", "segdm_t", "department")]:
+    add(_cte, f"""
+SELECT cluster, item, mean,
+       CAST(row_number() OVER (PARTITION BY cluster ORDER BY mean DESC, item ASC) AS INTEGER) AS r_top,
+       CAST(row_number() OVER (PARTITION BY cluster ORDER BY mean ASC, item DESC) AS INTEGER) AS r_bottom
+FROM (SELECT c.cluster, u.item, COALESCE(s.mean, CAST(0 AS DOUBLE)) AS mean
+      FROM (SELECT DISTINCT cluster FROM lab_t) c
+      CROSS JOIN (SELECT DISTINCT {_item} AS item FROM {_src}) u
+      LEFT JOIN {_means} s ON s.cluster = c.cluster AND s.{_item} = u.item)""")
+
+# fixture B lookups
+add("battrs_t", """
+SELECT product_name, arg_max(aisle, product_id) AS aisle, arg_max(department, product_id) AS department
+FROM bdim_t WHERE product_name IS NOT NULL GROUP BY product_name""")
