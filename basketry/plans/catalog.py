@@ -18,7 +18,12 @@ from ..operators import merge
 from ..operators import profiles as prof
 from ..operators import quality as qual
 from ..operators import selection as sel
-from .context import Basket, rounded
+from ..operators import latent as lt
+from ..operators import segments as seg
+from ..operators.autoencoder import fit_autoencoder
+from ..session import scratch_path
+from ..sources import files
+from .context import Basket, latent, latent_models, rounded
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -607,3 +612,243 @@ for _level, _name in [("product_name", "products"), ("aisle", "aisles"), ("depar
         return _ranked(spark, sf_dir, level, prof.EXTREME_N, prof.EXTREME_N)
     _extremes.__doc__ = f"T5: top 5 and bottom 5 {_name} per segment, absent = 0."
     query(f"segment_extremes_{_name}")(_extremes)
+
+
+# ------------------------------------------------------------ sources/sinks --
+
+@query("scan_csv")
+def _scan_csv(spark, sf_dir):
+    """S-1: orders written as CSV with a header, read back with the explicit schema."""
+    orders = Basket(spark, sf_dir).tables.orders
+    path = scratch_path(spark, "orders_csv")
+    files.write_csv(orders, path)
+    return files.read_csv(spark, path, "orders")
+
+
+@query("write_csv")
+def _write_csv(spark, sf_dir):
+    """S-2: the feature table written as CSV and read back."""
+    features = Basket(spark, sf_dir).features
+    path = scratch_path(spark, "features_csv")
+    files.write_csv(features, path)
+    return files.read_csv(spark, path, features.schema)
+
+
+@query("write_latent")
+def _write_latent(spark, sf_dir):
+    """S-3: latent matrices of two models written partitioned by model; rows per model."""
+    path = scratch_path(spark, "latent")
+    files.write_latent(latent_models(spark, sf_dir), path)
+    back = files.scan_latent(spark, path)
+    return back.groupBy("model").agg(F.count(F.lit(1)).alias("users"),
+                                     F.sum(F.size("latent")).alias("values"))
+
+
+@query("scan_latent")
+def _scan_latent(spark, sf_dir):
+    """S-4: all models read back at once, one row per latent value."""
+    path = scratch_path(spark, "latent")
+    files.write_latent(latent_models(spark, sf_dir), path)
+    return lt.latent_values(files.scan_latent(spark, path))
+
+
+@query("weights_roundtrip")
+def _weights_roundtrip(spark, sf_dir):
+    """S-5: the fixture encoder's weight table written as Parquet and read back."""
+    d = Basket(spark, sf_dir).width
+    path = scratch_path(spark, "weights")
+    files.write_weights(lt.weight_table(spark, lt.fixture_layers(d)), path)
+    return files.read_weights(spark, path)
+
+
+# ------------------------------------------------------------------ latent --
+
+@query("latent_histogram")
+def _latent_histogram(spark, sf_dir):
+    """100-bin histogram of all latent values per model."""
+    return lt.histogram(lt.latent_values(latent_models(spark, sf_dir)), lt.LATENT_BINS)
+
+
+@query("mean_activations")
+def _mean_activations(spark, sf_dir):
+    """Mean of each latent dimension per model."""
+    return lt.mean_activations(lt.latent_values(latent_models(spark, sf_dir)))
+
+
+@query("activation_histogram")
+def _activation_histogram(spark, sf_dir):
+    """50-bin histogram of the mean activations per model."""
+    return lt.activation_histogram(lt.latent_values(latent_models(spark, sf_dir)))
+
+
+@query("latent_sparsity")
+def _latent_sparsity(spark, sf_dir):
+    """Percent of values below 5 % of the model's maximum in magnitude."""
+    return lt.latent_sparsity(lt.latent_values(latent_models(spark, sf_dir)))
+
+
+@query("latent_variance")
+def _latent_variance(spark, sf_dir):
+    """Population variance of all latent values per model."""
+    return lt.latent_variance(lt.latent_values(latent_models(spark, sf_dir)))
+
+
+def _fixture_centroids(points):
+    return seg.label_centroids(points, [0, 1, 2])
+
+
+def _scored(spark, sf_dir):
+    points = latent(spark, sf_dir)
+    return seg.target_distribution(seg.soft_assignment(points, _fixture_centroids(points)), 3)
+
+
+@query("soft_assignment")
+def _soft_assignment(spark, sf_dir):
+    """Student-t soft assignment to the label-0/1/2 centroids."""
+    points = latent(spark, sf_dir)
+    return seg.long_assignments(seg.soft_assignment(points, _fixture_centroids(points)), ("q",))
+
+
+@query("target_distribution")
+def _target_distribution(spark, sf_dir):
+    """C4: soft assignment and the sharpened target distribution."""
+    return seg.long_assignments(_scored(spark, sf_dir))
+
+
+@query("kl_loss")
+def _kl_loss(spark, sf_dir):
+    """Mean KL(P || Q) with Keras clipping."""
+    return seg.kl_loss(_scored(spark, sf_dir))
+
+
+@query("hard_labels")
+def _hard_labels(spark, sf_dir):
+    """Arg-max cluster per user, lowest index on ties."""
+    return seg.hard_labels(_scored(spark, sf_dir)).select("user_id", "cluster")
+
+
+@query("mean_assignment")
+def _mean_assignment(spark, sf_dir):
+    """Mean q and p per cluster."""
+    return seg.mean_assignment(_scored(spark, sf_dir))
+
+
+@query("label_churn")
+def _label_churn(spark, sf_dir):
+    """Share of users whose label moves when centroid 2 becomes the label-3 mean."""
+    points = latent(spark, sf_dir)
+    before = seg.label_centroids(points, [0, 1, 2])
+    after = seg.label_centroids(points, [0, 1, 3])
+    lb = seg.hard_labels(seg.soft_assignment(points, before)).select("user_id", "cluster")
+    la = seg.hard_labels(seg.soft_assignment(points, after)).select("user_id", "cluster")
+    return seg.label_churn(lb, la)
+
+
+@query("dec_step")
+def _dec_step(spark, sf_dir):
+    """C8 (one step): centroid gradient over all users and the updated centroids."""
+    points = latent(spark, sf_dir)
+    cents = _fixture_centroids(points)
+    scored = seg.target_distribution(seg.soft_assignment(points, cents), 3)
+    grad = seg.centroid_gradient(scored, cents)
+    new, _ = seg.dec_step(scored, cents)
+    rows = [(j, i, float(grad[j, i]), float(new[j, i])) for j in range(cents.shape[0])
+            for i in range(cents.shape[1])]
+    return spark.createDataFrame(rows, "cluster int, dim int, gradient double, value double")
+
+
+@query("dec_refine")
+def _dec_refine(spark, sf_dir):
+    """C8 (loop): DEC refinement from k-means centroids, 100 steps, labels per user."""
+    points = latent(spark, sf_dir)
+    users = points.select("user_id")
+    batched = points.join(mx.minibatch_ids(users, mx.batch_count(users.count())), "user_id")
+    _, cents = seg.kmeans_segments(points, seg.N_CLUSTERS, n_init=seg.N_INIT)
+    _, labels, _ = seg.dec_refine(batched.select("user_id", "latent", "batch"), cents, maxiter=100)
+    return labels
+
+
+@query("silhouette_sq")
+def _silhouette_sq(spark, sf_dir):
+    """Squared-Euclidean silhouette of the latent vectors by their label."""
+    points = latent(spark, sf_dir)
+    labels = points.select("user_id", F.col("label").alias("cluster"))
+    return seg.silhouette_from_triples(seg.dense_triples(points), labels)
+
+
+@query("silhouette")
+def _silhouette(spark, sf_dir):
+    """C14 (re-aimed, linear): squared-Euclidean silhouette of the sparse basket vectors."""
+    b = Basket(spark, sf_dir)
+    return seg.silhouette_from_triples(b.triples, b.labels)
+
+
+@query("elbow")
+def _elbow(spark, sf_dir):
+    """Within-cluster sum of squares for k = 1 … 14, 10 restarts each."""
+    return seg.elbow(latent(spark, sf_dir))
+
+
+@query("kmeans_segments")
+def _kmeans_segments(spark, sf_dir):
+    """K-means with 3 clusters, best of 10 restarts; labels per user."""
+    labels, _ = seg.kmeans_segments(latent(spark, sf_dir))
+    return labels
+
+
+@query("latent_map_2d")
+def _latent_map_2d(spark, sf_dir):
+    """C15 (re-aimed from t-SNE): 2-D PCA map of the latent vectors with the label."""
+    points = latent(spark, sf_dir)
+    return seg.latent_map_2d(points, points.select("user_id", F.col("label").alias("cluster")))
+
+
+@query("encode_latent")
+def _encode_latent(spark, sf_dir):
+    """Fixed-weight encoder (d -> 8 -> 4, sigmoid) applied to every user vector."""
+    b = Basket(spark, sf_dir)
+    z = lt.encode(b.vectors, lt.fixture_layers(b.width), b.width)
+    return z.select("user_id", F.posexplode("latent").alias("dim", "value"))
+
+
+@query("reconstruction_error")
+def _reconstruction_error(spark, sf_dir):
+    """C11: mean reconstruction error of the fixed-weight autoencoder, train and validation."""
+    b = Basket(spark, sf_dir)
+    errs = lt.reconstruction_errors(b.vectors, lt.fixture_layers(b.width), b.width)
+    return mx.holdout_split(errs).groupBy("split").agg(
+        F.avg("mse").alias("mse"), F.count(F.lit(1)).alias("users"))
+
+
+def _training_rows(b: Basket):
+    users = b.vectors.select("user_id")
+    split = mx.holdout_split(users)
+    n_train = split.where(F.col("split") == "train").count()
+    batched = mx.minibatch_ids(split, mx.batch_count(n_train))
+    return b.vectors.join(batched, "user_id")
+
+
+@query("autoencoder_fit")
+def _autoencoder_fit(spark, sf_dir):
+    """Data-parallel autoencoder fit (hidden width d, latent 150, L1 1e-7), 3 epochs."""
+    b = Basket(spark, sf_dir)
+    d = b.width
+    res = fit_autoencoder(_training_rows(b), d, [(d, d), (d, 150), (150, d)], 1e-7, epochs=3)
+    return spark.createDataFrame(res.history, "epoch int, loss double, val_loss double, "
+                                              "mse double, val_mse double")
+
+
+@query("latent_sweep")
+def _latent_sweep(spark, sf_dir):
+    """Grid over (latent width, L1 strength) = (150, 1e-8), (150, 1e-9); 2 epochs each."""
+    b = Basket(spark, sf_dir)
+    d = b.width
+    rows_df = _training_rows(b).persist()
+    out = []
+    for ld, r in [(150, 1e-8), (150, 1e-9)]:
+        res = fit_autoencoder(rows_df, d, [(d, d), (d, ld), (ld, d)], r, epochs=2)
+        best = res.history[res.best_epoch]
+        out.append((ld, r, best[1], best[2], best[3], best[4]))
+    rows_df.unpersist()
+    return spark.createDataFrame(out, "ld int, r double, train_loss double, val_loss double, "
+                                      "train_mse double, val_mse double")

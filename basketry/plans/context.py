@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..operators import features as feat
 from ..operators import merge
+from ..operators import latent as lt
 from ..operators import matrix as mx
 from ..operators import selection as sel
 from ..operators.profiles import label_by_modulo
@@ -89,6 +90,34 @@ class Basket:
         """One row per matrix user with the four user features."""
         return mx.user_constants(self.features)
 
+    @cached_property
+    def index(self) -> DataFrame:
+        """0-based product index in ascending name order (the matrix columns)."""
+        return mx.product_index(self.features)
+
+    @cached_property
+    def width(self) -> int:
+        """Number of matrix columns d (a catalogue-sized scalar)."""
+        return self.index.count()
+
+    @cached_property
+    def triples(self) -> DataFrame:
+        """Non-zero matrix cells ``(user_id, idx, value)``."""
+        return mx.sparse_triples(self.features, self.index)
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """Sparse user vectors ``(user_id, indices, values)``."""
+        return mx.user_arrays(self.triples)
+
 
 def latent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture C: ``(user_id, latent, label)``."""
     return latent_fixture(spark, sf_dir)
+
+
+def latent_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two latent models of the same users: the raw vectors and their sigmoid."""
+    lat = latent_fixture(spark, sf_dir).select("user_id", "latent")
+    return lt.with_model(lat, "embedding").unionByName(
+        lt.with_model(lt.sigmoid_latent(lat), "embedding_sigmoid"))

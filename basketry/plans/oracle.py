@@ -7,7 +7,7 @@ the Spark side rounds every double column.
 
 from __future__ import annotations
 
-from .oracle_base import BOOK
+from .oracle_base import BOOK, _b, _w
 
 _ENTRIES: dict[str, tuple[str, tuple[str, ...]]] = {}
 
@@ -288,3 +288,126 @@ SELECT cluster, 'top' AS "end", r_top AS rank, item, mean FROM {_cte} WHERE r_to
 UNION ALL
 SELECT cluster, 'bottom' AS "end", r_bottom AS rank, item, mean FROM {_cte} WHERE r_bottom <= 5""",
            ("mean",))
+
+
+# ------------------------------------------------------- latent and sources --
+oracle("scan_csv", "SELECT * FROM orders_t", DAYS)
+oracle("write_csv", "SELECT * FROM feature_t", FEATURE_DOUBLES)
+oracle("write_latent", """
+SELECT model, count(*) AS users, CAST(sum(n) AS BIGINT) AS "values"
+FROM (SELECT model, user_id, count(*) AS n FROM latv_t GROUP BY 1, 2) GROUP BY model""")
+oracle("scan_latent", "SELECT model, user_id, dim, value FROM latv_t", ("value",))
+
+
+def _weights_sql() -> str:
+    def ker(layer, rows, cols):
+        return (f"SELECT {layer} AS layer, 'kernel' AS kind, CAST(a.i AS INTEGER) AS row, "
+                f"CAST(b.j AS INTEGER) AS col, {_w(layer, 'a.i', 'b.j')} AS value "
+                f"FROM {rows} a CROSS JOIN {cols} b")
+
+    def bias(layer, cols):
+        return (f"SELECT {layer} AS layer, 'bias' AS kind, 0 AS row, CAST(b.j AS INTEGER) AS col, "
+                f"{_b('b.j')} AS value FROM {cols} b")
+    d_i, d_j = "(SELECT idx AS i FROM idx_t)", "(SELECT idx AS j FROM idx_t)"
+    r = lambda n, c: f"(SELECT range AS {c} FROM range({n}))"
+    parts = [ker(0, d_i, r(8, "j")), bias(0, r(8, "j")), ker(1, r(8, "i"), r(4, "j")), bias(1, r(4, "j")),
+             ker(2, r(4, "i"), d_j), bias(2, d_j)]
+    return "\nUNION ALL\n".join(parts)
+
+
+oracle("weights_roundtrip", _weights_sql(), ("value",))
+
+
+def _histogram_sql(src: str, value: str, bins: int) -> str:
+    b = f"CAST({bins} AS DOUBLE)"
+    return f"""
+SELECT e.model, e.bin, e.vmin + e.bin * ((e.vmax - e.vmin) / {b}) AS lo,
+       e.vmin + (e.bin + 1) * ((e.vmax - e.vmin) / {b}) AS hi, COALESCE(c.count, 0) AS count
+FROM (SELECT model, vmin, vmax, CAST(unnest(generate_series(0, {bins - 1})) AS INTEGER) AS bin
+      FROM (SELECT model, min({value}) AS vmin, max({value}) AS vmax FROM {src} GROUP BY model)) e
+LEFT JOIN (SELECT s.model,
+                  CAST(CASE WHEN r.vmax - r.vmin = 0 THEN 0
+                       ELSE least({bins - 1}, floor((s.{value} - r.vmin) / (r.vmax - r.vmin) * {b})) END
+                       AS INTEGER) AS bin,
+                  count(*) AS count
+           FROM {src} s JOIN (SELECT model, min({value}) AS vmin, max({value}) AS vmax FROM {src}
+                              GROUP BY model) r ON s.model = r.model
+           GROUP BY 1, 2) c ON e.model = c.model AND e.bin = c.bin"""
+
+
+oracle("latent_histogram", _histogram_sql("latv_t", "value", 100), ("lo", "hi"))
+oracle("mean_activations", "SELECT * FROM mact_t", ("mean_activation",))
+oracle("activation_histogram", _histogram_sql("mact_t", "mean_activation", 50), ("lo", "hi"))
+oracle("latent_sparsity", """
+SELECT v.model, avg(CAST(abs(v.value) < CAST(0.05 AS DOUBLE) * m.vmax AS DOUBLE)) * CAST(100 AS DOUBLE)
+       AS sparsity_percent
+FROM latv_t v JOIN (SELECT model, max(value) AS vmax FROM latv_t GROUP BY model) m ON v.model = m.model
+GROUP BY v.model""", ("sparsity_percent",))
+oracle("latent_variance", "SELECT model, var_pop(value) AS variance FROM latv_t GROUP BY model",
+       ("variance",))
+oracle("soft_assignment", "SELECT user_id, cluster, q FROM q_t", ("q",))
+oracle("target_distribution", "SELECT user_id, cluster, q, p FROM p_t", ("q", "p"))
+_EPS = "CAST(1e-7 AS DOUBLE)"
+_ONE = "CAST(1 AS DOUBLE)"
+oracle("kl_loss", f"""
+SELECT avg(kl) AS kl_loss FROM (
+  SELECT user_id, sum(least(greatest(p, {_EPS}), {_ONE})
+                      * ln(least(greatest(p, {_EPS}), {_ONE}) / least(greatest(q, {_EPS}), {_ONE}))) AS kl
+  FROM p_t GROUP BY user_id)""", ("kl_loss",))
+oracle("hard_labels", """
+SELECT user_id, cluster FROM (
+  SELECT user_id, cluster, row_number() OVER (PARTITION BY user_id ORDER BY q DESC, cluster) AS rn
+  FROM q_t) WHERE rn = 1""")
+oracle("mean_assignment", "SELECT cluster, avg(q) AS mean_q, avg(p) AS mean_p FROM p_t GROUP BY 1",
+       ("mean_q", "mean_p"))
+oracle("label_churn", """
+SELECT avg(CAST(a.cluster <> b.cluster AS DOUBLE)) AS delta_label
+FROM (SELECT user_id, cluster FROM (SELECT user_id, cluster, row_number() OVER
+        (PARTITION BY user_id ORDER BY d2, cluster) AS rn FROM d2_t) WHERE rn = 1) a
+JOIN (SELECT user_id, cluster FROM (SELECT user_id, cluster, row_number() OVER
+        (PARTITION BY user_id ORDER BY d2, cluster) AS rn FROM d22_t) WHERE rn = 1) b
+ON a.user_id = b.user_id""", ("delta_label",))
+oracle("dec_step", """
+SELECT g.cluster, g.dim, CAST(-2 AS DOUBLE) * g.s / n.n AS gradient,
+       c.c - CAST(0.0001 AS DOUBLE) * (CAST(-2 AS DOUBLE) * g.s / n.n) AS value
+FROM (SELECT w.cluster, v.dim, sum(w.w * (v.value - c.c)) AS s
+      FROM (SELECT p.user_id, p.cluster, (p.p - p.q) / (CAST(1 AS DOUBLE) + d.d2) AS w
+            FROM p_t p JOIN d2_t d ON p.user_id = d.user_id AND p.cluster = d.cluster) w
+      JOIN lv0_t v ON v.user_id = w.user_id
+      JOIN cent_t c ON c.cluster = w.cluster AND c.dim = v.dim
+      GROUP BY 1, 2) g
+JOIN cent_t c ON c.cluster = g.cluster AND c.dim = g.dim
+CROSS JOIN (SELECT count(*) AS n FROM lat_t) n""", ("gradient", "value"))
+
+
+def _silhouette_sql(triples: str, labels: str) -> str:
+    return f"""SELECT * FROM (
+WITH tl AS (SELECT t.user_id, t.idx, t.value, l.cluster FROM {triples} t JOIN {labels} l ON t.user_id = l.user_id),
+sums AS (SELECT cluster, idx, sum(value) AS s FROM tl GROUP BY 1, 2),
+norms AS (SELECT user_id, cluster, sum(value * value) AS nx FROM tl GROUP BY 1, 2),
+sizes AS (SELECT cluster, count(*) AS n_c, sum(nx) AS q_c FROM norms GROUP BY 1),
+dots AS (SELECT t.user_id, s.cluster AS other, sum(t.value * s.s) AS xs
+         FROM {triples} t JOIN sums s ON t.idx = s.idx GROUP BY 1, 2),
+dist AS (SELECT n.user_id, n.cluster, z.cluster AS other, z.n_c,
+                z.n_c * n.nx - 2 * COALESCE(d.xs, 0) + z.q_c AS total
+         FROM norms n CROSS JOIN sizes z
+         LEFT JOIN dots d ON d.user_id = n.user_id AND d.other = z.cluster),
+per AS (SELECT user_id, cluster,
+               max(CASE WHEN other = cluster THEN n_c END) AS own_n,
+               max(CASE WHEN other = cluster THEN total END) AS own_total,
+               min(CASE WHEN other <> cluster THEN total / n_c END) AS b
+        FROM dist GROUP BY 1, 2)
+SELECT avg(CASE WHEN own_n <= 1 THEN CAST(0 AS DOUBLE)
+                ELSE (b - own_total / (own_n - 1)) / greatest(own_total / (own_n - 1), b) END) AS silhouette
+FROM per)"""
+
+
+oracle("silhouette_sq", _silhouette_sql(
+    "(SELECT user_id, dim AS idx, value FROM lv0_t)", "(SELECT user_id, label AS cluster FROM lat_t)"),
+    ("silhouette",))
+oracle("silhouette", _silhouette_sql("tri_t", "lab_t"), ("silhouette",))
+oracle("encode_latent", "SELECT user_id, k AS dim, a AS value FROM h2_t", ("value",))
+oracle("reconstruction_error", f"""
+SELECT CASE WHEN {_hash(7)} < {int(0.2 * 2 ** 32)} THEN 'validation' ELSE 'train' END AS split,
+       avg(mse) AS mse, count(*) AS users
+FROM umse_t GROUP BY 1""", ("mse",))

@@ -209,3 +209,70 @@ FROM (SELECT c.cluster, u.item, COALESCE(s.mean, CAST(0 AS DOUBLE)) AS mean
 add("battrs_t", """
 SELECT product_name, arg_max(aisle, product_id) AS aisle, arg_max(department, product_id) AS department
 FROM bdim_t WHERE product_name IS NOT NULL GROUP BY product_name""")
+
+# ------------------------------------------------------------------ latent --
+add("lat_t", "SELECT vec_id AS user_id, CAST(embedding AS DOUBLE[]) AS latent, label FROM embeddings")
+add("lv0_t", """
+SELECT user_id, label, CAST(unnest(generate_series(0, len(latent) - 1)) AS INTEGER) AS dim,
+       unnest(latent) AS value
+FROM lat_t""")
+add("latv_t", """
+SELECT 'embedding' AS model, user_id, dim, value FROM lv0_t
+UNION ALL
+SELECT 'embedding_sigmoid' AS model, user_id, dim,
+       CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + exp(-value)) AS value FROM lv0_t""")
+add("mact_t", "SELECT model, dim, avg(value) AS mean_activation FROM latv_t GROUP BY 1, 2")
+add("cent_t", """
+SELECT label AS cluster, dim, avg(value) AS c FROM lv0_t WHERE label IN (0, 1, 2) GROUP BY 1, 2""")
+add("cent2_t", """
+SELECT CASE label WHEN 3 THEN 2 ELSE label END AS cluster, dim, avg(value) AS c
+FROM lv0_t WHERE label IN (0, 1, 3) GROUP BY 1, 2""")
+add("d2_t", """
+SELECT v.user_id, c.cluster, sum((v.value - c.c) * (v.value - c.c)) AS d2
+FROM lv0_t v JOIN cent_t c ON v.dim = c.dim GROUP BY 1, 2""")
+add("d22_t", """
+SELECT v.user_id, c.cluster, sum((v.value - c.c) * (v.value - c.c)) AS d2
+FROM lv0_t v JOIN cent2_t c ON v.dim = c.dim GROUP BY 1, 2""")
+add("q_t", """
+SELECT user_id, CAST(cluster AS INTEGER) AS cluster, k / sum(k) OVER (PARTITION BY user_id) AS q
+FROM (SELECT user_id, cluster,
+             power(CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + d2 / CAST(1 AS DOUBLE)), CAST(1 AS DOUBLE)) AS k
+      FROM d2_t)""")
+add("f_t", "SELECT cluster, sum(q) AS f FROM q_t GROUP BY 1")
+add("p_t", """
+SELECT user_id, cluster, q, w / sum(w) OVER (PARTITION BY user_id) AS p
+FROM (SELECT q.user_id, q.cluster, q.q, q.q * q.q / f.f AS w FROM q_t q JOIN f_t f ON q.cluster = f.cluster)""")
+
+# basket vectors and the fixture encoder
+add("idx_t", """
+SELECT product_name, CAST(row_number() OVER (ORDER BY product_name) - 1 AS INTEGER) AS idx
+FROM (SELECT DISTINCT product_name FROM feature_t WHERE product_name IS NOT NULL)""")
+add("tri_t", """
+SELECT m.user_id, i.idx, m.value FROM mx_t m JOIN idx_t i ON m.product_name = i.product_name""")
+
+
+def _w(layer: int, i: str, j: str) -> str:
+    return (f"(CAST((((31 * {i} + 17 * {j} + 7 * {layer}) % 101) - 50) AS DOUBLE) "
+            f"/ CAST(500 AS DOUBLE))")
+
+
+def _b(j: str) -> str:
+    return f"(CAST((({j} % 7) - 3) AS DOUBLE) / CAST(50 AS DOUBLE))"
+
+
+def _sig(x: str) -> str:
+    return f"(CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + exp(-({x}))))"
+
+
+add("h1_t", f"""
+SELECT t.user_id, r.j, {_sig(f"sum(t.value * {_w(0, 't.idx', 'r.j')}) + {_b('r.j')}")} AS a
+FROM tri_t t CROSS JOIN (SELECT CAST(range AS INTEGER) AS j FROM range(8)) r GROUP BY t.user_id, r.j""")
+add("h2_t", f"""
+SELECT h.user_id, r.k, {_sig(f"sum(h.a * {_w(1, 'h.j', 'r.k')}) + {_b('r.k')}")} AS a
+FROM h1_t h CROSS JOIN (SELECT CAST(range AS INTEGER) AS k FROM range(4)) r GROUP BY h.user_id, r.k""")
+add("out_t", f"""
+SELECT h.user_id, r.idx AS j, {_sig(f"sum(h.a * {_w(2, 'h.k', 'r.idx')}) + {_b('r.idx')}")} AS y
+FROM h2_t h CROSS JOIN idx_t r GROUP BY h.user_id, r.idx""")
+add("umse_t", """
+SELECT o.user_id, avg((o.y - COALESCE(t.value, 0)) * (o.y - COALESCE(t.value, 0))) AS mse
+FROM out_t o LEFT JOIN tri_t t ON o.user_id = t.user_id AND o.j = t.idx GROUP BY o.user_id""")
