@@ -23,16 +23,18 @@ estimators do.
 
 from __future__ import annotations
 
+import pickle
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import dot, squared_distance, squared_norm
+from ..functions.scalar import squared_distance
 from ..session import ensure_checkpoint_dir
 
 ALPHA = 1.0                   # fixed value: Student-t degrees of freedom
@@ -132,28 +134,43 @@ def mean_assignment(scored: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ DEC --
 
 def centroid_gradient(scored: DataFrame, centroids: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
-    """``dL/dmu_j`` of the mean KL loss over the rows of ``scored`` (needs q, p).
+    """``dL/dmu_j`` of the mean KL loss over the rows of ``scored`` (needs ``latent``, ``p``).
 
     ``-((a+1)/a) (1/n) sum_i (1 + |z_i - mu_j|^2 / a)^-1 (p_ij - q_ij) (z_i - mu_j)``
-    (Xie, Girshick and Farhadi, 2016). One aggregation: per cluster the
-    weighted sum of z and the sum of the weights.
+    (Xie, Girshick and Farhadi, 2016), with q recomputed from the current
+    centroids. Each task adds its rows' terms with NumPy on Arrow batches;
+    ``treeReduce`` sums the k × d partial sums on the executors.
     """
     k, d = centroids.shape
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for j in range(k):
-        d2 = squared_distance(F.col("latent"), _lit_vec(centroids[j]))
-        wgt = (F.col("p")[j] - F.col("q")[j]) / (F.lit(1.0) + d2 / F.lit(alpha))
-        aggs.append(F.sum(wgt).alias(f"w{j}"))
-        aggs += [F.sum(wgt * F.col("latent")[i]).alias(f"z{j}_{i}") for i in range(d)]
-    row = scored.agg(*aggs).first()
-    n = row["n"]
-    grad = np.zeros((k, d))
+    bc = scored.sparkSession.sparkContext.broadcast(np.asarray(centroids, dtype=float))
+
+    def part(batches):
+        mu = bc.value
+        acc = np.zeros(1 + k + k * d)
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            z = np.stack(pdf["latent"].to_numpy())
+            p = np.stack(pdf["p"].to_numpy())
+            d2 = ((z[:, None, :] - mu[None, :, :]) ** 2).sum(axis=2)
+            kern = (1.0 / (1.0 + d2 / alpha)) ** ((alpha + 1.0) / 2.0)
+            q = kern / kern.sum(axis=1, keepdims=True)
+            w = (p - q) / (1.0 + d2 / alpha)
+            acc[0] += len(pdf)
+            acc[1:1 + k] += w.sum(axis=0)
+            acc[1 + k:] += (w.T @ z).ravel()
+        yield pd.DataFrame({"s": [pickle.dumps(acc)]})
+
+    parts = scored.select("latent", "p").mapInPandas(part, "s binary") \
+        .rdd.map(lambda row: pickle.loads(row.s))
+    tot = parts.treeReduce(lambda a, b: a + b, depth=2)
+    bc.unpersist()
+    n = tot[0]
     if not n:
-        return grad
-    for j in range(k):
-        wz = np.array([row[f"z{j}_{i}"] for i in range(d)], dtype=float)
-        grad[j] = -((alpha + 1.0) / alpha) * (wz - row[f"w{j}"] * centroids[j]) / n
-    return grad
+        return np.zeros((k, d))
+    wsum = tot[1:1 + k]
+    wz = tot[1 + k:].reshape(k, d)
+    return -((alpha + 1.0) / alpha) * (wz - wsum[:, None] * centroids) / n
 
 
 def dec_step(scored: DataFrame, centroids: np.ndarray, velocity: np.ndarray | None = None,
@@ -196,8 +213,7 @@ def dec_refine(points: DataFrame, centroids: np.ndarray, batch_col: str = "batch
             if delta < tol:
                 break
         batch = state.where(F.col(batch_col) == ite % n_batches)
-        scored_batch = soft_assignment(batch.select("user_id", "latent", "p"), centroids)
-        centroids, velocity = dec_step(scored_batch, centroids, velocity)
+        centroids, velocity = dec_step(batch, centroids, velocity)
     final = hard_labels(soft_assignment(points, centroids)).select("user_id", "cluster")
     return centroids, final, history
 
@@ -304,4 +320,3 @@ def latent_map_2d(points: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 __all__ = [n for n in dir() if not n.startswith("_")]
-_ = (dot, squared_norm)

@@ -834,8 +834,9 @@ def _autoencoder_fit(spark, sf_dir):
     b = Basket(spark, sf_dir)
     d = b.width
     res = fit_autoencoder(_training_rows(b), d, [(d, d), (d, 150), (150, d)], 1e-7, epochs=3)
-    return spark.createDataFrame(res.history, "epoch int, loss double, val_loss double, "
-                                              "mse double, val_mse double")
+    rows = [(int(e), *map(float, rest)) for e, *rest in res.history]
+    return spark.createDataFrame(rows, "epoch int, loss double, val_loss double, "
+                                       "mse double, val_mse double")
 
 
 @query("latent_sweep")
@@ -848,7 +849,7 @@ def _latent_sweep(spark, sf_dir):
     for ld, r in [(150, 1e-8), (150, 1e-9)]:
         res = fit_autoencoder(rows_df, d, [(d, d), (d, ld), (ld, d)], r, epochs=2)
         best = res.history[res.best_epoch]
-        out.append((ld, r, best[1], best[2], best[3], best[4]))
+        out.append((ld, r, *map(float, best[1:])))
     rows_df.unpersist()
     return spark.createDataFrame(out, "ld int, r double, train_loss double, val_loss double, "
                                       "train_mse double, val_mse double")
