@@ -1 +1 @@
-
+"""Column expressions built from Spark's built-in functions."""

@@ -12,6 +12,13 @@ computes the same numbers in three steps:
 3. the totals of the blocks of the same key that sit in *earlier* range
    partitions (a table of at most keys + partitions rows), joined back.
 
+The range-partitioned rows, tagged with their partition id, are read by
+step 2 and step 3. Range bounds come from a random sample, so two
+evaluations could place a row in different partitions; the tagged rows are
+therefore checkpointed once (reliable ``DataFrame.checkpoint`` into the
+shared ``spark.checkpoint.dir``), which also keeps the result stable when
+an executor is lost and a stage is recomputed.
+
 With ``keys=[]`` the result is a global running aggregate (for example the
 cumulative share over all products) without a single-partition window.
 The caller must supply a total order (unique within a key), otherwise the
@@ -25,6 +32,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 _PID = "__range_pid"
 
 
@@ -63,8 +72,9 @@ def running_aggregates(
     for name, expr in prior_max.items():
         staged = staged.withColumn(f"__m_{name}", expr)
 
+    ensure_checkpoint_dir(df.sparkSession)
     ranged = staged.repartitionByRange(n, *[F.col(k) for k in keys], *order_cols) \
-        .withColumn(_PID, F.spark_partition_id())
+        .withColumn(_PID, F.spark_partition_id()).checkpoint(eager=True)
 
     block = Window.partitionBy(_PID, *keys).orderBy(*order_cols)
     upto = block.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -1 +1,9 @@
+"""Streaming.
 
+The reference has no stream, watermark, window-over-time or stateful
+operator (SURVEY §2.12), so nothing is built here. The row-level operators
+(filters, projections, the per-user sample predicate, the dimension joins)
+are plain DataFrame transformations and apply unchanged to a streaming
+DataFrame; the whole-table aggregates (running shares, profiles) are batch
+operators by definition.
+"""
