@@ -224,12 +224,19 @@ def as_vectors(points: DataFrame) -> DataFrame:
     return points.select("user_id", array_to_vector("latent").alias("features"))
 
 
-def total_sum_of_squares(points: DataFrame) -> float:
-    """k = 1 cost: ``sum |x - mean|^2`` (MLlib rejects k = 1)."""
+def inertia_k1(points: DataFrame) -> DataFrame:
+    """k = 1 cost ``sum |x - mean|^2`` as a one-row frame (MLlib rejects k = 1).
+
+    The d means are model parameters: collected once, then used as literals.
+    """
     d = points.select(F.size("latent")).first()[0]
     means = points.agg(*[F.avg(F.col("latent")[i]).alias(f"m{i}") for i in range(d)]).first()
     center = _lit_vec([means[f"m{i}"] for i in range(d)])
-    return float(points.agg(F.sum(squared_distance(F.col("latent"), center))).first()[0])
+    return points.agg(F.sum(squared_distance(F.col("latent"), center)).alias("inertia"))
+
+
+def total_sum_of_squares(points: DataFrame) -> float:
+    return float(inertia_k1(points).first()["inertia"])
 
 
 def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int):

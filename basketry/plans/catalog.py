@@ -789,6 +789,12 @@ def _elbow(spark, sf_dir):
     return seg.elbow(latent(spark, sf_dir))
 
 
+@query("elbow_k1")
+def _elbow_k1(spark, sf_dir):
+    """C1, k = 1: total within-cluster sum of squares around the global mean."""
+    return seg.inertia_k1(latent(spark, sf_dir))
+
+
 @query("kmeans_segments")
 def _kmeans_segments(spark, sf_dir):
     """K-means with 3 clusters, best of 10 restarts; labels per user."""

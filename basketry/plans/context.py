@@ -21,7 +21,7 @@ from ..operators import matrix as mx
 from ..operators import selection as sel
 from ..operators.profiles import label_by_modulo
 from ..sources.basket import BasketTables, basket_tables, dimension_bound, latent_fixture
-from ..sources.storage import materialize
+from ..sources.storage import remember, reuse_or_write, source_fingerprint
 
 DOUBLE_DIGITS = 6
 
@@ -37,25 +37,37 @@ def rounded(df: DataFrame, digits: int = DOUBLE_DIGITS) -> DataFrame:
     return df.select(*cols)
 
 
+SOURCES = ("orders", "lineitem", "part")
+
+
 class Basket:
+    """Stages of the basket flow for one dataset; each shared stage is a written
+    table registered under the identity of the input files, so every query of a
+    session over the same files reads it instead of recomputing it."""
+
     def __init__(self, spark: SparkSession, sf_dir: str, grain: str = "name") -> None:
         self.spark = spark
-        self.sf_dir = sf_dir
+        self.sf_dir = sf_dir.rstrip("/")
         self.grain = grain
+        self.key = (self.grain, source_fingerprint([f"{self.sf_dir}/{t}.parquet" for t in SOURCES]))
+
+    def _stage(self, label: str, build) -> DataFrame:
+        return reuse_or_write(self.spark, f"{label}-{self.grain}", self.key, build)
 
     @cached_property
     def small(self) -> bool:
-        """Proven once: the product, aisle and department tables fit a broadcast."""
-        return dimension_bound(self.spark, self.sf_dir)
+        """Proven once per input: the product, aisle and department tables fit a broadcast."""
+        return remember(self.spark, ("dimension_bound", self.key),
+                        lambda: dimension_bound(self.spark, self.sf_dir))
 
     @cached_property
     def tables(self) -> BasketTables:
-        return basket_tables(self.spark, self.sf_dir, self.grain, small=self.small)
+        return basket_tables(self.spark, self.sf_dir, self.grain, small=self.small, store=self._stage)
 
     @cached_property
     def data(self) -> DataFrame:
         """The merged order-line table (script 1 output), written once."""
-        return materialize(merge.merge_full(self.tables, self.small), "lines")
+        return self._stage("lines", lambda: merge.merge_full(self.tables, self.small))
 
     @cached_property
     def dim(self) -> DataFrame:
@@ -65,15 +77,14 @@ class Basket:
     @cached_property
     def pareto(self) -> DataFrame:
         """Lines of the 80 % head products without the top 6 (script 2/3 selection), written once."""
-        return materialize(sel.pareto_lines(self.data), "pareto_lines")
+        return self._stage("pareto_lines", lambda: sel.pareto_lines(self.data))
 
     @cached_property
     def features(self) -> DataFrame:
         """The long feature table (script 3 output), written once."""
         t = self.tables
-        return materialize(
-            feat.feature_table(self.pareto, t.products, t.aisles, t.departments, small=self.small),
-            "features")
+        return self._stage("features", lambda: feat.feature_table(
+            self.pareto, t.products, t.aisles, t.departments, small=self.small))
 
     @cached_property
     def matrix(self) -> DataFrame:

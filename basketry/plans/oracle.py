@@ -411,3 +411,6 @@ oracle("reconstruction_error", f"""
 SELECT CASE WHEN {_hash(7)} < {int(0.2 * 2 ** 32)} THEN 'validation' ELSE 'train' END AS split,
        avg(mse) AS mse, count(*) AS users
 FROM umse_t GROUP BY 1""", ("mse",))
+oracle("elbow_k1", """
+SELECT sum((v.value - m.m) * (v.value - m.m)) AS inertia
+FROM lv0_t v JOIN (SELECT dim, avg(value) AS m FROM lv0_t GROUP BY dim) m ON v.dim = m.dim""", ("inertia",))

@@ -24,6 +24,7 @@ window over their *distinct* values, which the catalogue bounds as well.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,7 +32,6 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import broadcast_if_within, row_count_within
 from ..operators.sequence import running_aggregates
-from .storage import materialize
 
 # Fixed values of the fixture definition.
 EVAL_SET = "prior"
@@ -142,19 +142,19 @@ def fixture_order_products(lineitem: DataFrame, part_map: DataFrame, orders: Dat
 
 
 def basket_tables(spark: SparkSession, sf_dir: str, grain: str = "name",
-                  written: bool = False, small: bool | None = None) -> BasketTables:
+                  small: bool | None = None,
+                  store: Callable[[str, Callable[[], DataFrame]], DataFrame] | None = None) -> BasketTables:
     """The five reference tables derived from the star schema at ``sf_dir``.
 
-    ``written``: write the orders and order lines once (when many later
-    stages read them). ``small``: the dimension bound, if already proven.
+    ``small``: the dimension bound, if already proven. ``store(label, build)``
+    may write the orders and order lines once (``sources.storage``); without
+    it they stay lazy.
     """
-    orders = fixture_orders(spark, sf_dir)
-    if written:
-        orders = materialize(orders, "orders")
+    keep = store or (lambda label, build: build())
+    orders = keep("orders", lambda: fixture_orders(spark, sf_dir))
     part_map, products, aisles, departments = _product_maps(spark, sf_dir, grain, small)
-    order_products = fixture_order_products(read_table(spark, sf_dir, "lineitem"), part_map, orders)
-    if written:
-        order_products = materialize(order_products, "order_products")
+    order_products = keep("order_products", lambda: fixture_order_products(
+        read_table(spark, sf_dir, "lineitem"), part_map, orders))
     return BasketTables(orders, order_products, products, aisles, departments)
 
 
