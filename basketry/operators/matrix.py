@@ -15,10 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.schemas import USER_FEATURES
+from .joins import broadcast_if_within
 from .selection import sample_hash
 from .sequence import row_numbers
 
 MAX_WIDE_COLUMNS = 10_000          # spark.sql.pivotMaxValues default
+MAX_CATALOGUE_ROWS = 2_000_000
 BATCH_ROWS = 256                   # fixed value: mini-batch size of the reference
 VALIDATION_FRACTION = 0.2          # fixed value: Keras validation_split
 SPLIT_SEED = 7
@@ -88,9 +90,11 @@ def product_index(long: DataFrame, item: str = "product_name") -> DataFrame:
 
 
 def sparse_triples(long: DataFrame, index: DataFrame, item: str = "product_name",
-                   value: str = "sticky") -> DataFrame:
-    """``(user_id, idx, value)`` — the matrix as non-zero cells."""
-    return long.join(F.broadcast(index), item, "inner").select("user_id", "idx", F.col(value).alias("value"))
+                   value: str = "sticky", small: bool | None = None) -> DataFrame:
+    """``(user_id, idx, value)`` — the matrix as non-zero cells; the catalogue index is
+    broadcast once its size is proven."""
+    return long.join(broadcast_if_within(index, MAX_CATALOGUE_ROWS, small), item, "inner") \
+        .select("user_id", "idx", F.col(value).alias("value"))
 
 
 def user_vectors(triples: DataFrame, size: int) -> DataFrame:

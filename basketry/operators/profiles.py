@@ -23,9 +23,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.schemas import USER_FEATURES
-from .merge import lookup_with_default
+from .joins import broadcast_if_within
+from .merge import DIMENSION_ROWS, lookup_with_default
 from .sequence import running_aggregates
 
+CLUSTER_ROWS = 100_000
 TOP_N = 10          # fixed value: top 10 per segment charts
 EXTREME_N = 5       # fixed value: top 5 and bottom 5 lists
 
@@ -62,10 +64,13 @@ def segment_bases(user_rows: DataFrame, labels: DataFrame, cols=tuple(USER_FEATU
 
 
 def segment_means(values: DataFrame, labels: DataFrame, item: str) -> DataFrame:
-    """``groupby('cluster').mean()`` of a long ``(user_id, item, value)`` matrix, absent = 0."""
+    """``groupby('cluster').mean()`` of a long ``(user_id, item, value)`` matrix, absent = 0.
+
+    The per-cluster user counts (one row per segment) are broadcast once proven small.
+    """
     sizes = cluster_sizes(labels)
     sums = attach_labels(values, labels).groupBy("cluster", item).agg(F.sum("value").alias("total"))
-    return sums.join(F.broadcast(sizes), "cluster").select(
+    return sums.join(broadcast_if_within(sizes, CLUSTER_ROWS), "cluster").select(
         "cluster", item, (F.col("total") / F.col("users")).alias("mean"))
 
 
@@ -77,7 +82,7 @@ def roll_up(values: DataFrame, dim: DataFrame, level: str, item: str = "product_
     """
     names = values.select(item).distinct()
     lookup = lookup_with_default(names, dim, item, small).select(item, level)
-    return values.join(F.broadcast(lookup), item, "inner") \
+    return values.join(broadcast_if_within(lookup, DIMENSION_ROWS, small), item, "inner") \
         .groupBy("user_id", level).agg(F.sum("value").alias("value"))
 
 

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import squared_distance
 from ..session import ensure_checkpoint_dir
+from .joins import broadcast_if_within
 
 ALPHA = 1.0                   # fixed value: Student-t degrees of freedom
 KLD_EPSILON = 1e-7            # fixed value: Keras clips p and q to [1e-7, 1] in 'kld'
@@ -47,6 +48,8 @@ TOLERANCE = 4e-5
 N_CLUSTERS = 3
 ELBOW_KS = tuple(range(1, 15))
 N_INIT = 10
+MAX_CLUSTERS = 1_000          # every user meets each cluster once: n × k work
+SUMS_ROWS = 5_000_000         # per-cluster sum vectors, k × d
 
 
 def _lit_vec(values) -> Column:
@@ -285,8 +288,10 @@ def silhouette_from_triples(triples: DataFrame, labels: DataFrame) -> DataFrame:
     sums = t.groupBy("cluster", "idx").agg(F.sum("value").alias("s"))
     norms = t.groupBy("user_id", "cluster").agg(F.sum(F.col("value") * F.col("value")).alias("nx"))
     sizes = norms.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_c"), F.sum("nx").alias("q_c"))
-    clusters = sorted(r[0] for r in sizes.select("cluster").collect())
-    dots = triples.join(F.broadcast(sums.withColumnRenamed("cluster", "other")), "idx") \
+    clusters = sorted(r[0] for r in sizes.select("cluster").limit(MAX_CLUSTERS + 1).collect())
+    if len(clusters) > MAX_CLUSTERS:
+        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
+    dots = triples.join(broadcast_if_within(sums.withColumnRenamed("cluster", "other"), SUMS_ROWS), "idx") \
         .groupBy("user_id", "other").agg(F.sum(F.col("value") * F.col("s")).alias("xs"))
     pairs = norms.select("user_id", "cluster", "nx",
                          F.explode(F.array(*[F.lit(c) for c in clusters])).alias("other"))

@@ -114,7 +114,7 @@ class Basket:
     @cached_property
     def triples(self) -> DataFrame:
         """Non-zero matrix cells ``(user_id, idx, value)``."""
-        return mx.sparse_triples(self.features, self.index)
+        return mx.sparse_triples(self.features, self.index, small=self.small)
 
     @cached_property
     def vectors(self) -> DataFrame:
