@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .latent import _dense_batch, _sigmoid
+from .latent import _dense_batch, _sigmoid, row_chunks
 
 EPOCHS = 200                  # fixed values of the reference's training call
 BATCH_ROWS = 256
@@ -84,16 +84,17 @@ def distributed_sums(rows: DataFrame, layers, d: int, r: float, with_grads: bool
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         params = bc.value
         acc = np.zeros(size)
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            x = _dense_batch(pdf, d)
-            loss, err, grads = batch_loss_and_grads(x, params, r)
-            acc[0] += len(pdf)
-            acc[1] += loss
-            acc[2] += err
-            if with_grads:
-                acc[3:] += _flatten(grads)
+        for batch in batches:
+            for pdf in row_chunks(batch, d):
+                if len(pdf) == 0:
+                    continue
+                x = _dense_batch(pdf, d)
+                loss, err, grads = batch_loss_and_grads(x, params, r)
+                acc[0] += len(pdf)
+                acc[1] += loss
+                acc[2] += err
+                if with_grads:
+                    acc[3:] += _flatten(grads)
         yield pd.DataFrame({"s": [pickle.dumps(acc)]})
 
     parts = rows.mapInPandas(part, "s binary").rdd.map(lambda row: pickle.loads(row.s))

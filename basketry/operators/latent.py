@@ -155,8 +155,18 @@ def layers_from_table(table: DataFrame, shapes: list[tuple[int, int]]) -> list[t
 
 # ------------------------------------------------------------------ encoder --
 
+DENSE_CELLS = 4_000_000        # at most this many dense cells (32 MB) per NumPy block
+
+
+def row_chunks(pdf: pd.DataFrame, d: int) -> Iterator[pd.DataFrame]:
+    """Slices of an Arrow batch small enough to densify (``rows × d <= DENSE_CELLS``)."""
+    step = max(1, DENSE_CELLS // max(d, 1))
+    for start in range(0, len(pdf), step):
+        yield pdf.iloc[start:start + step]
+
+
 def _dense_batch(pdf: pd.DataFrame, d: int) -> np.ndarray:
-    """Sparse ``(indices, values)`` rows of one Arrow batch as a dense matrix."""
+    """Sparse ``(indices, values)`` rows of one Arrow batch slice as a dense matrix."""
     x = np.zeros((len(pdf), d))
     lengths = pdf["indices"].map(len).to_numpy()
     if lengths.sum():
@@ -183,9 +193,10 @@ def encode(vectors: DataFrame, layers, d: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         params = bc.value
-        for pdf in batches:
-            z = forward(_dense_batch(pdf, d), params, 2)[-1]
-            yield pd.DataFrame({"user_id": pdf["user_id"].to_numpy(), "latent": list(z)})
+        for batch in batches:
+            for pdf in row_chunks(batch, d):
+                z = forward(_dense_batch(pdf, d), params, 2)[-1]
+                yield pd.DataFrame({"user_id": pdf["user_id"].to_numpy(), "latent": list(z)})
 
     return vectors.mapInPandas(run, "user_id long, latent array<double>")
 
@@ -196,10 +207,11 @@ def reconstruction_errors(vectors: DataFrame, layers, d: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         params = bc.value
-        for pdf in batches:
-            x = _dense_batch(pdf, d)
-            xhat = forward(x, params, 3)[-1]
-            yield pd.DataFrame({"user_id": pdf["user_id"].to_numpy(),
-                                "mse": ((xhat - x) ** 2).mean(axis=1)})
+        for batch in batches:
+            for pdf in row_chunks(batch, d):
+                x = _dense_batch(pdf, d)
+                xhat = forward(x, params, 3)[-1]
+                yield pd.DataFrame({"user_id": pdf["user_id"].to_numpy(),
+                                    "mse": ((xhat - x) ** 2).mean(axis=1)})
 
     return vectors.mapInPandas(run, "user_id long, mse double")

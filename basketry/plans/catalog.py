@@ -436,9 +436,7 @@ def _user_matrix(spark, sf_dir):
 def _user_vectors(spark, sf_dir):
     """One sparse vector per user (index = rank of the product name)."""
     b = Basket(spark, sf_dir)
-    index = mx.product_index(b.features)
-    size = index.count()
-    vec = mx.user_vectors(mx.sparse_triples(b.features, index), size)
+    vec = mx.user_vectors(b.triples, b.width)
     return vec.select("user_id", F.col("features").cast("string").alias("features"))
 
 
