@@ -19,6 +19,12 @@ therefore checkpointed once (reliable ``DataFrame.checkpoint`` into the
 shared ``spark.checkpoint.dir``), which also keeps the result stable when
 an executor is lost and a stage is recomputed.
 
+Keys are first counted (a partial aggregate). Keys with at most
+``HOT_KEY_ROWS`` rows — normally all of them — use a plain window
+partitioned by key, since such a group fits one task; only the hot keys
+(broadcast as a small set: at most rows / HOT_KEY_ROWS of them) take the
+range-partitioned path, and the two parts are unioned.
+
 With ``keys=[]`` the result is a global running aggregate (for example the
 cumulative share over all products) without a single-partition window.
 The caller must supply a total order (unique within a key), otherwise the
@@ -35,6 +41,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 _PID = "__range_pid"
+HOT_KEY_ROWS = 2_000_000
 
 
 def _partitions(df: DataFrame) -> int:
@@ -49,6 +56,7 @@ def running_aggregates(
     prior_max: dict[str, Column] | None = None,
     partitions: int | None = None,
     totals: bool = False,
+    hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """Add running aggregates along ``order`` inside each ``keys`` group.
 
@@ -63,6 +71,35 @@ def running_aggregates(
     sums = sums or {}
     prior_max = prior_max or {}
     keys = list(keys)
+    if not keys:
+        return _ranged(df, keys, order, sums, prior_max, partitions, totals)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = counts.where(F.col("__n") > F.lit(hot_rows)).select(*keys)
+    if hot.limit(1).count() == 0:
+        return _windowed(df, keys, order, sums, prior_max, totals)
+    hot = F.broadcast(hot)
+    plain = _windowed(df.join(hot, keys, "left_anti"), keys, order, sums, prior_max, totals)
+    split = _ranged(df.join(hot, keys, "left_semi"), keys, order, sums, prior_max, partitions, totals)
+    return plain.unionByName(split)
+
+
+def _windowed(df, keys, order, sums, prior_max, totals) -> DataFrame:
+    """Plain per-key windows: used when every key group fits one task."""
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    w = Window.partitionBy(*keys).orderBy(*order_cols)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    cols += [F.sum(expr).over(upto).alias(name) for name, expr in sums.items()]
+    cols += [F.max(expr).over(before).alias(name) for name, expr in prior_max.items()]
+    if totals:
+        cols += [F.sum(expr).over(whole).alias(f"{name}_total") for name, expr in sums.items()]
+    return df.select(*cols)
+
+
+def _ranged(df, keys, order, sums, prior_max, partitions, totals) -> DataFrame:
+    """Range-partitioned blocks with offsets from earlier blocks (hot keys, global order)."""
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     n = partitions or _partitions(df)
 

@@ -124,10 +124,19 @@ def _product_maps(spark: SparkSession, sf_dir: str, grain: str, small: bool | No
     return part_map, products, aisles, departments
 
 
-def fixture_order_products(lineitem: DataFrame, part_map: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per (order, product): cart position and the reorder flag."""
+def fixture_order_products(lineitem: DataFrame, part_map: DataFrame, orders: DataFrame,
+                           small: bool | None = None) -> DataFrame:
+    """One row per (order, product): cart position and the reorder flag.
+
+    The part → product map has one row per part, so the bound proven on
+    ``part`` lets it be broadcast; beyond it the join is a sort-merge join.
+    The reorder flag compares each line with the pair's first order number
+    (an aggregate joined back, so a hot user × product pair is reduced
+    map-side and split by AQE rather than sorted in one window task).
+    """
+    pm = broadcast_if_within(part_map, DIMENSION_BROADCAST_ROWS, small)
     lines = lineitem.select("l_orderkey", "l_partkey", "l_linenumber") \
-        .join(part_map, F.col("l_partkey") == F.col("p_partkey")) \
+        .join(pm, F.col("l_partkey") == F.col("p_partkey")) \
         .groupBy(F.col("l_orderkey").alias("order_id"), "product_id") \
         .agg(F.min("l_linenumber").alias("position"))
     lines = lines.withColumn("add_to_cart_order", F.row_number().over(
@@ -154,7 +163,7 @@ def basket_tables(spark: SparkSession, sf_dir: str, grain: str = "name",
     orders = keep("orders", lambda: fixture_orders(spark, sf_dir))
     part_map, products, aisles, departments = _product_maps(spark, sf_dir, grain, small)
     order_products = keep("order_products", lambda: fixture_order_products(
-        read_table(spark, sf_dir, "lineitem"), part_map, orders))
+        read_table(spark, sf_dir, "lineitem"), part_map, orders, small))
     return BasketTables(orders, order_products, products, aisles, departments)
 
 

@@ -22,12 +22,13 @@ def test_running_share_exactly_80_percent_is_kept(spark):
     assert sorted(r.product_id for r in kept.collect()) == [1, 2]
 
 
-def test_running_aggregates_match_window_with_a_hot_key(spark):
+@pytest.mark.parametrize("hot_rows", [100, 2_000_000])
+def test_running_aggregates_match_window_with_a_hot_key(spark, hot_rows):
     rnd = random.Random(3)
     rows = [(0 if rnd.random() < 0.4 else rnd.randrange(1, 30), i, rnd.randrange(100)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, o long, v long")
     ours = running_aggregates(df, ["k"], ["o"], sums={"cum": F.col("v"), "rn": F.lit(1)},
-                              prior_max={"prev": F.col("o")}, totals=True)
+                              prior_max={"prev": F.col("o")}, totals=True, hot_rows=hot_rows)
     w = Window.partitionBy("k").orderBy("o")
     ref = df.select("k", "o", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cum"),
                     F.row_number().over(w).alias("rn"), F.lag("o").over(w).alias("prev"),
