@@ -23,6 +23,7 @@ from ..operators import segments as seg
 from ..operators.autoencoder import fit_autoencoder
 from ..session import scratch_path
 from ..sources import files
+from ..sources.basket import read_table
 from .context import Basket, latent, latent_models, rounded
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -379,7 +380,7 @@ def _product_dim(spark, sf_dir):
 def _product_lookup_unknown(spark, sf_dir):
     """Name → aisle / department with 'Unknown' default; duplicated names: largest id wins."""
     b = Basket(spark, sf_dir, grain="part")
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = read_table(spark, sf_dir, "part")
     names = b.tables.order_products.join(
         part.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name")),
         "product_id").select("product_name").distinct()

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import broadcast_if_within, row_count_within
 from ..operators.sequence import running_aggregates
+from .storage import read_parquet
 
 # Fixed values of the fixture definition.
 EVAL_SET = "prior"
@@ -49,7 +50,19 @@ class BasketTables:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return read_parquet(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer splits than the cluster has cores.
+
+    A file with one row group is read by one task, and everything up to the
+    first exchange (joins with broadcast dimensions, partial aggregates)
+    would run in that task. On large inputs the scan already has many
+    splits and this is a no-op.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def _vocabulary_ids(values: DataFrame, value_col: str, id_col: str) -> DataFrame:
@@ -163,7 +176,8 @@ def basket_tables(spark: SparkSession, sf_dir: str, grain: str = "name",
     orders = keep("orders", lambda: fixture_orders(spark, sf_dir))
     part_map, products, aisles, departments = _product_maps(spark, sf_dir, grain, small)
     order_products = keep("order_products", lambda: fixture_order_products(
-        read_table(spark, sf_dir, "lineitem"), part_map, orders, small))
+        spread(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")),
+        part_map, orders, small))
     return BasketTables(orders, order_products, products, aisles, departments)
 
 

@@ -22,33 +22,47 @@ import os
 from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from ..session import scratch_path
 
-_WRITTEN: dict[tuple, str] = {}
+_WRITTEN: dict[tuple, tuple[str, StructType]] = {}
 _FACTS: dict[tuple, object] = {}
 
 
-def _write(df: DataFrame, label: str) -> str:
+def _write(df: DataFrame, label: str) -> tuple[str, StructType]:
     path = scratch_path(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
-    return path
+    return path, df.schema
+
+
+def _read(spark: SparkSession, written: tuple[str, StructType]) -> DataFrame:
+    """Read a written table with the schema it was written with (no inference job)."""
+    path, schema = written
+    return spark.read.schema(schema).parquet(path)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads the written table."""
-    return df.sparkSession.read.parquet(_write(df, label))
+    return _read(df.sparkSession, _write(df, label))
 
 
 def reuse_or_write(spark: SparkSession, label: str, key: Hashable,
                    build: Callable[[], DataFrame]) -> DataFrame:
     """The written table registered under ``(label, key)``, building and writing it if absent."""
     full = (spark.sparkContext.applicationId, label, key)
-    path = _WRITTEN.get(full)
-    if path is None:
-        path = _write(build(), label)
-        _WRITTEN[full] = path
-    return spark.read.parquet(path)
+    written = _WRITTEN.get(full)
+    if written is None:
+        written = _write(build(), label)
+        _WRITTEN[full] = written
+    return _read(spark, written)
+
+
+def read_parquet(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet source whose schema is inferred once per session and path."""
+    schema = remember(spark, ("schema", path, source_fingerprint([path])),
+                      lambda: spark.read.parquet(path).schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def remember(spark: SparkSession, key: Hashable, compute: Callable[[], object]) -> object:
