@@ -4,7 +4,9 @@ Runs each query at ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) on
 ``local[$BENCH_CPUS]``, forcing the full result with a ``noop`` write, and
 prints ONE JSON line: ``{"metric", "value", "unit", "queries", "sf", ...}``.
 ``value`` is the sum of the per-query medians. A warm-up run of the flagship
-query comes first; ``$BENCH_REPEAT`` (default 3) runs per query, median kept.
+query comes first; ``$BENCH_REPEAT`` (default 1) runs per query, median kept.
+Every run starts from the raw tables (the registry of written stages is
+cleared), so each number includes the stages the query depends on.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "1"))
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
 
     from basketry.session import local_session
@@ -63,6 +65,7 @@ def main() -> None:
         "sf": float(m.group(1)) if m else sf_dir,
         "cpus": cpus,
         "repeat": repeat,
+        "protocol": "cold per run: raw parquet -> fixture tables -> stages -> query, forced by a noop write",
     }))
     spark.stop()
 
