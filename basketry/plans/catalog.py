@@ -45,19 +45,19 @@ def query(name: str):
 
 @query("basket_lines")
 def _basket_lines(spark, sf_dir):
-    """Fixture adapter: the order-line table (order, product, cart position, reorder flag)."""
+    """S-6: fixture adapter, the order-line table (order, product, cart position, reorder flag)."""
     return Basket(spark, sf_dir).tables.order_products
 
 
 @query("basket_orders")
 def _basket_orders(spark, sf_dir):
-    """Fixture adapter: orders with order number, weekday and days since the prior order."""
+    """S-6: fixture adapter, orders with order number, weekday and days since the prior order."""
     return Basket(spark, sf_dir).tables.orders
 
 
 @query("basket_products")
 def _basket_products(spark, sf_dir):
-    """Fixture adapter: products, aisles and departments joined into one dimension."""
+    """S-6: fixture adapter, products, aisles and departments joined into one dimension."""
     return Basket(spark, sf_dir).dim
 
 
