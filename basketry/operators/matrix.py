@@ -82,10 +82,10 @@ def user_matrix(rows: DataFrame, wide: DataFrame) -> DataFrame:
     return user_constants(rows).join(wide, "user_id", "inner")
 
 
-def product_index(long: DataFrame, item: str = "product_name") -> DataFrame:
+def product_index(long: DataFrame, item: str = "product_name", bounded: bool = False) -> DataFrame:
     """0-based column index of each product in ascending name order."""
     names = long.select(item).where(F.col(item).isNotNull()).distinct()
-    return row_numbers(names, [], [item], "__rn").select(
+    return row_numbers(names, [], [item], "__rn", bounded).select(
         item, (F.col("__rn") - 1).cast("int").alias("idx"))
 
 

@@ -110,7 +110,7 @@ def category_codes(df: DataFrame, column: str, out: str | None = None,
     """
     out = out or f"{column}_code"
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    codes = row_numbers(values, [], [column], "__code") \
+    codes = row_numbers(values, [], [column], "__code", bounded=bool(small)) \
         .select(column, (F.col("__code") - 1).cast("int").alias(out))
     return df.join(broadcast_if_within(codes, DIMENSION_ROWS, small), column, "left") \
         .select(*df.columns, out)

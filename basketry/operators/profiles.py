@@ -94,15 +94,16 @@ def item_counts(names: DataFrame, dim: DataFrame, level: str, n: int = EXTREME_N
         .orderBy(F.col("n_products").desc(), F.col(level).asc()).limit(n)
 
 
-def _numbered_universe(universe: DataFrame, item: str) -> DataFrame:
+def _numbered_universe(universe: DataFrame, item: str, bounded: bool = False) -> DataFrame:
     """``(item, g, n_items)``: 1-based number in ascending name order and the item count."""
     run = running_aggregates(universe.select(item).where(F.col(item).isNotNull()).distinct(),
-                             [], [item], sums={"g": F.lit(1)}, totals=True)
+                             [], [item], sums={"g": F.lit(1)}, totals=True, bounded=bounded)
     return run.select(item, F.col("g").cast("long").alias("g"),
                       F.col("g_total").cast("long").alias("n_items"))
 
 
-def ranked_items(means: DataFrame, universe: DataFrame, item: str, top: int, bottom: int) -> DataFrame:
+def ranked_items(means: DataFrame, universe: DataFrame, item: str, top: int, bottom: int,
+                 bounded: bool = False) -> DataFrame:
     """Top ``top`` and bottom ``bottom`` items per cluster, absent items counting as 0.
 
     Result: ``(cluster, end, rank, item, mean)`` with ``end`` in
@@ -110,7 +111,7 @@ def ranked_items(means: DataFrame, universe: DataFrame, item: str, top: int, bot
     cluster has fewer items than ``top + bottom`` the lists overlap (Q18).
     """
     k = max(top, bottom)
-    numbered = _numbered_universe(universe, item)
+    numbered = _numbered_universe(universe, item, bounded)
     present = means.join(numbered, item, "inner")
     w = Window.partitionBy("cluster").orderBy("g")
     gaps = present.select(
@@ -146,6 +147,7 @@ def ranked_items(means: DataFrame, universe: DataFrame, item: str, top: int, bot
     return tops.unionByName(bottoms)
 
 
-def top_items(means: DataFrame, universe: DataFrame, item: str, n: int = TOP_N) -> DataFrame:
+def top_items(means: DataFrame, universe: DataFrame, item: str, n: int = TOP_N,
+              bounded: bool = False) -> DataFrame:
     """Top ``n`` items per cluster, ``(cluster, rank, item, mean)`` (T4)."""
-    return ranked_items(means, universe, item, n, 0).drop("end")
+    return ranked_items(means, universe, item, n, 0, bounded).drop("end")

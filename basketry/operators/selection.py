@@ -35,24 +35,26 @@ def _count_order(key: str) -> list[Column]:
     return [F.col("observation_count").desc(), F.col(key).asc()]
 
 
-def cumulative_share(counts: DataFrame, key: str = "product_id") -> DataFrame:
+def cumulative_share(counts: DataFrame, key: str = "product_id", bounded: bool = False) -> DataFrame:
     """Running share of all lines in descending count order, in percent.
 
     ROWS semantics with the tie-break ``key`` ascending: tied counts get
-    distinct running totals (5, 10, 13 for counts 5, 5, 3).
+    distinct running totals (5, 10, 13 for counts 5, 5, 3). ``bounded``: the
+    product set is proven small (a catalogue bound), so one window suffices;
+    otherwise the range-partitioned running sum is used.
     """
     run = running_aggregates(counts, [], _count_order(key),
-                             sums={"__cum": F.col("observation_count")}, totals=True)
+                             sums={"__cum": F.col("observation_count")}, totals=True, bounded=bounded)
     return run.select(
         *counts.columns,
         (F.col("__cum") / F.col("__cum_total") * F.lit(100.0)).alias("cumulative_percentage"),
     )
 
 
-def observation_share(counts: DataFrame, key: str = "product_id") -> DataFrame:
+def observation_share(counts: DataFrame, key: str = "product_id", bounded: bool = False) -> DataFrame:
     """Each product's share of all lines, in percent."""
     run = running_aggregates(counts, [], _count_order(key),
-                             sums={"__cum": F.col("observation_count")}, totals=True)
+                             sums={"__cum": F.col("observation_count")}, totals=True, bounded=bounded)
     return run.select(
         *counts.columns,
         (F.col("observation_count") / F.col("__cum_total") * F.lit(100.0)).alias("observation_percentage"),
@@ -92,10 +94,10 @@ def lines_without_products(lines: DataFrame, excluded: DataFrame, key: str = "pr
 
 
 def pareto_lines(lines: DataFrame, percent: float = PARETO_PERCENT, top: int = TOP_EXCLUDED,
-                 key: str = "product_id") -> DataFrame:
+                 key: str = "product_id", bounded: bool = False) -> DataFrame:
     """Lines of the products in the running-share head, without the ``top`` most bought."""
     counts = product_counts(lines, key)
-    cutoff = pareto_cutoff(cumulative_share(counts, key), percent)
+    cutoff = pareto_cutoff(cumulative_share(counts, key, bounded), percent)
     kept = lines_in_products(lines, cutoff, key)
     return lines_without_products(kept, top_products(counts, top, key), key, bounded=True)
 

@@ -57,6 +57,7 @@ def running_aggregates(
     partitions: int | None = None,
     totals: bool = False,
     hot_rows: int = HOT_KEY_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
     """Add running aggregates along ``order`` inside each ``keys`` group.
 
@@ -67,11 +68,16 @@ def running_aggregates(
     grows along ``order`` this is ``lag(value)``.
     ``totals``: also add ``{out}_total``, the sum over the whole key group
     (for ``keys=[]`` the grand total), taken from the block table.
+    ``bounded``: the caller has proven that ``df`` has at most ``hot_rows``
+    rows (for example a set of catalogue products); a global order then
+    runs as one plain window.
     """
     sums = sums or {}
     prior_max = prior_max or {}
     keys = list(keys)
     if not keys:
+        if bounded:
+            return _windowed(df, keys, order, sums, prior_max, totals)
         return _ranged(df, keys, order, sums, prior_max, partitions, totals)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     hot = counts.where(F.col("__n") > F.lit(hot_rows)).select(*keys)
@@ -89,7 +95,7 @@ def _windowed(df, keys, order, sums, prior_max, totals) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order_cols)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
+    whole = Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cols = [F.col(f"`{c}`") for c in df.columns]
     cols += [F.sum(expr).over(upto).alias(name) for name, expr in sums.items()]
     cols += [F.max(expr).over(before).alias(name) for name, expr in prior_max.items()]
@@ -150,7 +156,7 @@ def _ranged(df, keys, order, sums, prior_max, partitions, totals) -> DataFrame:
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
-                out: str) -> DataFrame:
+                out: str, bounded: bool = False) -> DataFrame:
     """1-based ``row_number()`` within ``keys`` along a total ``order``."""
-    return running_aggregates(df, keys, order, sums={out: F.lit(1)}) \
+    return running_aggregates(df, keys, order, sums={out: F.lit(1)}, bounded=bounded) \
         .withColumn(out, F.col(out).cast("int"))

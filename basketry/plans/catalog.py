@@ -102,26 +102,30 @@ def _product_counts(spark, sf_dir):
 @query("cumulative_share")
 def _cumulative_share(spark, sf_dir):
     """Running share of lines in descending count order."""
-    return sel.cumulative_share(sel.product_counts(Basket(spark, sf_dir).data))
+    b = Basket(spark, sf_dir)
+    return sel.cumulative_share(sel.product_counts(b.data), bounded=b.small)
 
 
 @query("observation_share")
 def _observation_share(spark, sf_dir):
     """Each product's share of all lines."""
-    return sel.observation_share(sel.product_counts(Basket(spark, sf_dir).data))
+    b = Basket(spark, sf_dir)
+    return sel.observation_share(sel.product_counts(b.data), bounded=b.small)
 
 
 @query("pareto_cutoff")
 def _pareto_cutoff(spark, sf_dir):
     """products within the 80 % running share."""
-    return sel.pareto_cutoff(sel.cumulative_share(sel.product_counts(Basket(spark, sf_dir).data)))
+    b = Basket(spark, sf_dir)
+    return sel.pareto_cutoff(sel.cumulative_share(sel.product_counts(b.data), bounded=b.small))
 
 
 @query("pareto_target")
 def _pareto_target(spark, sf_dir):
     """number of products within the 80 % running share."""
-    counts = sel.product_counts(Basket(spark, sf_dir).data)
-    return sel.pareto_target(sel.pareto_cutoff(sel.cumulative_share(counts)))
+    b = Basket(spark, sf_dir)
+    counts = sel.product_counts(b.data)
+    return sel.pareto_target(sel.pareto_cutoff(sel.cumulative_share(counts, bounded=b.small)))
 
 
 @query("top6_products")
@@ -137,16 +141,16 @@ def _top6_products(spark, sf_dir):
 def _counts_with_names(spark, sf_dir):
     """Counts ⟕ products with the share of all lines."""
     b = Basket(spark, sf_dir)
-    shares = sel.observation_share(sel.product_counts(b.data))
+    shares = sel.observation_share(sel.product_counts(b.data), bounded=b.small)
     return merge.counts_with_names(shares, b.tables.products, b.small)
 
 
 @query("lines_in_head_products")
 def _lines_in_head(spark, sf_dir):
     """lines of the products within the 80 % running share."""
-    data = Basket(spark, sf_dir).data
-    cutoff = sel.pareto_cutoff(sel.cumulative_share(sel.product_counts(data)))
-    return sel.lines_in_products(data, cutoff)
+    b = Basket(spark, sf_dir)
+    cutoff = sel.pareto_cutoff(sel.cumulative_share(sel.product_counts(b.data), bounded=b.small))
+    return sel.lines_in_products(b.data, cutoff)
 
 
 @query("lines_without_top6")
@@ -597,7 +601,7 @@ def _ranked(spark, sf_dir, level: str, top: int, bottom: int):
     b = Basket(spark, sf_dir)
     values = _level_values(b, level)
     means = prof.segment_means(values, b.labels, level)
-    out = prof.ranked_items(means, values.select(level), level, top, bottom)
+    out = prof.ranked_items(means, values.select(level), level, top, bottom, bounded=b.small)
     return out.withColumnRenamed(level, "item")
 
 

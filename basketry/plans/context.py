@@ -77,7 +77,7 @@ class Basket:
     @cached_property
     def pareto(self) -> DataFrame:
         """Lines of the 80 % head products without the top 6 (script 2/3 selection), written once."""
-        return self._stage("pareto_lines", lambda: sel.pareto_lines(self.data))
+        return self._stage("pareto_lines", lambda: sel.pareto_lines(self.data, bounded=self.small))
 
     @cached_property
     def features(self) -> DataFrame:
@@ -104,7 +104,7 @@ class Basket:
     @cached_property
     def index(self) -> DataFrame:
         """0-based product index in ascending name order (the matrix columns)."""
-        return mx.product_index(self.features)
+        return mx.product_index(self.features, bounded=self.small)
 
     @cached_property
     def width(self) -> int:

@@ -10,9 +10,10 @@ from basketry.operators import selection as sel
 from basketry.operators.sequence import row_numbers, running_aggregates
 
 
-def test_tied_counts_get_rows_semantics(spark):
+@pytest.mark.parametrize("bounded", [False, True])
+def test_tied_counts_get_rows_semantics(spark, bounded):
     counts = spark.createDataFrame([(1, 5), (2, 5), (3, 3)], "product_id long, observation_count long")
-    got = {r.product_id: r.cumulative_percentage for r in sel.cumulative_share(counts).collect()}
+    got = {r.product_id: r.cumulative_percentage for r in sel.cumulative_share(counts, bounded=bounded).collect()}
     assert got == pytest.approx({1: 5 / 13 * 100, 2: 10 / 13 * 100, 3: 100.0})
 
 
@@ -38,10 +39,12 @@ def test_running_aggregates_match_window_with_a_hot_key(spark, hot_rows):
     assert a == b
 
 
-def test_global_row_numbers_are_a_permutation(spark):
+@pytest.mark.parametrize("bounded", [False, True])
+def test_global_row_numbers_are_a_permutation(spark, bounded):
     df = spark.range(500).select((F.col("id") * 7919 % 500).alias("x"))
-    got = sorted((r.x, r.rn) for r in row_numbers(df, [], ["x"], "rn").collect())
+    got = sorted((r.x, r.rn) for r in row_numbers(df, [], ["x"], "rn", bounded).collect())
     assert [rn for _, rn in got] == list(range(1, 501))
+    assert [x for x, _ in got] == list(range(500))
 
 
 def test_hash_sample_is_deterministic_and_near_fraction(spark):
