@@ -248,9 +248,15 @@ def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int):
 
 
 def kmeans_restarts(vectors: DataFrame, k: int, n_init: int = N_INIT, max_iter: int = 20,
-                    parallelism: int = 4):
-    """Best of ``n_init`` seeded fits (lowest within-cluster cost)."""
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+                    parallelism: int | None = None):
+    """Best of ``n_init`` seeded fits (lowest within-cluster cost).
+
+    The fits are independent Spark jobs submitted from driver threads
+    (``parallelism``, default: one per restart up to the cluster's cores).
+    """
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    workers = parallelism or max(1, min(n_init, cores))
+    with ThreadPoolExecutor(max_workers=workers) as pool:
         fits = list(pool.map(lambda s: _fit(vectors, k, s, max_iter), range(n_init)))
     return min(fits, key=lambda f: f[0])
 
