@@ -27,11 +27,15 @@ DOUBLE_DIGITS = 6
 
 
 def rounded(df: DataFrame, digits: int = DOUBLE_DIGITS) -> DataFrame:
-    """Round every double column: sums and means of doubles depend on addition order."""
+    """Round every double column: sums and means of doubles depend on addition order.
+
+    ``+ 0.0`` turns a negative zero into 0.0, so the sign of a rounded-away
+    tiny value never depends on the engine.
+    """
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`"), digits).alias(f.name))
+            cols.append((F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)

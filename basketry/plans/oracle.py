@@ -23,7 +23,8 @@ def render(name: str) -> str:
     body = BOOK.query(select)
     if not doubles:
         return body
-    repl = ", ".join(f"round({c}, 6) AS {c}" for c in doubles)
+    # "+ 0.0" turns a rounded -0.0 into 0.0, as Spark's decimal rounding does
+    repl = ", ".join(f"round({c}, 6) + CAST(0 AS DOUBLE) AS {c}" for c in doubles)
     return f"SELECT * REPLACE ({repl}) FROM (\n{body}\n)"
 
 
@@ -188,14 +189,14 @@ oracle("sample_user_rows", f"SELECT * FROM feature_t WHERE {_hash(16)} < {int(0.
 oracle("distinct_users", "SELECT DISTINCT user_id FROM pl_t")
 oracle("user_constants", "SELECT * FROM urows_t", USER_DOUBLES)
 oracle("sticky_matrix", """
-SELECT user_id, round(COALESCE(COLUMNS(* EXCLUDE (user_id)), 0), 6)
+SELECT user_id, round(COALESCE(COLUMNS(* EXCLUDE (user_id)), 0), 6) + CAST(0 AS DOUBLE)
 FROM (PIVOT (SELECT user_id, product_name, sticky FROM feature_t) ON product_name
       USING max(sticky) GROUP BY user_id)""")
 oracle("user_matrix", """
-SELECT u.user_id, round(u.avg_days_since_prior_order, 6) AS avg_days_since_prior_order,
-       round(u.u_reordered_ratio, 6) AS u_reordered_ratio, u.u_total_orders,
-       round(u.order_size_avg, 6) AS order_size_avg,
-       round(COALESCE(COLUMNS(w.* EXCLUDE (user_id)), 0), 6)
+SELECT u.user_id, round(u.avg_days_since_prior_order, 6) + CAST(0 AS DOUBLE) AS avg_days_since_prior_order,
+       round(u.u_reordered_ratio, 6) + CAST(0 AS DOUBLE) AS u_reordered_ratio, u.u_total_orders,
+       round(u.order_size_avg, 6) + CAST(0 AS DOUBLE) AS order_size_avg,
+       round(COALESCE(COLUMNS(w.* EXCLUDE (user_id)), 0), 6) + CAST(0 AS DOUBLE)
 FROM urows_t u JOIN (PIVOT (SELECT user_id, product_name, sticky FROM feature_t) ON product_name
       USING max(sticky) GROUP BY user_id) w ON u.user_id = w.user_id""")
 oracle("holdout_split", f"""

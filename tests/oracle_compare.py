@@ -34,7 +34,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "∅"
-        return repr(round(v, 6) + 0.0)
+        return repr(v)  # exact: both sides round to 6 decimals; -0.0 and 0.0 stay distinct
     if hasattr(v, "item"):
         return _norm(v.item())
     return str(v)
