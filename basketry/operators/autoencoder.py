@@ -111,11 +111,12 @@ class FitResult:
 
 
 def fit_autoencoder(vectors: DataFrame, d: int, shapes, r: float, epochs: int = EPOCHS,
-                    batch_rows: int = BATCH_ROWS, patience: int = PATIENCE, seed: int = 0) -> FitResult:
+                    patience: int = PATIENCE, seed: int = 0) -> FitResult:
     """Train on ``vectors`` = ``(user_id, indices, values, split, batch)``.
 
     ``split`` is 'train' / 'validation' (R7), ``batch`` the training mini-batch
-    bucket (R8). Returns the best-validation weights and the epoch history.
+    bucket (R8, about ``BATCH_ROWS`` users each). Returns the best-validation
+    weights and the epoch history.
     """
     layers = init_layers(shapes, seed)
     train = vectors.where(F.col("split") == "train").persist()

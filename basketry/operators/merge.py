@@ -7,7 +7,7 @@ side is never broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.basket import BasketTables
@@ -116,4 +116,4 @@ def category_codes(df: DataFrame, column: str, out: str | None = None,
         .select(*df.columns, out)
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in {"DataFrame", "F", "Window"}]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in {"DataFrame", "F"}]

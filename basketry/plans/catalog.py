@@ -545,7 +545,7 @@ def _segment_bases(spark, sf_dir):
 def _level_values(b: Basket, level: str):
     if level == "product_name":
         return b.matrix
-    return prof.roll_up(b.matrix, b.dim, level, small=b.small).withColumnRenamed(level, level)
+    return prof.roll_up(b.matrix, b.dim, level, small=b.small)
 
 
 @query("segment_product_means")
