@@ -156,3 +156,114 @@ def fit_autoencoder(vectors: DataFrame, d: int, shapes, r: float, epochs: int =
     train.unpersist()
     valid.unpersist()
     return FitResult(best_layers, history, best_epoch)
+
+
+# ----------------------------------------------------------- DEC with encoder --
+
+def dec_loss_and_grads(x: np.ndarray, p: np.ndarray, encoder, mu: np.ndarray, r: float,
+                       alpha: float = 1.0):
+    """Sums over the rows of ``x`` of the DEC objective and its gradients.
+
+    Objective per row: ``sum_j p_ij ln(p_ij / q_ij) + r |h1|_1 + r |z|_1`` with
+    ``z = encoder(x)`` and Student-t ``q``. Returns (loss, [(dW0, db0), (dW1, db1)], dmu).
+    """
+    (w0, b0), (w1, b1) = encoder
+    h1 = _sigmoid(x @ w0 + b0)
+    z = _sigmoid(h1 @ w1 + b1)
+    diff = z[:, None, :] - mu[None, :, :]                    # n × k × m
+    d2 = (diff ** 2).sum(axis=2)
+    base = 1.0 + d2 / alpha
+    kern = base ** (-(alpha + 1.0) / 2.0)
+    q = kern / kern.sum(axis=1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kl = np.where(p > 0, p * np.log(p / q), 0.0).sum(axis=1)
+    loss = kl + r * np.abs(h1).sum(axis=1) + r * np.abs(z).sum(axis=1)
+    coef = ((alpha + 1.0) / alpha) * (p - q) / base           # n × k
+    dz = (coef[:, :, None] * diff).sum(axis=1) + r * np.sign(z)
+    dmu = -(coef[:, :, None] * diff).sum(axis=0)
+    dz1 = dz * z * (1 - z)
+    dh1 = dz1 @ w1.T + r * np.sign(h1)
+    dz0 = dh1 * h1 * (1 - h1)
+    grads = [(x.T @ dz0, dz0.sum(0)), (h1.T @ dz1, dz1.sum(0))]
+    return float(loss.sum()), grads, dmu
+
+
+def dec_sums(rows: DataFrame, encoder, mu: np.ndarray, d: int, r: float) -> np.ndarray:
+    """``[n, loss_sum, encoder grads..., centroid grads...]`` over ``rows`` (needs ``p``)."""
+    bc = rows.sparkSession.sparkContext.broadcast((encoder, mu))
+    size = 2 + _flatten(encoder).size + mu.size
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc, centers = bc.value
+        acc = np.zeros(size)
+        for batch in batches:
+            for pdf in row_chunks(batch, d):
+                if len(pdf) == 0:
+                    continue
+                x = _dense_batch(pdf, d)
+                p = np.stack(pdf["p"].to_numpy())
+                loss, grads, dmu = dec_loss_and_grads(x, p, enc, centers, r)
+                acc[0] += len(pdf)
+                acc[1] += loss
+                acc[2:2 + size - 2 - centers.size] += _flatten(grads)
+                acc[size - centers.size:] += dmu.ravel()
+        yield pd.DataFrame({"s": [pickle.dumps(acc)]})
+
+    parts = rows.select("indices", "values", "p").mapInPandas(part, "s binary") \
+        .rdd.map(lambda row: pickle.loads(row.s))
+    total = parts.treeReduce(lambda a, b: a + b, depth=2)
+    bc.unpersist()
+    return total
+
+
+def encode_rows(vectors: DataFrame, encoder, d: int) -> DataFrame:
+    """``(user_id, latent)`` through the two encoder layers (NumPy per Arrow batch)."""
+    from .latent import encode
+    return encode(vectors, encoder, d)
+
+
+def dec_train(vectors: DataFrame, encoder, centroids: np.ndarray, d: int, r: float = 1e-7,
+              maxiter: int = 5000, update_interval: int = 25, tol: float = 4e-5,
+              check_interval: int = 100, lr: float = 1e-4, momentum: float = 0.1):
+    """DEC with the encoder trained too: SGD with momentum on encoder weights and centroids.
+
+    ``vectors``: ``(user_id, indices, values, batch)``. Every ``update_interval``
+    steps q is recomputed for all users, the target p and the labels are
+    refreshed and the state is checkpointed; every ``check_interval`` steps the
+    label churn is compared with ``tol``. Returns ``(encoder, centroids, labels, history)``.
+    """
+    from .segments import hard_labels, label_churn, soft_assignment, target_distribution
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(vectors.sparkSession)
+    k = centroids.shape[0]
+    n_batches = int(vectors.agg(F.max("batch")).first()[0] or 0) + 1
+    shapes = [w.shape for w, _ in encoder]
+    params = np.concatenate([_flatten(encoder), centroids.ravel()])
+    velocity = np.zeros_like(params)
+    n_enc = _flatten(encoder).size
+    state = labels = last = None
+    history = []
+    for ite in range(maxiter):
+        if ite % update_interval == 0:
+            z = encode_rows(vectors.select("user_id", "indices", "values"), encoder, d)
+            scored = hard_labels(target_distribution(soft_assignment(z, centroids), k))
+            state = vectors.join(scored.select("user_id", "p", "cluster"), "user_id") \
+                .checkpoint(eager=True)
+            last, labels = labels, state.select("user_id", "cluster")
+        if ite % check_interval == 0 and ite > 0 and last is not None:
+            delta = float(label_churn(last, labels).first()["delta_label"])
+            history.append((ite, delta))
+            if delta < tol:
+                break
+        sums = dec_sums(state.where(F.col("batch") == ite % n_batches), encoder, centroids, d, r)
+        n = sums[0]
+        if n == 0:
+            continue
+        grad = sums[2:] / n
+        velocity = momentum * velocity - lr * grad
+        params = params + velocity
+        encoder = _unflatten(params[:n_enc], shapes)
+        centroids = params[n_enc:].reshape(centroids.shape)
+    z = encode_rows(vectors.select("user_id", "indices", "values"), encoder, d)
+    final = hard_labels(soft_assignment(z, centroids)).select("user_id", "cluster")
+    return encoder, centroids, final, history

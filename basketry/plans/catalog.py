@@ -20,7 +20,7 @@ from ..operators import quality as qual
 from ..operators import selection as sel
 from ..operators import latent as lt
 from ..operators import segments as seg
-from ..operators.autoencoder import fit_autoencoder
+from ..operators.autoencoder import dec_train, fit_autoencoder
 from ..session import scratch_path
 from ..sources import files
 from ..sources.basket import read_table
@@ -862,3 +862,18 @@ def _latent_sweep(spark, sf_dir):
     rows_df.unpersist()
     return spark.createDataFrame(out, "ld int, r double, train_loss double, val_loss double, "
                                       "train_mse double, val_mse double")
+
+
+@query("dec_train_encoder")
+def _dec_train_encoder(spark, sf_dir):
+    """C8 with encoder training: DEC on the basket vectors, encoder (d -> 8 -> 4) and centroids
+    updated together from k-means initial centroids; 50 steps, labels per user."""
+    b = Basket(spark, sf_dir)
+    d = b.width
+    encoder = lt.fixture_layers(d)[:2]
+    users = b.vectors.select("user_id")
+    batched = b.vectors.join(mx.minibatch_ids(users, mx.batch_count(users.count())), "user_id")
+    z = lt.encode(b.vectors, encoder, d)
+    _, cents = seg.kmeans_segments(z, seg.N_CLUSTERS, n_init=seg.N_INIT)
+    _, _, labels, _ = dec_train(batched, encoder, cents, d, maxiter=50)
+    return labels

@@ -81,3 +81,28 @@ def test_dec_step_moves_against_gradient(spark):
     grad = seg.centroid_gradient(scored, cents)
     new, _ = seg.dec_step(scored, cents)
     assert np.allclose(new, cents - seg.LEARNING_RATE * grad)
+
+
+def test_dec_encoder_gradient_matches_finite_differences():
+    from basketry.operators.autoencoder import dec_loss_and_grads
+    rng = np.random.default_rng(4)
+    x = rng.random((6, 5))
+    enc = init_layers([(5, 4), (4, 3)], seed=3)
+    mu = rng.random((2, 3))
+    p = rng.random((6, 2))
+    p /= p.sum(axis=1, keepdims=True)
+    _, grads, dmu = dec_loss_and_grads(x, p, enc, mu, 1e-3)
+    eps = 1e-6
+    w = enc[0][0]
+    w[1, 2] += eps
+    up = dec_loss_and_grads(x, p, enc, mu, 1e-3)[0]
+    w[1, 2] -= 2 * eps
+    down = dec_loss_and_grads(x, p, enc, mu, 1e-3)[0]
+    w[1, 2] += eps
+    assert grads[0][0][1, 2] == pytest.approx((up - down) / (2 * eps), rel=1e-4)
+    mu[1, 0] += eps
+    up = dec_loss_and_grads(x, p, enc, mu, 1e-3)[0]
+    mu[1, 0] -= 2 * eps
+    down = dec_loss_and_grads(x, p, enc, mu, 1e-3)[0]
+    mu[1, 0] += eps
+    assert dmu[1, 0] == pytest.approx((up - down) / (2 * eps), rel=1e-4)
