@@ -117,8 +117,9 @@ class Basket:
 
     @cached_property
     def triples(self) -> DataFrame:
-        """Non-zero matrix cells ``(user_id, idx, value)``."""
-        return mx.sparse_triples(self.features, self.index, small=self.small)
+        """Non-zero matrix cells ``(user_id, idx, value)`` (the matrix stage), written once."""
+        return self._stage("triples", lambda: mx.sparse_triples(self.features, self.index,
+                                                                 small=self.small))
 
     @cached_property
     def vectors(self) -> DataFrame:
