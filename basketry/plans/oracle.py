@@ -242,7 +242,7 @@ oracle("product_check", _describe(
     "(SELECT product_id, avg(reordered) AS p_reorder_ratio FROM pl_t GROUP BY 1) b "
     "ON a.product_id = b.product_id)", ["product_id", "p_total_purchases", "p_reorder_ratio"]), _DESC)
 oracle("describe_strings", f"""
-SELECT "column", sum(n) AS count, count(*) AS unique,
+SELECT "column", CAST(sum(n) AS BIGINT) AS count, count(*) AS unique,
        arg_min(value, (-n, value)) AS top, max(n) AS freq
 FROM (SELECT "column", value, count(*) AS n
       FROM (UNPIVOT (SELECT {", ".join(_STRINGS)} FROM feature_t) ON COLUMNS(*) INTO NAME "column" VALUE value)
