@@ -47,6 +47,10 @@ def canonical(columns, rows):
     return cols, vals
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "date": "DATE"}
+
+
 def compare(spark, con, sf_dir, name, fn, sql):
     t0 = time.time()
     sdf = fn(spark, sf_dir)
@@ -56,8 +60,15 @@ def compare(spark, con, sf_dir, name, fn, sql):
     drows = rel.fetchall()
     scols, svals = canonical(sdf.columns, srows)
     dcols, dvals = canonical(rel.columns, drows)
-    ok = scols == dcols and svals == dvals
+    stypes = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+              for f in sdf.schema.fields}
+    dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    types_ok = all(stypes.get(c) == dtypes.get(c) for c in dtypes) or scols != dcols
+    ok = scols == dcols and svals == dvals and types_ok
     detail = ""
+    if not types_ok:
+        detail = "types " + str({c: (stypes.get(c), dtypes.get(c)) for c in dtypes
+                                 if stypes.get(c) != dtypes.get(c)})
     if scols != dcols:
         detail = f"cols spark={scols} duck={dcols}"
     elif len(svals) != len(dvals):
