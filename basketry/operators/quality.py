@@ -74,12 +74,13 @@ def exact_quantiles(long: DataFrame, probs: Iterable[float] = QUANTILES) -> Data
                       (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("q"))
 
 
-def profile_describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+def profile_describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """``describe()`` of numeric columns in long form.
 
     ``(column, count, mean, std, min, q25, q50, q75, max)``; ``std`` is the
-    sample standard deviation. At scale ``percentile_approx`` is the cheaper
-    alternative; the exact form here needs one range shuffle of the values.
+    sample standard deviation. The exact quartiles need one range shuffle of
+    the values; ``approx=True`` uses ``percentile_approx`` (a bounded sketch
+    per column, partial before the shuffle) instead.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
     long = _long(df, cols)
@@ -87,7 +88,11 @@ def profile_describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
         F.max("value").alias("max"))
-    q = exact_quantiles(long).groupBy("column").pivot("p", list(QUANTILES)).agg(F.first("q"))
+    if approx:
+        qs = long.groupBy("column").agg(F.percentile_approx("value", list(QUANTILES)).alias("qs"))
+        q = qs.select("column", *[F.col("qs")[i].alias(str(p)) for i, p in enumerate(QUANTILES)])
+    else:
+        q = exact_quantiles(long).groupBy("column").pivot("p", list(QUANTILES)).agg(F.first("q"))
     q = q.select("column", *[F.col(f"`{p}`").alias(f"q{int(p * 100)}") for p in QUANTILES])
     return stats.join(q, "column", "left").select(
         "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
@@ -108,10 +113,15 @@ def describe_strings(df: DataFrame, cols: Sequence[str] | None = None) -> DataFr
     ).select("column", "count", "unique", F.col("top_s.value").alias("top"), F.col("top_s.n").alias("freq"))
 
 
-def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """``nunique()``: distinct non-null values per column, long form."""
+def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+    """``nunique()``: distinct non-null values per column, long form.
+
+    ``approx=True`` uses HyperLogLog++ (``approx_count_distinct``), whose state
+    is bounded per column, instead of an exact distinct per column.
+    """
     cols = list(cols) if cols is not None else df.columns
-    counts = df.agg(*[F.count_distinct(F.col(f"`{c}`")).alias(c) for c in cols])
+    agg = F.approx_count_distinct if approx else F.count_distinct
+    counts = df.agg(*[agg(F.col(f"`{c}`")).alias(c) for c in cols])
     return counts.unpivot([], list(cols), "column", "n_unique")
 
 

@@ -106,3 +106,14 @@ def test_dec_encoder_gradient_matches_finite_differences():
     down = dec_loss_and_grads(x, p, enc, mu, 1e-3)[0]
     mu[1, 0] += eps
     assert dmu[1, 0] == pytest.approx((up - down) / (2 * eps), rel=1e-4)
+
+
+def test_silhouette_matches_mllib_squared_euclidean(spark):
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+    df, _, lab = points(spark, n=80, d=5, seed=9)
+    labels = df.select("user_id", F.col("label").alias("cluster"))
+    ours = seg.silhouette_from_triples(seg.dense_triples(df), labels).first().silhouette
+    vec = df.select(array_to_vector("latent").alias("features"), F.col("label").cast("double").alias("prediction"))
+    mllib = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(vec)
+    assert ours == pytest.approx(mllib, rel=1e-9)

@@ -47,3 +47,16 @@ def test_wide_pivot_fills_zero(spark):
     long = spark.createDataFrame([(1, "a", 0.5), (2, "b", 0.25)], "user_id long, product_name string, sticky double")
     wide = {r.user_id: r for r in mx.sticky_matrix(long).collect()}
     assert wide[1]["b"] == 0.0 and wide[2]["b"] == 0.25
+
+
+def test_approximate_profiles_agree_on_small_data(spark):
+    from basketry.operators import quality as qual
+    df = spark.createDataFrame([(i % 7, float(i)) for i in range(200)], "a long, b double")
+    exact = {r.column: r.n_unique for r in qual.distinct_counts(df).collect()}
+    approx = {r.column: r.n_unique for r in qual.distinct_counts(df, approx=True).collect()}
+    assert exact == {"a": 7, "b": 200} and approx["a"] == 7
+    ex = {r.column: (r.q25, r.q50, r.q75) for r in qual.profile_describe(df).collect()}
+    ap = {r.column: (r.q25, r.q50, r.q75) for r in qual.profile_describe(df, approx=True).collect()}
+    assert ex["b"] == pytest.approx((49.75, 99.5, 149.25))
+    for e, a in zip(ex["b"], ap["b"]):
+        assert abs(e - a) <= 1.0
