@@ -46,3 +46,39 @@ def write_weights(table: DataFrame, path: str) -> None:
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("layer", "kind", "row", "col", "value")
+
+
+# File names of the reference's five input tables.
+BASKET_CSV_FILES = {
+    "aisles": "aisles.csv",
+    "departments": "departments.csv",
+    "order_products": "order_products__prior.csv",
+    "orders": "orders.csv",
+    "products": "products.csv",
+}
+
+
+def read_named_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A CSV file with a header, columns taken *by name* and cast to ``schema``.
+
+    All fields are read as strings (no inference pass) and cast once, so the
+    column order of the file and any extra columns do not matter.
+    """
+    from pyspark.sql import functions as F
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def read_basket_csv(spark: SparkSession, folder: str):
+    """The five grocery tables from a folder of the reference's CSV files."""
+    from .basket import BasketTables
+    folder = folder.rstrip("/")
+    t = {name: read_named_csv(spark, f"{folder}/{fname}", TABLE_SCHEMAS[name])
+         for name, fname in BASKET_CSV_FILES.items()}
+    return BasketTables(t["orders"], t["order_products"], t["products"], t["aisles"], t["departments"])
+
+
+def write_basket_csv(tables, folder: str) -> None:
+    """Write five basket tables as the reference's CSV files (one folder per file name)."""
+    for name, fname in BASKET_CSV_FILES.items():
+        write_csv(getattr(tables, name), f"{folder.rstrip('/')}/{fname}")
