@@ -60,3 +60,32 @@ def test_approximate_profiles_agree_on_small_data(spark):
     assert ex["b"] == pytest.approx((49.75, 99.5, 149.25))
     for e, a in zip(ex["b"], ap["b"]):
         assert abs(e - a) <= 1.0
+
+
+def test_ranked_items_match_brute_force_on_random_inputs(spark):
+    from hypothesis import given, settings, strategies as st
+
+    @settings(max_examples=8, deadline=None)
+    @given(n_items=st.integers(1, 25), top=st.integers(1, 6), bottom=st.integers(0, 6),
+           cells=st.lists(st.tuples(st.integers(0, 2), st.integers(0, 24),
+                                    st.floats(0.01, 1.0, allow_nan=False)), min_size=1, max_size=30))
+    def check(n_items, top, bottom, cells):
+        items = [f"i{j:02d}" for j in range(n_items)]
+        means = {}
+        for c, j, v in cells:
+            means[(c, items[j % n_items])] = round(v, 4)
+        mdf = spark.createDataFrame([(c, it, v) for (c, it), v in means.items()],
+                                    "cluster int, item string, mean double")
+        udf = spark.createDataFrame([(it,) for it in items], "item string")
+        got = {(r.cluster, r.end, r.rank): (r.item, r.mean)
+               for r in prof.ranked_items(mdf, udf, "item", top, bottom).collect()}
+        want = {}
+        for c in sorted({c for c, _ in means}):
+            full = sorted(((means.get((c, it), 0.0), it) for it in items), key=lambda t: (-t[0], t[1]))
+            for k, (m, it) in enumerate(full[:top], 1):
+                want[(c, "top", k)] = (it, m)
+            for k, (m, it) in enumerate(reversed(full[-bottom:] if bottom else []), 1):
+                want[(c, "bottom", k)] = (it, m)
+        assert got == want
+
+    check()
