@@ -38,3 +38,31 @@ def test_latent_scan_prunes_model_partitions(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(model" in plan and "(model#" in plan
     assert [r.user_id for r in df.collect()] == [1]
+
+
+def test_stage_registry_reuses_and_rebuilds(spark):
+    import os
+    import time
+    from basketry.sources import storage
+
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(5)
+
+    a = storage.reuse_or_write(spark, "t", ("k", 1), build)
+    b = storage.reuse_or_write(spark, "t", ("k", 1), build)
+    assert len(calls) == 1 and a.count() == b.count() == 5
+    storage.reuse_or_write(spark, "t", ("k", 2), build)
+    assert len(calls) == 2
+
+    path = tempfile.mkdtemp(prefix="fp-") + "/f.txt"
+    with open(path, "w") as fh:
+        fh.write("a")
+    before = storage.source_fingerprint([path])
+    time.sleep(0.01)
+    with open(path, "w") as fh:
+        fh.write("ab")
+    os.utime(path, None)
+    assert storage.source_fingerprint([path]) != before
