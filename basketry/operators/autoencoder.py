@@ -229,11 +229,12 @@ def dec_train(vectors: DataFrame, encoder, centroids: np.ndarray, d: int, r: flo
 
     ``vectors``: ``(user_id, indices, values, batch)``. Every ``update_interval``
     steps q is recomputed for all users, the target p and the labels are
-    refreshed and the state is checkpointed; every ``check_interval`` steps the
+    refreshed and the state is written partitioned by mini-batch; every ``check_interval`` steps the
     label churn is compared with ``tol``. Returns ``(encoder, centroids, labels, history)``.
     """
     from .segments import hard_labels, label_churn, soft_assignment, target_distribution
     from ..session import ensure_checkpoint_dir
+    from ..sources.storage import write_partitioned
     ensure_checkpoint_dir(vectors.sparkSession)
     k = centroids.shape[0]
     n_batches = int(vectors.agg(F.max("batch")).first()[0] or 0) + 1
@@ -247,8 +248,9 @@ def dec_train(vectors: DataFrame, encoder, centroids: np.ndarray, d: int, r: flo
         if ite % update_interval == 0:
             z = encode_rows(vectors.select("user_id", "indices", "values"), encoder, d)
             scored = hard_labels(target_distribution(soft_assignment(z, centroids), k))
-            state = vectors.join(scored.select("user_id", "p", "cluster"), "user_id") \
-                .checkpoint(eager=True)
+            state = write_partitioned(
+                vectors.join(scored.select("user_id", "p", "cluster"), "user_id"), "dec_state",
+                "batch", n_batches)
             last, labels = labels, state.select("user_id", "cluster")
         if ite % check_interval == 0 and ite > 0 and last is not None:
             delta = float(label_churn(last, labels).first()["delta_label"])

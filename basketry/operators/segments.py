@@ -9,8 +9,9 @@ estimators do.
   per-user ``array<double>``; the centroids enter as literals.
 * One DEC step sums the centroid gradient over the rows of one mini-batch
   with a single aggregation; the loop checkpoints its state (p, labels) at
-  every target refresh with ``DataFrame.checkpoint`` into the shared
-  ``spark.checkpoint.dir``, so a lost executor never replays the loop.
+  every target refresh as a table below the shared ``spark.checkpoint.dir``,
+  partitioned by mini-batch so that each step reads one batch only, and a
+  lost executor never replays the loop.
 * k-means uses MLlib; restarts (sklearn ``n_init``) are independent fits
   run concurrently from driver threads, as MLlib's own tuning does with
   ``parallelism``.
@@ -36,6 +37,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import squared_distance
 from ..session import ensure_checkpoint_dir
+from ..sources.storage import write_partitioned
 from .joins import broadcast_if_within
 
 ALPHA = 1.0                   # fixed value: Student-t degrees of freedom
@@ -208,7 +210,10 @@ def dec_refine(points: DataFrame, centroids: np.ndarray, batch_col: str = "batch
     for ite in range(maxiter):
         if ite % update_interval == 0:
             scored = hard_labels(target_distribution(soft_assignment(points, centroids), k))
-            new_state = scored.select("user_id", "latent", batch_col, "p", "cluster").checkpoint(eager=True)
+            # written per refresh, partitioned by mini-batch: each step reads one batch
+            new_state = write_partitioned(
+                scored.select("user_id", "latent", batch_col, "p", "cluster"), "dec_state",
+                batch_col, n_batches)
             last, labels, state = labels, new_state.select("user_id", "cluster"), new_state
         if ite % check_interval == 0 and ite > 0 and last is not None:
             delta = label_churn(last, labels).first()["delta_label"]

@@ -47,6 +47,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return _read(df.sparkSession, _write(df, label))
 
 
+MAX_PARTITION_VALUES = 10_000
+
+
+def write_partitioned(df: DataFrame, label: str, column: str, n_values: int) -> DataFrame:
+    """Write ``df`` partitioned by ``column`` so that a filter on one value reads
+    only that value's files (partition pruning). With more than
+    ``MAX_PARTITION_VALUES`` values the table is written unpartitioned instead,
+    to keep the number of folders bounded."""
+    path = scratch_path(df.sparkSession, label)
+    if n_values <= MAX_PARTITION_VALUES:
+        df.write.mode("overwrite").partitionBy(column).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def reuse_or_write(spark: SparkSession, label: str, key: Hashable,
                    build: Callable[[], DataFrame]) -> DataFrame:
     """The written table registered under ``(label, key)``, building and writing it if absent."""
