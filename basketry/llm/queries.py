@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .substring import substring_dedup
+from .suffix_array import suffix_dedup
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +23,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of repeated 100-byte strings removed; the remaining bytes are told by their hash."""
+    return suffix_dedup(_table(spark, sf_dir, "documents"), min_bytes=100).select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op7_substring_dedup,
+    op10_suffix_dedup,
 )}

@@ -9,14 +9,14 @@ SQL["op7_substring_dedup"] = f"""
 WITH words AS (
     SELECT doc_id, {_SPACE} AS w FROM documents),
 runs AS (
-    SELECT doc_id, unnest(range(1, len(w) - 18)) AS at, w FROM words WHERE len(w) >= 20),
+    SELECT doc_id, unnest(range(1, len(w) - 18)) AS p0, w FROM words WHERE len(w) >= 20),
 hashed AS (
-    SELECT doc_id, at, array_to_string(w[at:at + 19], ' ') AS run FROM runs),
+    SELECT doc_id, p0, array_to_string(w[p0:p0 + 19], ' ') AS run FROM runs),
 ranked AS (
-    SELECT doc_id, at, row_number() OVER (PARTITION BY run ORDER BY doc_id, at) AS nth FROM hashed),
+    SELECT doc_id, p0, row_number() OVER (PARTITION BY run ORDER BY doc_id, p0) AS nth FROM hashed),
 gone AS (
-    SELECT DISTINCT doc_id, at + k AS p
-    FROM (SELECT doc_id, at, unnest(range(0, 20)) AS k FROM ranked WHERE nth > 1)),
+    SELECT DISTINCT doc_id, p0 + k AS p
+    FROM (SELECT doc_id, p0, unnest(range(0, 20)) AS k FROM ranked WHERE nth > 1)),
 one AS (
     SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM words),
 kept AS (
@@ -28,3 +28,30 @@ FROM words w
 LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) g ON g.doc_id = w.doc_id
 LEFT JOIN kept k ON k.doc_id = w.doc_id
 """
+
+SQL["op10_suffix_dedup"] = """
+WITH texts AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (
+    SELECT doc_id, unnest(range(0, length(h) // 2 - 99)) AS p0, h FROM texts WHERE length(h) >= 200),
+ranked AS (
+    SELECT doc_id, p0, row_number() OVER (PARTITION BY substr(h, 2 * p0 + 1, 200) ORDER BY doc_id, p0) AS nth
+    FROM strings),
+starts AS (
+    SELECT doc_id, p0, lag(p0) OVER (PARTITION BY doc_id ORDER BY p0) AS before FROM ranked WHERE nth > 1),
+spans AS (
+    SELECT doc_id, min(p0) AS lo, max(p0) + 100 AS hi
+    FROM (SELECT doc_id, p0, sum(CASE WHEN before IS NULL OR p0 > before + 100 THEN 1 ELSE 0 END)
+                             OVER (PARTITION BY doc_id ORDER BY p0) AS span FROM starts)
+    GROUP BY doc_id, span),
+kept AS (
+    SELECT t.doc_id, substr(any_value(t.h), 1, 2 * min(s.lo)) || string_agg(
+               substr(t.h, 2 * s.hi + 1, 2 * (coalesce(s.next_lo, length(t.h)) - s.hi)), '' ORDER BY s.lo) AS h,
+           sum(s.hi - s.lo) AS n, count(*) AS spans
+    FROM texts t JOIN (SELECT *, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS next_lo FROM spans) s
+         ON s.doc_id = t.doc_id
+    GROUP BY t.doc_id)
+SELECT t.doc_id, (length(t.h) // 2)::BIGINT AS n_bytes, coalesce(k.n, 0)::BIGINT AS n_removed,
+       coalesce(k.spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k.h, t.h))) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""
