@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard_join import jaccard_components
 from .substring import substring_dedup
 from .suffix_array import suffix_dedup
 
@@ -17,6 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets are 90 % similar or more."""
+    return jaccard_components(_table(spark, sf_dir, "documents"), shingle=3, percent=90)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of repeated 20-word runs removed; the kept words are told by their hash."""
     return substring_dedup(_table(spark, sf_dir, "documents"), min_words=20).select(
@@ -31,6 +37,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
+    op3_jaccard_join,
     op7_substring_dedup,
     op10_suffix_dedup,
 )}
