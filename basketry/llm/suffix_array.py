@@ -21,8 +21,9 @@ run per symbol in Python. The permuted longest-common-prefix array follows
 from the irreducible positions; neighbours with ``min_bytes`` in common form a
 class, and all but its earliest window are repeats.
 
-*Hot anchors.* An anchor that occurs over ``HOT`` times (a phrase of very many
-documents) would put all its pieces into one shard. Its windows go out
+*Hot anchors.* An anchor that governs over ``HOT`` windows (a phrase of very
+many documents, or of a long text that repeats itself) would put all its
+pieces into one shard. Its windows go out
 one by one, under a 128-bit fingerprint of the whole window, dealt by that
 fingerprint; a slot sends equal windows once.
 
@@ -42,15 +43,16 @@ from .substring import _sliding_min
 from .text import BYTE_VALUE, CHECK_BASE, U64, as_bytes, rolling
 
 SEED_BYTES = 32
-HOT = 2048
+HOT = 65_536
 #: bytes of pieces that one suffix array takes; an anchor's pieces stay together
 SHARD_BYTES = 4 << 20
 
-ANCHOR = np.dtype([("h", "<u8"), ("n", "<i4")])
+ANCHOR = np.dtype([("h", "<u8"), ("n", "<i4"), ("windows", "<i4")])
 KNOWN = np.dtype([("h", "<u8"), ("hot", "i1")])
-PIECE = np.dtype([("h", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("len", "<i4")])
-WINDOW = np.dtype([("run", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("at", "<i4")])
-RANGE = np.dtype([("doc", "<i8"), ("lo", "<i4"), ("hi", "<i4")])
+# row: rank among the rows of one id, by text
+PIECE = np.dtype([("h", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("at", "<i4"), ("len", "<i4")])
+WINDOW = np.dtype([("run", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("at", "<i4")])
+RANGE = np.dtype([("doc", "<i8"), ("row", "<i4"), ("lo", "<i4"), ("hi", "<i4")])
 SENT = "bucket int, slot int, kind int, data binary, extra binary"
 BACK = "slot int, kind int, data binary"
 RESULT = "doc_id long, text binary, n_bytes long, n_removed long, spans array<struct<start:int,end:int>>"
@@ -229,7 +231,8 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.maximum(plcp[src] - (pos - src), 0), phi
 
 
-def repeated_windows(pieces: list[bytes], doc: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+def repeated_windows(pieces: list[bytes], doc: np.ndarray, row: np.ndarray, at: np.ndarray,
+                     size: int) -> np.ndarray:
     """RANGEs of the bytes in windows of ``size`` that also start earlier among the pieces."""
     lens = np.fromiter((len(p) for p in pieces), dtype=np.int64, count=len(pieces))
     first = np.zeros(len(pieces) + 1, dtype=np.int64)
@@ -249,48 +252,51 @@ def repeated_windows(pieces: list[bytes], doc: np.ndarray, at: np.ndarray, size:
     member = join.copy()
     member[:-1] |= join[1:]
     p, k = sa[member], klass[member]
-    d, a = doc[piece[p]], at[piece[p]] + (p - first[piece[p]])
+    d, a, r = doc[piece[p]], at[piece[p]] + (p - first[piece[p]]), row[piece[p]]
     order = np.lexsort((a, d, k))
-    p, k, d, a = p[order], k[order], d[order], a[order]
+    p, k, d, a, r = p[order], k[order], d[order], a[order], r[order]
     new = np.ones(len(p), dtype=bool)
     new[1:] = k[1:] != k[:-1]
     lead = np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
     late = (d > d[lead]) | (a > a[lead])
-    return joined_ranges(d[late], a[late], size)
+    return merged(ranges_of(d[late], r[late], a[late], a[late] + size))
 
 
-def joined_ranges(doc: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Windows [at, at + size) joined to maximal ranges per document."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    new = np.ones(len(doc), dtype=bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + size)
-    lo = np.flatnonzero(new)
-    hi = np.append(lo[1:], len(doc)) - 1
-    out = np.empty(len(lo), dtype=RANGE)
-    if len(lo):
-        out["doc"], out["lo"], out["hi"] = doc[lo], at[lo], at[hi] + size
+def ranges_of(doc, row, lo, hi) -> np.ndarray:
+    out = np.empty(len(doc), dtype=RANGE)
+    out["doc"], out["row"], out["lo"], out["hi"] = doc, row, lo, hi
     return out
 
 
+def by_id_and_text(ids: np.ndarray, texts: list[bytes]) -> tuple[list[int], np.ndarray]:
+    """(indices ordered by id, then text; rank of each of these among the rows of its id)."""
+    order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
+    own = ids[order]
+    new = np.ones(len(own), dtype=bool)
+    new[1:] = own[1:] != own[:-1]
+    at = np.arange(len(own))
+    return order, at - np.maximum.accumulate(np.where(new, at, 0))
+
+
 # ------------------------------------------------------------------- slots --
 
 class _Slot:
     """The documents of a slot as one byte array, with the governing anchor of every window."""
 
-    def __init__(self, texts: list[bytes], ids: np.ndarray, size: int, seed: int):
+    def __init__(self, texts: list[bytes], ids: np.ndarray, size: int, seed: int, rows: np.ndarray | None = None):
         lens = np.fromiter((len(x) for x in texts), dtype=np.int64, count=len(texts))
         self.first = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum(lens, out=self.first[1:])
         self.raw = b"".join(texts)
         n = len(self.raw)
         value = BYTE_VALUE[np.frombuffer(self.raw, dtype=np.uint8)]
-        self.value, self.ids, self.size = value, ids, size
+        self.value, self.ids, self.size, self.rows = value, ids, size, rows
         width = size - seed + 1
         if n < size:
             self.at = np.zeros(0, dtype=np.int64)
             self.anchor = np.zeros(0, dtype=U64)
             self.own, self.count = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)
+            self.governed = self.count
             return
         gram = rolling(value, seed)
         low = _sliding_min(gram, width)
@@ -302,6 +308,7 @@ class _Slot:
         pad = np.zeros(width - 1, dtype=U64)
         chosen = ~_sliding_min(~np.concatenate((pad, top, pad)), width) == gram
         self.own, self.count = np.unique(gram[chosen], return_counts=True)
+        self.governed = np.bincount(np.searchsorted(self.own, self.anchor), minlength=len(self.own))
 
     def text_no(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, at, side="right") - 1
@@ -329,7 +336,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for slot, idx in slots_in(batch):
                     s = _Slot([texts[i] for i in idx], ids[idx], size, seed)
                     out = np.empty(len(s.own), dtype=ANCHOR)
-                    out["h"], out["n"] = s.own, s.count
+                    out["h"], out["n"], out["windows"] = s.own, s.count, s.governed
                     for b, k in cut_by_bucket(s.own, buckets):
                         yield b, slot, 0, out[k].tobytes(), b""
             yield sent(rows())
@@ -341,10 +348,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         new = np.ones(len(data), dtype=bool)
         new[1:] = data["h"][1:] != data["h"][:-1]
         group = np.cumsum(new) - 1
-        total = np.bincount(group, weights=data["n"]) if len(data) else np.zeros(0)
-        keep = total[group] > 1 if len(data) else np.zeros(0, dtype=bool)
+        total, windows = (np.bincount(group, weights=data[c]) for c in ("n", "windows"))
+        keep = total[group] > 1
         out = np.empty(int(keep.sum()), dtype=KNOWN)
-        out["h"], out["hot"] = data["h"][keep], total[group[keep]] > hot
+        out["h"], out["hot"] = data["h"][keep], windows[group[keep]] > hot
         yield back_to_slots(slot[keep], out, 0)
 
     def send(left, right):
@@ -353,9 +360,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return pa.Table.from_batches([sent(())])
         slot = left.column("slot")[0].as_py()
         ids = ids_of(left.column("doc_id").combine_chunks())
-        order = np.argsort(ids, kind="stable")
         texts = as_bytes(left.column("text"))
-        s = _Slot([texts[i] for i in order], ids[order], size, seed)
+        order, rank = by_id_and_text(ids, texts)
+        s = _Slot([texts[i] for i in order], ids[order], size, seed, rank)
         known = _back(right, 0, KNOWN)
         known = known[np.argsort(known["h"], kind="stable")]
         if len(known):
@@ -415,7 +422,7 @@ def _back(table, kind: int, dtype) -> np.ndarray:
 
 def _rows_of(s: _Slot, piece_ok: np.ndarray, hot_ok: np.ndarray, slot: int, buckets: int):
     """What a slot sends: pieces (kind 1), windows of hot anchors (kind 2), repeats it found itself (kind 0)."""
-    late_doc, late_at, late_len = [], [], []
+    late = [np.zeros(0, dtype=RANGE)]
     at, anchor = s.at[piece_ok], s.anchor[piece_ok]
     if len(at):
         text = s.text_no(at)
@@ -426,53 +433,43 @@ def _rows_of(s: _Slot, piece_ok: np.ndarray, hot_ok: np.ndarray, slot: int, buck
         lo, h, no = at[lo], anchor[lo], text[lo]
         content = [s.raw[a:b] for a, b in zip(lo, hi)]
         seen: dict[bytes, int] = {}
-        first = np.ones(len(lo), dtype=bool)
-        doc, pos = s.ids[no], lo - s.first[no]
-        for i, c in enumerate(content):
-            j = seen.setdefault(c, i)
-            if j != i:
-                first[i] = False
-                if doc[i] > doc[j] or pos[i] > pos[j]:
-                    late_doc.append(doc[i])
-                    late_at.append(pos[i])
-                    late_len.append(len(c))
-        keep = np.flatnonzero(first)
+        lead = np.array([seen.setdefault(c, i) for i, c in enumerate(content)])
+        doc, row, pos = s.ids[no], s.rows[no], lo - s.first[no]
+        again = (doc > doc[lead]) | (pos > pos[lead])
+        late.append(ranges_of(doc[again], row[again], pos[again], pos[again] + (hi - lo)[again]))
+        keep = np.flatnonzero(lead == np.arange(len(lead)))
         out = np.empty(len(keep), dtype=PIECE)
-        out["h"], out["doc"], out["at"], out["len"] = h[keep], doc[keep], pos[keep], (hi - lo)[keep]
+        out["h"], out["doc"], out["row"], out["at"], out["len"] = h[keep], doc[keep], row[keep], pos[keep], (hi - lo)[keep]
         for b, k in cut_by_bucket(out["h"], buckets):
             yield b, slot, 1, out[k].tobytes(), b"".join(content[keep[i]] for i in k)
     at = s.at[hot_ok]
     if len(at):
         run, check = rolling(s.value, s.size)[at], rolling(s.value, s.size, CHECK_BASE)[at]
         no = s.text_no(at)
-        doc, pos = s.ids[no], at - s.first[no]
+        doc, row, pos = s.ids[no], s.rows[no], at - s.first[no]
         order = np.lexsort((pos, doc, check, run))
         new = np.ones(len(order), dtype=bool)
         new[1:] = (run[order][1:] != run[order][:-1]) | (check[order][1:] != check[order][:-1])
         lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        late = order[(doc[order] > doc[lead]) | (pos[order] > pos[lead])]
-        late_doc += doc[late].tolist()
-        late_at += pos[late].tolist()
-        late_len += [s.size] * len(late)
+        again = order[(doc[order] > doc[lead]) | (pos[order] > pos[lead])]
+        late.append(merged(ranges_of(doc[again], row[again], pos[again], pos[again] + s.size)))
         k = order[new]
         out = np.empty(len(k), dtype=WINDOW)
-        out["run"], out["check"], out["doc"], out["at"] = run[k], check[k], doc[k], pos[k]
+        out["run"], out["check"], out["doc"], out["row"], out["at"] = run[k], check[k], doc[k], row[k], pos[k]
         for b, i in cut_by_bucket(out["run"], buckets):
             yield b, slot, 2, out[i].tobytes(), b""
-    if late_doc:
-        out = np.empty(len(late_doc), dtype=RANGE)
-        out["doc"], out["lo"] = late_doc, late_at
-        out["hi"] = out["lo"] + np.array(late_len, dtype=np.int32)
-        yield slot % buckets, slot, 0, merged(out).tobytes(), b""
+    out = merged(np.concatenate(late))
+    if len(out):
+        yield slot % buckets, slot, 0, out.tobytes(), b""
 
 
 def merged(r: np.ndarray) -> np.ndarray:
-    """Ranges of one document that overlap or touch become one."""
-    r = r[np.lexsort((r["lo"], r["doc"]))]
+    """Ranges of one row that overlap or touch become one."""
+    r = r[np.lexsort((r["lo"], r["row"], r["doc"]))]
     if not len(r):
         return r
     hi = r["hi"].astype(np.int64)
-    group = np.cumsum(np.append(True, r["doc"][1:] != r["doc"][:-1])) - 1
+    group = np.cumsum(np.append(True, (r["doc"][1:] != r["doc"][:-1]) | (r["row"][1:] != r["row"][:-1]))) - 1
     span = np.int64(1) << np.int64(33)
     reach = np.maximum.accumulate(hi + group * span) - group * span
     new = np.ones(len(r), dtype=bool)
@@ -490,10 +487,8 @@ def _late_windows(w: np.ndarray, slots: np.ndarray, size: int):
     new[1:] = (w["run"][1:] != w["run"][:-1]) | (w["check"][1:] != w["check"][:-1])
     lead = np.maximum.accumulate(np.where(new, np.arange(len(w)), 0))
     late = (w["doc"] > w["doc"][lead]) | (w["at"] > w["at"][lead])
-    out = np.empty(int(late.sum()), dtype=RANGE)
-    out["doc"], out["lo"] = w["doc"][late], w["at"][late]
-    out["hi"] = out["lo"] + size
-    return back_to_slots(slots[late], out, 0)
+    w = w[late]
+    return back_to_slots(slots[late], ranges_of(w["doc"], w["row"], w["at"], w["at"] + size), 0)
 
 
 def _shards(pieces, texts, size: int):
@@ -525,10 +520,10 @@ def _shards(pieces, texts, size: int):
             elif info["doc"][i] > info["doc"][j] or info["at"][i] > info["at"][j]:
                 late.append(i)
         late, keep = np.array(late, dtype=np.int64), np.array(keep, dtype=np.int64)
-        whole = np.empty(len(late), dtype=RANGE)
-        whole["doc"], whole["lo"] = info["doc"][late], info["at"][late]
-        whole["hi"] = whole["lo"] + info["len"][late]
-        found = repeated_windows([content[i] for i in keep], info["doc"][keep], info["at"][keep].astype(np.int64), size)
+        whole = info[late]
+        whole = ranges_of(whole["doc"], whole["row"], whole["at"], whole["at"] + whole["len"])
+        found = repeated_windows([content[i] for i in keep], info["doc"][keep], info["row"][keep],
+                                 info["at"][keep].astype(np.int64), size)
         slot_of = dict(zip(info["doc"][keep].tolist(), slot[keep].tolist()))
         to = np.array([slot_of[d] for d in found["doc"].tolist()], dtype=np.int32)
         out = np.concatenate((whole, found))
@@ -539,21 +534,25 @@ def _result(left, ranges: np.ndarray):
     import pyarrow as pa
     ids = ids_of(left.column("doc_id").combine_chunks())
     texts = as_bytes(left.column("text"))
+    order, rank = by_id_and_text(ids, texts)
     ranges = merged(ranges)
-    lo, hi = np.searchsorted(ranges["doc"], ids), np.searchsorted(ranges["doc"], ids, side="right")
-    kept, removed, spans = [], [], []
-    for text, a, b in zip(texts, lo, hi):
-        own = ranges[a:b]
+    own: dict[tuple[int, int], list] = {}
+    for r in ranges:
+        own.setdefault((int(r["doc"]), int(r["row"])), []).append((int(r["lo"]), int(r["hi"])))
+    spans: list = [[]] * len(texts)
+    for i, k in zip(order, rank.tolist()):
+        spans[i] = own.get((int(ids[i]), k), [])
+    kept, removed = [], []
+    for text, cut in zip(texts, spans):
         at, out = 0, []
-        for r in own:
-            out.append(text[at:r["lo"]])
-            at = int(r["hi"])
+        for lo, hi in cut:
+            out.append(text[at:lo])
+            at = hi
         out.append(text[at:])
         kept.append(b"".join(out))
-        removed.append(int((own["hi"] - own["lo"]).sum()))
-        spans.append([{"start": int(r["lo"]), "end": int(r["hi"])} for r in own])
+        removed.append(sum(hi - lo for lo, hi in cut))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     return pa.table({
         "doc_id": left.column("doc_id"), "text": pa.array(kept, pa.binary()),
-        "n_bytes": pa.array([len(x) for x in texts], pa.int64()),
-        "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, span)})
+        "n_bytes": pa.array([len(x) for x in texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()),
+        "spans": pa.array([[{"start": a, "end": b} for a, b in cut] for cut in spans], span)})
