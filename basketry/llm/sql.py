@@ -178,10 +178,10 @@ FROM judged j JOIN bound b ON b.host = j.host LEFT JOIN ruled r ON r.page_id = j
 
 SQL["op9_embedding_dedup"] = """
 WITH RECURSIVE usable AS (
-    SELECT vec_id, label, list_transform(embedding, x -> x::DOUBLE) AS v FROM embeddings
+    SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
     WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-      AND len(list_filter(embedding, x -> x <> 0)) > 0),
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
     SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b
     ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
