@@ -10,7 +10,7 @@ step.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .exchange import stored
@@ -31,6 +31,14 @@ def _small_star(e: DataFrame) -> DataFrame:
                     F.col("m").alias("v")).where("u != v").distinct())
 
 
+def _written(rows: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    """The rows, written, and what tells them from other rows (count and sum of hashes, taken while writing)."""
+    told = Observation(name)
+    out = stored(rows.observe(told, F.count(F.lit(1)).alias("n"),
+                              F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")), name)
+    return out, (told.get["n"], told.get["s"])
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for every node of ``links`` (columns u, v: long); component is its smallest node.
 
@@ -38,15 +46,12 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     repeated links count once.
     """
     e = links.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
-    e = stored(e.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
-               name)
-    seen = None
-    while True:
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        key = (now["n"], now["s"])
-        if key == seen or not now["n"]:
+    e, seen = _written(e.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                       .distinct(), name)
+    while seen[0]:
+        e, now = _written(_small_star(_large_star(e)), name)
+        if now == seen:
             break
-        seen = key
-        e = stored(_small_star(_large_star(e)), name)
+        seen = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

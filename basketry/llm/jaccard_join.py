@@ -75,13 +75,17 @@ def _overlap(pct: int, n: int, m: int) -> int:
 
 
 def choose_prefix(cost_of: np.ndarray, n: int, pct: int) -> tuple[int, int]:
-    """(prefix length, matches needed) of least estimated cost; ``cost_of``: estimated other holders, in order."""
+    """(prefix length, matches needed) of least estimated cost; ``cost_of``: estimated other holders, in order.
+
+    Postings are counted in the prefix against sets of the same size: what
+    stands after it can only match smaller sets.
+    """
     least = -(-pct * n // 100)
-    base = n - least
+    base, short = n - least, n - _overlap(pct, n, n)
     sums = np.cumsum(cost_of)
     best, need = None, 1
     for l in range(1, min(MAX_MATCHES, least) + 1):
-        met = float(sums[base + l - 1])
+        met = float(sums[short + l - 1])
         cost = met + VERIFY_COST * n * met / l
         if best is None or cost < best:
             best, need = cost, l
@@ -222,7 +226,8 @@ def _set_rows(docs: DataFrame, k: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, pct: int, k: int, name: str) -> DataFrame:
     """The pairs (u, v) whose sets reach the threshold, by exact comparison of the whole texts."""
     ids = pairs.select(F.col("u").alias("doc")).union(pairs.select(F.col("v").alias("doc"))).distinct()
-    texts = stored(docs.join(ids, "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text")), f"{name}-texts")
+    # merged whatever the size of ``ids``: the texts move once at every size, so the plan grows evenly
+    texts = stored(docs.join(ids.hint("merge"), "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text")), f"{name}-texts")
     both = (pairs.select("u", "v")
             .join(texts.select(F.col("doc").alias("u"), F.col("text").alias("a")), "u")
             .join(texts.select(F.col("doc").alias("v"), F.col("text").alias("b")), "v"))
@@ -258,7 +263,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     background = int(np.median(held))
 
     sets = stored(_set_rows(rows, k), "jaccard-sets")
-    reps = sets.where("n > 0").groupBy("sig").agg(F.min("doc").alias("rep"))
+    reps = stored(sets.where("n > 0").groupBy("sig").agg(F.min("doc").alias("rep")), "jaccard-reps")
     classes = stored(sets.join(reps, "sig", "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")),
                      "jaccard-classes")
 
@@ -328,4 +333,5 @@ def _may_match(pct: int, n: str, pos: str, need: str, doc: str, m: str, pos2: st
     small_first = f"({n} < {m} or ({n} = {m} and {doc} < {doc2}))"
     return (f"100 * least({n}, {m}) >= {pct} * greatest({n}, {m})"
             f" and case when {small_first} then {short(n, pos, need)} else {short(m, pos2, need2)} end"
-            f" and least({n} - {pos}, {m} - {pos2}) >= {_overlap_sql(pct, f'({n} + {m})')} - least({need}, {need2}) + 1")
+            f" and least({n} - {pos}, {m} - {pos2}) >= {_overlap_sql(pct, f'({n} + {m})')}"
+            f" - least({need}, {need2}, {pos} + 1, {pos2} + 1) + 1")
