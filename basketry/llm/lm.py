@@ -11,9 +11,11 @@ Counts are exact and cover all training documents. A slot of documents sends
 its distinct n-grams (64-bit hashes, sorted, as packed bytes) with their
 counts to hash buckets and gets the corpus counts back in the order of its
 request, so no count table is broadcast and a frequent n-gram arrives once per
-slot. The counts of every token are written once; the EM statistics (a
-histogram over bucket and quarter-octave ratios, bounded by its bins) and the
-scores are read from that table.
+slot. Orders of two and more keep 48 bits of their hash besides the bucket
+(57 bits or more in all); first-order counts are exact to 64 bits. The EM
+statistics are a histogram over context bucket and quarter-octave estimates,
+bounded by its bins; the weights fitted to it are a scalar subquery of the
+scoring plan, which shares the exchanges of texts and counts.
 
 Tokens are the words of the text (A-Z lower-cased), then one end token.
 Null text is empty and has the end token alone. A null id counts as text ''
@@ -36,6 +38,7 @@ from .text import SPACE_WORDS, U64, as_bytes, mix, words_of
 BEGIN, END = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
 STEPS = 4  # bins an octave of the EM statistics
 EM_ROUNDS = 60
+SLOT_BYTES = 4 << 20  # larger slots send fewer repeated n-grams
 EM_TOLERANCE = 1e-7
 SENT = "bucket int, slot int, k int, n int, data binary"
 BACK = "slot int, k int, bucket int, data binary"
@@ -57,6 +60,24 @@ def _columns(data: bytes, n: int, count: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(x.T).reshape(-1).view("<u4").astype(np.int64) for x in a]
 
 
+def _key_planes(k: int) -> int:
+    """Bytes kept of a key besides its bucket: a whole hash for single words, 48 bits for longer grams."""
+    return 7 if k == 1 else 6
+
+
+def _packed_keys(sorted_keys: np.ndarray, k: int) -> bytes:
+    """Sorted keys of one bucket as byte planes of their differences."""
+    low = (sorted_keys & U64((1 << 56) - 1)) >> U64(0 if k == 1 else 8)
+    low[1:] -= low[:-1].copy()
+    return low.view(np.uint8).reshape(-1, 8).T[:_key_planes(k)].tobytes()
+
+
+def _unpacked_keys(data: bytes, n: int, k: int, bucket: int, shift: int) -> np.ndarray:
+    raw = np.zeros((n, 8), dtype=np.uint8)
+    raw[:, :_key_planes(k)] = np.frombuffer(data, dtype=np.uint8, count=_key_planes(k) * n).reshape(-1, n).T
+    return (np.cumsum(raw.reshape(-1).view("<u8"), dtype=U64) << U64(0 if k == 1 else 8)) | (U64(bucket) << U64(shift))
+
+
 class _Grams:
     """The n-grams of a slot's documents, one per token and order."""
 
@@ -77,15 +98,16 @@ class _Grams:
             ok = place >= k - 1
             back[ok] = token[np.flatnonzero(ok) - (k - 1)]
             self.keys.append(mix(self.keys[-1] * U64(0xBF58476D1CE4E5B9) + mix(back + U64(k))))
-        self.starts = place == 0
+        for k in range(1, order):
+            self.keys[k] &= ~U64(255)
 
 
 def lm_counts(docs: DataFrame, id_col: str, text_col: str, order: int, folds: int, test_fold: int,
               em_fold: int) -> DataFrame:
     """STATS rows: per document the corpus counts of its tokens' n-grams; rows without counts hold totals."""
-    dealt, parts, slots = by_slot(docs, id_col, text_col, text_bytes(docs, text_col))
+    dealt, parts, slots = by_slot(docs, id_col, text_col, text_bytes(docs, text_col), SLOT_BYTES, 64)
     buckets = 1 << max(8, (buckets_for(parts, slots) - 1).bit_length())  # a power of two: a key's high bits
-    shift = 64 - (buckets.bit_length() - 1)
+    shift = 64 - (buckets.bit_length() - 1)  # at most 56, so the low 56 bits and the bucket are the whole key
 
     def request(batches):
         import pyarrow as pa
@@ -101,11 +123,10 @@ def lm_counts(docs: DataFrame, id_col: str, text_col: str, order: int, folds: in
                     c = np.bincount(inv, weights=train, minlength=len(own))
                     f = np.bincount(inv, weights=em, minlength=len(own))
                     cut = np.searchsorted(own >> U64(shift), np.arange(buckets + 1, dtype=U64))
-                    raw = own.view(np.uint8).reshape(-1, 8)
                     for b in np.flatnonzero(np.diff(cut)):
                         i = slice(cut[b], cut[b + 1])
                         rows.append((int(b), slot, k, int(cut[b + 1] - cut[b]),
-                                     raw[i, :7].tobytes() + _planes(c[i], f[i])))
+                                     _packed_keys(own[i].copy(), k) + _planes(c[i], f[i])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[j] for r in rows], kind) for j, kind in
                  enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
@@ -126,15 +147,13 @@ def lm_counts(docs: DataFrame, id_col: str, text_col: str, order: int, folds: in
             if not len(rows):
                 continue
             n = ns[rows]
-            keys = np.zeros((int(n.sum()), 8), dtype=np.uint8)
+            keys = np.zeros(int(n.sum()), dtype=U64)
             c, f, at = np.zeros(len(keys)), np.zeros(len(keys)), 0
             for r, m in zip(rows, n):
-                keys[at:at + m, :7] = np.frombuffer(data[r], dtype=np.uint8, count=7 * m).reshape(m, 7)
-                c[at:at + m], f[at:at + m] = _columns(data[r][7 * m:], m, 2)
+                keys[at:at + m] = _unpacked_keys(data[r], m, k, bucket[r], shift)
+                c[at:at + m], f[at:at + m] = _columns(data[r][_key_planes(k) * m:], m, 2)
                 at += m
-            full = keys.reshape(-1).view("<u8") & U64((1 << 56) - 1)
-            full |= np.repeat(np.array([bucket[r] for r in rows], dtype=U64), n) << U64(shift)
-            own, inv = np.unique(full, return_inverse=True)
+            own, inv = np.unique(keys, return_inverse=True)
             c, f = np.bincount(inv, weights=c), np.bincount(inv, weights=f)
             if k == 1:
                 totals = [int((c > 0).sum()), int(c.sum())]
@@ -183,20 +202,25 @@ def lm_counts(docs: DataFrame, id_col: str, text_col: str, order: int, folds: in
     return (dealt.groupBy("slot").cogroup(back.repartition(parts, "slot").groupBy("slot")).applyInArrow(join, STATS))
 
 
-def _estimates(counts: list[np.ndarray], tokens: float, docs: float) -> tuple[np.ndarray, np.ndarray]:
-    """(context bucket per token, maximum-likelihood estimates of order 1 and up per token)."""
+def _estimates(counts: list[np.ndarray], tokens: float, docs: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """(context bucket per token, maximum-likelihood estimates of order 1 and up per token).
+
+    The first token's context is the begin of a text, seen ``docs`` times;
+    without ``docs`` its bucket is -2 and its estimates are its counts.
+    """
     p = np.zeros((len(counts), len(counts[0])))
     if tokens > 0:
         p[0] = counts[0] / tokens
-    context = np.full(len(counts[0]), tokens, dtype=np.float64)
+    context = np.empty(len(counts[0]))
     for k in range(1, len(counts)):
-        context = np.empty(len(counts[0]))
-        context[0] = docs
+        context[0] = 1.0 if docs is None else docs
         context[1:] = counts[k - 1][:-1]
         np.divide(counts[k], context, out=p[k], where=context > 0)
     bucket = np.zeros(len(context), dtype=np.int64)
     seen = context > 0
     bucket[seen] = np.floor(np.log2(context[seen])).astype(np.int64) + 1
+    if docs is None:
+        bucket[0] = -2
     return bucket, p
 
 
@@ -222,15 +246,15 @@ def em_weights(bucket: np.ndarray, ratio: np.ndarray, events: np.ndarray) -> tup
     return {int(b): fit(ratio[:, bucket == b], events[bucket == b]) for b in np.unique(bucket)}, pooled
 
 
-def ratio_bins(p: np.ndarray, uniform: float) -> np.ndarray:
-    """Quarter-octave bin of each estimate over the uniform one; 0 where the estimate is 0."""
-    out = np.zeros(p.shape, dtype=np.int64)
-    some = p > 0
-    out[some] = np.clip(np.rint(np.log2(p[some] / uniform) * STEPS), -200, 300).astype(np.int64) + 201
+def estimate_bins(x: np.ndarray) -> np.ndarray:
+    """Quarter-octave bin of each number; 0 where it is 0."""
+    out = np.zeros(x.shape, dtype=np.int64)
+    some = x > 0
+    out[some] = np.clip(np.rint(np.log2(x[some]) * STEPS), -200, 300).astype(np.int64) + 201
     return out
 
 
-def bin_ratio(b: np.ndarray) -> np.ndarray:
+def bin_estimate(b: np.ndarray) -> np.ndarray:
     return np.where(b > 0, 2.0 ** ((b - 201) / STEPS), 0.0)
 
 
@@ -242,52 +266,89 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     learned from; those of ``em_fold`` are deleted from the counts while the
     weights are learned.
     """
-    stats = stored(lm_counts(docs, id_col, text_col, order, folds, test_fold, em_fold), "lm-counts")
-    head = stats.agg(F.sum("vocabulary").alias("v"), F.sum("tokens").alias("n"), F.sum("docs").alias("d"),
-                     F.sum(F.when(F.col("fold"), F.col("n_tokens"))).alias("fn"),
-                     F.sum(F.when(F.col("fold"), F.lit(1))).alias("fd")).first()
-    v, n, d, fn, fd = (float(x or 0) for x in head)
-    uniform = 1.0 / (v + 1)
+    if order < 2:
+        raise ValueError("the model needs an order of two or more")
+    stats = lm_counts(docs, id_col, text_col, order, folds, test_fold, em_fold)
 
     def events(batches):
         import pyarrow as pa
         total: dict[tuple, int] = {}
+        heads = [0] * 5
         for batch in batches:
-            for t, c, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                left = [x - y for x, y in zip(_columns(c, t, order), _columns(f, t, order))]
-                bucket, p = _estimates(left, n - fn, d - fd)
-                rows, k = np.unique(np.vstack((bucket, ratio_bins(p, uniform))), axis=1, return_counts=True)
-                for key, m in zip(map(tuple, rows.T.tolist()), k.tolist()):
-                    total[key] = total.get(key, 0) + m
-        keys = list(total)
-        yield pa.RecordBatch.from_arrays([pa.array([list(x) for x in keys], pa.list_(pa.int64())),
-                                          pa.array(list(total.values()), pa.int64())], names=["bins", "events"])
-
-    seen = (stats.where("fold").select("n_tokens", "counts", "fold_counts")
-            .mapInArrow(events, "bins array<long>, events long").groupBy("bins").agg(F.sum("events").alias("events"))
-            .collect())  # at most one row per bin
-    bins = np.array([r["bins"] for r in seen], dtype=np.int64).reshape(len(seen), order + 1)
-    count = np.array([r["events"] for r in seen], dtype=np.float64)
-    ratio = np.vstack((np.ones(len(seen)), bin_ratio(bins[:, 1:]).T))
-    weights, pooled = em_weights(bins[:, 0], ratio, count)
-    table = np.array([weights.get(b, pooled) for b in range(65)])
+            rows = zip(*(batch.column(c).to_pylist() for c in
+                         ("n_tokens", "counts", "fold_counts", "vocabulary", "tokens", "docs", "fold")))
+            for t, c, f, v, n, d, fold in rows:
+                for i, x in enumerate((v, n, d, t if fold else 0, int(bool(fold)))):
+                    heads[i] += x or 0
+                if fold:
+                    left = [x - y for x, y in zip(_columns(c, t, order), _columns(f, t, order))]
+                    bucket, p = _estimates(left, 1.0, None)  # the totals are only known with all texts
+                    found, k = np.unique(np.vstack((bucket, estimate_bins(p))), axis=1, return_counts=True)
+                    for key, m in zip(map(tuple, found.T.tolist()), k.tolist()):
+                        total[key] = total.get(key, 0) + m
+        keys = [[-1, i] for i in range(5)] + [list(x) for x in total]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.int64())),
+                                          pa.array(heads + list(total.values()), pa.int64())], names=["bins", "events"])
+
+    def fit(batches):
+        import pyarrow as pa
+        bins, count, heads = [], [], [0] * 5
+        for batch in batches:
+            for b, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if b[0] == -1:
+                    heads[b[1]] += n
+                else:
+                    bins.append(b)
+                    count.append(n)
+        yield pa.RecordBatch.from_arrays([pa.array([fitted(bins, count, heads, order)], pa.binary())], names=["model"])
+
+    seen = (stats.select("n_tokens", "counts", "fold_counts", "vocabulary", "tokens", "docs", "fold")
+            .mapInArrow(events, "bins array<long>, events long").groupBy("bins").agg(F.sum("events").alias("events")))
+    # one row per bin at most: a bounded table, fitted in one place
+    model = seen.coalesce(1).mapInArrow(fit, "model binary")
 
     def score(batches):
         import pyarrow as pa
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            head = np.frombuffer(batch.column(5)[0].as_py(), dtype=np.float64)
+            n, v, d, table = head[0], head[1], head[2], head[3:].reshape(-1, order + 1)
             base, full = [], []
             for t, c in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist()):
                 counts = _columns(c, t, order)
                 base.append(float(np.log10((counts[0] + 1.0) / (n + (v + 1.0))).sum()))
                 bucket, p = _estimates(counts, n, d)
                 w = table[bucket]
-                full.append(float(np.log10(w[:, 0] * uniform + (w[:, 1:] * p.T).sum(axis=1)).sum()))
+                full.append(float(np.log10(w[:, 0] / (v + 1.0) + (w[:, 1:] * p.T).sum(axis=1)).sum()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2), batch.column(3),
                  pa.array([int(n)] * len(base), pa.int64()), pa.array(base, pa.float64()),
                  pa.array(full, pa.float64())],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return (stats.where(F.col("counts").isNotNull()).select("doc_id", "held_out", "n_tokens", "n_known", "counts")
+    return (stats.where(F.col("counts").isNotNull())
+            .select("doc_id", "held_out", "n_tokens", "n_known", "counts", model.scalar().alias("model"))
             .mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                "base_score double, score double"))
+
+
+def fitted(bins: list, count: list, heads: list, order: int) -> bytes:
+    """(train tokens, vocabulary, train documents, weights by bucket 0 to 64) as doubles.
+
+    A histogram bin is (bucket, bin of the count of order 1, bins of the
+    estimates of the orders above); a begin context has bucket -2.
+    """
+    v, n, d, fold_n, fold_d = (float(x) for x in heads)
+    uniform = 1.0 / (v + 1.0)
+    b = np.array(bins, dtype=np.int64).reshape(len(bins), order + 1)
+    ratio = np.vstack((np.ones(len(b)), bin_estimate(b[:, 1:]).T / uniform))
+    ratio[1] = ratio[1] / (n - fold_n) if n > fold_n else 0.0
+    bucket = b[:, 0].copy()
+    begin = bucket == -2
+    left = d - fold_d
+    ratio[2:, begin] = ratio[2:, begin] / left if left > 0 else 0.0  # counts there
+    bucket[begin] = int(np.floor(np.log2(left))) + 1 if left > 0 else 0
+    weights, pooled = em_weights(bucket, ratio, np.array(count, dtype=np.float64))
+    table = np.array([weights.get(i, pooled) for i in range(65)])
+    return np.concatenate(([n, v, d], table.ravel())).tobytes()
