@@ -48,17 +48,55 @@ _KNOWN_WORDS = 400_000
 
 # ---------------------------------------------------------------- encoding --
 
+def _byte_classes() -> np.ndarray:
+    """1 letter, 2 digit, 3 other printable, 0 blank, 9 not settled by the byte alone."""
+    c = np.full(256, 9, dtype=np.uint8)
+    c[0x21:0x7F] = 3
+    c[ord("0"):ord("9") + 1] = 2
+    for lo, hi in (("a", "z"), ("A", "Z")):
+        c[ord(lo):ord(hi) + 1] = 1
+    c[[ord("'"), ord("<")]] = 9  # contractions, special tokens
+    c[[0x20, 0x09, 0x0A, 0x0D]] = 0
+    return c
+
+
+_CLASS = _byte_classes()
+_GROUP = 256
+
+
+def _pieces(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(does a byte start a piece of the tokenizer's split, is the byte unsettled).
+
+    Pieces are runs of letters, single digits, and runs of other characters.
+    Of the non-ASCII letters those of the two-byte range C3 80 - C3 BF are
+    settled here (but for the two signs among them).
+    """
+    c = _CLASS[buf]
+    lead = np.flatnonzero(buf[:-1] == 0xC3)
+    after = buf[lead + 1]
+    lead = lead[(after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)]
+    c[lead] = c[lead + 1] = 1
+    new = np.ones(len(c), dtype=bool)
+    new[1:] = c[1:] != c[:-1]
+    return (new & ((c == 1) | (c == 3))) | (c == 2), c == 9
+
+
 class Encoder:
     """Token ids of whole texts; equal words are encoded once.
 
     The tokenizer drops white space and splits at it before anything else, so
-    a text's ids are those of its blank-separated words in order.
+    a text's ids are those of its blank-separated words in order. New words go
+    to the tokenizer many at a time; the ids are told apart by the vocabulary's
+    word ends, one for every piece that a word splits into. Words whose pieces
+    their bytes don't settle are encoded one by one.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[int, int] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.reset()
 
     def reset(self) -> None:
@@ -67,6 +105,51 @@ class Encoder:
         self.size = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per word) of words encoded one by one."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+        return np.fromiter((i for g in got for i in g), dtype=np.uint32, count=int(size.sum())), size
+
+    def _encoded_groups(self, words: list[bytes], pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per word) of words of known piece counts, ``_GROUP`` at a time."""
+        ids, sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
+        texts = [b" ".join(words[i:i + _GROUP]).decode() for i in range(0, len(words), _GROUP)]
+        for g, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            got = np.array(e.ids, dtype=np.uint32)
+            want = np.cumsum(pieces[g * _GROUP:(g + 1) * _GROUP])
+            ends = np.flatnonzero(self.ends[got]) + 1
+            if len(ends) == want[-1] and ends[-1] == len(got):
+                cut = ends[want - 1]
+                size = np.diff(cut, prepend=0)
+            else:  # a vocabulary without word ends
+                got, size = self._encoded([w.decode() for w in words[g * _GROUP:(g + 1) * _GROUP]])
+            ids.append(got)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _learn(self, w, first: np.ndarray, hashes: np.ndarray) -> None:
+        """Encode the words at ``first`` and keep their ids under ``hashes``."""
+        starts, unsettled = _pieces(w.buf)
+        n_start, n_open = (np.append(0, np.cumsum(x)) for x in (starts, unsettled))
+        a, b = w.start[first], w.end[first]
+        pieces = n_start[b] - n_start[a]
+        plain = (n_open[b] == n_open[a]) & (pieces > 0)
+        raw = w.buf.tobytes()
+        cut = [raw[x:y] for x, y in zip(a.tolist(), b.tolist())]
+        quick, slow = np.flatnonzero(plain), np.flatnonzero(~plain)
+        ids, size = self._encoded_groups([cut[i] for i in quick], pieces[quick])
+        if len(slow):
+            more, sizes = self._encoded([cut[i].decode("utf-8", "replace") for i in slow])
+            ids, size = np.concatenate((ids, more)), np.concatenate((size, sizes))
+        at = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate((self.ids, ids))
+        keys = np.concatenate((self.hashes, hashes[quick], hashes[slow]))
+        order = np.argsort(keys, kind="stable")
+        self.hashes = keys[order]
+        self.at = np.concatenate((self.at, at))[order]
+        self.size = np.concatenate((self.size, size))[order]
+
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; ids per text)."""
         w = words_of(texts, _BLANK_WORDS, lower=False)
@@ -76,30 +159,18 @@ class Encoder:
         where = np.minimum(np.searchsorted(self.hashes, own), max(len(self.hashes) - 1, 0))
         new = self.hashes[where] != own if len(self.hashes) else np.ones(len(own), dtype=bool)
         if new.any():
-            raw = w.buf.tobytes()
-            f = first[new]
-            words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(w.start[f], w.end[f])]
-            got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-            size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-            at = len(self.ids) + np.cumsum(size) - size
-            self.ids = np.concatenate([self.ids, *(np.array(g, dtype=np.uint32) for g in got)]) if len(got) < 64 else \
-                np.concatenate([self.ids, np.fromiter((i for g in got for i in g), dtype=np.uint32, count=int(size.sum()))])
-            hashes = np.concatenate((self.hashes, own[new]))
-            order = np.argsort(hashes, kind="stable")
-            self.hashes = hashes[order]
-            self.at = np.concatenate((self.at, at))[order]
-            self.size = np.concatenate((self.size, size))[order]
+            self._learn(w, first[new], own[new])
             where = np.searchsorted(self.hashes, own)
         at, size = self.at[where][inverse], self.size[where][inverse]
         total = np.zeros(len(size) + 1, dtype=np.int64)
         np.cumsum(size, out=total[1:])
-        text = np.repeat(np.arange(len(texts)), w.n_words())
-        flat = np.arange(total[-1]) - np.repeat(total[:-1], size)
-        out = np.empty(int(total[-1]) + len(texts), dtype=np.uint32)
-        goal = np.arange(total[-1]) + np.repeat(text, size)
-        out[goal] = self.ids[np.repeat(at, size) + flat]
         per_text = total[w.first[1:]] - total[w.first[:-1]] + 1
-        out[np.cumsum(per_text) - 1] = end_id
+        last = np.cumsum(per_text) - 1
+        out = np.empty(int(total[-1]) + len(texts), dtype=np.uint32)
+        inside = np.ones(len(out), dtype=bool)
+        inside[last] = False
+        out[inside] = self.ids[np.arange(total[-1]) + np.repeat(at - total[:-1], size)]
+        out[last] = end_id
         return out, per_text
 
 
