@@ -48,3 +48,8 @@ def dot(a: Column, b: Column) -> Column:
 def format_fixed(x: Column, decimals: int) -> Column:
     """Python ``f"{x:.Nf}"`` (X7): fixed decimals, no thousands separator."""
     return F.format_string(f"%.{decimals}f", x)
+
+
+def quoted(name: str) -> str:
+    """A column name in backticks, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"

@@ -1,22 +1,24 @@
-"""Data-parallel autoencoder training (sigmoid Dense layers d -> h -> m -> d).
+"""Data-parallel training of the autoencoder and of DEC with its encoder.
 
-Objective (Keras conventions): mean over rows of
-``mean_j (xhat_j - x_j)^2 + r * sum|h1| + r * sum|h2|`` (L1 activity
-penalty on the first two layers), Adam, mini-batches, early stopping on the
+Autoencoder objective (Keras conventions): mean over rows of
+``mean_j (xhat_j - x_j)^2 + r * sum|h1| + r * sum|h2|`` (L1 activity penalty
+on the first two layers), Adam, mini-batches, early stopping on the
 validation loss with the best weights restored.
 
-Each optimisation step is one Spark job: the rows of the step's mini-batch
-(a hash bucket of users) are turned into dense NumPy blocks per Arrow batch
-inside ``mapInPandas``; each task returns its gradient *sums*, which
-``treeReduce`` adds on the executors; the driver only applies Adam to the
-parameters. Inputs are sparse ``(indices, values)`` rows, so a wide catalogue
-never becomes a wide schema.
+*One Spark job per epoch.* Rows are dealt once, by user, to tasks of about
+``TASK_ROWS`` rows. In an epoch every task runs its own mini-batches from the
+shared parameters; the parameters (and Adam's moments) that come back are
+averaged with the tasks' row counts. With one task this is plain mini-batch
+Adam. The averages are added up in blocks on the executors, tasks without rows
+send nothing, and only the model itself reaches the driver.
+
+Inputs are sparse ``(indices, values)`` rows, so a wide catalogue never
+becomes a wide schema.
 """
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,12 +26,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import drop_written, materialize
 from .latent import _dense_batch, _sigmoid, row_chunks
 
 EPOCHS = 200                  # fixed values of the reference's training call
 BATCH_ROWS = 256
 PATIENCE = 10
 ADAM = dict(lr=1e-3, beta1=0.9, beta2=0.999, eps=1e-7)   # Keras Adam defaults
+DEC_MAX_STEPS = 5000          # fixed values of the DEC loop
+DEC_INTERVAL = 25
+DEC_CHECK = 100
+DEC_TOLERANCE = 4e-5
+DEC_LR, DEC_MOMENTUM = 1e-4, 0.1
+TASK_ROWS = 16_384            # rows that a task trains on between two averages
+BLOCK = 1 << 16               # values of a model that are added up in one executor row
 
 
 def init_layers(shapes, seed: int = 0):
@@ -42,7 +52,7 @@ def init_layers(shapes, seed: int = 0):
     return layers
 
 
-def batch_loss_and_grads(x: np.ndarray, layers, r: float):
+def batch_loss_and_grads(x: np.ndarray, layers, r: float, with_grads: bool = True):
     """Sums over the rows of ``x``: (penalised loss, squared error, gradients of the summed loss)."""
     (w0, b0), (w1, b1), (w2, b2) = layers
     d = x.shape[1]
@@ -51,6 +61,8 @@ def batch_loss_and_grads(x: np.ndarray, layers, r: float):
     y = _sigmoid(h2 @ w2 + b2)
     err = ((y - x) ** 2).mean(axis=1)
     loss = err + r * np.abs(h1).sum(axis=1) + r * np.abs(h2).sum(axis=1)
+    if not with_grads:
+        return float(loss.sum()), float(err.sum()), None
     dz3 = (2.0 / d) * (y - x) * y * (1 - y)
     dh2 = dz3 @ w2.T + r * np.sign(h2)
     dz2 = dh2 * h2 * (1 - h2)
@@ -75,32 +87,98 @@ def _unflatten(vec: np.ndarray, shapes):
     return out
 
 
-def distributed_sums(rows: DataFrame, layers, d: int, r: float, with_grads: bool = True) -> np.ndarray:
-    """``[n, loss_sum, err_sum, grad_sum...]`` over ``rows`` (one Spark job)."""
-    spark = rows.sparkSession
-    bc = spark.sparkContext.broadcast(layers)
-    size = 3 + (_flatten(layers).size if with_grads else 0)
+# ------------------------------------------------------------ distribution --
+
+def dealt_rows(rows: DataFrame, order: list[str], label: str) -> DataFrame:
+    """``rows`` dealt by user to tasks of about ``TASK_ROWS`` rows, in a fixed order, written once."""
+    parts = max(1, -(-rows.count() // TASK_ROWS))
+    return materialize(rows.repartition(parts, "user_id").sortWithinPartitions(*order, "user_id"), label)
+
+
+def summed(rows: DataFrame, columns: list[str], value: object, size: int,
+           work: Callable[[object, Iterator[pd.DataFrame]], np.ndarray | None]) -> np.ndarray:
+    """Sum over tasks of ``work(value, batches)`` (an array of ``size``), added up in blocks on executors.
+
+    One Spark job. ``value`` is broadcast for this job only.
+    """
+    bc = rows.sparkSession.sparkContext.broadcast(value)
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        params = bc.value
-        acc = np.zeros(size)
-        for batch in batches:
-            for pdf in row_chunks(batch, d):
-                if len(pdf) == 0:
-                    continue
-                x = _dense_batch(pdf, d)
-                loss, err, grads = batch_loss_and_grads(x, params, r)
-                acc[0] += len(pdf)
-                acc[1] += loss
-                acc[2] += err
-                if with_grads:
-                    acc[3:] += _flatten(grads)
-        yield pd.DataFrame({"s": [pickle.dumps(acc)]})
-
-    parts = rows.mapInPandas(part, "s binary").rdd.map(lambda row: pickle.loads(row.s))
-    total = parts.treeReduce(lambda a, b: a + b, depth=2)
-    bc.unpersist()
-    return total
+        out = work(bc.value, batches)
+        if out is not None:  # tasks without rows send nothing
+            for lo in range(0, size, BLOCK):
+                yield pd.DataFrame({"block": [lo // BLOCK], "data": [out[lo:lo + BLOCK].tobytes()]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for block, data in zip(pdf["block"], pdf["data"]):
+                x = np.frombuffer(data)
+                total[block] = total[block] + x if block in total else x
+        yield pd.DataFrame({"block": list(total), "data": [x.tobytes() for x in total.values()]})
+
+    schema = "block int, data binary"
+    got = (rows.select(*columns).mapInPandas(part, schema).repartition(-(-size // BLOCK), "block")
+           .mapInPandas(add, schema).collect())
+    bc.destroy()
+    out = np.zeros(size)
+    for r in got:
+        x = np.frombuffer(r["data"])
+        out[r["block"] * BLOCK:r["block"] * BLOCK + len(x)] = x
+    return out
+
+
+def _minibatches(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
+    """The rows of a task in mini-batches of ``n``, across Arrow batches."""
+    held: list[pd.DataFrame] = []
+    rows = 0
+    for pdf in batches:
+        while len(pdf):
+            take = pdf.iloc[:n - rows]
+            pdf = pdf.iloc[n - rows:]
+            held.append(take)
+            rows += len(take)
+            if rows == n:
+                yield pd.concat(held)
+                held, rows = [], 0
+    if rows:
+        yield pd.concat(held)
+
+
+def _chunk_sums(pdf: pd.DataFrame, d: int, fn):
+    """(rows, loss, error, flat gradient) of a mini-batch, its dense blocks bounded."""
+    n, loss, err, grad = 0, 0.0, 0.0, 0.0
+    for part in row_chunks(pdf, d):
+        a, b, g = fn(part, _dense_batch(part, d))
+        n, loss, err = n + len(part), loss + a, err + b
+        if g is not None:
+            grad = grad + g
+    return n, loss, err, grad
+
+
+# ------------------------------------------------------------- autoencoder --
+
+def loss_and_gradient(vectors: DataFrame, layers, d: int, r: float) -> tuple[float, float, float, list]:
+    """(rows, loss sum, error sum, gradient sums by layer) over all rows: one full-data pass."""
+    shapes = [w.shape for w, _ in layers]
+    size = 3 + _flatten(layers).size
+
+    def work(params, batches):
+        acc = None
+        for pdf in batches:
+            n, loss, err, grad = _chunk_sums(pdf, d, lambda part, x: _flat(batch_loss_and_grads(x, params, r)))
+            if n:
+                got = np.concatenate(([n, loss, err], grad))
+                acc = got if acc is None else acc + got
+        return acc
+
+    total = summed(vectors, ["indices", "values"], layers, size, work)
+    return total[0], total[1], total[2], _unflatten(total[3:], shapes)
+
+
+def _flat(result):
+    loss, err, grads = result
+    return loss, err, None if grads is None else _flatten(grads)
 
 
 @dataclass
@@ -111,51 +189,71 @@ class FitResult:
 
 
 def fit_autoencoder(vectors: DataFrame, d: int, shapes, r: float, epochs: int = EPOCHS,
-                    patience: int = PATIENCE, seed: int = 0) -> FitResult:
-    """Train on ``vectors`` = ``(user_id, indices, values, split, batch)``.
+                    patience: int = PATIENCE, seed: int = 0, batch_rows: int = BATCH_ROWS) -> FitResult:
+    """Train on ``vectors`` = ``(user_id, indices, values, split)``; ``split`` is 'train' / 'validation' (R7).
 
-    ``split`` is 'train' / 'validation' (R7), ``batch`` the training mini-batch
-    bucket (R8, about ``BATCH_ROWS`` users each). Returns the best-validation
-    weights and the epoch history.
+    Returns the weights of the best validation loss and the epoch history. The
+    job of an epoch also measures the validation loss of the parameters it
+    starts from, so it closes the epoch before.
     """
-    layers = init_layers(shapes, seed)
-    train = vectors.where(F.col("split") == "train").persist()
-    valid = vectors.where(F.col("split") == "validation").persist()
-    n_batches = int(train.agg(F.max("batch")).first()[0] or 0) + 1
-    m = np.zeros(_flatten(layers).size)
-    v = np.zeros_like(m)
-    step = 0
-    best, best_epoch, since = np.inf, 0, 0
-    best_layers = layers
-    history = []
-    for epoch in range(epochs):
-        ep_n = ep_loss = ep_err = 0.0
-        for b in range(n_batches):
-            sums = distributed_sums(train.where(F.col("batch") == b), layers, d, r)
-            n = sums[0]
-            if n == 0:
+    theta = _flatten(init_layers(shapes, seed))
+    size = theta.size
+    m, v, t = np.zeros(size), np.zeros(size), 0.0
+    rows = dealt_rows(vectors.select("user_id", "indices", "values", "split",
+                                     F.xxhash64("user_id").alias("deal")), ["deal"], "autoencoder_rows")
+
+    def epoch_work(state, batches):
+        start, m0, v0, t0, training = state
+        theta, m, v, t = start.copy(), m0.copy(), v0.copy(), t0
+        sums = np.zeros(6)
+
+        def measured():
+            for pdf in batches:
+                val = pdf[pdf["split"] != "train"]
+                if len(val):
+                    layers = _unflatten(start, shapes)
+                    n, loss, err, _ = _chunk_sums(
+                        val, d, lambda part, x: _flat(batch_loss_and_grads(x, layers, r, False)))
+                    sums[3:] += (n, loss, err)
+                yield pdf[pdf["split"] == "train"]
+
+        for pdf in _minibatches(measured(), batch_rows):
+            if not training:
                 continue
-            ep_n, ep_loss, ep_err = ep_n + n, ep_loss + sums[1], ep_err + sums[2]
-            grad = sums[3:] / n
-            step += 1
+            layers = _unflatten(theta, shapes)
+            n, loss, err, grad = _chunk_sums(pdf, d, lambda part, x: _flat(batch_loss_and_grads(x, layers, r)))
+            sums[:3] += (n, loss, err)
+            grad = grad / n
+            t += 1
             m = ADAM["beta1"] * m + (1 - ADAM["beta1"]) * grad
             v = ADAM["beta2"] * v + (1 - ADAM["beta2"]) * grad * grad
-            lr_t = ADAM["lr"] * np.sqrt(1 - ADAM["beta2"] ** step) / (1 - ADAM["beta1"] ** step)
-            flat = _flatten(layers) - lr_t * m / (np.sqrt(v) + ADAM["eps"])
-            layers = _unflatten(flat, shapes)
-        vs = distributed_sums(valid, layers, d, r, with_grads=False)
-        val_loss = vs[1] / vs[0] if vs[0] else float("nan")
-        history.append((epoch, ep_loss / max(ep_n, 1), val_loss, ep_err / max(ep_n, 1),
-                        vs[2] / vs[0] if vs[0] else float("nan")))
-        if val_loss < best:
-            best, best_epoch, since, best_layers = val_loss, epoch, 0, layers
-        else:
-            since += 1
-            if since >= patience:
-                break
-    train.unpersist()
-    valid.unpersist()
-    return FitResult(best_layers, history, best_epoch)
+            lr_t = ADAM["lr"] * np.sqrt(1 - ADAM["beta2"] ** t) / (1 - ADAM["beta1"] ** t)
+            theta = theta - lr_t * m / (np.sqrt(v) + ADAM["eps"])
+        if not sums[0] and not sums[3]:
+            return None
+        return np.concatenate((sums, sums[0] * theta, sums[0] * m, sums[0] * v, [sums[0] * t]))
+
+    best, best_epoch, since, best_theta = np.inf, 0, 0, theta
+    history, before = [], None
+    for epoch in range(epochs + 1):
+        got = summed(rows, ["indices", "values", "split"], (theta, m, v, t, epoch < epochs), 7 + 3 * size, epoch_work)
+        n, loss, err, val_n, val_loss, val_err = got[:6]
+        if before is not None:
+            shown = (val_loss / val_n, val_err / val_n) if val_n else (before[1], before[2])
+            history.append((epoch - 1, before[1], shown[0], before[2], shown[1]))
+            if shown[0] < best:
+                best, best_epoch, since, best_theta = shown[0], epoch - 1, 0, theta
+            else:
+                since += 1
+                if since >= patience:
+                    break
+        if not n:
+            break
+        before = (n, loss / n, err / n)
+        theta, m, v = (got[6 + k * size:6 + (k + 1) * size] / n for k in range(3))
+        t = got[-1] / n
+    drop_written(rows)
+    return FitResult(_unflatten(best_theta, shapes), history, best_epoch)
 
 
 # ----------------------------------------------------------- DEC with encoder --
@@ -166,106 +264,133 @@ def dec_loss_and_grads(x: np.ndarray, p: np.ndarray, encoder, mu: np.ndarray, r:
 
     Objective per row: ``sum_j p_ij ln(p_ij / q_ij) + r |h1|_1 + r |z|_1`` with
     ``z = encoder(x)`` and Student-t ``q``. Returns (loss, [(dW0, db0), (dW1, db1)], dmu).
+    An empty encoder means that ``x`` is ``z`` itself.
     """
-    (w0, b0), (w1, b1) = encoder
-    h1 = _sigmoid(x @ w0 + b0)
-    z = _sigmoid(h1 @ w1 + b1)
-    diff = z[:, None, :] - mu[None, :, :]                    # n × k × m
-    d2 = (diff ** 2).sum(axis=2)
-    base = 1.0 + d2 / alpha
-    kern = base ** (-(alpha + 1.0) / 2.0)
-    q = kern / kern.sum(axis=1, keepdims=True)
+    acts = [x]
+    for w, b in encoder:
+        acts.append(_sigmoid(acts[-1] @ w + b))
+    z = acts[-1]
+    q, base, diff = student_t(z, mu, alpha)
     with np.errstate(divide="ignore", invalid="ignore"):
         kl = np.where(p > 0, p * np.log(p / q), 0.0).sum(axis=1)
-    loss = kl + r * np.abs(h1).sum(axis=1) + r * np.abs(z).sum(axis=1)
+    loss = kl + sum(r * np.abs(a).sum(axis=1) for a in acts[1:])
     coef = ((alpha + 1.0) / alpha) * (p - q) / base           # n × k
-    dz = (coef[:, :, None] * diff).sum(axis=1) + r * np.sign(z)
     dmu = -(coef[:, :, None] * diff).sum(axis=0)
-    dz1 = dz * z * (1 - z)
-    dh1 = dz1 @ w1.T + r * np.sign(h1)
-    dz0 = dh1 * h1 * (1 - h1)
-    grads = [(x.T @ dz0, dz0.sum(0)), (h1.T @ dz1, dz1.sum(0))]
-    return float(loss.sum()), grads, dmu
-
+    back = (coef[:, :, None] * diff).sum(axis=1)
+    grads = []
+    for (w, _), below, here in zip(reversed(encoder), reversed(acts[:-1]), reversed(acts[1:])):
+        delta = (back + r * np.sign(here)) * here * (1 - here)
+        grads.insert(0, (below.T @ delta, delta.sum(0)))
+        back = delta @ w.T
+    return float(np.sum(loss)), grads, dmu
+
+
+def student_t(z: np.ndarray, mu: np.ndarray, alpha: float = 1.0):
+    """(q, 1 + d2 / alpha, z - mu) of latent rows against centroids."""
+    diff = z[:, None, :] - mu[None, :, :]
+    base = 1.0 + (diff ** 2).sum(axis=2) / alpha
+    kern = base ** (-(alpha + 1.0) / 2.0)
+    return kern / kern.sum(axis=1, keepdims=True), base, diff
 
-def dec_sums(rows: DataFrame, encoder, mu: np.ndarray, d: int, r: float) -> np.ndarray:
-    """``[n, loss_sum, encoder grads..., centroid grads...]`` over ``rows`` (needs ``p``)."""
-    bc = rows.sparkSession.sparkContext.broadcast((encoder, mu))
-    size = 2 + _flatten(encoder).size + mu.size
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, centers = bc.value
-        acc = np.zeros(size)
-        for batch in batches:
-            for pdf in row_chunks(batch, d):
-                if len(pdf) == 0:
-                    continue
-                x = _dense_batch(pdf, d)
-                p = np.stack(pdf["p"].to_numpy())
-                loss, grads, dmu = dec_loss_and_grads(x, p, enc, centers, r)
-                acc[0] += len(pdf)
-                acc[1] += loss
-                acc[2:2 + size - 2 - centers.size] += _flatten(grads)
-                acc[size - centers.size:] += dmu.ravel()
-        yield pd.DataFrame({"s": [pickle.dumps(acc)]})
-
-    parts = rows.select("indices", "values", "p").mapInPandas(part, "s binary") \
-        .rdd.map(lambda row: pickle.loads(row.s))
-    total = parts.treeReduce(lambda a, b: a + b, depth=2)
-    bc.unpersist()
-    return total
-
-
-def encode_rows(vectors: DataFrame, encoder, d: int) -> DataFrame:
-    """``(user_id, latent)`` through the two encoder layers (NumPy per Arrow batch)."""
-    from .latent import encode
-    return encode(vectors, encoder, d)
-
-
-def dec_train(vectors: DataFrame, encoder, centroids: np.ndarray, d: int, r: float = 1e-7,
-              maxiter: int = 5000, update_interval: int = 25, tol: float = 4e-5,
-              check_interval: int = 100, lr: float = 1e-4, momentum: float = 0.1):
-    """DEC with the encoder trained too: SGD with momentum on encoder weights and centroids.
-
-    ``vectors``: ``(user_id, indices, values, batch)``. Every ``update_interval``
-    steps q is recomputed for all users, the target p and the labels are
-    refreshed and the state is written partitioned by mini-batch; every ``check_interval`` steps the
-    label churn is compared with ``tol``. Returns ``(encoder, centroids, labels, history)``.
+@dataclass
+class DecResult:
+    encoder: list
+    centroids: np.ndarray
+    history: list          # (step, label churn)
+
+
+def dec_train(rows: DataFrame, encoder, centroids: np.ndarray, d: int, r: float = 1e-7,
+              max_steps: int = DEC_MAX_STEPS, interval: int = DEC_INTERVAL, tol: float = DEC_TOLERANCE,
+              check: int = DEC_CHECK, lr: float = DEC_LR, momentum: float = DEC_MOMENTUM,
+              batch_rows: int = BATCH_ROWS) -> DecResult:
+    """DEC: mini-batch SGD with momentum on the encoder (if any) and the centroids.
+
+    ``rows``: ``(user_id, indices, values)`` for an encoder, else ``(user_id,
+    latent)``. A round refreshes the target p and the labels (one job: the
+    cluster totals and the share of changed labels, both against the round
+    before), then every task runs its mini-batches from the shared parameters
+    (one job), which are averaged by row counts. A round is ``interval`` steps,
+    or all mini-batches of a task where it has more; every row takes part in
+    turn, because a task resumes where its last round ended. The loop ends when
+    the label churn at a check (every ``check`` steps) is below ``tol``, or
+    after ``max_steps``. No per-row state is kept between rounds: labels of the
+    round before follow from its parameters.
     """
-    from .segments import hard_labels, label_churn, soft_assignment, target_distribution
-    from ..session import ensure_checkpoint_dir
-    from ..sources.storage import write_partitioned
-    ensure_checkpoint_dir(vectors.sparkSession)
     k = centroids.shape[0]
-    n_batches = int(vectors.agg(F.max("batch")).first()[0] or 0) + 1
     shapes = [w.shape for w, _ in encoder]
-    params = np.concatenate([_flatten(encoder), centroids.ravel()])
-    velocity = np.zeros_like(params)
-    n_enc = _flatten(encoder).size
-    state = labels = last = None
-    history = []
-    for ite in range(maxiter):
-        if ite % update_interval == 0:
-            z = encode_rows(vectors.select("user_id", "indices", "values"), encoder, d)
-            scored = hard_labels(target_distribution(soft_assignment(z, centroids), k))
-            state = write_partitioned(
-                vectors.join(scored.select("user_id", "p", "cluster"), "user_id"), "dec_state",
-                "batch", n_batches)
-            last, labels = labels, state.select("user_id", "cluster")
-        if ite % check_interval == 0 and ite > 0 and last is not None:
-            delta = float(label_churn(last, labels).first()["delta_label"])
-            history.append((ite, delta))
-            if delta < tol:
+    flat = np.concatenate(([] if not encoder else [_flatten(encoder)]) + [centroids.ravel()])
+    n_enc = flat.size - centroids.size
+    columns = ["indices", "values"] if encoder else ["latent"]
+    data = dealt_rows(rows.select("user_id", *columns, F.xxhash64("user_id").alias("deal")), ["deal"], "dec_rows")
+
+    def parts(vec):
+        return _unflatten(vec[:n_enc], shapes), vec[n_enc:].reshape(centroids.shape)
+
+    def inputs(pdf):
+        if not encoder:
+            yield pdf, np.stack(pdf["latent"].to_numpy())
+            return
+        for part in row_chunks(pdf, d):
+            yield part, _dense_batch(part, d)
+
+    def soft(x, vec):
+        enc, mu = parts(vec)
+        for w, b in enc:
+            x = _sigmoid(x @ w + b)
+        return student_t(x, mu)[0]
+
+    def refresh(state, batches):
+        now, last = state
+        acc = np.zeros(k + 2)
+        for pdf in batches:
+            for _, x in (inputs(pdf) if len(pdf) else ()):
+                q = soft(x, now)
+                acc[:k] += q.sum(axis=0)
+                acc[k] += len(x)
+                if last is not None:
+                    acc[k + 1] += (q.argmax(axis=1) != soft(x, last).argmax(axis=1)).sum()
+        return acc if acc[k] else None
+
+    def steps(state, batches):
+        start, vel0, totals, first = state
+        vec, vel, n_rows, taken = start.copy(), vel0.copy(), 0, 0
+        held = list(_minibatches(batches, batch_rows))
+        for j in range(max(interval, 1) if len(held) < interval else len(held)):
+            if not held:
+                break
+            pdf = held[(first + j) % len(held)]
+            enc, mu = parts(vec)
+            n, grad = 0, 0.0
+            for part, x in inputs(pdf):
+                q = soft(x, start)  # the target stays that of the round's start
+                p = q * q / totals
+                p /= p.sum(axis=1, keepdims=True)
+                _, g, dmu = dec_loss_and_grads(x, p, enc, mu, r)
+                grad = grad + np.concatenate(([] if not enc else [_flatten(g)]) + [dmu.ravel()])
+                n += len(part)
+            vel = momentum * vel - lr * grad / n
+            vec = vec + vel
+            n_rows, taken = n_rows + n, taken + 1
+        return None if not n_rows else np.concatenate(([n_rows, taken], n_rows * vec, n_rows * vel))
+
+    velocity, last, step, next_check, history = np.zeros(flat.size), None, 0, check, []
+    while True:
+        seen = summed(data, columns, (flat, last), k + 2, refresh)
+        if not seen[k]:
+            break
+        if step >= next_check:
+            churn = float(seen[k + 1] / seen[k])
+            history.append((step, churn))
+            next_check += check * max(1, -(-(step - next_check + 1) // check))
+            if churn < tol:
                 break
-        sums = dec_sums(state.where(F.col("batch") == ite % n_batches), encoder, centroids, d, r)
-        n = sums[0]
-        if n == 0:
-            continue
-        grad = sums[2:] / n
-        velocity = momentum * velocity - lr * grad
-        params = params + velocity
-        encoder = _unflatten(params[:n_enc], shapes)
-        centroids = params[n_enc:].reshape(centroids.shape)
-    z = encode_rows(vectors.select("user_id", "indices", "values"), encoder, d)
-    final = hard_labels(soft_assignment(z, centroids)).select("user_id", "cluster")
-    return encoder, centroids, final, history
+        if step >= max_steps:
+            break
+        got = summed(data, columns, (flat, velocity, seen[:k], step), 2 + 2 * flat.size, steps)
+        last = flat
+        flat, velocity = got[2:2 + flat.size] / got[0], got[2 + flat.size:] / got[0]
+        step += max(interval, 1)
+    drop_written(data)
+    enc, mu = parts(flat)
+    return DecResult(enc, mu, history)

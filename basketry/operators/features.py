@@ -208,16 +208,18 @@ def uxp_features(lines: DataFrame) -> DataFrame:
                                        F.col("n").alias("uxp_total_bought"), "sticky")
 
 
-def pair_features(lines: DataFrame, min_orders: int = MIN_USER_ORDERS) -> DataFrame:
+def pair_features(lines: DataFrame, min_orders: int = MIN_USER_ORDERS,
+                  drop_small_users: bool = False) -> DataFrame:
     """pairs ⟕ user features ⟕ product features.
 
     The left join keeps pairs of users removed by the minimum-orders filter,
-    with NULL user features (Q2), as the reference does.
+    with NULL user features (Q2), as the reference does; ``drop_small_users``
+    drops these pairs instead.
     """
     pairs = uxp_features(lines)
     users = user_features(lines, min_orders)
     products = product_features(lines)
-    return pairs.join(users, "user_id", "left") \
+    return pairs.join(users, "user_id", "inner" if drop_small_users else "left") \
         .join(products, "product_id", "left") \
         .select("user_id", "product_id", "uxp_total_bought", "sticky",
                 *USER_FEATURES, *PRODUCT_FEATURES)
@@ -225,12 +227,12 @@ def pair_features(lines: DataFrame, min_orders: int = MIN_USER_ORDERS) -> DataFr
 
 def feature_table(lines: DataFrame, products: DataFrame, aisles: DataFrame,
                   departments: DataFrame, min_orders: int = MIN_USER_ORDERS,
-                  small: bool | None = None) -> DataFrame:
+                  small: bool | None = None, drop_small_users: bool = False) -> DataFrame:
     """The long feature table: product id replaced by its name, aisle and department labels."""
     dim = products.join(F.broadcast(aisles) if small else aisles, "aisle_id", "left") \
         .join(F.broadcast(departments) if small else departments, "department_id", "left") \
         .select("product_id", "product_name", "aisle", "department")
-    pf = pair_features(lines, min_orders)
+    pf = pair_features(lines, min_orders, drop_small_users)
     return pf.join(broadcast_if_within(dim, DIMENSION_ROWS, small), "product_id", "left").select(
         "user_id", "product_name", "uxp_total_bought", "sticky",
         *USER_FEATURES, *PRODUCT_FEATURES, "aisle", "department")
@@ -253,7 +255,3 @@ def weekday_names(df: DataFrame, col: str = "order_dow") -> DataFrame:
     mapping = F.create_map(*[x for k, v in WEEKDAY_NAMES.items() for x in (F.lit(k), F.lit(v))])
     return df.withColumn(col, F.try_element_at(mapping, F.col(col)))
 
-
-def user_constants(rows: DataFrame, cols=tuple(USER_FEATURES)) -> DataFrame:
-    """One row of per-user constant columns (A17: ``groupby.first()``)."""
-    return rows.groupBy("user_id").agg(*[F.max(c).alias(c) for c in cols])

@@ -114,43 +114,41 @@ def fixture_layers(d: int, h: int = HIDDEN_UNITS, m: int = LATENT_UNITS) -> list
     return layers
 
 
-def weight_table(spark: SparkSession, layers: list[tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Weights as rows ``(layer, kind, row, col, value)``; biases have ``row = 0`` (S-5).
+#: matrix rows that go into one slice of a weight table
+WEIGHT_SLICE = 4096
 
-    The table is generated on the executors from the layer shapes, so it is
-    never assembled on the driver.
+
+def weight_table(spark: SparkSession, layers: list[tuple[np.ndarray, np.ndarray]],
+                 centroids: np.ndarray | None = None) -> DataFrame:
+    """Model parameters as rows ``(layer, kind, row, values array<double>)`` (S-5).
+
+    One row per matrix row (kind 'kernel'), per bias vector (row 0) and per
+    DEC centroid (kind 'centroid', layer -1). The arrays are the model itself,
+    already on the driver; they leave it in slices of ``WEIGHT_SLICE`` rows.
     """
-    parts = []
-    for layer, (w, b) in enumerate(layers):
-        rows, cols = w.shape
-        cells = spark.range(rows * cols).select(
-            F.lit(layer).alias("layer"), F.lit("kernel").alias("kind"),
-            (F.col("id") / cols).cast("long").cast("int").alias("row"),
-            F.pmod(F.col("id"), F.lit(cols)).cast("int").alias("col"))
-        parts.append(cells)
-        parts.append(spark.range(cols).select(
-            F.lit(layer).alias("layer"), F.lit("bias").alias("kind"), F.lit(0).alias("row"),
-            F.col("id").cast("int").alias("col")))
-    table = parts[0]
-    for p in parts[1:]:
-        table = table.unionByName(p)
-    weight = (((F.lit(31) * F.col("row") + F.lit(17) * F.col("col") + F.lit(7) * F.col("layer"))
-               % 101) - 50) / F.lit(500.0)
-    bias = ((F.col("col") % 7) - 3) / F.lit(50.0)
-    return table.withColumn("value", F.when(F.col("kind") == "kernel", weight).otherwise(bias))
-
-
-def layers_from_table(table: DataFrame, shapes: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Read a weight table back into arrays (model parameters only, bounded by the shapes)."""
-    rows = table.collect()
-    layers = [(np.zeros(s), np.zeros(s[1])) for s in shapes]
-    for r in rows:
-        w, b = layers[r["layer"]]
-        if r["kind"] == "kernel":
-            w[r["row"], r["col"]] = r["value"]
-        else:
-            b[r["col"]] = r["value"]
-    return layers
+    arrays = [(layer, kind, np.atleast_2d(np.asarray(x, dtype=float)))
+              for layer, (w, b) in enumerate(layers) for kind, x in (("kernel", w), ("bias", b))]
+    if centroids is not None:
+        arrays.append((-1, "centroid", np.atleast_2d(np.asarray(centroids, dtype=float))))
+    table = None
+    for layer, kind, x in arrays:
+        for lo in range(0, len(x), WEIGHT_SLICE):
+            rows = pd.DataFrame({"layer": layer, "kind": kind, "row": np.arange(lo, min(lo + WEIGHT_SLICE, len(x))),
+                                 "values": x[lo:lo + WEIGHT_SLICE].tolist()})
+            part = spark.createDataFrame(rows, "layer int, kind string, row int, values array<double>")
+            table = part if table is None else table.unionByName(part)
+    return table
+
+
+def layers_from_table(table: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray | None]:
+    """(layers, centroids or None) of a weight table: one Arrow array per matrix row, none per weight."""
+    rows = table.select("layer", "kind", "row", "values").toArrow()
+    parts: dict[tuple[int, str], list[tuple[int, np.ndarray]]] = {}
+    for layer, kind, row, values in zip(*(rows.column(c) for c in ("layer", "kind", "row", "values"))):
+        parts.setdefault((layer.as_py(), kind.as_py()), []).append((row.as_py(), values.values.to_numpy()))
+    x = {key: np.array([v for _, v in sorted(p, key=lambda r: r[0])]) for key, p in parts.items()}
+    n = max((layer for layer, _ in x), default=-1) + 1
+    return [(x[i, "kernel"], x[i, "bias"][0]) for i in range(n)], x.get((-1, "centroid"))
 
 
 # ------------------------------------------------------------------ encoder --
@@ -189,7 +187,7 @@ def forward(x: np.ndarray, layers, upto: int) -> list[np.ndarray]:
 
 def encode(vectors: DataFrame, layers, d: int) -> DataFrame:
     """Apply the first two layers: ``(user_id, latent array<double>)``."""
-    bc = vectors.sparkSession.sparkContext.broadcast(layers)
+    bc = vectors.sparkSession.sparkContext.broadcast(layers)  # the model's own size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         params = bc.value

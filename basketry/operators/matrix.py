@@ -10,16 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import quoted
 from ..sources.schemas import USER_FEATURES
 from .joins import broadcast_if_within
 from .selection import sample_hash
 from .sequence import row_numbers
 
-MAX_WIDE_COLUMNS = 10_000          # spark.sql.pivotMaxValues default
+MAX_WIDE_COLUMNS = 50_000          # a wide schema lives on the driver
 MAX_CATALOGUE_ROWS = 2_000_000
 BATCH_ROWS = 256                   # fixed value: mini-batch size of the reference
 VALIDATION_FRACTION = 0.2          # fixed value: Keras validation_split
@@ -52,12 +52,13 @@ def duplicate_keys(pairs: DataFrame, keys=("user_id", "product_name"), item: str
         .where(F.col("n_items") > 1)
 
 
-def product_columns(long: DataFrame, item: str = "product_name") -> list[str]:
-    """Sorted product names that become the wide columns (bounded, checked)."""
+def product_columns(long: DataFrame, item: str = "product_name",
+                    max_columns: int = MAX_WIDE_COLUMNS) -> list[str]:
+    """Sorted product names that become the wide columns (a schema, so bounded and checked)."""
     names = long.select(item).where(F.col(item).isNotNull()).distinct() \
-        .limit(MAX_WIDE_COLUMNS + 1).collect()
-    if len(names) > MAX_WIDE_COLUMNS:
-        raise ValueError(f"more than {MAX_WIDE_COLUMNS} product columns: use the long or sparse form")
+        .limit(max_columns + 1).collect()
+    if len(names) > max_columns:
+        raise ValueError(f"more than {max_columns} product columns: use the long or sparse form")
     return sorted(r[0] for r in names)
 
 
@@ -65,11 +66,23 @@ def sticky_matrix(long: DataFrame, item: str = "product_name", value: str = "sti
                   columns: list[str] | None = None) -> DataFrame:
     """Wide pivot: one row per user, one column per product name, absent = 0.
 
-    ``max`` is safe because ``duplicate_keys`` guarantees one value per cell.
+    Two values for one cell stop the query, as the reference's pivot does
+    (D5); the check is part of the same aggregate. Product names may hold any
+    characters.
     """
     cols = columns if columns is not None else product_columns(long, item)
-    wide = long.groupBy("user_id").pivot(item, cols).agg(F.max(value))
-    return wide.na.fill(0.0, subset=cols)
+    cell = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("duplicate (user_id, product_name) cell")).cast("double")) \
+        .otherwise(F.max(value))
+    cell = F.when(F.col(item).isNotNull(), cell)
+    wide = long.groupBy("user_id", item).agg(cell.alias("__cell")).groupBy("user_id").pivot(item, cols).agg(F.max("__cell"))
+    return wide.select("user_id", *(F.coalesce(F.col(quoted(c)), F.lit(0.0)).alias(c) for c in cols))
+
+
+def melt(wide: DataFrame, keys: Iterable[str], item: str = "product_name", value: str = "value") -> DataFrame:
+    """The wide matrix back in long form, zeros included."""
+    keys = list(keys)
+    return wide.unpivot([F.col(quoted(k)) for k in keys],
+                        [F.col(quoted(c)) for c in wide.columns if c not in keys], item, value)
 
 
 def user_constants(rows: DataFrame, cols: Iterable[str] = tuple(USER_FEATURES)) -> DataFrame:
@@ -97,24 +110,11 @@ def sparse_triples(long: DataFrame, index: DataFrame, item: str = "product_name"
         .select("user_id", "idx", F.col(value).alias("value"))
 
 
-def user_vectors(triples: DataFrame, size: int) -> DataFrame:
-    """One ``SparseVector`` per user.
+def user_arrays(triples: DataFrame) -> DataFrame:
+    """One sparse vector per user (R4): ``(user_id, indices array<int>, values array<double>)``, by index.
 
-    Per user the cells are bounded by the catalogue (one per product); the
-    vector is assembled from sorted index/value arrays without a wide schema.
+    A user's cells are bounded by the catalogue (one per product).
     """
-    grouped = triples.groupBy("user_id").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("cells"))
-
-    @F.udf(VectorUDT())
-    def to_vector(cells):
-        return SparseVector(size, [c[0] for c in cells], [float(c[1]) for c in cells])
-
-    return grouped.select("user_id", to_vector("cells").alias("features"))
-
-
-def user_arrays(triples: DataFrame) -> DataFrame:
-    """``(user_id, indices array<int>, values array<double>)``, sorted by index."""
     grouped = triples.groupBy("user_id").agg(
         F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("cells"))
     return grouped.select("user_id", F.col("cells.idx").alias("indices"),

@@ -102,13 +102,28 @@ def _numbered_universe(universe: DataFrame, item: str, bounded: bool = False) ->
                       F.col("g_total").cast("long").alias("n_items"))
 
 
+#: sub-groups of a segment whose own first items are ranked before the segment's
+RANK_BUCKETS = 64
+
+
+def _first_items(items: DataFrame, item: str, n: int, *order) -> DataFrame:
+    """The first ``n`` items per cluster with their rank: first of each hash bucket, then of the cluster."""
+    bucket = F.pmod(F.xxhash64(item), F.lit(RANK_BUCKETS))
+    near = Window.partitionBy("cluster", "__bucket").orderBy(*order)
+    few = items.withColumn("__bucket", bucket).withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= n)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy("cluster").orderBy(*order))) \
+        .where(F.col("rank") <= n)
+
+
 def ranked_items(means: DataFrame, universe: DataFrame, item: str, top: int, bottom: int,
-                 bounded: bool = False) -> DataFrame:
+                 bounded: bool = False, segments: DataFrame | None = None) -> DataFrame:
     """Top ``top`` and bottom ``bottom`` items per cluster, absent items counting as 0.
 
     Result: ``(cluster, end, rank, item, mean)`` with ``end`` in
     {'top', 'bottom'}; ``rank`` is 1-based from the respective end. When a
     cluster has fewer items than ``top + bottom`` the lists overlap (Q18).
+    ``segments`` (with a ``cluster`` column) names all clusters, so that one
+    without any present item gets its lists of zeros too.
     """
     k = max(top, bottom)
     numbered = _numbered_universe(universe, item, bounded)
@@ -135,16 +150,21 @@ def ranked_items(means: DataFrame, universe: DataFrame, item: str, top: int, bot
     absent = cand.join(numbered.select("g", item), "g", "inner") \
         .select("cluster", item, F.lit(0.0).alias("mean"))
     items = present.select("cluster", item, "mean").unionByName(absent)
-    desc = Window.partitionBy("cluster").orderBy(F.col("mean").desc(), F.col(item).asc())
-    asc = Window.partitionBy("cluster").orderBy(F.col("mean").asc(), F.col(item).desc())
-    ranked = items.select("cluster", item, "mean",
-                          F.row_number().over(desc).alias("r_top"),
-                          F.row_number().over(asc).alias("r_bottom"))
-    tops = ranked.where(F.col("r_top") <= top).select(
-        "cluster", F.lit("top").alias("end"), F.col("r_top").alias("rank"), item, "mean")
-    bottoms = ranked.where(F.col("r_bottom") <= bottom).select(
-        "cluster", F.lit("bottom").alias("end"), F.col("r_bottom").alias("rank"), item, "mean")
-    return tops.unionByName(bottoms)
+    if segments is not None:
+        n = numbered.agg(F.max("n_items")).first()[0] or 0
+        ends = sorted({g for g in (*range(1, min(k, n) + 1), *range(max(1, n - k + 1), n + 1))})
+        blank = segments.select("cluster").distinct().join(means.select("cluster").distinct(), "cluster", "left_anti")
+        items = items.unionByName(
+            blank.select("cluster", F.explode(F.array(*(F.lit(g).cast("long") for g in ends)).cast("array<long>")).alias("g"))
+            .join(numbered.select("g", item), "g").select("cluster", item, F.lit(0.0).alias("mean")))
+    out = []
+    if top:
+        out.append(_first_items(items, item, top, F.col("mean").desc(), F.col(item).asc()).withColumn("end", F.lit("top")))
+    if bottom:
+        out.append(_first_items(items, item, bottom, F.col("mean").asc(), F.col(item).desc())
+                   .withColumn("end", F.lit("bottom")))
+    both = out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    return both.select("cluster", "end", "rank", item, "mean")
 
 
 def top_items(means: DataFrame, universe: DataFrame, item: str, n: int = TOP_N,

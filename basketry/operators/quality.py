@@ -1,23 +1,21 @@
 """Profiling and data-quality operators: ``info``, ``describe``, ``nunique``,
 positional peeks and formatted metrics.
 
-Exact quartiles are computed without gathering a column into one task:
-the values are numbered with the range-partitioned running count
-(``operators.sequence``), and only the two rows around each quantile
-position are kept, then interpolated linearly (pandas' default).
+Exact quartiles are computed without sorting a column: a histogram tells the
+bins that hold the quantile positions, and only the distinct values of these
+bins are ranked, then interpolated linearly (pandas' default).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sequence import running_aggregates
-
 QUANTILES = (0.25, 0.5, 0.75)
+QUANTILE_BINS = 4096
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
            T.DecimalType)
 
@@ -46,40 +44,47 @@ def profile_info(df: DataFrame) -> DataFrame:
     return F.broadcast(types).join(long, "column").select("position", "column", "non_null", "dtype")
 
 
-def exact_quantiles(long: DataFrame, probs: Iterable[float] = QUANTILES) -> DataFrame:
+def exact_quantiles(long: DataFrame, probs: Iterable[float] = QUANTILES, bins: int = QUANTILE_BINS) -> DataFrame:
     """Linear-interpolation quantiles per ``column`` of a ``(column, value)`` frame.
 
-    NULL values are skipped. Result: ``(column, p, q)``.
+    NULL values are skipped. Result: ``(column, p, q)``. A histogram of
+    ``bins`` equal-width bins per column tells which bins hold the wanted
+    ranks; only the values of these bins are grouped (equal values fold before
+    the shuffle) and ranked. Nothing of the size of the input is sorted.
     """
-    probs = list(probs)
+    probs = [float(p) for p in probs]
     vals = long.where(F.col("value").isNotNull())
-    ranked = running_aggregates(vals, ["column"], [F.col("value")], sums={"__rn": F.lit(1)},
-                                totals=True)
-    # 0-based positions of the lower / upper neighbour of each quantile
-    picks = []
-    for p in probs:
-        h = (F.col("__rn_total") - 1) * F.lit(float(p))
-        lo, hi = F.floor(h), F.ceil(h)
-        pos = F.col("__rn") - 1
-        picks.append(F.when((pos == lo) | (pos == hi),
-                            F.struct(F.lit(float(p)).alias("p"), h.alias("h"), lo.alias("lo"),
-                                     (pos == lo).alias("is_lo"), (pos == hi).alias("is_hi"))))
-    hits = ranked.select("column", "value", F.explode(F.filter(F.array(*picks), lambda s: s.isNotNull())).alias("s"))
-    agg = hits.groupBy("column", F.col("s.p").alias("p")).agg(
-        F.max(F.when(F.col("s.is_lo"), F.col("value"))).alias("v_lo"),
-        F.max(F.when(F.col("s.is_hi"), F.col("value"))).alias("v_hi"),
-        F.max(F.col("s.h") - F.col("s.lo")).alias("frac"),
-    )
-    return agg.select("column", "p",
-                      (F.col("v_lo") + F.col("frac") * (F.col("v_hi") - F.col("v_lo"))).alias("q"))
+    stats = vals.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"),
+                                       F.count(F.lit(1)).alias("n"))  # one row per column
+    width = F.col("hi") - F.col("lo")
+    place = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / width * bins))) \
+        .otherwise(0).cast("int")
+    binned = vals.join(F.broadcast(stats), "column").select("column", "value", "n", place.alias("bin"))
+    by_bin = Window.partitionBy("column").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = binned.groupBy("column", "n", "bin").agg(F.count(F.lit(1)).alias("c")) \
+        .withColumn("before", F.sum("c").over(by_bin) - F.col("c"))  # bins per column
+    wanted = F.array(*(F.struct(F.lit(p).alias("p"), ((F.col("n") - 1) * F.lit(p)).alias("h")) for p in probs))
+    ranks = counts.select("column", "bin", "before", "c", F.explode(wanted).alias("w")) \
+        .select("column", "bin", "before", "c", "w.p", "w.h", F.explode(F.array(F.floor("w.h"), F.ceil("w.h"))).alias("rank")) \
+        .where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c"))).distinct()
+    by_value = Window.partitionBy("column", "bin").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = binned.join(F.broadcast(ranks.select("column", "bin").distinct()), ["column", "bin"], "left_semi") \
+        .groupBy("column", "bin", "value").agg(F.count(F.lit(1)).alias("m")) \
+        .withColumn("upto", F.sum("m").over(by_value))
+    at = inside.join(F.broadcast(ranks), ["column", "bin"]) \
+        .where((F.col("rank") >= F.col("before") + F.col("upto") - F.col("m"))
+               & (F.col("rank") < F.col("before") + F.col("upto")))  # a few ranks per column
+    frac = F.max("h") - F.floor(F.max("h"))
+    low, high = F.min_by("value", "rank"), F.max_by("value", "rank")
+    return at.groupBy("column", "p").agg((low + frac * (high - low)).alias("q"))
 
 
 def profile_describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """``describe()`` of numeric columns in long form.
 
     ``(column, count, mean, std, min, q25, q50, q75, max)``; ``std`` is the
-    sample standard deviation. The exact quartiles need one range shuffle of
-    the values; ``approx=True`` uses ``percentile_approx`` (a bounded sketch
+    sample standard deviation. The exact quartiles come from a histogram and the
+    values of the bins that hold them; ``approx=True`` uses ``percentile_approx`` (a bounded sketch
     per column, partial before the shuffle) instead.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)

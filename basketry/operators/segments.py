@@ -7,11 +7,8 @@ estimators do.
 * Soft assignment (Student-t kernel, alpha = 1), target distribution,
   KL objective, hard labels and label churn are column expressions over a
   per-user ``array<double>``; the centroids enter as literals.
-* One DEC step sums the centroid gradient over the rows of one mini-batch
-  with a single aggregation; the loop checkpoints its state (p, labels) at
-  every target refresh as a table below the shared ``spark.checkpoint.dir``,
-  partitioned by mini-batch so that each step reads one batch only, and a
-  lost executor never replays the loop.
+* One DEC step is one full-data gradient pass; the loop runs one job per
+  round of mini-batches (``autoencoder.dec_train``).
 * k-means uses MLlib; restarts (sklearn ``n_init``) are independent fits
   run concurrently from driver threads, as MLlib's own tuning does with
   ``parallelism``.
@@ -24,11 +21,9 @@ estimators do.
 
 from __future__ import annotations
 
-import pickle
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -36,8 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import squared_distance
-from ..session import ensure_checkpoint_dir
-from ..sources.storage import write_partitioned
+from ..sources.storage import materialize
+from .autoencoder import dec_loss_and_grads, dec_train, summed
 from .joins import broadcast_if_within
 
 ALPHA = 1.0                   # fixed value: Student-t degrees of freedom
@@ -50,7 +45,7 @@ TOLERANCE = 4e-5
 N_CLUSTERS = 3
 ELBOW_KS = tuple(range(1, 15))
 N_INIT = 10
-MAX_CLUSTERS = 1_000          # every user meets each cluster once: n × k work
+KMEANS_ITERATIONS = 300       # fixed value: the library's own limit, which the reference leaves in force
 SUMS_ROWS = 5_000_000         # per-cluster sum vectors, k × d
 
 
@@ -138,44 +133,27 @@ def mean_assignment(scored: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ DEC --
 
-def centroid_gradient(scored: DataFrame, centroids: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
+def centroid_gradient(scored: DataFrame, centroids: np.ndarray) -> np.ndarray:
     """``dL/dmu_j`` of the mean KL loss over the rows of ``scored`` (needs ``latent``, ``p``).
 
-    ``-((a+1)/a) (1/n) sum_i (1 + |z_i - mu_j|^2 / a)^-1 (p_ij - q_ij) (z_i - mu_j)``
+    ``-((a+1)/a) (1/n) sum_i (1 + |z_i - mu_j|^2 / a)^-1 (p_ij - q_ij) (z_i - mu_j)``, a = 1
     (Xie, Girshick and Farhadi, 2016), with q recomputed from the current
-    centroids. Each task adds its rows' terms with NumPy on Arrow batches;
-    ``treeReduce`` sums the k × d partial sums on the executors.
+    centroids. One full-data pass; the tasks' k × d sums are added up on the
+    executors.
     """
-    k, d = centroids.shape
-    bc = scored.sparkSession.sparkContext.broadcast(np.asarray(centroids, dtype=float))
-
-    def part(batches):
-        mu = bc.value
-        acc = np.zeros(1 + k + k * d)
+    def work(mu, batches):
+        acc = np.zeros(1 + mu.size)
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            z = np.stack(pdf["latent"].to_numpy())
-            p = np.stack(pdf["p"].to_numpy())
-            d2 = ((z[:, None, :] - mu[None, :, :]) ** 2).sum(axis=2)
-            kern = (1.0 / (1.0 + d2 / alpha)) ** ((alpha + 1.0) / 2.0)
-            q = kern / kern.sum(axis=1, keepdims=True)
-            w = (p - q) / (1.0 + d2 / alpha)
-            acc[0] += len(pdf)
-            acc[1:1 + k] += w.sum(axis=0)
-            acc[1 + k:] += (w.T @ z).ravel()
-        yield pd.DataFrame({"s": [pickle.dumps(acc)]})
-
-    parts = scored.select("latent", "p").mapInPandas(part, "s binary") \
-        .rdd.map(lambda row: pickle.loads(row.s))
-    tot = parts.treeReduce(lambda a, b: a + b, depth=2)
-    bc.unpersist()
-    n = tot[0]
-    if not n:
-        return np.zeros((k, d))
-    wsum = tot[1:1 + k]
-    wz = tot[1 + k:].reshape(k, d)
-    return -((alpha + 1.0) / alpha) * (wz - wsum[:, None] * centroids) / n
+            if len(pdf):
+                _, _, grad = dec_loss_and_grads(np.stack(pdf["latent"].to_numpy()), np.stack(pdf["p"].to_numpy()),
+                                                [], mu, 0.0)
+                acc[0] += len(pdf)
+                acc[1:] += grad.ravel()
+        return acc if acc[0] else None
+
+    centroids = np.asarray(centroids, dtype=float)
+    total = summed(scored, ["latent", "p"], centroids, 1 + centroids.size, work)
+    return total[1:].reshape(centroids.shape) / max(total[0], 1.0)
 
 
 def dec_step(scored: DataFrame, centroids: np.ndarray, velocity: np.ndarray | None = None,
@@ -192,38 +170,14 @@ def centroid_frame(spark, centroids: np.ndarray) -> DataFrame:
     return spark.createDataFrame(rows, "cluster int, dim int, value double")
 
 
-def dec_refine(points: DataFrame, centroids: np.ndarray, batch_col: str = "batch",
-               maxiter: int = 5000, update_interval: int = UPDATE_INTERVAL,
-               tol: float = TOLERANCE, check_interval: int = CHURN_CHECK_INTERVAL):
-    """DEC loop on fixed latent vectors: refresh p every ``update_interval`` steps,
-    one centroid step per mini-batch, stop when the label churn is below ``tol``.
+def dec_refine(points: DataFrame, centroids: np.ndarray, **limits) -> tuple[np.ndarray, DataFrame, list]:
+    """DEC on fixed latent vectors ``(user_id, latent)``: ``dec_train`` without an encoder.
 
-    ``points``: ``(user_id, latent, batch)``. Returns ``(centroids, labels, history)``.
+    ``limits`` are those of ``dec_train``. Returns ``(centroids, labels, history)``.
     """
-    spark = points.sparkSession
-    ensure_checkpoint_dir(spark)
-    n_batches = points.agg(F.max(batch_col)).first()[0] + 1
-    k = centroids.shape[0]
-    velocity = None
-    state = labels = last = None
-    history = []
-    for ite in range(maxiter):
-        if ite % update_interval == 0:
-            scored = hard_labels(target_distribution(soft_assignment(points, centroids), k))
-            # written per refresh, partitioned by mini-batch: each step reads one batch
-            new_state = write_partitioned(
-                scored.select("user_id", "latent", batch_col, "p", "cluster"), "dec_state",
-                batch_col, n_batches)
-            last, labels, state = labels, new_state.select("user_id", "cluster"), new_state
-        if ite % check_interval == 0 and ite > 0 and last is not None:
-            delta = label_churn(last, labels).first()["delta_label"]
-            history.append((ite, float(delta)))
-            if delta < tol:
-                break
-        batch = state.where(F.col(batch_col) == ite % n_batches)
-        centroids, velocity = dec_step(batch, centroids, velocity)
-    final = hard_labels(soft_assignment(points, centroids)).select("user_id", "cluster")
-    return centroids, final, history
+    done = dec_train(points, [], np.asarray(centroids, dtype=float), centroids.shape[1], **limits)
+    labels = hard_labels(soft_assignment(points, done.centroids)).select("user_id", "cluster")
+    return done.centroids, labels, done.history
 
 
 # --------------------------------------------------------------- k-means --
@@ -252,7 +206,7 @@ def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int):
     return model.summary.trainingCost, model
 
 
-def kmeans_restarts(vectors: DataFrame, k: int, n_init: int = N_INIT, max_iter: int = 20,
+def kmeans_restarts(vectors: DataFrame, k: int, n_init: int = N_INIT, max_iter: int = KMEANS_ITERATIONS,
                     parallelism: int | None = None):
     """Best of ``n_init`` seeded fits (lowest within-cluster cost).
 
@@ -266,7 +220,7 @@ def kmeans_restarts(vectors: DataFrame, k: int, n_init: int = N_INIT, max_iter:
     return min(fits, key=lambda f: f[0])
 
 
-def elbow(points: DataFrame, ks=ELBOW_KS, n_init: int = N_INIT, max_iter: int = 20) -> DataFrame:
+def elbow(points: DataFrame, ks=ELBOW_KS, n_init: int = N_INIT, max_iter: int = KMEANS_ITERATIONS) -> DataFrame:
     """Within-cluster sum of squares for each k."""
     vectors = as_vectors(points).persist()
     rows = []
@@ -278,17 +232,49 @@ def elbow(points: DataFrame, ks=ELBOW_KS, n_init: int = N_INIT, max_iter: int =
 
 
 def kmeans_segments(points: DataFrame, k: int = N_CLUSTERS, n_init: int = N_INIT,
-                    max_iter: int = 20) -> tuple[DataFrame, np.ndarray]:
+                    max_iter: int = KMEANS_ITERATIONS) -> tuple[DataFrame, np.ndarray]:
     """``KMeans(k, n_init).fit_predict``: labels and centroids."""
     vectors = as_vectors(points).persist()
     _, model = kmeans_restarts(vectors, k, n_init, max_iter)
-    labels = model.transform(vectors).select("user_id", F.col("prediction").cast("int").alias("cluster"))
+    vectors.unpersist()
+    labels = model.transform(as_vectors(points)).select("user_id", F.col("prediction").cast("int").alias("cluster"))
     centers = np.array([c.tolist() for c in model.clusterCenters()])
     return labels, centers
 
 
 # ------------------------------------------------------------ silhouette --
 
+def silhouette_of_vectors(points: DataFrame, labels: DataFrame) -> DataFrame:
+    """Mean squared-Euclidean silhouette of dense rows ``(user_id, latent)``.
+
+    Per cluster the size, the sum vector and the sum of squared norms (k × d
+    numbers) come from one array pass; a second pass scores every user against
+    the clusters. Singleton clusters score 0.
+    """
+    rows = materialize(points.select("user_id", "latent").join(labels, "user_id"), "silhouette_rows")
+
+    def norm(v: Column) -> Column:
+        return F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x * x)
+
+    d = rows.select(F.max(F.size("latent"))).first()[0] or 0
+    stats = rows.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(norm(F.col("latent"))).alias("q"),
+        F.array(*(F.sum(F.get("latent", F.lit(i))) for i in range(d))).alias("s")).collect()
+    own_n = own_total = F.lit(None).cast("double")
+    others = []
+    for r in stats:  # k clusters of d sums, the size of the centroids
+        dot = F.aggregate(F.zip_with("latent", _lit_vec(r["s"]), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        total = F.lit(float(r["n"])) * norm(F.col("latent")) - 2 * dot + F.lit(float(r["q"]))
+        own = F.col("cluster") == r["cluster"]
+        own_n = F.when(own, F.lit(float(r["n"]))).otherwise(own_n)
+        own_total = F.when(own, total).otherwise(own_total)
+        others.append(F.when(~own, total / F.lit(float(r["n"]))))
+    a = own_total / (own_n - 1)
+    b = F.array_min(F.array(*others))
+    score = F.when(own_n <= 1, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
+    return rows.agg(F.avg(score).alias("silhouette"))
+
+
 def silhouette_from_triples(triples: DataFrame, labels: DataFrame) -> DataFrame:
     """Mean squared-Euclidean silhouette of sparse rows ``(user_id, idx, value)``.
 
@@ -299,9 +285,7 @@ def silhouette_from_triples(triples: DataFrame, labels: DataFrame) -> DataFrame:
     sums = t.groupBy("cluster", "idx").agg(F.sum("value").alias("s"))
     norms = t.groupBy("user_id", "cluster").agg(F.sum(F.col("value") * F.col("value")).alias("nx"))
     sizes = norms.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_c"), F.sum("nx").alias("q_c"))
-    clusters = sorted(r[0] for r in sizes.select("cluster").limit(MAX_CLUSTERS + 1).collect())
-    if len(clusters) > MAX_CLUSTERS:
-        raise ValueError(f"more than {MAX_CLUSTERS} clusters")
+    clusters = sorted(r[0] for r in labels.select("cluster").distinct().collect())  # k labels
     dots = triples.join(broadcast_if_within(sums.withColumnRenamed("cluster", "other"), SUMS_ROWS), "idx") \
         .groupBy("user_id", "other").agg(F.sum(F.col("value") * F.col("s")).alias("xs"))
     pairs = norms.select("user_id", "cluster", "nx",

@@ -76,14 +76,17 @@ def top_products(counts: DataFrame, n: int = TOP_EXCLUDED, key: str = "product_i
     return counts.orderBy(*_count_order(key)).limit(n)
 
 
-def lines_in_products(lines: DataFrame, kept: DataFrame, key: str = "product_id") -> DataFrame:
+def lines_in_products(lines: DataFrame, kept: DataFrame, key: str = "product_id",
+                      bounded: bool = False) -> DataFrame:
     """``isin(kept)`` as a semi join.
 
-    The product set is derived from the lines themselves, so its size is
-    only known at run time: AQE broadcasts it from the shuffle statistics
-    when it is small and keeps the sort-merge semi join otherwise.
+    With ``bounded`` (the catalogue's size is proven) the product set is
+    broadcast and the line table is filtered in place, with no shuffle of its
+    columns by the skewed product key. Otherwise AQE decides from the measured
+    size of the set.
     """
-    return lines.join(kept.select(key), key, "left_semi")
+    side = kept.select(key)
+    return lines.join(F.broadcast(side) if bounded else side, key, "left_semi")
 
 
 def lines_without_products(lines: DataFrame, excluded: DataFrame, key: str = "product_id",
@@ -98,8 +101,8 @@ def pareto_lines(lines: DataFrame, percent: float = PARETO_PERCENT, top: int = T
     """Lines of the products in the running-share head, without the ``top`` most bought."""
     counts = product_counts(lines, key)
     cutoff = pareto_cutoff(cumulative_share(counts, key, bounded), percent)
-    kept = lines_in_products(lines, cutoff, key)
-    return lines_without_products(kept, top_products(counts, top, key), key, bounded=True)
+    kept = lines_without_products(cutoff, top_products(counts, top, key), key, bounded=True)
+    return lines_in_products(lines, kept, key, bounded)
 
 
 def sample_hash(user: Column, seed: int) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +21,12 @@ from ..operators import quality as qual
 from ..operators import selection as sel
 from ..operators import latent as lt
 from ..operators import segments as seg
-from ..operators.autoencoder import dec_train, fit_autoencoder
+from ..operators.autoencoder import dec_train, fit_autoencoder, loss_and_gradient
 from ..session import scratch_path
 from ..sources import files
 from ..sources.basket import read_table
+from ..sources.schemas import USER_FEATURES
+from ..sources.storage import materialize
 from .context import Basket, latent, latent_models, rounded
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -150,7 +153,7 @@ def _lines_in_head(spark, sf_dir):
     """lines of the products within the 80 % running share."""
     b = Basket(spark, sf_dir)
     cutoff = sel.pareto_cutoff(sel.cumulative_share(sel.product_counts(b.data), bounded=b.small))
-    return sel.lines_in_products(b.data, cutoff)
+    return sel.lines_in_products(b.data, cutoff, bounded=b.small)
 
 
 @query("lines_without_top6")
@@ -271,6 +274,35 @@ def _purchase_range(spark, sf_dir):
     return feat.purchase_range(feat.product_features(Basket(spark, sf_dir).pareto), (0, 1000), (0.0, 1.0))
 
 
+#: the axis windows that the study looks at: (purchases, reorder ratio)
+AXIS_WINDOWS = (((0, 10_000), (0.75, 1.0)), ((0, 1000), (0.75, 1.0)), ((0, 250), (0.75, 1.0)), ((0, 10_000), (0.0, 1.0)))
+
+
+@query("axis_windows")
+def _axis_windows(spark, sf_dir):
+    """F8: the products inside each of the study's axis windows."""
+    products = feat.product_features(Basket(spark, sf_dir).pareto)
+    out = None
+    for k, (purchases, reorder) in enumerate(AXIS_WINDOWS, 1):
+        part = feat.purchase_range(products, purchases, reorder).withColumn("axis_window", F.lit(k))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("feature_table_large_users")
+def _feature_table_large_users(spark, sf_dir):
+    """J11 with the minimum-orders filter in force (Q2): pairs of smaller users are dropped."""
+    b = Basket(spark, sf_dir)
+    t = b.tables
+    return feat.feature_table(b.pareto, t.products, t.aisles, t.departments, small=b.small, drop_small_users=True)
+
+
+@query("sample_users_exact")
+def _sample_users_exact(spark, sf_dir):
+    """R1 with an exact count: the quarter of the users with the smallest hashes."""
+    return sel.sample_users(Basket(spark, sf_dir).features, exact=True)
+
+
 @query("pair_times_bought")
 def _pair_times_bought(spark, sf_dir):
     """Purchases per (user, product)."""
@@ -388,7 +420,8 @@ def _product_lookup_unknown(spark, sf_dir):
     names = b.tables.order_products.join(
         part.select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("product_name")),
         "product_id").select("product_name").distinct()
-    return merge.lookup_with_default(names, b.dim, "product_name", b.small)
+    known = b.dim.where(F.length("product_name") % 2 == 0)  # some names are absent from the dimension
+    return merge.lookup_with_default(names, known, "product_name", b.small)
 
 
 @query("duplicate_keys")
@@ -426,23 +459,23 @@ def _user_constants(spark, sf_dir):
 
 @query("sticky_matrix")
 def _sticky_matrix(spark, sf_dir):
-    """The wide user × product-name pivot, absent = 0."""
-    return mx.sticky_matrix(Basket(spark, sf_dir).features)
+    """The wide user × product-name pivot, absent = 0, shown as one row per cell."""
+    return mx.melt(mx.sticky_matrix(Basket(spark, sf_dir).features), ["user_id"])
 
 
 @query("user_matrix")
 def _user_matrix(spark, sf_dir):
-    """User features ⋈ wide matrix."""
+    """User features ⋈ wide matrix, shown as one row per cell."""
     f = Basket(spark, sf_dir).features
-    return mx.user_matrix(f, mx.sticky_matrix(f))
+    wide = mx.user_matrix(f, mx.sticky_matrix(f))
+    return mx.melt(wide, ["user_id", *USER_FEATURES])
 
 
 @query("user_vectors")
 def _user_vectors(spark, sf_dir):
-    """One sparse vector per user (index = rank of the product name)."""
-    b = Basket(spark, sf_dir)
-    vec = mx.user_vectors(b.triples, b.width)
-    return vec.select("user_id", F.col("features").cast("string").alias("features"))
+    """One sparse vector per user (index = rank of the product name), its cells in order."""
+    return Basket(spark, sf_dir).vectors.select("user_id", F.posexplode(F.arrays_zip("indices", "values")).alias("k", "c")) \
+        .select("user_id", "k", F.col("c.indices").alias("idx"), F.col("c.values").alias("value"))
 
 
 @query("holdout_split")
@@ -601,7 +634,7 @@ def _ranked(spark, sf_dir, level: str, top: int, bottom: int):
     b = Basket(spark, sf_dir)
     values = _level_values(b, level)
     means = prof.segment_means(values, b.labels, level)
-    out = prof.ranked_items(means, values.select(level), level, top, bottom, bounded=b.small)
+    out = prof.ranked_items(means, values.select(level), level, top, bottom, bounded=b.small, segments=b.labels)
     return out.withColumnRenamed(level, "item")
 
 
@@ -621,13 +654,24 @@ for _level, _name in [("product_name", "products"), ("aisle", "aisles"), ("depar
 
 @query("scan_csv")
 def _scan_csv(spark, sf_dir):
-    """S-1: orders written as CSV with a header, read back with the explicit schema."""
+    """S-1: orders written as CSV, with an extra column and in another column order, read by header name."""
     orders = Basket(spark, sf_dir).tables.orders
     path = scratch_path(spark, "orders_csv")
-    files.write_csv(orders, path)
+    files.write_csv(orders.select(*reversed(orders.columns)).select(
+        "user_id", F.lit(8).alias("order_hour_of_day"), *[c for c in reversed(orders.columns) if c != "user_id"]), path)
     return files.read_csv(spark, path, "orders")
 
 
+@query("scan_csv_names")
+def _scan_csv_names(spark, sf_dir):
+    """S-1: products whose names hold quotes, commas and a line break, written as CSV and read back."""
+    products = Basket(spark, sf_dir).tables.products
+    name = F.concat(F.lit('"Big" '), F.col("product_name"), F.lit(', dark\n"x"'))
+    path = scratch_path(spark, "products_csv")
+    files.write_csv(products.withColumn("product_name", name).withColumn("extra", F.lit("a,b")), path)
+    return files.read_csv(spark, path, "products", multiline=True)
+
+
 @query("write_csv")
 def _write_csv(spark, sf_dir):
     """S-2: the feature table written as CSV and read back."""
@@ -657,11 +701,28 @@ def _scan_latent(spark, sf_dir):
 
 @query("weights_roundtrip")
 def _weights_roundtrip(spark, sf_dir):
-    """S-5: the fixture encoder's weight table written as Parquet and read back."""
+    """S-5: a model's weights and centroids written as Parquet and read back, one row per weight."""
     d = Basket(spark, sf_dir).width
+    points = latent(spark, sf_dir)
     path = scratch_path(spark, "weights")
-    files.write_weights(lt.weight_table(spark, lt.fixture_layers(d)), path)
-    return files.read_weights(spark, path)
+    files.write_weights(lt.weight_table(spark, lt.fixture_layers(d), _fixture_centroids(points)), path)
+    return files.read_weights(spark, path).select(
+        "layer", "kind", "row", F.posexplode("values").alias("col", "value"))
+
+
+@query("score_saved_model")
+def _score_saved_model(spark, sf_dir):
+    """S-5, C10, C3, C4, C6: a saved encoder and its centroids, loaded, score every user: q, p and label."""
+    b = Basket(spark, sf_dir)
+    layers = lt.fixture_layers(b.width)
+    z = lt.encode(b.vectors, layers, b.width)
+    centroids = seg.label_centroids(z.join(b.labels, "user_id"), [0, 1, 2], "cluster")
+    path = scratch_path(spark, "model")
+    files.write_weights(lt.weight_table(spark, layers, centroids), path)
+    loaded, mu = lt.layers_from_table(files.read_weights(spark, path))
+    scored = seg.target_distribution(seg.soft_assignment(lt.encode(b.vectors, loaded, b.width), mu), len(mu))
+    label = seg.hard_labels(scored).select("user_id", F.col("cluster").alias("label"))
+    return seg.long_assignments(scored).join(label, "user_id")
 
 
 # ------------------------------------------------------------------ latent --
@@ -749,25 +810,29 @@ def _label_churn(spark, sf_dir):
 
 @query("dec_step")
 def _dec_step(spark, sf_dir):
-    """C8 (one step): centroid gradient over all users and the updated centroids."""
+    """C8 (two steps): centroid gradients over all users and the updates with momentum, scaled to show.
+
+    ``gradient`` and ``gradient2`` are times 1e6, ``update2`` (the second
+    velocity over the learning rate) too; ``moved`` is the way from the first
+    to the last centroid times 1e6.
+    """
     points = latent(spark, sf_dir)
     cents = _fixture_centroids(points)
     scored = seg.target_distribution(seg.soft_assignment(points, cents), 3)
     grad = seg.centroid_gradient(scored, cents)
-    new, _ = seg.dec_step(scored, cents)
-    rows = [(j, i, float(grad[j, i]), float(new[j, i])) for j in range(cents.shape[0])
-            for i in range(cents.shape[1])]
-    return spark.createDataFrame(rows, "cluster int, dim int, gradient double, value double")
+    one, velocity = seg.dec_step(scored, cents)
+    two, velocity2 = seg.dec_step(scored, one, velocity)
+    rows = [(j, i, 1e6 * float(grad[j, i]), 1e6 * float(velocity2[j, i] / seg.LEARNING_RATE),
+             1e6 * float(two[j, i] - cents[j, i])) for j in range(cents.shape[0]) for i in range(cents.shape[1])]
+    return spark.createDataFrame(rows, "cluster int, dim int, gradient double, update2 double, moved double")
 
 
 @query("dec_refine")
 def _dec_refine(spark, sf_dir):
-    """C8 (loop): DEC refinement from k-means centroids, 100 steps, labels per user."""
-    points = latent(spark, sf_dir)
-    users = points.select("user_id")
-    batched = points.join(mx.minibatch_ids(users, mx.batch_count(users.count())), "user_id")
+    """C8 (loop): DEC refinement from k-means centroids to its stop rule, labels per user."""
+    points = latent(spark, sf_dir).select("user_id", "latent")
     _, cents = seg.kmeans_segments(points, seg.N_CLUSTERS, n_init=seg.N_INIT)
-    _, labels, _ = seg.dec_refine(batched.select("user_id", "latent", "batch"), cents, maxiter=100)
+    _, labels, _ = seg.dec_refine(points, cents)
     return labels
 
 
@@ -776,11 +841,11 @@ def _silhouette_sq(spark, sf_dir):
     """Squared-Euclidean silhouette of the latent vectors by their label."""
     points = latent(spark, sf_dir)
     labels = points.select("user_id", F.col("label").alias("cluster"))
-    return seg.silhouette_from_triples(seg.dense_triples(points), labels)
+    return seg.silhouette_of_vectors(points, labels)
 
 
-@query("silhouette")
-def _silhouette(spark, sf_dir):
+@query("silhouette_sq_basket")
+def _silhouette_sq_basket(spark, sf_dir):
     """C14 (re-aimed, linear): squared-Euclidean silhouette of the sparse basket vectors."""
     b = Basket(spark, sf_dir)
     return seg.silhouette_from_triples(b.triples, b.labels)
@@ -829,51 +894,128 @@ def _reconstruction_error(spark, sf_dir):
         F.avg("mse").alias("mse"), F.count(F.lit(1)).alias("users"))
 
 
+@query("lloyd_step")
+def _lloyd_step(spark, sf_dir):
+    """C2 (one step): users at their nearest label-0/1/2 centroid, and the means of these groups."""
+    points = latent(spark, sf_dir)
+    cents = _fixture_centroids(points)
+    nearest = seg.hard_labels(seg.soft_assignment(points, cents)).select("user_id", "latent", "cluster")
+    return nearest.select("user_id", "cluster", F.posexplode("latent").alias("dim", "value")) \
+        .groupBy("cluster", "dim").agg(F.avg("value").alias("mean"), F.count("*").alias("users"))
+
+
+@query("kmeans_fixed_point")
+def _kmeans_fixed_point(spark, sf_dir):
+    """The fitted k-means is a fixed point: every user at its nearest centre, every centre its users' mean."""
+    points = latent(spark, sf_dir).select("user_id", "latent")
+    labels, cents = seg.kmeans_segments(points)
+    nearest = seg.hard_labels(seg.soft_assignment(points, cents)).select("user_id", F.col("cluster").alias("near"))
+    joined = points.join(labels, "user_id").join(nearest, "user_id")
+    means = joined.groupBy("cluster").agg(
+        F.count("*").alias("n"), F.sum((F.col("cluster") != F.col("near")).cast("int")).alias("away"),
+        F.array(*(F.avg(F.get("latent", F.lit(i))) for i in range(cents.shape[1]))).alias("mean")).collect()
+    shift = max(float(np.abs(np.array(r["mean"]) - cents[r["cluster"]]).max()) for r in means)
+    return spark.createDataFrame(
+        [(sum(r["n"] for r in means), len(means), sum(r["away"] for r in means), shift < 1e-2)],
+        "users long, clusters int, users_not_at_nearest long, centres_are_means boolean")
+
+
+@query("autoencoder_gradient")
+def _autoencoder_gradient(spark, sf_dir):
+    """C9 (one full-data pass): gradient sums of the fixture autoencoder (L1 1e-3), times 1000."""
+    b = Basket(spark, sf_dir)
+    layers = lt.fixture_layers(b.width)
+    _, _, _, grads = loss_and_gradient(b.vectors, layers, b.width, 1e-3)
+    return lt.weight_table(spark, [(1e3 * w, 1e3 * g) for w, g in grads]).select(
+        "layer", "kind", "row", F.posexplode("values").alias("col", "value"))
+
+
+@query("autoencoder_loss")
+def _autoencoder_loss(spark, sf_dir):
+    """Mean penalised loss and mean squared error of the fixture autoencoder (L1 1e-3)."""
+    b = Basket(spark, sf_dir)
+    n, loss, err, _ = loss_and_gradient(b.vectors, lt.fixture_layers(b.width), b.width, 1e-3)
+    return spark.createDataFrame([(int(n), float(loss / n), float(err / n))], "users long, loss double, mse double")
+
+
 def _training_rows(b: Basket):
-    users = b.vectors.select("user_id")
-    split = mx.holdout_split(users)
-    n_train = split.where(F.col("split") == "train").count()
-    batched = mx.minibatch_ids(split, mx.batch_count(n_train))
-    return b.vectors.join(batched, "user_id")
+    """The user vectors with their train / validation split."""
+    return b.vectors.join(mx.holdout_split(b.vectors.select("user_id")), "user_id")
+
+
+HISTORY = "epoch int, loss double, val_loss double, mse double, val_mse double"
 
 
 @query("autoencoder_fit")
 def _autoencoder_fit(spark, sf_dir):
-    """Data-parallel autoencoder fit (hidden width d, latent 150, L1 1e-7), 3 epochs."""
+    """Autoencoder fit (hidden width d, latent 150, L1 1e-7) to its stop rule; the epoch history."""
     b = Basket(spark, sf_dir)
     d = b.width
-    res = fit_autoencoder(_training_rows(b), d, [(d, d), (d, 150), (150, d)], 1e-7, epochs=3)
-    rows = [(int(e), *map(float, rest)) for e, *rest in res.history]
-    return spark.createDataFrame(rows, "epoch int, loss double, val_loss double, "
-                                       "mse double, val_mse double")
+    res = fit_autoencoder(_training_rows(b), d, [(d, d), (d, 150), (150, d)], 1e-7)
+    return spark.createDataFrame([(int(e), *map(float, rest)) for e, *rest in res.history], HISTORY)
 
 
 @query("latent_sweep")
 def _latent_sweep(spark, sf_dir):
-    """Grid over (latent width, L1 strength) = (150, 1e-8), (150, 1e-9); 2 epochs each."""
+    """C12 with A26-A30: grid over (latent width, L1 strength) = (150, 1e-8), (150, 1e-9), each fitted to
+    its stop rule, its latent matrix written and profiled."""
     b = Basket(spark, sf_dir)
     d = b.width
-    rows_df = _training_rows(b).persist()
-    out = []
+    rows, models = [], None
     for ld, r in [(150, 1e-8), (150, 1e-9)]:
-        res = fit_autoencoder(rows_df, d, [(d, d), (d, ld), (ld, d)], r, epochs=2)
-        best = res.history[res.best_epoch]
-        out.append((ld, r, *map(float, best[1:])))
-    rows_df.unpersist()
-    return spark.createDataFrame(out, "ld int, r double, train_loss double, val_loss double, "
-                                      "train_mse double, val_mse double")
+        res = fit_autoencoder(_training_rows(b), d, [(d, d), (d, ld), (ld, d)], r)
+        name = f"{ld}-{r:g}"
+        rows.append((name, ld, r, *map(float, res.history[res.best_epoch][1:])))
+        z = lt.with_model(lt.encode(b.vectors, res.layers, d), name)
+        models = z if models is None else models.unionByName(z)
+    path = scratch_path(spark, "sweep_latent")
+    files.write_latent(models, path)
+    values = lt.latent_values(files.scan_latent(spark, path))
+    fits = spark.createDataFrame(rows, "model string, ld int, r double, train_loss double, val_loss double, "
+                                       "train_mse double, val_mse double")
+    return fits.join(lt.latent_sparsity(values), "model").join(lt.latent_variance(values), "model")
+
+
+@query("segmentation_chain")
+def _segmentation_chain(spark, sf_dir):
+    """The whole study: autoencoder fit, saved and loaded weights, latent vectors, k-means, DEC with the
+    encoder, labels; size, mean q and p, and silhouettes per segment."""
+    b = Basket(spark, sf_dir)
+    d = b.width
+    fit = fit_autoencoder(_training_rows(b), d, [(d, 8), (8, 4), (4, d)], 1e-7)
+    path = scratch_path(spark, "chain_model")
+    files.write_weights(lt.weight_table(spark, fit.layers), path)
+    layers, _ = lt.layers_from_table(files.read_weights(spark, path))
+    z = lt.encode(b.vectors, layers, d)
+    _, cents = seg.kmeans_segments(z, seg.N_CLUSTERS, n_init=seg.N_INIT)
+    done = dec_train(b.vectors, layers[:2], cents, d)
+    scored = materialize(seg.hard_labels(seg.target_distribution(seg.soft_assignment(
+        lt.encode(b.vectors, done.encoder, d), done.centroids), len(cents))), "chain_scored")
+    labels = scored.select("user_id", "cluster")
+    latent_sil = seg.silhouette_of_vectors(scored, labels).first()[0]
+    matrix_sil = seg.silhouette_from_triples(b.triples, labels).first()[0]
+    return (prof.cluster_sizes(labels).join(seg.mean_assignment(scored), "cluster", "right")
+            .withColumn("users", F.coalesce("users", F.lit(0)))
+            .withColumn("latent_silhouette", F.lit(latent_sil)).withColumn("matrix_silhouette", F.lit(matrix_sil)))
+
+
+@query("describe_latent")
+def _describe_latent(spark, sf_dir):
+    """D2 on the latent matrix: describe() of every latent dimension."""
+    points = latent(spark, sf_dir)
+    d = points.select(F.max(F.size("latent"))).first()[0] or 0
+    wide = points.select(*(F.get("latent", F.lit(i)).alias(f"z{i}") for i in range(d)))
+    return qual.profile_describe(wide, [f"z{i}" for i in range(d)])
 
 
 @query("dec_train_encoder")
 def _dec_train_encoder(spark, sf_dir):
-    """C8 with encoder training: DEC on the basket vectors, encoder (d -> 8 -> 4) and centroids
-    updated together from k-means initial centroids; 50 steps, labels per user."""
+    """C8 with encoder training: DEC on the basket vectors to its stop rule, encoder (d -> 8 -> 4) and
+    centroids updated together from k-means initial centroids; labels per user."""
     b = Basket(spark, sf_dir)
     d = b.width
     encoder = lt.fixture_layers(d)[:2]
-    users = b.vectors.select("user_id")
-    batched = b.vectors.join(mx.minibatch_ids(users, mx.batch_count(users.count())), "user_id")
-    z = lt.encode(b.vectors, encoder, d)
-    _, cents = seg.kmeans_segments(z, seg.N_CLUSTERS, n_init=seg.N_INIT)
-    _, _, labels, _ = dec_train(batched, encoder, cents, d, maxiter=50)
-    return labels
+    _, cents = seg.kmeans_segments(lt.encode(b.vectors, encoder, d), seg.N_CLUSTERS, n_init=seg.N_INIT)
+    done = dec_train(b.vectors, encoder, cents, d)
+    z = lt.encode(b.vectors, done.encoder, d)
+    return seg.hard_labels(seg.soft_assignment(z, done.centroids)).select("user_id", "cluster")

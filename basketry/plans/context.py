@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import quoted
 from ..operators import features as feat
 from ..operators import merge
 from ..operators import latent as lt
@@ -35,9 +36,9 @@ def rounded(df: DataFrame, digits: int = DOUBLE_DIGITS) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append((F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name))
+            cols.append((F.round(F.col(quoted(f.name)), digits) + F.lit(0.0)).alias(f.name))
         else:
-            cols.append(F.col(f"`{f.name}`"))
+            cols.append(F.col(quoted(f.name)))
     return df.select(*cols)
 
 
@@ -53,7 +54,7 @@ class Basket:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self.grain = grain
-        self.key = (self.grain, source_fingerprint([f"{self.sf_dir}/{t}.parquet" for t in SOURCES]))
+        self.key = (self.grain, source_fingerprint([f"{self.sf_dir}/{t}.parquet" for t in SOURCES], spark))
 
     def _stage(self, label: str, build) -> DataFrame:
         return reuse_or_write(self.spark, f"{label}-{self.grain}", self.key, build)

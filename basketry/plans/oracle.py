@@ -129,6 +129,10 @@ SELECT product_id, avg(add_to_cart_order) AS mean_add_to_cart_order FROM pl_t GR
 oracle("purchase_range", """
 SELECT * FROM prd_t WHERE p_total_purchases BETWEEN 0 AND 1000 AND p_reorder_ratio BETWEEN 0 AND 1""",
        PRODUCT_DOUBLES)
+oracle("axis_windows", """
+SELECT p.*, w.k AS axis_window FROM prd_t p
+JOIN (VALUES (1, 10000, 0.75), (2, 1000, 0.75), (3, 250, 0.75), (4, 10000, 0.0)) w(k, top, low)
+  ON p.p_total_purchases BETWEEN 0 AND w.top AND p.p_reorder_ratio BETWEEN w.low AND 1""", PRODUCT_DOUBLES)
 oracle("pair_times_bought", """
 SELECT user_id, product_id, count(order_id) AS uxp_total_bought FROM pl_t GROUP BY 1, 2""")
 oracle("pair_first_order", """
@@ -178,27 +182,33 @@ oracle("product_lookup_unknown", """
 SELECT n.product_name, COALESCE(a.aisle, 'Unknown') AS aisle, COALESCE(a.department, 'Unknown') AS department
 FROM (SELECT DISTINCT p.p_name AS product_name
       FROM border_products_t op JOIN part p ON op.product_id = p.p_partkey) n
-LEFT JOIN battrs_t a ON n.product_name = a.product_name""")
+LEFT JOIN battrs_t a ON n.product_name = a.product_name AND length(a.product_name) % 2 = 0""")
 oracle("duplicate_keys", """
 SELECT user_id, product_name, count(DISTINCT product_id) AS n_items FROM bdata_t
 GROUP BY 1, 2 HAVING count(DISTINCT product_id) > 1""")
 oracle("sample_users", f"""
 SELECT DISTINCT user_id FROM feature_t WHERE {_hash(16)} < {int(0.25 * 2 ** 32)}""")
+oracle("sample_users_exact", f"""
+SELECT user_id FROM (
+  SELECT user_id, row_number() OVER (ORDER BY {_hash(16)}, user_id) AS rn, count(*) OVER () AS n
+  FROM (SELECT DISTINCT user_id FROM feature_t WHERE user_id IS NOT NULL))
+WHERE rn <= round_even(CAST(0.25 AS DOUBLE) * n, 0)""")
+oracle("feature_table_large_users", "SELECT * FROM feature_t WHERE user_id IN (SELECT user_id FROM user_t)",
+       ("sticky",) + USER_DOUBLES + PRODUCT_DOUBLES)
 oracle("sample_user_rows", f"SELECT * FROM feature_t WHERE {_hash(16)} < {int(0.25 * 2 ** 32)}",
        FEATURE_DOUBLES)
 oracle("distinct_users", "SELECT DISTINCT user_id FROM pl_t")
 oracle("user_constants", "SELECT * FROM urows_t", USER_DOUBLES)
-oracle("sticky_matrix", """
-SELECT user_id, round(COALESCE(COLUMNS(* EXCLUDE (user_id)), 0), 6) + CAST(0 AS DOUBLE)
-FROM (PIVOT (SELECT user_id, product_name, sticky FROM feature_t) ON product_name
-      USING max(sticky) GROUP BY user_id)""")
-oracle("user_matrix", """
-SELECT u.user_id, round(u.avg_days_since_prior_order, 6) + CAST(0 AS DOUBLE) AS avg_days_since_prior_order,
-       round(u.u_reordered_ratio, 6) + CAST(0 AS DOUBLE) AS u_reordered_ratio, u.u_total_orders,
-       round(u.order_size_avg, 6) + CAST(0 AS DOUBLE) AS order_size_avg,
-       round(COALESCE(COLUMNS(w.* EXCLUDE (user_id)), 0), 6) + CAST(0 AS DOUBLE)
-FROM urows_t u JOIN (PIVOT (SELECT user_id, product_name, sticky FROM feature_t) ON product_name
-      USING max(sticky) GROUP BY user_id) w ON u.user_id = w.user_id""")
+_CELLS = """
+FROM {users} u CROSS JOIN (SELECT DISTINCT product_name FROM feature_t WHERE product_name IS NOT NULL) n
+LEFT JOIN feature_t f ON f.user_id = u.user_id AND f.product_name = n.product_name"""
+oracle("sticky_matrix", "SELECT u.user_id, n.product_name, COALESCE(f.sticky, CAST(0 AS DOUBLE)) AS value"
+       + _CELLS.format(users="(SELECT DISTINCT user_id FROM feature_t)"), ("value",))
+oracle("user_matrix", "SELECT u.*, n.product_name, COALESCE(f.sticky, CAST(0 AS DOUBLE)) AS value"
+       + _CELLS.format(users="urows_t"), USER_DOUBLES + ("value",))
+oracle("user_vectors", """
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY idx) - 1 AS INTEGER) AS k, idx, value
+FROM tri_t""", ("value",))
 oracle("holdout_split", f"""
 SELECT user_id, CASE WHEN {_hash(7)} < {int(0.2 * 2 ** 32)} THEN 'validation' ELSE 'train' END AS split
 FROM urows_t""")
@@ -293,6 +303,9 @@ SELECT cluster, 'bottom' AS "end", r_bottom AS rank, item, mean FROM {_cte} WHER
 
 # ------------------------------------------------------- latent and sources --
 oracle("scan_csv", "SELECT * FROM orders_t", DAYS)
+oracle("scan_csv_names", """
+SELECT product_id, '"Big" ' || product_name || ', dark' || chr(10) || '"x"' AS product_name, aisle_id, department_id
+FROM products_t""")
 oracle("write_csv", "SELECT * FROM feature_t", FEATURE_DOUBLES)
 oracle("write_latent", """
 SELECT model, count(*) AS users, CAST(sum(n) AS BIGINT) AS "values"
@@ -312,7 +325,8 @@ def _weights_sql() -> str:
     d_i, d_j = "(SELECT idx AS i FROM idx_t)", "(SELECT idx AS j FROM idx_t)"
     r = lambda n, c: f"(SELECT range AS {c} FROM range({n}))"
     parts = [ker(0, d_i, r(8, "j")), bias(0, r(8, "j")), ker(1, r(8, "i"), r(4, "j")), bias(1, r(4, "j")),
-             ker(2, r(4, "i"), d_j), bias(2, d_j)]
+             ker(2, r(4, "i"), d_j), bias(2, d_j),
+             "SELECT -1 AS layer, 'centroid' AS kind, CAST(cluster AS INTEGER) AS row, dim AS col, c AS value FROM cent_t"]
     return "\nUNION ALL\n".join(parts)
 
 
@@ -368,17 +382,106 @@ FROM (SELECT user_id, cluster FROM (SELECT user_id, cluster, row_number() OVER
 JOIN (SELECT user_id, cluster FROM (SELECT user_id, cluster, row_number() OVER
         (PARTITION BY user_id ORDER BY d2, cluster) AS rn FROM d22_t) WHERE rn = 1) b
 ON a.user_id = b.user_id""", ("delta_label",))
+# two steps of DEC on fixed latent vectors: the target p stays, q follows the moved centroids
+BOOK.add("g1_t", """
+SELECT w.cluster, v.dim, CAST(-2 AS DOUBLE) * sum(w.w * (v.value - c.c)) / any_value(n.n) AS g
+FROM (SELECT p.user_id, p.cluster, (p.p - p.q) / (CAST(1 AS DOUBLE) + d.d2) AS w
+      FROM p_t p JOIN d2_t d ON p.user_id = d.user_id AND p.cluster = d.cluster) w
+JOIN lv0_t v ON v.user_id = w.user_id
+JOIN cent_t c ON c.cluster = w.cluster AND c.dim = v.dim
+CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n FROM lat_t) n
+GROUP BY 1, 2""")
+BOOK.add("centb_t", """
+SELECT c.cluster, c.dim, c.c - CAST(0.0001 AS DOUBLE) * g.g AS c
+FROM cent_t c JOIN g1_t g ON g.cluster = c.cluster AND g.dim = c.dim""")
+BOOK.add("d2b_t", """
+SELECT v.user_id, c.cluster, sum((v.value - c.c) * (v.value - c.c)) AS d2
+FROM lv0_t v JOIN centb_t c ON v.dim = c.dim GROUP BY 1, 2""")
+BOOK.add("qb_t", """
+SELECT user_id, cluster, d2, k / sum(k) OVER (PARTITION BY user_id) AS q
+FROM (SELECT user_id, cluster, d2, CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + d2) AS k FROM d2b_t)""")
+BOOK.add("g2_t", """
+SELECT w.cluster, v.dim, CAST(-2 AS DOUBLE) * sum(w.w * (v.value - c.c)) / any_value(n.n) AS g
+FROM (SELECT p.user_id, p.cluster, (p.p - b.q) / (CAST(1 AS DOUBLE) + b.d2) AS w
+      FROM p_t p JOIN qb_t b ON p.user_id = b.user_id AND p.cluster = b.cluster) w
+JOIN lv0_t v ON v.user_id = w.user_id
+JOIN centb_t c ON c.cluster = w.cluster AND c.dim = v.dim
+CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n FROM lat_t) n
+GROUP BY 1, 2""")
 oracle("dec_step", """
-SELECT g.cluster, g.dim, CAST(-2 AS DOUBLE) * g.s / n.n AS gradient,
-       c.c - CAST(0.0001 AS DOUBLE) * (CAST(-2 AS DOUBLE) * g.s / n.n) AS value
-FROM (SELECT w.cluster, v.dim, sum(w.w * (v.value - c.c)) AS s
-      FROM (SELECT p.user_id, p.cluster, (p.p - p.q) / (CAST(1 AS DOUBLE) + d.d2) AS w
-            FROM p_t p JOIN d2_t d ON p.user_id = d.user_id AND p.cluster = d.cluster) w
-      JOIN lv0_t v ON v.user_id = w.user_id
-      JOIN cent_t c ON c.cluster = w.cluster AND c.dim = v.dim
-      GROUP BY 1, 2) g
-JOIN cent_t c ON c.cluster = g.cluster AND c.dim = g.dim
-CROSS JOIN (SELECT count(*) AS n FROM lat_t) n""", ("gradient", "value"))
+SELECT CAST(a.cluster AS INTEGER) AS cluster, a.dim, CAST(1e6 AS DOUBLE) * a.g AS gradient,
+       CAST(-1e6 AS DOUBLE) * (CAST(0.1 AS DOUBLE) * a.g + b.g) AS update2,
+       CAST(-100 AS DOUBLE) * (CAST(1.1 AS DOUBLE) * a.g + b.g) AS moved
+FROM g1_t a JOIN g2_t b ON a.cluster = b.cluster AND a.dim = b.dim""", ("gradient", "update2", "moved"))
+oracle("lloyd_step", """
+SELECT l.cluster, v.dim, avg(v.value) AS mean, count(*) AS users
+FROM (SELECT user_id, CAST(cluster AS INTEGER) AS cluster, row_number() OVER
+        (PARTITION BY user_id ORDER BY d2, cluster) AS rn FROM d2_t) l
+JOIN lv0_t v ON v.user_id = l.user_id WHERE l.rn = 1 GROUP BY 1, 2""", ("mean",))
+oracle("kmeans_fixed_point", """
+SELECT count(*) AS users, 3 AS clusters, CAST(0 AS BIGINT) AS users_not_at_nearest, true AS centres_are_means
+FROM lat_t""")
+oracle("describe_latent", """
+SELECT 'z' || dim AS "column", count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std,
+       min(value) AS min, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50,
+       quantile_cont(value, 0.75) AS q75, max(value) AS max
+FROM lv0_t GROUP BY dim""", _DESC)
+
+# one full-data pass of the fixture autoencoder (d -> 8 -> 4 -> d), L1 1e-3
+BOOK.add("dz3_t", """
+SELECT o.user_id, o.j, (CAST(2 AS DOUBLE) / d.d) * (o.y - COALESCE(t.value, 0)) * o.y * (1 - o.y) AS g
+FROM out_t o LEFT JOIN tri_t t ON o.user_id = t.user_id AND o.j = t.idx
+CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS d FROM idx_t) d""")
+BOOK.add("dz2_t", f"""
+SELECT h.user_id, h.k, (b.s + CAST(1e-3 AS DOUBLE)) * h.a * (1 - h.a) AS g
+FROM h2_t h JOIN (SELECT z.user_id, r.k, sum(z.g * {_w(2, 'r.k', 'z.j')}) AS s
+                  FROM dz3_t z CROSS JOIN (SELECT CAST(range AS INTEGER) AS k FROM range(4)) r
+                  GROUP BY z.user_id, r.k) b ON b.user_id = h.user_id AND b.k = h.k""")
+BOOK.add("dz1_t", f"""
+SELECT h.user_id, h.j, (b.s + CAST(1e-3 AS DOUBLE)) * h.a * (1 - h.a) AS g
+FROM h1_t h JOIN (SELECT z.user_id, r.j, sum(z.g * {_w(1, 'r.j', 'z.k')}) AS s
+                  FROM dz2_t z CROSS JOIN (SELECT CAST(range AS INTEGER) AS j FROM range(8)) r
+                  GROUP BY z.user_id, r.j) b ON b.user_id = h.user_id AND b.j = h.j""")
+
+
+def _gradient_sql() -> str:
+    k = "CAST(1000 AS DOUBLE)"
+    parts = [
+        f"""SELECT 0 AS layer, 'kernel' AS kind, c.i AS row, c.j AS col, {k} * COALESCE(s.g, 0) AS value
+FROM (SELECT a.idx AS i, b.j FROM idx_t a CROSS JOIN (SELECT CAST(range AS INTEGER) AS j FROM range(8)) b) c
+LEFT JOIN (SELECT t.idx AS i, z.j, sum(t.value * z.g) AS g FROM tri_t t JOIN dz1_t z ON z.user_id = t.user_id
+           GROUP BY 1, 2) s ON s.i = c.i AND s.j = c.j""",
+        f"SELECT 0, 'bias', 0, j, {k} * sum(g) FROM dz1_t GROUP BY j",
+        f"""SELECT 1, 'kernel', h.j, z.k, {k} * sum(h.a * z.g)
+FROM h1_t h JOIN dz2_t z ON z.user_id = h.user_id GROUP BY h.j, z.k""",
+        f"SELECT 1, 'bias', 0, k, {k} * sum(g) FROM dz2_t GROUP BY k",
+        f"""SELECT 2, 'kernel', h.k, z.j, {k} * sum(h.a * z.g)
+FROM h2_t h JOIN dz3_t z ON z.user_id = h.user_id GROUP BY h.k, z.j""",
+        f"SELECT 2, 'bias', 0, j, {k} * sum(g) FROM dz3_t GROUP BY j"]
+    return "\nUNION ALL\n".join(parts)
+
+
+oracle("autoencoder_gradient", _gradient_sql(), ("value",))
+oracle("autoencoder_loss", """
+SELECT count(*) AS users, avg(m.mse + CAST(1e-3 AS DOUBLE) * (a.s + b.s)) AS loss, avg(m.mse) AS mse
+FROM umse_t m JOIN (SELECT user_id, sum(a) AS s FROM h1_t GROUP BY 1) a ON a.user_id = m.user_id
+JOIN (SELECT user_id, sum(a) AS s FROM h2_t GROUP BY 1) b ON b.user_id = m.user_id""", ("loss", "mse"))
+
+# a saved encoder and its centroids (means of the latent vectors of user_id % 3)
+BOOK.add("zc_t", """
+SELECT l.cluster, h.k, avg(h.a) AS c FROM h2_t h JOIN lab_t l ON l.user_id = h.user_id GROUP BY 1, 2""")
+BOOK.add("zq_t", """
+SELECT user_id, cluster, w / sum(w) OVER (PARTITION BY user_id) AS q
+FROM (SELECT h.user_id, c.cluster, CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + sum((h.a - c.c) * (h.a - c.c))) AS w
+      FROM h2_t h JOIN zc_t c ON c.k = h.k GROUP BY 1, 2)""")
+BOOK.add("zp_t", """
+SELECT user_id, cluster, q, w / sum(w) OVER (PARTITION BY user_id) AS p
+FROM (SELECT q.user_id, q.cluster, q.q, q.q * q.q / f.f AS w
+      FROM zq_t q JOIN (SELECT cluster, sum(q) AS f FROM zq_t GROUP BY 1) f ON f.cluster = q.cluster)""")
+oracle("score_saved_model", """
+SELECT user_id, cluster, q, p,
+       CAST(first_value(cluster) OVER (PARTITION BY user_id ORDER BY q DESC, cluster) AS INTEGER) AS label
+FROM zp_t""", ("q", "p"))
 
 
 def _silhouette_sql(triples: str, labels: str) -> str:
@@ -406,7 +509,7 @@ FROM per)"""
 oracle("silhouette_sq", _silhouette_sql(
     "(SELECT user_id, dim AS idx, value FROM lv0_t)", "(SELECT user_id, label AS cluster FROM lat_t)"),
     ("silhouette",))
-oracle("silhouette", _silhouette_sql("tri_t", "lab_t"), ("silhouette",))
+oracle("silhouette_sq_basket", _silhouette_sql("tri_t", "lab_t"), ("silhouette",))
 oracle("encode_latent", "SELECT user_id, k AS dim, a AS value FROM h2_t", ("value",))
 oracle("reconstruction_error", f"""
 SELECT CASE WHEN {_hash(7)} < {int(0.2 * 2 ** 32)} THEN 'validation' ELSE 'train' END AS split,

@@ -44,8 +44,3 @@ class CteBook:
         body = ",\n".join(f"{n} AS (\n{self._sql[n]}\n)" for n in order)
         return f"WITH {body}\n{select.strip()}"
 
-
-def r6(expr: str, alias: str | None = None) -> str:
-    """``round(expr, 6) AS alias`` — doubles whose addition order may differ."""
-    alias = alias or expr.split(".")[-1]
-    return f"round({expr}, 6) AS {alias}"

@@ -43,8 +43,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (a laptop or a test run) is a private
-    folder created and registered, so that ``DataFrame.checkpoint`` works.
+    Only on a local master, where the setting is absent (a laptop or a test
+    run), is a private folder created and registered, so that
+    ``DataFrame.checkpoint`` works; a cluster without the setting is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or \
         spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
@@ -58,8 +59,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    target = configured or tempfile.mkdtemp(prefix="basketry-ckpt-")
+    target = sc.getConf().get("spark.checkpoint.dir", None)
+    if not target and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    target = target or tempfile.mkdtemp(prefix="basketry-ckpt-")
     sc.setCheckpointDir(target)
     return target
 

@@ -7,8 +7,10 @@ stages over as CSV files; it is always read with an explicit schema.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalar import quoted
 from .schemas import TABLE_SCHEMAS
 
 LATENT = T.StructType([
@@ -18,15 +20,27 @@ LATENT = T.StructType([
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """``to_csv(path, index=False)``: a header line, one part file per partition (S-2)."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """``to_csv(path, index=False)``: a header line, one part file per partition (S-2).
 
+    Quotes inside a field are doubled, as pandas and RFC 4180 write them.
+    """
+    df.write.mode("overwrite").options(header=True, quote='"', escape='"').csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, multiline: bool = False) -> DataFrame:
+    """CSV scan with a header and an explicit schema (S-1); ``schema`` may name a basket table.
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """CSV scan with a header and an explicit schema (S-1); ``schema`` may name a basket table."""
+    Columns are taken *by header name* and cast to ``schema``, so the file's
+    column order and any extra columns do not matter. All fields are read as
+    strings (no inference pass) and cast once; a row with a wrong number of
+    fields stops the read. ``multiline`` allows line breaks inside quoted
+    fields; such a file is read by one task, so it is meant for dimensions.
+    """
     if isinstance(schema, str):
         schema = TABLE_SCHEMAS[schema]
-    return spark.read.schema(schema).option("header", True).csv(path)
+    raw = spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=multiline,
+                             mode="FAILFAST", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return raw.select(*[F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def write_latent(models: DataFrame, path: str) -> None:
@@ -40,12 +54,12 @@ def scan_latent(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_weights(table: DataFrame, path: str) -> None:
-    """Model weights as ``(layer, kind, row, col, value)`` rows (S-5)."""
+    """Model weights, one row per matrix row: ``(layer, kind, row, values)`` (S-5)."""
     table.write.mode("overwrite").parquet(path)
 
 
 def read_weights(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("layer", "kind", "row", "col", "value")
+    return spark.read.parquet(path).select("layer", "kind", "row", "values")
 
 
 # File names of the reference's five input tables.
@@ -58,22 +72,15 @@ BASKET_CSV_FILES = {
 }
 
 
-def read_named_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A CSV file with a header, columns taken *by name* and cast to ``schema``.
-
-    All fields are read as strings (no inference pass) and cast once, so the
-    column order of the file and any extra columns do not matter.
-    """
-    from pyspark.sql import functions as F
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+#: tables with names in them, which may hold line breaks
+DIMENSION_FILES = ("aisles", "departments", "products")
 
 
 def read_basket_csv(spark: SparkSession, folder: str):
     """The five grocery tables from a folder of the reference's CSV files."""
     from .basket import BasketTables
     folder = folder.rstrip("/")
-    t = {name: read_named_csv(spark, f"{folder}/{fname}", TABLE_SCHEMAS[name])
+    t = {name: read_csv(spark, f"{folder}/{fname}", name, multiline=name in DIMENSION_FILES)
          for name, fname in BASKET_CSV_FILES.items()}
     return BasketTables(t["orders"], t["order_products"], t["products"], t["aisles"], t["departments"])
 

@@ -9,7 +9,7 @@ readers column pruning and filter pushdown, where an in-memory cache would
 give neither.
 
 ``reuse_or_write(spark, label, key, build)`` registers the written table under a key that
-names the stage and the identity of its input files (path, size, mtime), so
+names the stage and the identity of its input files (listed path, length, mtime), so
 later queries of the same session reuse it — the way a batch pipeline writes
 each stage once per data snapshot. ``forget()`` drops the registry (the
 benchmark calls it before every timed run so that each run starts from the
@@ -18,7 +18,6 @@ raw tables).
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable, Hashable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,22 +46,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return _read(df.sparkSession, _write(df, label))
 
 
-MAX_PARTITION_VALUES = 10_000
-
-
-def write_partitioned(df: DataFrame, label: str, column: str, n_values: int) -> DataFrame:
-    """Write ``df`` partitioned by ``column`` so that a filter on one value reads
-    only that value's files (partition pruning). With more than
-    ``MAX_PARTITION_VALUES`` values the table is written unpartitioned instead,
-    to keep the number of folders bounded."""
-    path = scratch_path(df.sparkSession, label)
-    if n_values <= MAX_PARTITION_VALUES:
-        df.write.mode("overwrite").partitionBy(column).parquet(path)
-    else:
-        df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def reuse_or_write(spark: SparkSession, label: str, key: Hashable,
                    build: Callable[[], DataFrame]) -> DataFrame:
     """The written table registered under ``(label, key)``, building and writing it if absent."""
@@ -76,7 +59,7 @@ def reuse_or_write(spark: SparkSession, label: str, key: Hashable,
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet source whose schema is inferred once per session and path."""
-    schema = remember(spark, ("schema", path, source_fingerprint([path])),
+    schema = remember(spark, ("schema", path, source_fingerprint([path], spark)),
                       lambda: spark.read.parquet(path).schema)
     return spark.read.schema(schema).parquet(path)
 
@@ -95,14 +78,30 @@ def forget() -> None:
     _FACTS.clear()
 
 
-def source_fingerprint(paths: list[str]) -> tuple:
-    """Identity of input files: (path, size, mtime) when local, else the path."""
-    out = []
+def source_fingerprint(paths: list[str], spark: SparkSession | None = None) -> tuple:
+    """Identity of input files: (path, length, modification time) of every file below each path.
+
+    The listing goes through Spark's file systems, so it holds for remote
+    paths and for single part files of a Parquet folder.
+    """
+    spark = spark or SparkSession.getActiveSession()
+    out: list[tuple] = []
     for p in paths:
-        local = p[len("file:"):] if p.startswith("file:") else p
-        try:
-            st = os.stat(local)
-            out.append((p, st.st_size, st.st_mtime_ns))
-        except OSError:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
             out.append((p,))
-    return tuple(out)
+            continue
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete the files of a written table that nothing reads any more (a finished loop's state)."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

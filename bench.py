@@ -33,7 +33,7 @@ HEADLINE = [
     "sticky_matrix",
     "segment_extremes_products",
     "soft_assignment",
-    "silhouette",
+    "silhouette_sq_basket",
     "kmeans_segments",
 ]
 

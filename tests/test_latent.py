@@ -117,3 +117,47 @@ def test_silhouette_matches_mllib_squared_euclidean(spark):
     vec = df.select(array_to_vector("latent").alias("features"), F.col("label").cast("double").alias("prediction"))
     mllib = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(vec)
     assert ours == pytest.approx(mllib, rel=1e-9)
+
+
+def sparse_rows(spark, n=300, d=6, seed=5):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        idx = sorted(rng.choice(d, size=3, replace=False).tolist())
+        rows.append((i, idx, rng.random(3).tolist(), "validation" if i % 5 == 0 else "train"))
+    return spark.createDataFrame(rows, "user_id long, indices array<int>, values array<double>, split string"), rows
+
+
+def test_autoencoder_stops_by_patience_and_returns_the_best_weights(spark):
+    from basketry.operators.autoencoder import fit_autoencoder, loss_and_gradient
+    df, _ = sparse_rows(spark)
+    res = fit_autoencoder(df, 6, [(6, 5), (5, 2), (2, 6)], 0.5, epochs=60, patience=2, batch_rows=32)
+    val = [h[2] for h in res.history]
+    assert res.best_epoch == int(np.argmin(val))
+    assert len(res.history) == min(60, res.best_epoch + 3)
+    n, loss, _, _ = loss_and_gradient(df.where("split = 'validation'"), res.layers, 6, 0.5)
+    assert loss / n == pytest.approx(val[res.best_epoch])
+
+
+def test_training_averages_tasks_by_rows(spark, monkeypatch):
+    from basketry.operators import autoencoder as ae
+    df, _ = sparse_rows(spark)
+    monkeypatch.setattr(ae, "TASK_ROWS", 100)  # three tasks
+    res = ae.fit_autoencoder(df, 6, [(6, 5), (5, 2), (2, 6)], 1e-4, epochs=8, batch_rows=32)
+    assert len(res.history) == 8 and res.history[-1][1] < res.history[0][1]
+
+
+def test_dec_loop_runs_to_its_stop_rule(spark):
+    df, x, _ = points(spark, n=120, d=3)
+    mu = x[:3].copy()
+    centroids, labels, history = seg.dec_refine(df.select("user_id", "latent"), mu)
+    assert history and history[-1][1] < 4e-5 and labels.count() == 120 and not np.allclose(centroids, mu)
+    _, _, short = seg.dec_refine(df.select("user_id", "latent"), mu, max_steps=50)
+    assert short == []
+
+
+def test_dense_silhouette_equals_the_sparse_one(spark):
+    df, _, lab = points(spark, n=50, d=3, seed=2)
+    labels = df.select("user_id", F.col("label").alias("cluster"))
+    a = seg.silhouette_of_vectors(df, labels).first()[0]
+    assert a == pytest.approx(seg.silhouette_from_triples(seg.dense_triples(df), labels).first()[0])

@@ -13,7 +13,7 @@ from oracle_compare import compare, duck
 SUBSET = ["basket_lines", "merge_full", "cumulative_share", "pareto_lines", "sticky", "feature_table",
           "order_gaps", "category_codes", "sticky_matrix", "profile_describe",
           "segment_extremes_products", "latent_histogram", "target_distribution", "dec_step",
-          "silhouette", "encode_latent", "scan_csv"]
+          "silhouette_sq_basket", "encode_latent", "scan_csv"]
 
 
 def _names():

@@ -89,3 +89,42 @@ def test_ranked_items_match_brute_force_on_random_inputs(spark):
         assert got == want
 
     check()
+
+
+def test_pivot_takes_any_name_and_refuses_duplicate_cells(spark):
+    import pytest
+    from basketry.operators import matrix as mx
+    from basketry.plans.context import rounded
+    long = spark.createDataFrame([(1, "Dr. Pepper", 0.5), (1, "a`b", 0.25), (2, None, 0.1), (3, "Dr. Pepper", 0.75)],
+                                 "user_id long, product_name string, sticky double")
+    rows = {r.user_id: r.asDict() for r in rounded(mx.sticky_matrix(long)).collect()}
+    assert rows == {1: {"user_id": 1, "Dr. Pepper": 0.5, "a`b": 0.25}, 2: {"user_id": 2, "Dr. Pepper": 0.0, "a`b": 0.0},
+                    3: {"user_id": 3, "Dr. Pepper": 0.75, "a`b": 0.0}}
+    cells = mx.melt(mx.sticky_matrix(long), ["user_id"]).collect()
+    assert len(cells) == 6 and sum(r.value for r in cells) == 1.5
+    twice = long.union(spark.createDataFrame([(1, "Dr. Pepper", 0.9)], long.schema))
+    with pytest.raises(Exception, match="duplicate"):
+        mx.sticky_matrix(twice).collect()
+
+
+def test_segment_without_cells_gets_its_zero_lists(spark):
+    from basketry.operators import profiles as prof
+    means = spark.createDataFrame([(0, "b", 0.5)], "cluster int, item string, mean double")
+    universe = spark.createDataFrame([("a",), ("b",), ("c",)], "item string")
+    segments = spark.createDataFrame([(0,), (1,)], "cluster int")
+    rows = prof.ranked_items(means, universe, "item", 2, 1, segments=segments).collect()
+    got = {(r.cluster, r.end, r["rank"]): (r.item, r.mean) for r in rows}
+    assert got == {(0, "top", 1): ("b", 0.5), (0, "top", 2): ("a", 0.0), (0, "bottom", 1): ("c", 0.0),
+                   (1, "top", 1): ("a", 0.0), (1, "top", 2): ("b", 0.0), (1, "bottom", 1): ("c", 0.0)}
+
+
+def test_quantiles_with_heavy_ties_and_few_bins(spark):
+    import numpy as np
+    import pytest
+    from basketry.operators import quality as qual
+    rng = np.random.default_rng(1)
+    data = {"x": [5.0] * 300 + rng.normal(size=200).tolist(), "y": rng.random(101).tolist(), "z": [2.0], "w": [1.0, 1.0]}
+    long = spark.createDataFrame([(c, v) for c, vs in data.items() for v in vs] + [("x", None)], "column string, value double")
+    for bins in (1, 7, 4096):
+        for r in qual.exact_quantiles(long, bins=bins).collect():
+            assert r.q == pytest.approx(np.quantile(data[r.column], r.p)), (r, bins)
