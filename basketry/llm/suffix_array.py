@@ -45,7 +45,7 @@ from .text import BYTE_VALUE, CHECK_BASE, U64, as_bytes, rolling
 SEED_BYTES = 32
 HOT = 65_536
 #: bytes of pieces that one suffix array takes; an anchor's pieces stay together
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 ANCHOR = np.dtype([("h", "<u8"), ("n", "<i4"), ("windows", "<i4")])
 KNOWN = np.dtype([("h", "<u8"), ("hot", "i1")])
