@@ -35,6 +35,10 @@ HEADLINE = [
     "soft_assignment",
     "silhouette_sq_basket",
     "kmeans_segments",
+    "profile_describe",
+    "dec_refine",
+    "dec_train_encoder",
+    "autoencoder_gradient",
 ]
 
 
