@@ -43,7 +43,7 @@ from .substring import _sliding_min
 from .text import BYTE_VALUE, CHECK_BASE, U64, as_bytes, rolling
 
 SEED_BYTES = 32
-HOT = 65_536
+HOT = 1 << 17
 #: bytes of pieces that one suffix array takes; an anchor's pieces stay together
 SHARD_BYTES = 2 << 20
 
