@@ -38,7 +38,7 @@ from .text import SPACE_WORDS, U64, as_bytes, mix, words_of
 BEGIN, END = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
 STEPS = 4  # bins an octave of the EM statistics
 EM_ROUNDS = 60
-SLOT_BYTES = 4 << 20  # larger slots send fewer repeated n-grams
+SLOT_BYTES = 2 << 20  # larger slots send fewer repeated n-grams, and take more memory
 EM_TOLERANCE = 1e-7
 SENT = "bucket int, slot int, k int, n int, data binary"
 BACK = "slot int, k int, bucket int, data binary"
@@ -113,8 +113,8 @@ def lm_counts(docs: DataFrame, id_col: str, text_col: str, order: int, folds: in
         import pyarrow as pa
         for batch in batches:
             texts, ids = as_bytes(batch.column(2)), ids_of(batch.column(1))
-            rows = []
             for slot, idx in slots_in(batch):
+                rows = []
                 g = _Grams([texts[i] for i in idx], order)
                 fold = np.array([fold_of(i, folds) for i in ids[idx]])[g.text]
                 train, em = fold != test_fold, fold == em_fold
@@ -127,10 +127,11 @@ def lm_counts(docs: DataFrame, id_col: str, text_col: str, order: int, folds: in
                         i = slice(cut[b], cut[b + 1])
                         rows.append((int(b), slot, k, int(cut[b + 1] - cut[b]),
                                      _packed_keys(own[i].copy(), k) + _planes(c[i], f[i])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[j] for r in rows], kind) for j, kind in
-                 enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
-                names=["bucket", "slot", "k", "n", "data"])
+                del g, own, inv, c, f
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r[j] for r in rows], kind) for j, kind in
+                     enumerate((pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))],
+                    names=["bucket", "slot", "k", "n", "data"])
 
     def answer(batches):
         import pyarrow as pa
