@@ -27,13 +27,14 @@ columns are not read.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import NULL_ID, buckets_for, by_slot, ids_of, stored, slots_in, text_bytes
-from .text import SPACE_WORDS, U64, as_bytes, mix, words_of
+from .text import SPACE_WORDS, U64, as_bytes, chunked, mix, words_of
 
 BEGIN, END = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
 STEPS = 4  # bins an octave of the EM statistics
@@ -82,14 +83,18 @@ class _Grams:
     """The n-grams of a slot's documents, one per token and order."""
 
     def __init__(self, texts: list[bytes], order: int):
-        w = words_of(texts, SPACE_WORDS, lower=True)
-        n = w.n_words()
+        hashes, counts = [np.zeros(0, dtype=U64)], [np.zeros(0, dtype=np.int64)]
+        for a, b in chunked(map(len, texts)):
+            w = words_of(texts[a:b], SPACE_WORDS, lower=True)
+            hashes.append(w.hash)
+            counts.append(w.n_words())
+        n = np.concatenate(counts)
         self.first = np.zeros(len(texts) + 1, dtype=np.int64)
         np.cumsum(n + 1, out=self.first[1:])
         token = np.empty(int(self.first[-1]), dtype=U64)
         is_word = np.ones(len(token), dtype=bool)
         is_word[self.first[1:] - 1] = False
-        token[is_word], token[~is_word] = w.hash, END
+        token[is_word], token[~is_word] = np.concatenate(hashes), END
         self.text = np.repeat(np.arange(len(texts)), n + 1)
         place = np.arange(len(token)) - self.first[:-1][self.text]
         self.keys = [mix(token ^ U64(0x9E3779B97F4A7C15))]
@@ -103,8 +108,12 @@ class _Grams:
 
 
 def lm_counts(docs: DataFrame, id_col: str, text_col: str, order: int, folds: int, test_fold: int,
-              em_fold: int) -> DataFrame:
-    """STATS rows: per document the corpus counts of its tokens' n-grams; rows without counts hold totals."""
+              em_fold: int) -> Callable[..., DataFrame]:
+    """A function that gives STATS rows, or what ``then`` makes of those of a slot (an Arrow table).
+
+    STATS: per document the corpus counts of its tokens' n-grams; rows without
+    counts hold totals. Calls share their exchanges within a query.
+    """
     dealt, parts, slots = by_slot(docs, id_col, text_col, text_bytes(docs, text_col), SLOT_BYTES, 64)
     buckets = 1 << max(8, (buckets_for(parts, slots) - 1).bit_length())  # a power of two: a key's high bits
     shift = 64 - (buckets.bit_length() - 1)  # at most 56, so the low 56 bits and the bucket are the whole key
@@ -200,7 +209,14 @@ def lm_counts(docs: DataFrame, id_col: str, text_col: str, order: int, folds: in
         return pa.table({n: pa.array([r[j] for r in rows], t) for j, (n, t) in enumerate(zip(names, kinds))})
 
     back = (dealt.mapInArrow(request, SENT).repartition(parts, "bucket").mapInArrow(answer, BACK))
-    return (dealt.groupBy("slot").cogroup(back.repartition(parts, "slot").groupBy("slot")).applyInArrow(join, STATS))
+    back = back.repartition(parts, "slot")
+
+    def counted(then=lambda table: table, schema: str = STATS) -> DataFrame:
+        def work(left, right):
+            return then(join(left, right))
+        return dealt.groupBy("slot").cogroup(back.groupBy("slot")).applyInArrow(work, schema)
+
+    return counted
 
 
 def _estimates(counts: list[np.ndarray], tokens: float, docs: float | None) -> tuple[np.ndarray, np.ndarray]:
@@ -269,27 +285,26 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     """
     if order < 2:
         raise ValueError("the model needs an order of two or more")
-    stats = lm_counts(docs, id_col, text_col, order, folds, test_fold, em_fold)
+    counted = lm_counts(docs, id_col, text_col, order, folds, test_fold, em_fold)
 
-    def events(batches):
+    def events(table):
         import pyarrow as pa
         total: dict[tuple, int] = {}
         heads = [0] * 5
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in
-                         ("n_tokens", "counts", "fold_counts", "vocabulary", "tokens", "docs", "fold")))
-            for t, c, f, v, n, d, fold in rows:
-                for i, x in enumerate((v, n, d, t if fold else 0, int(bool(fold)))):
-                    heads[i] += x or 0
-                if fold:
-                    left = [x - y for x, y in zip(_columns(c, t, order), _columns(f, t, order))]
-                    bucket, p = _estimates(left, 1.0, None)  # the totals are only known with all texts
-                    found, k = np.unique(np.vstack((bucket, estimate_bins(p))), axis=1, return_counts=True)
-                    for key, m in zip(map(tuple, found.T.tolist()), k.tolist()):
-                        total[key] = total.get(key, 0) + m
+        rows = zip(*(table.column(c).to_pylist() for c in
+                     ("n_tokens", "counts", "fold_counts", "vocabulary", "tokens", "docs", "fold")))
+        for t, c, f, v, n, d, fold in rows:
+            for i, x in enumerate((v, n, d, t if fold else 0, int(bool(fold)))):
+                heads[i] += x or 0
+            if fold:
+                left = [x - y for x, y in zip(_columns(c, t, order), _columns(f, t, order))]
+                bucket, p = _estimates(left, 1.0, None)  # the totals are only known with all texts
+                found, k = np.unique(np.vstack((bucket, estimate_bins(p))), axis=1, return_counts=True)
+                for key, m in zip(map(tuple, found.T.tolist()), k.tolist()):
+                    total[key] = total.get(key, 0) + m
         keys = [[-1, i] for i in range(5)] + [list(x) for x in total]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.int64())),
-                                          pa.array(heads + list(total.values()), pa.int64())], names=["bins", "events"])
+        return pa.table({"bins": pa.array(keys, pa.list_(pa.int64())),
+                         "events": pa.array(heads + list(total.values()), pa.int64())})
 
     def fit(batches):
         import pyarrow as pa
@@ -303,8 +318,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
                     count.append(n)
         yield pa.RecordBatch.from_arrays([pa.array([fitted(bins, count, heads, order)], pa.binary())], names=["model"])
 
-    seen = (stats.select("n_tokens", "counts", "fold_counts", "vocabulary", "tokens", "docs", "fold")
-            .mapInArrow(events, "bins array<long>, events long").groupBy("bins").agg(F.sum("events").alias("events")))
+    seen = counted(events, "bins array<long>, events long").groupBy("bins").agg(F.sum("events").alias("events"))
     # one row per bin at most: a bounded table, fitted in one place
     model = seen.coalesce(1).mapInArrow(fit, "model binary")
 
@@ -328,7 +342,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
                  pa.array(full, pa.float64())],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return (stats.where(F.col("counts").isNotNull())
+    return (counted().where(F.col("counts").isNotNull())
             .select("doc_id", "held_out", "n_tokens", "n_known", "counts", model.scalar().alias("model"))
             .mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                "base_score double, score double"))
