@@ -107,6 +107,12 @@ class _Grams:
             self.keys[k] &= ~U64(255)
 
 
+def _answers(rows: list, pa):
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[j] for r in rows], kind) for j, kind in
+         enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["slot", "k", "bucket", "data"])
+
+
 def lm_counts(docs: DataFrame, id_col: str, text_col: str, order: int, folds: int, test_fold: int,
               em_fold: int) -> Callable[..., DataFrame]:
     """A function that gives STATS rows, or what ``then`` makes of those of a slot (an Arrow table).
@@ -144,36 +150,31 @@ def lm_counts(docs: DataFrame, id_col: str, text_col: str, order: int, folds: in
 
     def answer(batches):
         import pyarrow as pa
-        cols: list[list] = [[] for _ in range(5)]
+        rows: dict[int, list] = {}  # requests by bucket, still packed
         for batch in batches:
-            for c, column in zip(cols, batch.columns):
-                c += column.to_pylist()
-        bucket, slot, ks, ns, data = (cols[0], cols[1], np.array(cols[2], dtype=np.int64),
-                                      np.array(cols[3], dtype=np.int64), cols[4])
-        out: list[tuple] = []
-        totals = [0, 0]
-        for k in range(1, order + 1):
-            rows = np.flatnonzero(ks == k)
-            if not len(rows):
-                continue
-            n = ns[rows]
-            keys = np.zeros(int(n.sum()), dtype=U64)
-            c, f, at = np.zeros(len(keys)), np.zeros(len(keys)), 0
-            for r, m in zip(rows, n):
-                keys[at:at + m] = _unpacked_keys(data[r], m, k, bucket[r], shift)
-                c[at:at + m], f[at:at + m] = _columns(data[r][_key_planes(k) * m:], m, 2)
-                at += m
-            own, inv = np.unique(keys, return_inverse=True)
-            c, f = np.bincount(inv, weights=c), np.bincount(inv, weights=f)
-            if k == 1:
-                totals = [int((c > 0).sum()), int(c.sum())]
-            ends = np.cumsum(n)
-            for r, a, b in zip(rows, ends - n, ends):
-                out.append((slot[r], k, bucket[r], _planes(c[inv[a:b]], f[inv[a:b]])))
-        out.append((-1, 0, 0, np.array(totals, dtype="<i8").tobytes()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[j] for r in out], kind) for j, kind in
-             enumerate((pa.int32(), pa.int32(), pa.int32(), pa.binary()))], names=["slot", "k", "bucket", "data"])
+            for bucket, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                rows.setdefault(bucket, []).append(rest)
+        totals = np.zeros(2, dtype="<i8")
+        for bucket in sorted(rows):
+            out = []
+            own_rows = rows.pop(bucket)
+            for k in range(1, order + 1):
+                asked = [(slot, n, data) for slot, kk, n, data in own_rows if kk == k]
+                if not asked:
+                    continue
+                n = np.array([r[1] for r in asked])
+                keys = np.concatenate([_unpacked_keys(d, m, k, bucket, shift) for _, m, d in asked])
+                c, f = (np.concatenate(x) for x in zip(*(_columns(d[_key_planes(k) * m:], m, 2) for _, m, d in asked)))
+                own, inv = np.unique(keys, return_inverse=True)
+                c, f = np.bincount(inv, weights=c), np.bincount(inv, weights=f)
+                if k == 1:
+                    totals += np.array([(c > 0).sum(), c.sum()]).astype("<i8")
+                ends = np.cumsum(n)
+                out += [(slot, k, bucket, _planes(c[inv[x:y]], f[inv[x:y]]))
+                        for (slot, _, _), x, y in zip(asked, ends - n, ends)]
+            del own_rows
+            yield _answers(out, pa)
+        yield _answers([(-1, 0, 0, totals.tobytes())], pa)
 
     def join(left, right):
         import pyarrow as pa
