@@ -58,7 +58,7 @@ def by_slot(docs: DataFrame, id_col: str, text_col: str, n_bytes: int,
             slot_bytes: int = SLOT_BYTES, fine_slots: int = FINE_SLOTS) -> tuple[DataFrame, int, int]:
     """(slot, doc_id, text) dealt by slot, the number of partitions and of slots."""
     parts = parts_for(n_bytes, docs.sparkSession)
-    slots = max(64, 4 * parts, -(-n_bytes // slot_bytes), min(fine_slots, n_bytes // FINE_BYTES))
+    slots = max(64, 2 * parts, -(-n_bytes // slot_bytes), min(fine_slots, n_bytes // FINE_BYTES))
     dealt = docs.select(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(slots)).cast("int").alias("slot"),
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

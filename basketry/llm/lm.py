@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import NULL_ID, buckets_for, by_slot, ids_of, stored, slots_in, text_bytes
+from .exchange import NULL_ID, by_slot, ids_of, stored, slots_in, text_bytes
 from .text import SPACE_WORDS, U64, as_bytes, chunked, mix, words_of
 
 BEGIN, END = U64(0x243F6A8885A308D3), U64(0x13198A2E03707344)
@@ -120,8 +120,8 @@ def lm_counts(docs: DataFrame, id_col: str, text_col: str, order: int, folds: in
     STATS: per document the corpus counts of its tokens' n-grams; rows without
     counts hold totals. Calls share their exchanges within a query.
     """
-    dealt, parts, slots = by_slot(docs, id_col, text_col, text_bytes(docs, text_col), SLOT_BYTES, 64)
-    buckets = 1 << max(8, (buckets_for(parts, slots) - 1).bit_length())  # a power of two: a key's high bits
+    dealt, parts, _ = by_slot(docs, id_col, text_col, text_bytes(docs, text_col), SLOT_BYTES, 64)
+    buckets = 1 << max(8, (parts - 1).bit_length())  # a power of two: a key's high bits
     shift = 64 - (buckets.bit_length() - 1)  # at most 56, so the low 56 bits and the bucket are the whole key
 
     def request(batches):
