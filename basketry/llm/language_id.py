@@ -8,8 +8,10 @@ The posterior of a document's language combines four sources:
 * a prior of its host, smoothed hierarchically: all documents -> registered domain -> host.
 
 The three latter are learned by grouped aggregation over all documents, from
-the languages that the texts alone suggest; a document's own vote is taken out
-of its host's counts. Only the trigram table is fitted on a sample of labelled
+the languages that the texts alone suggest. Every page of a document votes for
+its own host, suffix and declared language, and a document's own votes are taken
+out of its hosts' counts. The log evidence of a document's pages is averaged
+(they are not independent) before it meets the text. Only the trigram table is fitted on a sample of labelled
 rows, of ``train_rows`` documents on average, chosen by a hash of the id.
 
 A document is rejected when it has no trigram of letters, or its best language
@@ -98,9 +100,9 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, id_col: str = "
              min_posterior: float = 0.5) -> DataFrame:
     """(doc_id, language, posterior, text_language, n_trigrams, accepted) of every row.
 
-    ``evidence`` (doc_id, host, declared; one row per doc_id) is what the web
-    pages of a document say. ``host_col`` of the documents stands in where no
-    page is known.
+    ``evidence`` (doc_id, host, declared; any number of rows per doc_id) is what
+    the web pages of a document say. ``host_col`` of the documents stands in
+    where no page, or no host of a page, is known.
     """
     spark = docs.sparkSession
     langs, table = fit_trigrams(docs, text_col, label_col, id_col, train_rows)
@@ -132,30 +134,39 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, id_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), host.alias("host"),
                        F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(likelihood, "doc_id long, host string, ll array<double>, n long")
-    if evidence is None:
-        scored = scored.withColumn("declared", F.lit(None).cast("string")).withColumn("page", F.lit(None).cast("string"))
-    else:
-        told = evidence.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("host").alias("page"), "declared")
-        scored = scored.join(told, "doc_id", "left")
     best = F.array_position("ll", F.array_max("ll")).cast("int") if n_langs else F.lit(0)
-    scored = stored(
-        scored.withColumn("host", F.coalesce("page", "host"))
-        .withColumn("domain", F.when(F.col("page").isNotNull(), domain_of(F.col("page"))).otherwise(F.col("host")))
-        .withColumn("suffix", F.when(F.col("page").isNotNull(), suffix_of(F.col("page"))))
-        .withColumn("vote", F.when(F.col("n") > 0, best)).drop("page"), "language-likelihood")
+    # numbered as written: rows that share a doc_id stay apart
+    scored = stored(scored.withColumn("vote", F.when(F.col("n") > 0, best)).withColumn(
+        "row", F.monotonically_increasing_id()), "language-likelihood")
     if not n_langs:
         none = F.lit(None).cast("string")
         return scored.select("doc_id", none.alias("language"), F.lit(None).cast("double").alias("posterior"),
                              none.alias("text_language"), F.col("n").alias("n_trigrams"), F.lit(False).alias("accepted"))
 
-    def votes(*keys):
-        return scored.where("vote is not null").groupBy(*keys).agg(
-            F.array(*(F.sum(F.when(F.col("vote") == i + 1, 1.0).otherwise(0.0)) for i in range(n_langs))).alias("c"))
+    # pages of a row by host, and by declared language; ``m`` pages each
+    judged = scored.select("row", "doc_id", "host", "vote")
+    if evidence is None:
+        told = None
+        placed = judged.withColumn("page", F.lit(None).cast("string")).withColumn("m", F.lit(1).cast("long"))
+    else:
+        told = evidence.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("host").alias("page"), "declared")
+        placed = judged.join(told.groupBy("doc_id", "page").agg(F.count("*").alias("m")), "doc_id", "left").withColumn(
+            "m", F.coalesce("m", F.lit(1)))
+    placed = stored(
+        placed.withColumn("host", F.coalesce("page", "host"))
+        .withColumn("domain", F.when(F.col("page").isNotNull(), domain_of(F.col("page"))).otherwise(F.col("host")))
+        .withColumn("suffix", F.when(F.col("page").isNotNull(), suffix_of(F.col("page"))))
+        .groupBy("row", "host", "domain", "suffix", "vote").agg(F.sum("m").alias("m")), "language-hosts")
+
+    def votes(rows, *keys):
+        return rows.where("vote is not null").groupBy(*keys).agg(
+            F.array(*(F.sum(F.when(F.col("vote") == i + 1, F.col("m")).otherwise(0).cast("double"))
+                      for i in range(n_langs))).alias("c"))
 
     def total(a):
         return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
-    everything = votes().first()
+    everything = votes(scored.withColumn("m", F.lit(1))).first()
     all_votes = np.array(everything["c"] if everything and everything["c"][0] is not None else [0.0] * n_langs)
     base = ((all_votes + 1.0) / (all_votes + 1.0).sum()).tolist()
     base_lit = F.array(*(F.lit(float(x)) for x in base))
@@ -163,27 +174,46 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, id_col: str = "
     def smoothed(c, parent, strength):
         return F.zip_with(c, parent, lambda x, p: x + strength * p)
 
-    domain = votes("domain").select("domain", smoothed(F.col("c"), base_lit, DOMAIN_STRENGTH).alias("d"))
+    domain = votes(placed, "domain").select("domain", smoothed(F.col("c"), base_lit, DOMAIN_STRENGTH).alias("d"))
     domain = domain.select("domain", F.transform("d", lambda x: x / total(F.col("d"))).alias("domain_prior"))
-    hosts = votes("host", "domain").withColumnRenamed("c", "host_votes").where("host is not null")
+    hosts = votes(placed, "host", "domain").withColumnRenamed("c", "host_votes").where("host is not null")
 
-    def likelihoods(col):
+    def likelihoods(rows, col):
         """log P(value | language) of an evidence column, add-one smoothed over its values."""
-        c = votes(col).where(F.col(col).isNotNull())
+        c = votes(rows, col).where(F.col(col).isNotNull())
         sums = c.agg(F.count("*").alias("k"), *(F.sum(F.get("c", F.lit(i))).alias(f"s{i}") for i in range(n_langs))).first()
         k = float(sums["k"] or 0)
         logs = [F.log((F.get("c", F.lit(i)) + 1.0) / F.lit(float(sums[f"s{i}"] or 0.0) + k + 1.0)) for i in range(n_langs)]
         return c.select(col, F.array(*logs).alias(f"{col}_log"))
 
     zero = F.array(*(F.lit(0.0) for _ in langs))
-    own = F.transform(F.sequence(F.lit(1), F.lit(n_langs)), lambda i: F.when(i == F.col("vote"), 1.0).otherwise(0.0))
-    fused = (scored.join(hosts.join(domain, "domain", "left"), ["host", "domain"], "left")
-             .join(likelihoods("declared"), "declared", "left").join(likelihoods("suffix"), "suffix", "left"))
+    own = F.transform(F.sequence(F.lit(1), F.lit(n_langs)),
+                      lambda i: F.when(i == F.col("vote"), F.col("m").cast("double")).otherwise(0.0))
+
+    def averaged(rows, *logs):
+        """Mean of the rows' log evidence over the pages that have it, by row."""
+        def mean(col, i):
+            return F.sum(F.col("m") * F.get(col, F.lit(i))) / F.sum(F.when(F.col(col).isNotNull(), F.col("m")))
+        arrays = [F.array(*(mean(c, i) for i in range(n_langs))).alias(c) for c in logs]
+        known = [F.count(c).alias(f"{c}_known") for c in logs]
+        return rows.groupBy("row").agg(*arrays, *known).select(
+            "row", *(F.when(F.col(f"{c}_known") > 0, F.col(c)).alias(c) for c in logs))
+
+    at = (placed.join(hosts.join(domain, "domain", "left"), ["host", "domain"], "left")
+          .join(likelihoods(placed, "suffix"), "suffix", "left"))
     others = F.zip_with(F.coalesce("host_votes", zero), own, lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    fused = fused.withColumn("w", smoothed(others, F.coalesce("domain_prior", base_lit), HOST_STRENGTH))
-    fused = fused.withColumn("prior", F.transform("w", lambda x: F.log(x / total(F.col("w")))))
+    at = at.withColumn("w", smoothed(others, F.coalesce("domain_prior", base_lit), HOST_STRENGTH))
+    at = at.withColumn("prior", F.transform("w", lambda x: F.log(x / total(F.col("w")))))
+    fused = scored.join(averaged(at, "prior", "suffix_log"), "row")
     score = F.zip_with("ll", "prior", lambda a, b: a / TEMPER + b)
-    for col in ("declared_log", "suffix_log"):
+    logs = ["suffix_log"]
+    if told is not None:
+        said = judged.join(told.where("declared is not null").groupBy("doc_id", "declared").agg(
+            F.count("*").alias("m")), "doc_id")
+        said = said.join(likelihoods(said, "declared"), "declared", "left")
+        fused = fused.join(averaged(said, "declared_log"), "row", "left")
+        logs.append("declared_log")
+    for col in logs:
         score = F.zip_with(score, F.coalesce(col, zero), lambda a, b: a + b)
     fused = fused.withColumn("score", score).withColumn("top", F.array_max("score"))
     posterior = 1.0 / total(F.transform("score", lambda x: F.exp(x - F.col("top"))))
@@ -196,17 +226,15 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, id_col: str = "
 
 
 def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(doc_id, host, declared): what pages say of the document whose number ends their path.
+    """(doc_id, host, declared) of every page: what it says of the document whose number ends its path.
 
     ``declared`` is the primary subtag of the html tag's lang attribute. A
-    document with several pages takes the one with the smallest page_id.
+    document with several pages has several rows.
     """
     from .url_filter import host_of, path_of
     number = F.regexp_extract(path_of(F.col(url_col)), r"(\d{1,18})[^0-9/]*/?$", 1)
     declared = F.lower(F.regexp_extract(F.col(html_col), r"(?is)<html[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
-    return (pages.select(F.when(number != "", number.cast("long")).alias("doc_id"), F.col("page_id"),
+    return (pages.select(F.when(number != "", number.cast("long")).alias("doc_id"),
                          F.nullif(host_of(F.col(url_col)), F.lit("")).alias("host"),
                          F.nullif(declared, F.lit("")).alias("declared"))
-            .where("doc_id is not null").groupBy("doc_id")
-            .agg(F.min_by(F.struct("host", "declared"), "page_id").alias("e"))
-            .select("doc_id", "e.host", "e.declared"))
+            .where("doc_id is not null"))

@@ -165,6 +165,29 @@ def test_language_id_accuracy_and_edges(spark):
     assert blank.count() == len(rows) and blank.where("accepted").count() == 0
 
 
+def test_language_id_uses_every_page_of_a_document(spark):
+    rng = np.random.RandomState(4)
+    lang = lambda i: list(LETTERS)[i % 2]
+    rows = [(i, " ".join("".join(rng.choice(list(LETTERS[lang(i)]), 5)) for _ in range(40)), lang(i), f"s{i % 2}")
+            for i in range(200)]
+    # the text of the others leaves both languages open; two rows share an id
+    rows += [(i, "b g", None, "s9") for i in (1000, 1001, 1001, 1002)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    # first pages of all documents: one host and no declared language; the second ones tell the language
+    told = lambda name, i: (f"http://{name}.{name}/{i}", f"<html lang={name}>")
+    pages = [(f"http://all.org/{i}", "<html>") for i in (*range(200), 1000, 1001)]
+    pages += [told(lang(i), i) for i in range(200)]
+    pages += [told("xx", 1000), told("yy", 1001), told("xx", 1002), ("http://all.org/1002", "<html>")]
+    evidence = page_evidence(spark.createDataFrame([(k, *p) for k, p in enumerate(pages)],
+                                                   "page_id long, url string, html string"))
+    assert evidence.count() == len(pages)
+    got = identify(docs, evidence).collect()
+    assert len(got) == len(rows)
+    late = sorted((r.doc_id, r.language, round(r.posterior, 6)) for r in got if r.doc_id >= 1000)
+    assert [x[:2] for x in late] == [(1000, "xx"), (1001, "yy"), (1001, "yy"), (1002, "xx")]
+    assert all(x[2] > 0.9 for x in late) and late[0][2] == late[3][2]  # in any order of pages
+
+
 def test_language_id_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     pages = page_evidence(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
