@@ -14,8 +14,14 @@ out of its hosts' counts. The log evidence of a document's pages is averaged
 (they are not independent) before it meets the text. Only the trigram table is fitted on a sample of labelled
 rows, of ``train_rows`` documents on average, chosen by a hash of the id.
 
-A document is rejected when it has no trigram of letters, or its best language
-has a posterior below ``min_posterior``.
+A document is rejected when it has no trigram of letters, its best language
+has a posterior below ``min_posterior``, or its text is more likely under an
+"other" class, which gives every trigram the same log-probability. That bound is
+set on the sample, each half held out from the other's table: as far below the
+median of the documents' mean log-probability as the lowest ``LOW`` of them
+reach, twice. A trigram counts with its best language, so that a text in
+several known languages stays; the text is tempered and the class has the prior
+``OTHER``, so short texts need stronger evidence to go.
 
 Null or empty text has no trigrams. Null evidence counts as absent. Rows
 without a label are not learned from. Repeated rows are judged each (and vote
@@ -38,6 +44,8 @@ TRAIN_ROWS = 4000
 TEMPER = 4.0
 #: pseudo-counts of the host and domain priors
 HOST_STRENGTH, DOMAIN_STRENGTH = 20.0, 50.0
+#: prior of the class of unknown languages, share of held-out documents that its bound is taken from
+OTHER, LOW = 0.01, 0.005
 
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[ord("a"):ord("z") + 1] = True
@@ -58,41 +66,86 @@ def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key.astype(np.int64), n
 
 
+def _log_table(counts: np.ndarray) -> np.ndarray:
+    """2**TABLE_BITS rows of log-probabilities, smoothed, from a row of counts per language."""
+    c = counts + 0.2
+    return np.log(c / c.sum(axis=1, keepdims=True)).T.astype(np.float32)
+
+
 def fit_trigrams(docs: DataFrame, text_col: str, label_col: str, id_col: str,
-                 train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probability table of 2**TABLE_BITS rows) from a bounded sample of labelled rows."""
+                 train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray, float]:
+    """(languages, log-probability table of 2**TABLE_BITS rows, bound) from a bounded sample of labelled rows.
+
+    The bound is the log-probability of a trigram in the class of unknown languages.
+    """
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     rows = labelled.count()
     scale = 1 << 20
     limit = scale if rows <= train_rows else max(1, train_rows * scale // rows)
+    text = F.col(text_col).cast("string")
+    # copies of a text fall in one half
     sample = labelled.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(scale)) < limit).select(
-        F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("label"))
+        text.alias("text"), F.col(label_col).cast("string").alias("label"),
+        F.pmod(F.xxhash64(text), F.lit(2)).cast("int").alias("half"))
 
     def count(batches):
         import pyarrow as pa
-        total: dict[str, np.ndarray] = {}
+        total: dict[tuple[str, int], np.ndarray] = {}
         for batch in batches:
-            labels = batch.column(1).to_pylist()
+            labels = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
             texts = as_bytes(batch.column(0))
             for lo, hi in chunked(map(len, texts)):
                 key, n = trigrams(texts[lo:hi])
                 name = np.repeat(np.arange(hi - lo), n)
-                for lang in set(labels[lo:hi]):
-                    own = np.array([x == lang for x in labels[lo:hi]])
+                for group in set(labels[lo:hi]):
+                    own = np.array([x == group for x in labels[lo:hi]])
                     c = np.bincount(key[own[name]], minlength=1 << TABLE_BITS)
-                    total[lang] = total.get(lang, 0) + c
+                    total[group] = total.get(group, 0) + c
+        some = {g: np.flatnonzero(c) for g, c in total.items()}
         yield pa.RecordBatch.from_arrays([
-            pa.array(list(total), pa.string()),
-            pa.array([c.astype("<i8").tobytes() for c in total.values()], pa.binary())], names=["lang", "data"])
+            pa.array([g[0] for g in total], pa.string()), pa.array([g[1] for g in total], pa.int32()),
+            pa.array([x.astype("<u4").tobytes() for x in some.values()], pa.binary()),
+            pa.array([c[some[g]].astype("<i8").tobytes() for g, c in total.items()], pa.binary())],
+            names=["lang", "half", "keys", "data"])
 
     found: dict[str, np.ndarray] = {}
-    for r in sample.repartition(8).mapInArrow(count, "lang string, data binary").collect():  # eight tasks' tables
-        found[r["lang"]] = found.get(r["lang"], 0) + np.frombuffer(r["data"], dtype="<i8")
+    for r in sample.repartition(8).mapInArrow(
+            count, "lang string, half int, keys binary, data binary").collect():  # eight tasks' tables
+        table = found.setdefault(r["lang"], np.zeros((2, 1 << TABLE_BITS)))
+        table[r["half"], np.frombuffer(r["keys"], dtype="<u4")] += np.frombuffer(r["data"], dtype="<i8")
     langs = sorted(found)
     if not langs:
-        return [], np.zeros((1 << TABLE_BITS, 0), dtype=np.float32)
-    counts = np.array([found[x] for x in langs], dtype=np.float64) + 0.2
-    return langs, np.log(counts / counts.sum(axis=1, keepdims=True)).T.astype(np.float32)
+        return [], np.zeros((1 << TABLE_BITS, 0), dtype=np.float32), 0.0
+    counts = np.array([found[x] for x in langs])
+    return langs, _log_table(counts.sum(axis=1)), _bound(sample, langs, counts)
+
+
+def _bound(sample: DataFrame, langs: list[str], counts: np.ndarray) -> float:
+    """Log-probability of a trigram in the class of unknown languages, from halves of the sample held out."""
+    tables = sample.sparkSession.sparkContext.broadcast([_log_table(counts[:, 1 - h]) for h in (0, 1)])
+    learned = [[bool(counts[i, 1 - h].any()) for i in range(len(langs))] for h in (0, 1)]
+    number = {x: i for i, x in enumerate(langs)}
+
+    def held_out(batches):
+        import pyarrow as pa
+        for batch in batches:
+            labels, half = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            texts, mean = as_bytes(batch.column(0)), []
+            for lo, hi in chunked(map(len, texts)):
+                key, n = trigrams(texts[lo:hi])
+                end = np.cumsum(n)
+                by_half = [np.append(0.0, np.cumsum(t[key].max(axis=1), dtype=np.float64)) for t in tables.value]
+                for i in range(hi - lo):
+                    h = half[lo + i]
+                    if n[i] and learned[h][number[labels[lo + i]]]:  # its language is in the other half's table
+                        mean.append((by_half[h][end[i]] - by_half[h][end[i] - n[i]]) / n[i])
+            yield pa.RecordBatch.from_arrays([pa.array(mean, pa.float64())], names=["mean"])
+
+    low, middle = sample.mapInArrow(held_out, "mean double").agg(
+        F.percentile_approx("mean", F.lit(LOW), F.lit(10000)),
+        F.percentile_approx("mean", F.lit(0.5), F.lit(10000))).first()
+    uniform = -TABLE_BITS * float(np.log(2.0))
+    return uniform if low is None else max(2 * low - middle, min(low, uniform))
 
 
 def identify(docs: DataFrame, evidence: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -105,7 +158,7 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, id_col: str = "
     where no page, or no host of a page, is known.
     """
     spark = docs.sparkSession
-    langs, table = fit_trigrams(docs, text_col, label_col, id_col, train_rows)
+    langs, table, bound = fit_trigrams(docs, text_col, label_col, id_col, train_rows)
     n_langs = len(langs)
     table_b = spark.sparkContext.broadcast(table)  # 2**TABLE_BITS floats a language
 
@@ -114,7 +167,7 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, id_col: str = "
         t = table_b.value
         for batch in batches:
             texts = as_bytes(batch.column(2))
-            sums, counts = [], []
+            sums, counts, known = [], [], []
             for lo, hi in chunked(map(len, texts)):
                 key, n = trigrams(texts[lo:hi])
                 total = np.zeros((len(key) + 1, n_langs))
@@ -122,18 +175,22 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, id_col: str = "
                 end = np.cumsum(n)
                 sums.append(total[end] - total[end - n])
                 counts.append(n)
+                each = np.append(0.0, np.cumsum(t[key].max(axis=1), dtype=np.float64)) if n_langs else np.zeros(len(key) + 1)
+                known.append((each[end] - each[end - n]) - bound * n)
             sums = np.concatenate(sums) if sums else np.zeros((0, n_langs))
             counts = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
+            known = np.concatenate(known) if known else np.zeros(0)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1),
                 pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * n_langs, pa.int32()),
                                          pa.array(sums.reshape(-1), pa.float64())),
-                pa.array(counts, pa.int64())], names=["doc_id", "host", "ll", "n"])
+                pa.array(counts, pa.int64()), pa.array(known, pa.float64())],
+                names=["doc_id", "host", "ll", "n", "known"])
 
     host = F.col(host_col).cast("string") if host_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), host.alias("host"),
                        F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(likelihood, "doc_id long, host string, ll array<double>, n long")
+    scored = rows.mapInArrow(likelihood, "doc_id long, host string, ll array<double>, n long, known double")
     best = F.array_position("ll", F.array_max("ll")).cast("int") if n_langs else F.lit(0)
     # numbered as written: rows that share a doc_id stay apart
     scored = stored(scored.withColumn("vote", F.when(F.col("n") > 0, best)).withColumn(
@@ -222,7 +279,8 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None, id_col: str = "
         "doc_id", F.get(names, F.array_position("score", F.col("top")).cast("int") - 1).alias("language"),
         posterior.alias("posterior"), F.get(names, F.col("vote") - 1).alias("text_language"),
         F.col("n").alias("n_trigrams"),
-        ((F.col("n") > 0) & (posterior >= min_posterior)).alias("accepted"))
+        ((F.col("n") > 0) & (posterior >= min_posterior)
+         & (F.col("known") / TEMPER >= float(np.log(OTHER / (1 - OTHER))))).alias("accepted"))
 
 
 def page_evidence(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:

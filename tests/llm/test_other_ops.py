@@ -188,6 +188,24 @@ def test_language_id_uses_every_page_of_a_document(spark):
     assert all(x[2] > 0.9 for x in late) and late[0][2] == late[3][2]  # in any order of pages
 
 
+def test_language_id_rejects_languages_outside_the_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang != 'es'").select(
+        "doc_id", "text", "lang", "source")
+    es = (spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'es' and length(text) > 300")
+          .select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text", F.lit(None).cast("string").alias("lang"), "source"))
+    odd = [(2_000_000, "Съешь же ещё этих мягких французских булок, да выпей чаю. " * 5, None, "s"),
+           (2_000_001, "いろはにほへと ちりぬるを わかよたれそ つねならむ。" * 5, None, "s"),
+           (2_000_002, "qzx vkj wqq zzxj kvq xjz " * 12, None, "s")]
+    mixed = docs.where("length(text) between 500 and 3000")
+    parts = [r.text[:1200] for x in ("en", "de") for r in mixed.where(F.col("lang") == x).orderBy("doc_id").limit(5).collect()]
+    odd += [(3_000_000 + k, f"{parts[k]}\n{parts[5 + k]}", None, "s") for k in range(5)]
+    got = identify(docs.union(es).union(spark.createDataFrame(odd, docs.schema))).select("doc_id", "accepted").collect()
+    kept = lambda lo, hi: [r.accepted for r in got if lo <= r.doc_id < hi]
+    assert not any(kept(2_000_000, 3_000_000))  # scripts and letters that no label has
+    assert np.mean(kept(1_000_000, 2_000_000)) < 0.1  # a language that no label has
+    assert np.mean(kept(0, 1_000_000)) > 0.99 and all(kept(3_000_000, 4_000_000))  # known ones stay, mixed ones too
+
+
 def test_language_id_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     pages = page_evidence(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
