@@ -55,12 +55,19 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
 
 
 def by_slot(docs: DataFrame, id_col: str, text_col: str, n_bytes: int,
-            slot_bytes: int = SLOT_BYTES, fine_slots: int = FINE_SLOTS) -> tuple[DataFrame, int, int]:
-    """(slot, doc_id, text) dealt by slot, the number of partitions and of slots."""
+            slot_bytes: int = SLOT_BYTES, fine_slots: int = FINE_SLOTS,
+            null_by_text: bool = False) -> tuple[DataFrame, int, int]:
+    """(slot, doc_id, text) dealt by slot, the number of partitions and of slots.
+
+    ``null_by_text`` deals rows with a null id by their text, not all to one slot.
+    """
     parts = parts_for(n_bytes, docs.sparkSession)
     slots = max(64, 2 * parts, -(-n_bytes // slot_bytes), min(fine_slots, n_bytes // FINE_BYTES))
+    key = F.xxhash64(F.col(id_col))
+    if null_by_text:
+        key = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col).cast("string"))).otherwise(key)
     dealt = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(slots)).cast("int").alias("slot"),
+        F.pmod(key, F.lit(slots)).cast("int").alias("slot"),
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return dealt.repartition(parts, "slot"), parts, slots
 

@@ -28,8 +28,11 @@ one by one, under a 128-bit fingerprint of the whole window, dealt by that
 fingerprint; a slot sends equal windows once.
 
 Null text is empty. Repeated rows of one id: a window counts as repeated only
-if its (id, start) is strictly larger than the first one's. A null id orders
-last. An empty table gives an empty table. Only the id and text columns are
+if its (id, start) is strictly larger than the first one's, in every row alike.
+Rows equal in id and text share one verdict; of other rows of one id, each sends
+the pieces that it holds at the same place, and a hot window's verdict goes to
+all rows of its slot that hold it at that place. A null id orders last; such
+rows are dealt to slots by their text. An empty table gives an empty table. Only the id and text columns are
 read, so other columns may have any name.
 """
 
@@ -49,7 +52,7 @@ SHARD_BYTES = 2 << 20
 
 ANCHOR = np.dtype([("h", "<u8"), ("n", "<i4"), ("windows", "<i4")])
 KNOWN = np.dtype([("h", "<u8"), ("hot", "i1")])
-# row: rank among the rows of one id, by text
+# row: rank among the different texts of one id in its slot
 PIECE = np.dtype([("h", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("at", "<i4"), ("len", "<i4")])
 WINDOW = np.dtype([("run", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("at", "<i4")])
 RANGE = np.dtype([("doc", "<i8"), ("row", "<i4"), ("lo", "<i4"), ("hi", "<i4")])
@@ -268,14 +271,16 @@ def ranges_of(doc, row, lo, hi) -> np.ndarray:
     return out
 
 
-def by_id_and_text(ids: np.ndarray, texts: list[bytes]) -> tuple[list[int], np.ndarray]:
-    """(indices ordered by id, then text; rank of each of these among the rows of its id)."""
+def by_id_and_text(ids: np.ndarray, texts: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """(indices ordered by id, then text; rank of each of these among the texts of its id; is it the text's first)."""
     order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
     own = ids[order]
     new = np.ones(len(own), dtype=bool)
     new[1:] = own[1:] != own[:-1]
-    at = np.arange(len(own))
-    return order, at - np.maximum.accumulate(np.where(new, at, 0))
+    first = new.copy()
+    first[1:] |= np.array([texts[i] != texts[j] for i, j in zip(order[1:], order[:-1])], dtype=bool)
+    at = np.cumsum(first) - 1
+    return order, at - np.maximum.accumulate(np.where(new, at, 0)), first
 
 
 # ------------------------------------------------------------------- slots --
@@ -318,7 +323,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  seed_bytes: int = SEED_BYTES, hot: int = HOT) -> DataFrame:
     """Documents without the bytes of repeated strings: doc_id, text (the bytes left), n_bytes, n_removed, spans."""
     seed, size = min(seed_bytes, min_bytes), min_bytes
-    dealt, parts, slots = by_slot(docs, id_col, text_col, text_bytes(docs, text_col))
+    dealt, parts, slots = by_slot(docs, id_col, text_col, text_bytes(docs, text_col), null_by_text=True)
     buckets = buckets_for(parts, slots)
 
     def sent(rows):
@@ -361,8 +366,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         slot = left.column("slot")[0].as_py()
         ids = ids_of(left.column("doc_id").combine_chunks())
         texts = as_bytes(left.column("text"))
-        order, rank = by_id_and_text(ids, texts)
-        s = _Slot([texts[i] for i in order], ids[order], size, seed, rank)
+        order, rank, first = by_id_and_text(ids, texts)
+        order = np.array(order, dtype=np.int64)[first]
+        s = _Slot([texts[i] for i in order], ids[order], size, seed, rank[first])
         known = _back(right, 0, KNOWN)
         known = known[np.argsort(known["h"], kind="stable")]
         if len(known):
@@ -398,7 +404,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield from _shards(pieces, texts, size)
 
     def remove(left, right):
-        return _result(left, _back(right, 0, RANGE))
+        return _result(left, _back(right, 0, RANGE), size)
 
     seeds = dealt.mapInArrow(anchors, SENT).repartition(parts, "bucket").mapInArrow(known_anchors, BACK)
     ranges = (dealt.groupBy("slot").cogroup(seeds.repartition(parts, "slot").groupBy("slot"))
@@ -432,12 +438,14 @@ def _rows_of(s: _Slot, piece_ok: np.ndarray, hot_ok: np.ndarray, slot: int, buck
         hi = at[np.append(lo[1:], len(at)) - 1] + s.size
         lo, h, no = at[lo], anchor[lo], text[lo]
         content = [s.raw[a:b] for a, b in zip(lo, hi)]
-        seen: dict[bytes, int] = {}
-        lead = np.array([seen.setdefault(c, i) for i, c in enumerate(content)])
         doc, row, pos = s.ids[no], s.rows[no], lo - s.first[no]
+        seen: dict[bytes, int] = {}
+        lead = np.zeros(len(lo), dtype=np.int64)
+        for i in np.lexsort((pos, doc)).tolist():  # the earliest of equal pieces first
+            lead[i] = seen.setdefault(content[i], i)
         again = (doc > doc[lead]) | (pos > pos[lead])
         late.append(ranges_of(doc[again], row[again], pos[again], pos[again] + (hi - lo)[again]))
-        keep = np.flatnonzero(lead == np.arange(len(lead)))
+        keep = np.flatnonzero(~again)  # the first, and equal pieces at its place in other rows of its id
         out = np.empty(len(keep), dtype=PIECE)
         out["h"], out["doc"], out["row"], out["at"], out["len"] = h[keep], doc[keep], row[keep], pos[keep], (hi - lo)[keep]
         for b, k in cut_by_bucket(out["h"], buckets):
@@ -519,23 +527,46 @@ def _shards(pieces, texts, size: int):
                 keep.append(i)
             elif info["doc"][i] > info["doc"][j] or info["at"][i] > info["at"][j]:
                 late.append(i)
+            else:  # at the same place in another row of the id
+                keep.append(i)
         late, keep = np.array(late, dtype=np.int64), np.array(keep, dtype=np.int64)
         whole = info[late]
         whole = ranges_of(whole["doc"], whole["row"], whole["at"], whole["at"] + whole["len"])
-        found = repeated_windows([content[i] for i in keep], info["doc"][keep], info["row"][keep],
+        found = repeated_windows([content[i] for i in keep], info["doc"][keep], np.arange(len(keep)),
                                  info["at"][keep].astype(np.int64), size)
-        slot_of = dict(zip(info["doc"][keep].tolist(), slot[keep].tolist()))
-        to = np.array([slot_of[d] for d in found["doc"].tolist()], dtype=np.int32)
+        own = keep[found["row"]]  # null ids stand in several slots, so the piece tells slot and row
+        to, found["row"] = slot[own], info["row"][own]
         out = np.concatenate((whole, found))
         yield back_to_slots(np.concatenate((slot[late], to)).astype(np.int32), out, 0)
 
 
-def _result(left, ranges: np.ndarray):
+def _alike(order, rank, first, ids, texts, ranges: np.ndarray, size: int) -> np.ndarray:
+    """The ranges of single windows, given to all other texts of their id that hold the window at that place."""
+    order = np.array(order, dtype=np.int64)[first]
+    rank = rank[first]
+    own = ids[order]
+    several = np.zeros(len(own), dtype=bool)
+    several[1:] |= own[1:] == own[:-1]
+    several[:-1] |= own[1:] == own[:-1]
+    rows: dict[int, list[tuple[int, bytes]]] = {}
+    for i, k in zip(order[several].tolist(), rank[several].tolist()):
+        rows.setdefault(int(ids[i]), []).append((k, texts[i]))
+    single = ranges[(ranges["hi"] - ranges["lo"] == size) & np.isin(ranges["doc"], list(rows))]
+    wanted: dict[int, dict[int, set[bytes]]] = {}
+    for r in single:
+        doc, lo = int(r["doc"]), int(r["lo"])
+        wanted.setdefault(doc, {}).setdefault(lo, set()).add(rows[doc][int(r["row"])][1][lo:lo + size])
+    more = [(doc, k, lo, lo + size) for doc, at in wanted.items() for k, text in rows[doc]
+            for lo, held in at.items() if text[lo:lo + size] in held]
+    return np.concatenate((ranges, np.array(more, dtype=RANGE)))
+
+
+def _result(left, ranges: np.ndarray, size: int):
     import pyarrow as pa
     ids = ids_of(left.column("doc_id").combine_chunks())
     texts = as_bytes(left.column("text"))
-    order, rank = by_id_and_text(ids, texts)
-    ranges = merged(ranges)
+    order, rank, first = by_id_and_text(ids, texts)
+    ranges = merged(_alike(order, rank, first, ids, texts, ranges, size))
     own: dict[tuple[int, int], list] = {}
     for r in ranges:
         own.setdefault((int(r["doc"]), int(r["row"])), []).append((int(r["lo"]), int(r["hi"])))

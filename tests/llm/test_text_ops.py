@@ -1,6 +1,7 @@
 """Word and byte operators against brute-force versions on small tables with edge cases."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -78,6 +79,36 @@ def test_suffix_dedup_matches_brute_force(docs, texts, hot):
         assert bytes(got[i].text) == kept
 
 
+@pytest.mark.parametrize("hot", [1 << 17, 3])
+def test_suffix_dedup_cuts_every_row_of_an_id(spark, hot):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    a, b, c = text(200), text(240), text(230)
+    rows = [(3, a), (5, a), (5, a)]  # two equal rows of one id
+    rows += [(3, b), (None, b), (None, b), (None, b)]
+    rows += [(13, c + text(80)), (15, c[20:] + text(70)), (15, c[20:] + text(90)), (15, text(50) + c)]  # unequal rows
+    rows += [(None, c[20:] + text(k)) for k in range(60, 90, 3)]  # null ids over several slots
+    d = text(150)
+    rows += [(23, text(10) + d[:120]), (25, text(40) + d), (25, d), (25, d + "x")]
+    key = lambda i: 1 << 62 if i is None else i
+    seen = {}
+    for i, t in rows:
+        for k in range(len(t) - 99):
+            seen[t[k:k + 100]] = min(seen.get(t[k:k + 100], (1 << 63, 0)), (key(i), k))
+    want = []
+    for i, t in rows:
+        gone = [False] * len(t)
+        for k in range(len(t) - 99):
+            if (key(i), k) > seen[t[k:k + 100]]:
+                gone[k:k + 100] = [True] * 100
+        want.append((str(i), t, "".join(x for x, g in zip(t, gone) if not g), sum(gone)))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = suffix_dedup(table, min_bytes=100, hot=hot).collect()
+    assert sorted((str(r.doc_id), bytes(r.text).decode(), r.n_removed) for r in got) == sorted(
+        (i, kept, n) for i, _, kept, n in want)
+    assert sum(n == len(t) for i, t, _, n in want if t in (a, b)) == 5
+
+
 def shingles(t, k):
     w = space_words((t or "").translate(LOW))
     return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
