@@ -20,7 +20,10 @@ its terms' frequencies) is all that is sent to every task.
 Words are runs of digits, letters a-z (A-Z lower-cased) and non-ASCII
 characters. Null text has no words. A test text shorter than a window is one
 window; one without words matches nothing. Repeated rows are indexed and
-reported each; repeated item ids count once. Empty tables give empty results
+reported each; repeated item ids count once. Items with a null id are searched
+like any other: their windows give spans, and all of them together are one null
+entry at the end of ``items``, which counts in its size (``n_items``) and has no
+name to join (``items_sha256``). Empty tables give empty results
 or no matches. Other columns are not read.
 """
 
@@ -98,7 +101,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 class Windows:
     """Windows of a block of test items: term hash per place (0 past the end of a short item)."""
 
-    def __init__(self, items: list[str], texts: list[bytes], window: int):
+    def __init__(self, items: list[str | None], texts: list[bytes], window: int):
         w = words_of(texts, ALNUM_WORDS, lower=True)
         rows, item, length = [], [], []
         for i, (a, b) in enumerate(zip(w.first[:-1], w.first[1:])):
@@ -130,7 +133,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, window: int) -> Iterat
     rows = items.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
     names, texts, size = [], [], 0
     for r in rows.toLocalIterator():
-        if r["item"] is None or not r["text"]:
+        if not r["text"]:
             continue
         t = r["text"].encode()
         if names and size + len(t) > BLOCK_BYTES:
@@ -295,12 +298,12 @@ def _search_block(index: DataFrame, w: Windows, slop: int, gap: int) -> DataFram
     return index.select("segment", "terms", "counts", "postings", "docs", "doc_words").mapInArrow(search, FOUND)
 
 
-def _names_by_doc(doc: np.ndarray, item: np.ndarray, names: list[str]) -> dict[int, list[str]]:
-    out: dict[int, set[str]] = {}
+def _names_by_doc(doc: np.ndarray, item: np.ndarray, names: list[str | None]) -> dict[int, list[str | None]]:
+    out: dict[int, set[str | None]] = {}
     if len(doc):
         for d, i in np.unique(np.vstack((doc, item)), axis=1).T.tolist():
             out.setdefault(d, set()).add(names[i])
-    return {d: sorted(v) for d, v in out.items()}
+    return {d: sorted(v, key=lambda x: (x is None, x or "")) for d, v in out.items()}
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",

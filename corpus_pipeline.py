@@ -62,7 +62,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a window of a benchmark item go."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=WINDOW, slop=0)
-    clean = (found.groupBy("doc_id").agg(F.max(F.size("items")).alias("n")).where("n = 0"))
+    clean = (found.groupBy("doc_id").agg(F.max(F.size("spans")).alias("n")).where("n = 0"))
     return _kept(docs, clean)
 
 

@@ -171,6 +171,32 @@ def test_contamination_matches_brute_force(spark, docs, texts):
     assert "7" in got[5].near_items  # the document has one word more in between: a proximity match only
 
 
+@pytest.mark.parametrize("block", [1 << 22, 40])
+def test_items_with_a_null_id_are_searched(spark, tmp_path, monkeypatch, block):
+    import corpus_pipeline as cp
+    from basketry.llm import positional_index as pi
+    from basketry.llm.queries import op4_decontamination
+    from basketry.llm.sql import SQL
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(pi, "BLOCK_BYTES", block)
+    passage = lambda x: " ".join(f"{x}{i}" for i in range(12))
+    docs = [(1, f"a b {passage('p')} c"), (2, f"{passage('q')} d {passage('p')}"), (3, "clean words only"), (4, passage("r"))]
+    items = [(None, passage("p")), (None, passage("r")), (7, passage("q")), (None, None), (None, "")]
+    (spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs],
+                           "doc_id long, text string, lang string, source string, n_chars long")
+     .write.parquet(f"{tmp_path}/documents.parquet"))
+    spark.createDataFrame(items, "item_id int, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = op4_decontamination(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert sorted(map(tuple, got)) == sorted(con.execute(SQL["op4_decontamination"]).fetchall())
+    assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in got} == {
+        1: (12, 1, True), 2: (24, 2, True), 3: (0, 0, False), 4: (12, 1, True)}
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.doc_id for r in cp.benchmark_free(spark, table, str(tmp_path)).collect()] == [3]
+
+
 def test_search_in_blocks_gives_the_same(spark, docs, texts, monkeypatch):
     from basketry.llm import positional_index as pi
     table = spark.createDataFrame([(k, texts[k][1]) for k in range(8)], "item_id int, text string")
