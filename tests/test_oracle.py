@@ -7,7 +7,7 @@ import os
 
 import pytest
 
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 from oracle_compare import compare, duck
 
 SUBSET = ["basket_lines", "merge_full", "cumulative_share", "pareto_lines", "sticky", "feature_table",

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 
 CHEAP_TO_BUILD = None  # every registered query; iterative ones build their models first
 SKIP = {"elbow", "kmeans_segments", "kmeans_fixed_point", "dec_refine", "dec_train_encoder", "autoencoder_fit",

@@ -4,7 +4,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 from basketry.operators import merge
 from basketry.sources import files
 from basketry.sources.basket import basket_tables
