@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import align
 from .hnsw import near_duplicates
 from .jaccard_join import jaccard_components
 from .language_id import identify, page_evidence
@@ -103,6 +104,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of every text's byte-level and piece tokens, with corpus-wide link counts."""
+    import public_tokenizers as tokenizers
+    return align(_table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"),
+                 tokenizers.path("piece_bpe_32k.model"), tokenizers.path("byte_bpe_50k.tiktoken"),
+                 tokenizers.PATTERN)
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_best_fit_packing,
     op2_url_filter,
@@ -114,4 +123,5 @@ QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op8_lm_scoring,
     op9_embedding_dedup,
     op10_suffix_dedup,
+    op11_token_alignment,
 )}
