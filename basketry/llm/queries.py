@@ -14,6 +14,7 @@ from .language_id import identify, page_evidence
 from .lm import lm_scores
 from .packing import pack_documents
 from .positional_index import contamination
+from .repair import damaged, repair
 from .substring import substring_dedup
 from .suffix_array import suffix_dedup
 from .url_filter import Rule, filter_urls, path_of
@@ -112,6 +113,11 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                  tokenizers.PATTERN)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after the contract's damage."""
+    return repair(damaged(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_best_fit_packing,
     op2_url_filter,
@@ -124,4 +130,5 @@ QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op9_embedding_dedup,
     op10_suffix_dedup,
     op11_token_alignment,
+    op12_conversation_repair,
 )}
