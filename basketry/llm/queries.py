@@ -12,6 +12,7 @@ from .hnsw import near_duplicates
 from .jaccard_join import jaccard_components
 from .language_id import identify, page_evidence
 from .lm import lm_scores
+from .main_text import main_text
 from .packing import pack_documents
 from .positional_index import contamination
 from .repair import damaged, repair
@@ -118,6 +119,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(_table(spark, sf_dir, "conversations")))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, without furniture and what pages of a host share."""
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op1_best_fit_packing,
     op2_url_filter,
@@ -131,4 +137,5 @@ QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
     op10_suffix_dedup,
     op11_token_alignment,
     op12_conversation_repair,
+    op13_html_extraction,
 )}

@@ -40,5 +40,5 @@ def test_repeated_exchanges_are_shared(spark):
 def test_entry_registers_all():
     import __spark_entry__ as entry
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")}
     assert "pipeline" in names and set(SQL) <= set(entry.oracle_sql())
