@@ -205,12 +205,14 @@ def host_name(url: str | None) -> str:
     return m.group(1).translate(LOWER) if m else ""
 
 
-PARSED = "page_id long, url string, host string, text string, marks binary"
+PARSED = "page_id long, url string, host string, text binary, marks binary"
 
 
 def _parsed(batches) -> Iterator:
-    """Pages to their blocks: texts joined by line breaks, one mark each."""
+    """Pages to their blocks: texts joined by line breaks (compressed for the exchange), one mark each."""
     import pyarrow as pa
+    import zstandard
+    packer = zstandard.ZstdCompressor()
     for b in batches:
         for lo in range(0, b.num_rows, 256):
             part = b.slice(lo, 256)
@@ -218,11 +220,19 @@ def _parsed(batches) -> Iterator:
             found = [blocks_of(h) if h else [] for h in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([
                 part.column(0), part.column(1), pa.array([host_name(u) for u in urls], pa.string()),
-                pa.array(["\n".join(t for t, _ in f) for f in found], pa.string()),
+                pa.array([packer.compress("\n".join(t for t, _ in f).encode()) for f in found], pa.binary()),
                 pa.array([b"".join(m for _, m in f) for f in found], pa.binary())],
                 names=[c.split()[0] for c in PARSED.split(", ")])
 
 
+def _unpacked(rows, columns: list[str]) -> Iterator[tuple]:
+    """The named columns of parsed pages, row by row, texts as they were."""
+    import zstandard
+    opener = zstandard.ZstdDecompressor()
+    return zip(*([opener.decompress(x).decode() for x in rows.column(c).to_pylist()] if c == "text"
+                 else rows.column(c).to_pylist() for c in columns))
+
+
 # ---------------------------------------------------------- suffix array --
 
 SUFFIX = np.dtype([("key", "<u8"), ("check", "<u8"), ("page", "<u8"), ("more", "?")])
@@ -342,15 +352,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         for b in batches:
             for s, idx in slots_in(b):
                 rows = b.take(pa.array(idx))
-                found = slot_suffixes(zip(*(rows.column(c).to_pylist() for c in columns)), min_tokens)
+                found = slot_suffixes(_unpacked(rows, columns), min_tokens)
                 if len(found):
                     yield packed_rows((k, s, found[at].tobytes()) for k, at in cut_by_bucket(found["key"], buckets))
 
     def cut(key, left, right):
         import pyarrow as pa
         repeated = set(returned(right, 0, KEY).tolist())
-        texts = [page_text(*row, repeated, min_tokens)
-                 for row in zip(*(left.column(c).to_pylist() for c in columns[2:]))]
+        texts = [page_text(*row, repeated, min_tokens) for row in _unpacked(left, columns[2:])]
         return pa.table([left.column("page_id"), left.column("url"), pa.array(texts, pa.string()),
                          pa.array([len(t) for t in texts], pa.int64())], names=[c.split()[0] for c in RESULT.split(", ")])
 
