@@ -9,8 +9,10 @@ validation loss with the best weights restored.
 ``TASK_ROWS`` rows. In an epoch every task runs its own mini-batches from the
 shared parameters; the parameters (and Adam's moments) that come back are
 averaged with the tasks' row counts. With one task this is plain mini-batch
-Adam. The averages are added up in blocks on the executors, tasks without rows
-send nothing, and only the model itself reaches the driver.
+Adam. The averages are added up in blocks on the executors, and tasks without
+rows send nothing. Only a small model (``DRIVER_VALUES``) passes through the
+driver; a larger one stays on the executors as a table of blocks, and the driver
+sees sums of losses and counts (``sharded``).
 
 Inputs are sparse ``(indices, values)`` rows, so a wide catalogue never
 becomes a wide schema.
@@ -27,7 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import drop_written, materialize
-from .latent import _dense_batch, _sigmoid, row_chunks
+from .latent import _dense_batch, _sigmoid, encode, row_chunks, weight_table
+from .sharded import BLOCK, TASK_ROWS, BlockModel, applied, extended, glorot_model, model_of, parameter_count, \
+    round_of, task_of, tasks_for, weights_of
 
 EPOCHS = 200                  # fixed values of the reference's training call
 BATCH_ROWS = 256
@@ -38,8 +42,8 @@ DEC_INTERVAL = 25
 DEC_CHECK = 100
 DEC_TOLERANCE = 4e-5
 DEC_LR, DEC_MOMENTUM = 1e-4, 0.1
-TASK_ROWS = 16_384            # rows that a task trains on between two averages
-BLOCK = 1 << 16               # values of a model that are added up in one executor row
+SUM_BLOCK = 1 << 16           # values that are added up in one executor row
+DRIVER_VALUES = 1 << 20       # parameters (8 MB) of a model that may pass through the driver
 
 
 def init_layers(shapes, seed: int = 0):
@@ -106,8 +110,8 @@ def summed(rows: DataFrame, columns: list[str], value: object, size: int,
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = work(bc.value, batches)
         if out is not None:  # tasks without rows send nothing
-            for lo in range(0, size, BLOCK):
-                yield pd.DataFrame({"block": [lo // BLOCK], "data": [out[lo:lo + BLOCK].tobytes()]})
+            for lo in range(0, size, SUM_BLOCK):
+                yield pd.DataFrame({"block": [lo // SUM_BLOCK], "data": [out[lo:lo + SUM_BLOCK].tobytes()]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
@@ -118,13 +122,13 @@ def summed(rows: DataFrame, columns: list[str], value: object, size: int,
         yield pd.DataFrame({"block": list(total), "data": [x.tobytes() for x in total.values()]})
 
     schema = "block int, data binary"
-    got = (rows.select(*columns).mapInPandas(part, schema).repartition(-(-size // BLOCK), "block")
+    got = (rows.select(*columns).mapInPandas(part, schema).repartition(-(-size // SUM_BLOCK), "block")
            .mapInPandas(add, schema).collect())
     bc.destroy()
     out = np.zeros(size)
     for r in got:
         x = np.frombuffer(r["data"])
-        out[r["block"] * BLOCK:r["block"] * BLOCK + len(x)] = x
+        out[r["block"] * SUM_BLOCK:r["block"] * SUM_BLOCK + len(x)] = x
     return out
 
 
@@ -183,66 +187,110 @@ def _flat(result):
 
 @dataclass
 class FitResult:
-    layers: list
+    """A fitted autoencoder: ``layers`` if it is small, else ``model``, its table of blocks on the executors."""
+
+    layers: list | None
     history: list          # (epoch, loss, val_loss, mse, val_mse)
     best_epoch: int
+    shapes: list
+    model: BlockModel | None = None
+
+
+def _epoch(state, training: bool, batches, shapes, d: int, r: float, batch_rows: int):
+    """A task's mini-batches of one epoch from (theta, m, v, t).
+
+    Returns (rows, loss, error of the training rows; the same of the validation
+    rows under the parameters at the start), and the state after it.
+    """
+    start, m, v, t = state
+    theta, m, v = start.copy(), m.copy(), v.copy()
+    sums = np.zeros(6)
+
+    def measured():
+        for pdf in batches:
+            val = pdf[pdf["split"] != "train"]
+            if len(val):
+                layers = _unflatten(start, shapes)
+                n, loss, err, _ = _chunk_sums(
+                    val, d, lambda part, x: _flat(batch_loss_and_grads(x, layers, r, False)))
+                sums[3:] += (n, loss, err)
+            yield pdf[pdf["split"] == "train"]
+
+    for pdf in _minibatches(measured(), batch_rows):
+        if not training:
+            continue
+        layers = _unflatten(theta, shapes)
+        n, loss, err, grad = _chunk_sums(pdf, d, lambda part, x: _flat(batch_loss_and_grads(x, layers, r)))
+        sums[:3] += (n, loss, err)
+        grad = grad / n
+        t += 1
+        m = ADAM["beta1"] * m + (1 - ADAM["beta1"]) * grad
+        v = ADAM["beta2"] * v + (1 - ADAM["beta2"]) * grad * grad
+        lr_t = ADAM["lr"] * np.sqrt(1 - ADAM["beta2"] ** t) / (1 - ADAM["beta1"] ** t)
+        theta = theta - lr_t * m / (np.sqrt(v) + ADAM["eps"])
+    return sums, (theta, m, v, t)
 
 
 def fit_autoencoder(vectors: DataFrame, d: int, shapes, r: float, epochs: int = EPOCHS,
-                    patience: int = PATIENCE, seed: int = 0, batch_rows: int = BATCH_ROWS) -> FitResult:
+                    patience: int = PATIENCE, seed: int = 0, batch_rows: int = BATCH_ROWS,
+                    driver_values: int = DRIVER_VALUES, start: np.ndarray | None = None,
+                    keep: str = "best") -> FitResult:
     """Train on ``vectors`` = ``(user_id, indices, values, split)``; ``split`` is 'train' / 'validation' (R7).
 
     Returns the weights of the best validation loss and the epoch history. The
     job of an epoch also measures the validation loss of the parameters it
-    starts from, so it closes the epoch before.
+    starts from, so it closes the epoch before. A model of at most
+    ``driver_values`` parameters passes through the driver, one job an epoch;
+    a larger one stays on the executors as a table of blocks (``sharded``). Both
+    do the same steps on the same rows. ``start`` (a small flat vector) replaces
+    the Glorot-uniform start; ``keep="last"`` returns the last epoch's weights.
     """
-    theta = _flatten(init_layers(shapes, seed))
-    size = theta.size
-    m, v, t = np.zeros(size), np.zeros(size), 0.0
-    rows = dealt_rows(vectors.select("user_id", "indices", "values", "split",
-                                     F.xxhash64("user_id").alias("deal")), ["deal"], "autoencoder_rows")
-
-    def epoch_work(state, batches):
-        start, m0, v0, t0, training = state
-        theta, m, v, t = start.copy(), m0.copy(), v0.copy(), t0
-        sums = np.zeros(6)
-
-        def measured():
-            for pdf in batches:
-                val = pdf[pdf["split"] != "train"]
-                if len(val):
-                    layers = _unflatten(start, shapes)
-                    n, loss, err, _ = _chunk_sums(
-                        val, d, lambda part, x: _flat(batch_loss_and_grads(x, layers, r, False)))
-                    sums[3:] += (n, loss, err)
-                yield pdf[pdf["split"] == "train"]
-
-        for pdf in _minibatches(measured(), batch_rows):
-            if not training:
-                continue
-            layers = _unflatten(theta, shapes)
-            n, loss, err, grad = _chunk_sums(pdf, d, lambda part, x: _flat(batch_loss_and_grads(x, layers, r)))
-            sums[:3] += (n, loss, err)
-            grad = grad / n
-            t += 1
-            m = ADAM["beta1"] * m + (1 - ADAM["beta1"]) * grad
-            v = ADAM["beta2"] * v + (1 - ADAM["beta2"]) * grad * grad
-            lr_t = ADAM["lr"] * np.sqrt(1 - ADAM["beta2"] ** t) / (1 - ADAM["beta1"] ** t)
-            theta = theta - lr_t * m / (np.sqrt(v) + ADAM["eps"])
-        if not sums[0] and not sums[3]:
-            return None
-        return np.concatenate((sums, sums[0] * theta, sums[0] * m, sums[0] * v, [sums[0] * t]))
-
-    best, best_epoch, since, best_theta = np.inf, 0, 0, theta
+    shapes, size = list(shapes), parameter_count(shapes)
+    spark = vectors.sparkSession
+    own = vectors.select("user_id", "indices", "values", "split", F.xxhash64("user_id").alias("deal"))
+    columns = ["indices", "values", "split"]
+    local = size <= driver_values
+    if local:
+        rows = dealt_rows(own, ["deal"], "autoencoder_rows")
+        theta = _flatten(init_layers(shapes, seed)) if start is None else start
+        state = (theta, np.zeros(size), np.zeros(size), 0.0)
+    else:
+        tasks = tasks_for(own.count(), size, TASK_ROWS)
+        rows = materialize(own.withColumn("task", task_of("user_id", tasks)), "autoencoder_rows")
+        state = (glorot_model(spark, shapes, seed, block=BLOCK) if start is None else model_of(spark, start, block=BLOCK), 0.0)
+
+    def run_local(state, training):
+        def work(now, batches):
+            sums, after = _epoch(now, training, batches, shapes, d, r, batch_rows)
+            if not sums[0] and not sums[3]:
+                return None
+            return np.concatenate((sums, *(sums[0] * x for x in after[:3]), [sums[0] * after[3]]))
+
+        got = summed(rows, columns, state, 7 + 3 * size, work)
+        n = got[0] or 1.0
+        return got[:6], (*(got[6 + k * size:6 + (k + 1) * size] / n for k in range(3)), got[-1] / n)
+
+    def run_blocks(state, training):
+        model, t = state
+
+        def work(now, batches):
+            sums, after = _epoch((*now, t), training, batches, shapes, d, r, batch_rows)
+            return np.append(sums, sums[0] * after[3]), sums[0], after[:3]
+
+        got, after = round_of(rows, model, tasks, columns, ["deal", "user_id"], work, 7)
+        return got[:6], (after, got[6] / (got[0] or 1.0))
+
+    best, best_epoch, since, best_state = np.inf, 0, 0, state
     history, before = [], None
     for epoch in range(epochs + 1):
-        got = summed(rows, ["indices", "values", "split"], (theta, m, v, t, epoch < epochs), 7 + 3 * size, epoch_work)
-        n, loss, err, val_n, val_loss, val_err = got[:6]
+        (n, loss, err, val_n, val_loss, val_err), after = (run_local if local else run_blocks)(state, epoch < epochs)
         if before is not None:
             shown = (val_loss / val_n, val_err / val_n) if val_n else (before[1], before[2])
             history.append((epoch - 1, before[1], shown[0], before[2], shown[1]))
             if shown[0] < best:
-                best, best_epoch, since, best_theta = shown[0], epoch - 1, 0, theta
+                if not local and best_state[0] is not state[0]:
+                    best_state[0].drop()
+                best, best_epoch, since, best_state = shown[0], epoch - 1, 0, state
             else:
                 since += 1
                 if since >= patience:
@@ -250,10 +298,49 @@ def fit_autoencoder(vectors: DataFrame, d: int, shapes, r: float, epochs: int =
         if not n:
             break
         before = (n, loss / n, err / n)
-        theta, m, v = (got[6 + k * size:6 + (k + 1) * size] / n for k in range(3))
-        t = got[-1] / n
+        if not local and state is not best_state and epoch < epochs:
+            state[0].drop()
+        if epoch < epochs:
+            state = after
     drop_written(rows)
-    return FitResult(_unflatten(best_theta, shapes), history, best_epoch)
+    if keep == "last":
+        best_state = state
+    if local:
+        return FitResult(_unflatten(best_state[0], shapes), history, best_epoch, shapes)
+    return FitResult(None, history, best_epoch, shapes, best_state[0])
+
+
+def encode_fitted(vectors: DataFrame, fit: FitResult, d: int) -> DataFrame:
+    """Latent vectors ``(user_id, latent)`` of a fitted autoencoder (C10), wherever its parameters are."""
+    if fit.layers is not None:
+        return encode(vectors, fit.layers, d)
+    return _encoded(vectors, fit.model, fit.shapes[:2], d, None)
+
+
+def _encoded(vectors: DataFrame, model: BlockModel, shapes, d: int, centroids: int | None) -> DataFrame:
+    """Rows through the first layers of a block model; with ``centroids``, their nearest one (by q) too."""
+    n_enc = parameter_count(shapes)
+
+    def work(state, batches):
+        layers = _unflatten(state[0], shapes)
+        mu = state[0][n_enc:].reshape(centroids, -1) if centroids else None
+        for batch in batches:
+            for pdf in row_chunks(batch, d):
+                z = _dense_batch(pdf, d)
+                for w, b in layers:
+                    z = _sigmoid(z @ w + b)
+                out = {"user_id": pdf["user_id"].to_numpy(), "latent": list(z)}
+                if centroids:
+                    out["cluster"] = student_t(z, mu)[0].argmax(axis=1)
+                yield pd.DataFrame(out)
+
+    schema = "user_id long, latent array<double>" + (", cluster int" if centroids else "")
+    return applied(vectors, model, "user_id", ["user_id", "indices", "values"], vectors.count(), work, schema)
+
+
+def fitted_weights(spark, fit: FitResult) -> DataFrame:
+    """The weight table (S-5) of a fitted autoencoder."""
+    return weight_table(spark, fit.layers) if fit.layers is not None else weights_of(fit.model, fit.shapes)
 
 
 # ----------------------------------------------------------- DEC with encoder --
@@ -295,40 +382,60 @@ def student_t(z: np.ndarray, mu: np.ndarray, alpha: float = 1.0):
 
 @dataclass
 class DecResult:
-    encoder: list
+    """``encoder`` (layers) if the model is small, else ``model``: encoder and centroids in blocks."""
+
+    encoder: list | None
     centroids: np.ndarray
     history: list          # (step, label churn)
+    shapes: list
+    model: BlockModel | None = None
 
 
 def dec_train(rows: DataFrame, encoder, centroids: np.ndarray, d: int, r: float = 1e-7,
               max_steps: int = DEC_MAX_STEPS, interval: int = DEC_INTERVAL, tol: float = DEC_TOLERANCE,
               check: int = DEC_CHECK, lr: float = DEC_LR, momentum: float = DEC_MOMENTUM,
-              batch_rows: int = BATCH_ROWS) -> DecResult:
+              batch_rows: int = BATCH_ROWS, driver_values: int = DRIVER_VALUES) -> DecResult:
     """DEC: mini-batch SGD with momentum on the encoder (if any) and the centroids.
 
     ``rows``: ``(user_id, indices, values)`` for an encoder, else ``(user_id,
-    latent)``. A round refreshes the target p and the labels (one job: the
-    cluster totals and the share of changed labels, both against the round
-    before), then every task runs its mini-batches from the shared parameters
-    (one job), which are averaged by row counts. A round is ``interval`` steps,
-    or all mini-batches of a task where it has more; every row takes part in
-    turn, because a task resumes where its last round ended. The loop ends when
-    the label churn at a check (every ``check`` steps) is below ``tol``, or
-    after ``max_steps``. No per-row state is kept between rounds: labels of the
-    round before follow from its parameters.
+    latent)``. ``encoder``: its layers, or a ``FitResult``. A round refreshes
+    the target p and the labels (one job: the cluster totals and the share of
+    changed labels, both against the round before), then every task runs its
+    mini-batches from the shared parameters (one job), which are averaged by row
+    counts. A round is ``interval`` steps, or all mini-batches of a task where it
+    has more; every row takes part in turn, because a task resumes where its
+    last round ended. The loop ends when the label churn at a check (every
+    ``check`` steps) is below ``tol``, or after ``max_steps``. No per-row state
+    is kept between rounds: labels of the round before follow from its
+    parameters. Up to ``driver_values`` parameters pass through the driver;
+    larger models stay on the executors (``sharded``).
     """
     k = centroids.shape[0]
-    shapes = [w.shape for w, _ in encoder]
-    flat = np.concatenate(([] if not encoder else [_flatten(encoder)]) + [centroids.ravel()])
-    n_enc = flat.size - centroids.size
-    columns = ["indices", "values"] if encoder else ["latent"]
-    data = dealt_rows(rows.select("user_id", *columns, F.xxhash64("user_id").alias("deal")), ["deal"], "dec_rows")
+    fit = encoder if isinstance(encoder, FitResult) else None
+    if fit is not None and fit.layers is not None:
+        encoder, fit = fit.layers[:2], None
+    shapes = fit.shapes[:2] if fit is not None else [w.shape for w, _ in encoder]
+    n_enc = parameter_count(shapes)
+    size = n_enc + centroids.size
+    local = fit is None and size <= driver_values
+    columns = ["indices", "values"] if shapes else ["latent"]
+    spark = rows.sparkSession
+    own = rows.select("user_id", *columns, F.xxhash64("user_id").alias("deal"))
+    if fit is None:
+        flat = np.concatenate(([_flatten(encoder)] if shapes else []) + [centroids.ravel()])
+    if local:
+        data = dealt_rows(own, ["deal"], "dec_rows")
+        state = (flat, np.zeros(size), None)  # parameters, velocity, parameters of the round before
+    else:
+        tasks = tasks_for(own.count(), size, TASK_ROWS)
+        data = materialize(own.withColumn("task", task_of("user_id", tasks)), "dec_rows")
+        state = model_of(spark, flat, block=BLOCK) if fit is None else extended(fit.model, n_enc, centroids.ravel(), 3)
 
     def parts(vec):
         return _unflatten(vec[:n_enc], shapes), vec[n_enc:].reshape(centroids.shape)
 
     def inputs(pdf):
-        if not encoder:
+        if not shapes:
             yield pdf, np.stack(pdf["latent"].to_numpy())
             return
         for part in row_chunks(pdf, d):
@@ -340,8 +447,7 @@ def dec_train(rows: DataFrame, encoder, centroids: np.ndarray, d: int, r: float
             x = _sigmoid(x @ w + b)
         return student_t(x, mu)[0]
 
-    def refresh(state, batches):
-        now, last = state
+    def refresh(now, last, batches):
         acc = np.zeros(k + 2)
         for pdf in batches:
             for _, x in (inputs(pdf) if len(pdf) else ()):
@@ -350,11 +456,10 @@ def dec_train(rows: DataFrame, encoder, centroids: np.ndarray, d: int, r: float
                 acc[k] += len(x)
                 if last is not None:
                     acc[k + 1] += (q.argmax(axis=1) != soft(x, last).argmax(axis=1)).sum()
-        return acc if acc[k] else None
+        return acc
 
-    def steps(state, batches):
-        start, vel0, totals, first = state
-        vec, vel, n_rows, taken = start.copy(), vel0.copy(), 0, 0
+    def steps(start, vel, totals, first, batches):
+        vec, n_rows, taken = start.copy(), 0, 0
         held = list(_minibatches(batches, batch_rows))
         for j in range(max(interval, 1) if len(held) < interval else len(held)):
             if not held:
@@ -367,16 +472,40 @@ def dec_train(rows: DataFrame, encoder, centroids: np.ndarray, d: int, r: float
                 p = q * q / totals
                 p /= p.sum(axis=1, keepdims=True)
                 _, g, dmu = dec_loss_and_grads(x, p, enc, mu, r)
-                grad = grad + np.concatenate(([] if not enc else [_flatten(g)]) + [dmu.ravel()])
+                grad = grad + np.concatenate(([_flatten(g)] if enc else []) + [dmu.ravel()])
                 n += len(part)
             vel = momentum * vel - lr * grad / n
             vec = vec + vel
             n_rows, taken = n_rows + n, taken + 1
-        return None if not n_rows else np.concatenate(([n_rows, taken], n_rows * vec, n_rows * vel))
-
-    velocity, last, step, next_check, history = np.zeros(flat.size), None, 0, check, []
+        return n_rows, taken, vec, vel
+
+    def refresh_round(state):
+        if local:
+            def work(now, batches):
+                acc = refresh(now[0], now[2], batches)
+                return acc if acc[k] else None
+            return summed(data, columns, state, k + 2, work)
+        seen, unused = round_of(data, state, tasks, columns, ["deal", "user_id"],
+                                lambda now, batches: (refresh(now[0], now[2] if step else None, batches), 0, None), k + 2)
+        unused.drop()
+        return seen
+
+    def step_round(state, totals):
+        if local:
+            def work(now, batches):
+                n_rows, taken, vec, vel = steps(now[0], now[1], totals, step, batches)
+                return None if not n_rows else np.concatenate(([n_rows, taken], n_rows * vec, n_rows * vel))
+            got = summed(data, columns, state, 2 + 2 * size, work)
+            return got[2:2 + size] / got[0], got[2 + size:] / got[0], state[0]
+
+        def block_work(now, batches):
+            n_rows, taken, vec, vel = steps(now[0], now[1], totals, step, batches)
+            return np.array([n_rows, taken], dtype=float), n_rows, (vec, vel, now[0])
+        return round_of(data, state, tasks, columns, ["deal", "user_id"], block_work, 2)[1]
+
+    step, next_check, history = 0, check, []
     while True:
-        seen = summed(data, columns, (flat, last), k + 2, refresh)
+        seen = refresh_round(state)
         if not seen[k]:
             break
         if step >= next_check:
@@ -387,10 +516,34 @@ def dec_train(rows: DataFrame, encoder, centroids: np.ndarray, d: int, r: float
                 break
         if step >= max_steps:
             break
-        got = summed(data, columns, (flat, velocity, seen[:k], step), 2 + 2 * flat.size, steps)
-        last = flat
-        flat, velocity = got[2:2 + flat.size] / got[0], got[2 + flat.size:] / got[0]
+        after = step_round(state, seen[:k])
+        if not local:
+            state.drop()
+        state = after
         step += max(interval, 1)
     drop_written(data)
-    enc, mu = parts(flat)
-    return DecResult(enc, mu, history)
+    if local:
+        enc, mu = parts(state[0])
+        return DecResult(enc, mu, history, shapes)
+    low = n_enc // state.block  # the blocks that hold the centroids
+    end = [np.frombuffer(b["data"]).reshape(3, -1)[0] for b in
+           state.table.where(F.col("block") >= low).orderBy("block").collect()]
+    return DecResult(None, np.concatenate(end)[n_enc - low * state.block:].reshape(centroids.shape), history, shapes, state)
+
+
+def dec_labels(vectors: DataFrame, done: DecResult, d: int) -> DataFrame:
+    """``(user_id, latent, cluster)`` of rows ``(user_id, indices, values)`` under a trained encoder and its centroids."""
+    if done.encoder is None:
+        return _encoded(vectors, done.model, done.shapes, d, len(done.centroids))
+    bc = vectors.sparkSession.sparkContext.broadcast((done.encoder, done.centroids))  # at most DRIVER_VALUES numbers
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for pdf in row_chunks(batch, d):
+                z = _dense_batch(pdf, d)
+                for w, b in bc.value[0]:
+                    z = _sigmoid(z @ w + b)
+                yield pd.DataFrame({"user_id": pdf["user_id"].to_numpy(), "latent": list(z),
+                                    "cluster": student_t(z, bc.value[1])[0].argmax(axis=1)})
+
+    return vectors.select("user_id", "indices", "values").mapInPandas(run, "user_id long, latent array<double>, cluster int")

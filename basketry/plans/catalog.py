@@ -21,12 +21,14 @@ from ..operators import quality as qual
 from ..operators import selection as sel
 from ..operators import latent as lt
 from ..operators import segments as seg
-from ..operators.autoencoder import dec_train, fit_autoencoder, loss_and_gradient
+from ..operators.autoencoder import DEC_TOLERANCE, DEC_MAX_STEPS, _flatten, dec_labels, dec_train, encode_fitted, \
+    fit_autoencoder, fitted_weights, loss_and_gradient
+from ..operators.sharded import weights_of
 from ..session import scratch_path
 from ..sources import files
 from ..sources.basket import read_table
 from ..sources.schemas import USER_FEATURES
-from ..sources.storage import materialize
+from ..sources.storage import materialize, remember, reuse_or_write
 from .context import Basket, latent, latent_models, rounded
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -966,7 +968,7 @@ def _latent_sweep(spark, sf_dir):
         res = fit_autoencoder(_training_rows(b), d, [(d, d), (d, ld), (ld, d)], r)
         name = f"{ld}-{r:g}"
         rows.append((name, ld, r, *map(float, res.history[res.best_epoch][1:])))
-        z = lt.with_model(lt.encode(b.vectors, res.layers, d), name)
+        z = lt.with_model(encode_fitted(b.vectors, res, d), name)
         models = z if models is None else models.unionByName(z)
     path = scratch_path(spark, "sweep_latent")
     files.write_latent(models, path)
@@ -976,21 +978,57 @@ def _latent_sweep(spark, sf_dir):
     return fits.join(lt.latent_sparsity(values), "model").join(lt.latent_variance(values), "model")
 
 
+@query("autoencoder_adam_step")
+def _autoencoder_adam_step(spark, sf_dir):
+    """C9 on block tables (one epoch): the fixture autoencoder's weights, times 1000, after one Adam step over each
+    task's users (up to 16,384 a task) as one mini-batch; the parameters stay on the executors."""
+    b = Basket(spark, sf_dir)
+    d = b.width
+    rows = b.vectors.withColumn("split", F.lit("train"))
+    fit = fit_autoencoder(rows, d, lt.layer_shapes(d), 1e-3, epochs=1, batch_rows=1 << 30, driver_values=0,
+                          start=_flatten(lt.fixture_layers(d)), keep="last")
+    return weights_of(fit.model, fit.shapes).select(
+        "layer", "kind", "row", F.posexplode(F.transform("values", lambda x: F.lit(1000.0) * x)).alias("col", "value"))
+
+
+@query("autoencoder_wide_epoch")
+def _autoencoder_wide_epoch(spark, sf_dir):
+    """C9 at the width of the product keys (fixture B, hidden width d, latent 150, L1 1e-7): one epoch on block
+    tables, with its training and validation losses."""
+    b = Basket(spark, sf_dir, "part")
+    d = b.width
+    res = fit_autoencoder(_training_rows(b), d, [(d, d), (d, 150), (150, d)], 1e-7, epochs=1, driver_values=0)
+    return spark.createDataFrame([(int(e), *map(float, rest)) for e, *rest in res.history], HISTORY)
+
+
+def _fitted_chain(spark, b: Basket) -> tuple[DataFrame, dict]:
+    """(user_id, latent, q, p, cluster) of the study's chain over ``b``, written once a session, and what its loops told.
+
+    Autoencoder fit at the study's widths, its weights written, latent vectors,
+    k-means, DEC with the encoder to its stop rule, labels.
+    """
+    told: dict = {}
+
+    def build():
+        d = b.width
+        fit = fit_autoencoder(_training_rows(b), d, [(d, d), (d, 150), (150, d)], 1e-7)
+        files.write_weights(fitted_weights(spark, fit), scratch_path(spark, "chain_model"))
+        z = encode_fitted(b.vectors, fit, d)
+        _, cents = seg.kmeans_segments(z, seg.N_CLUSTERS, n_init=seg.N_INIT)
+        done = dec_train(b.vectors, fit, cents, d)
+        told.update(history=fit.history, best=fit.best_epoch, churn=done.history, centroids=done.centroids)
+        return seg.target_distribution(seg.soft_assignment(dec_labels(b.vectors, done, d), done.centroids), len(cents))
+
+    scored = reuse_or_write(spark, "chain_scored", b.key, build)
+    return scored, remember(spark, ("chain_told", b.key), lambda: told)
+
+
 @query("segmentation_chain")
 def _segmentation_chain(spark, sf_dir):
-    """The whole study: autoencoder fit, saved and loaded weights, latent vectors, k-means, DEC with the
-    encoder, labels; size, mean q and p, and silhouettes per segment."""
+    """The whole study: autoencoder fit (d, d, 150, d), weights, latent vectors, k-means, DEC with the encoder,
+    labels; size, mean q and p, and silhouettes per segment."""
     b = Basket(spark, sf_dir)
-    d = b.width
-    fit = fit_autoencoder(_training_rows(b), d, [(d, 8), (8, 4), (4, d)], 1e-7)
-    path = scratch_path(spark, "chain_model")
-    files.write_weights(lt.weight_table(spark, fit.layers), path)
-    layers, _ = lt.layers_from_table(files.read_weights(spark, path))
-    z = lt.encode(b.vectors, layers, d)
-    _, cents = seg.kmeans_segments(z, seg.N_CLUSTERS, n_init=seg.N_INIT)
-    done = dec_train(b.vectors, layers[:2], cents, d)
-    scored = materialize(seg.hard_labels(seg.target_distribution(seg.soft_assignment(
-        lt.encode(b.vectors, done.encoder, d), done.centroids), len(cents))), "chain_scored")
+    scored, _ = _fitted_chain(spark, b)
     labels = scored.select("user_id", "cluster")
     latent_sil = seg.silhouette_of_vectors(scored, labels).first()[0]
     matrix_sil = seg.silhouette_from_triples(b.triples, labels).first()[0]
@@ -999,6 +1037,45 @@ def _segmentation_chain(spark, sf_dir):
             .withColumn("latent_silhouette", F.lit(latent_sil)).withColumn("matrix_silhouette", F.lit(matrix_sil)))
 
 
+@query("learned_segment_bases")
+def _learned_segment_bases(spark, sf_dir):
+    """A20 on the learned labels: mean user features of the segments that the chain found."""
+    b = Basket(spark, sf_dir)
+    scored, _ = _fitted_chain(spark, b)
+    return prof.segment_bases(b.user_rows, scored.select("user_id", "cluster"))
+
+
+@query("learned_segment_extremes")
+def _learned_segment_extremes(spark, sf_dir):
+    """T5 on the learned labels: top 5 and bottom 5 products of the segments that the chain found."""
+    b = Basket(spark, sf_dir)
+    scored, _ = _fitted_chain(spark, b)
+    means = prof.segment_means(b.matrix, scored.select("user_id", "cluster"), "product_name")
+    return prof.ranked_items(means, b.matrix.select("product_name"), "product_name", 5, 5)
+
+
+@query("chain_invariants")
+def _chain_invariants(spark, sf_dir):
+    """What the chain's loops promise, checked on their written result.
+
+    Labels are the arg-max of q for the stored centroids; the kept epoch has the
+    least validation loss; the fit ended by patience or its epochs; DEC ended by
+    its churn or its steps; every user has one label.
+    """
+    b = Basket(spark, sf_dir)
+    scored, told = _fitted_chain(spark, b)
+    again = seg.hard_labels(seg.soft_assignment(scored.select("user_id", "latent", F.col("cluster").alias("label")),
+                                                told["centroids"]))
+    users, away = again.agg(F.count("*"), F.sum((F.col("label") != F.col("cluster")).cast("int"))).first()
+    val = [h[2] for h in told["history"]]
+    last_step, last_churn = told["churn"][-1]
+    rows = [("labels_are_argmax", away == 0), ("best_epoch_is_least", min(val) == val[told["best"]]),
+            ("fit_stopped_by_rule", len(val) == 200 or len(val) - 1 - told["best"] == 10),
+            ("dec_stopped_by_rule", last_churn < DEC_TOLERANCE or last_step >= DEC_MAX_STEPS),
+            ("one_label_per_user", users == b.vectors.count())]
+    return spark.createDataFrame([(n, bool(ok)) for n, ok in rows], "invariant string, holds boolean")
+
+
 @query("describe_latent")
 def _describe_latent(spark, sf_dir):
     """D2 on the latent matrix: describe() of every latent dimension."""

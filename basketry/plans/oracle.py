@@ -467,6 +467,20 @@ SELECT count(*) AS users, avg(m.mse + CAST(1e-3 AS DOUBLE) * (a.s + b.s)) AS los
 FROM umse_t m JOIN (SELECT user_id, sum(a) AS s FROM h1_t GROUP BY 1) a ON a.user_id = m.user_id
 JOIN (SELECT user_id, sum(a) AS s FROM h2_t GROUP BY 1) b ON b.user_id = m.user_id""", ("loss", "mse"))
 
+# one Adam step (fixed values of the optimiser) from the fixture weights: the gradient is the mean over the users
+BOOK.add("agrad_t", _gradient_sql())
+_ADAM_G = "(a.value / CAST(1000 AS DOUBLE) / n.n)"
+oracle("autoencoder_adam_step", f"""
+SELECT a.layer, a.kind, a.row, a.col, CAST(1000 AS DOUBLE) * (
+         CASE WHEN a.kind = 'kernel' THEN CASE a.layer WHEN 0 THEN {_w(0, 'a.row', 'a.col')}
+              WHEN 1 THEN {_w(1, 'a.row', 'a.col')} ELSE {_w(2, 'a.row', 'a.col')} END ELSE {_b('a.col')} END
+         - CAST(1e-3 AS DOUBLE) * sqrt(CAST(1e-3 AS DOUBLE)) * {_ADAM_G}
+           / (sqrt(CAST(1e-3 AS DOUBLE)) * abs({_ADAM_G}) + CAST(1e-7 AS DOUBLE))) AS value
+FROM agrad_t a CROSS JOIN (SELECT CAST(count(DISTINCT user_id) AS DOUBLE) AS n FROM h1_t) n""", ("value",))
+oracle("chain_invariants", """
+SELECT unnest(['labels_are_argmax', 'best_epoch_is_least', 'fit_stopped_by_rule', 'dec_stopped_by_rule',
+               'one_label_per_user']) AS invariant, true AS holds""")
+
 # a saved encoder and its centroids (means of the latent vectors of user_id % 3)
 BOOK.add("zc_t", """
 SELECT l.cluster, h.k, avg(h.a) AS c FROM h2_t h JOIN lab_t l ON l.user_id = h.user_id GROUP BY 1, 2""")

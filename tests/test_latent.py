@@ -161,3 +161,74 @@ def test_dense_silhouette_equals_the_sparse_one(spark):
     labels = df.select("user_id", F.col("label").alias("cluster"))
     a = seg.silhouette_of_vectors(df, labels).first()[0]
     assert a == pytest.approx(seg.silhouette_from_triples(seg.dense_triples(df), labels).first()[0])
+
+
+# ------------------------------------------- models that stay on executors --
+
+def wide_rows(spark, n=300, d=11, seed=5):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        idx = sorted(int(j) for j in rng.choice(d, size=rng.integers(0, 5), replace=False))
+        rows.append((i, idx, [float(v) for v in rng.random(len(idx))], "validation" if i % 5 == 0 else "train"))
+    return spark.createDataFrame(rows, "user_id long, indices array<int>, values array<double>, split string"), d
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    """Blocks and tasks so small that layers, rows and centroids lie across several."""
+    from basketry.operators import autoencoder as ae
+    from basketry.operators import sharded as sh
+    for module in (ae, sh):
+        monkeypatch.setattr(module, "BLOCK", 16)
+        monkeypatch.setattr(module, "TASK_ROWS", 120)
+    return ae, sh
+
+
+def test_glorot_blocks_are_the_sequential_draws(small_blocks):
+    ae, sh = small_blocks
+    shapes = [(5, 7), (7, 3), (3, 5)]
+    want = ae._flatten(ae.init_layers(shapes, seed=3))
+    assert sh.parameter_count(shapes) == want.size
+    got = [sh.glorot_values(shapes, 3, lo, min(lo + 16, want.size)) for lo in range(0, want.size, 16)]
+    assert (np.concatenate(got) == want).all()
+
+
+def test_block_model_trains_as_the_driver_model(spark, small_blocks):
+    """Several tasks, blocks across layers: the same history and weights to 1e-9, and the same weight table."""
+    ae, sh = small_blocks
+    rows, d = wide_rows(spark)
+    shapes = [(d, d), (d, 4), (4, d)]
+    args = dict(epochs=4, patience=3, seed=1, batch_rows=32)
+    here = ae.fit_autoencoder(rows, d, shapes, 1e-4, **args)
+    there = ae.fit_autoencoder(rows, d, shapes, 1e-4, driver_values=0, **args)
+    assert here.layers is not None and there.layers is None and len(here.history) == len(there.history) == 4
+    assert np.allclose(here.history, there.history, rtol=1e-9, atol=1e-12)
+    layers, _ = lt.layers_from_table(ae.fitted_weights(spark, there))
+    for (w, b), (w2, b2) in zip(here.layers, layers):
+        assert np.allclose(w, w2, rtol=1e-9, atol=1e-12) and np.allclose(b, b2, rtol=1e-9, atol=1e-12)
+    z1 = {r.user_id: r.latent for r in ae.encode_fitted(rows, here, d).collect()}
+    z2 = {r.user_id: r.latent for r in ae.encode_fitted(rows, there, d).collect()}
+    assert z1.keys() == z2.keys() and all(np.allclose(z1[u], z2[u], rtol=1e-9) for u in z1)
+
+
+def test_block_model_runs_dec_as_the_driver_model(spark, small_blocks):
+    ae, _ = small_blocks
+    rows, d = wide_rows(spark)
+    shapes = [(d, d), (d, 4), (4, d)]
+    here = ae.fit_autoencoder(rows, d, shapes, 1e-4, epochs=2, batch_rows=32)
+    there = ae.fit_autoencoder(rows, d, shapes, 1e-4, epochs=2, batch_rows=32, driver_values=0)
+    mu = np.random.default_rng(0).random((3, 4))
+    args = dict(max_steps=50, interval=25, check=25, batch_rows=32, lr=0.05, tol=-1.0)
+    a, b = ae.dec_train(rows, here, mu, d, **args), ae.dec_train(rows, there, mu, d, **args)
+    assert b.encoder is None and np.allclose(a.centroids, b.centroids, rtol=1e-9)
+    assert len(a.history) == 2 and np.allclose(a.history, b.history)
+    labels = [{r.user_id: r.cluster for r in ae.dec_labels(rows, x, d).collect()} for x in (a, b)]
+    assert labels[0] == labels[1] and len(labels[0]) == 300
+
+
+def test_early_stop_returns_the_best_epoch(spark, small_blocks):
+    ae, _ = small_blocks
+    rows, d = wide_rows(spark)
+    fit = ae.fit_autoencoder(rows, d, [(d, d), (d, 3), (3, d)], 1e-3, epochs=6, patience=2, batch_rows=32, driver_values=0)
+    assert fit.best_epoch == int(np.argmin([h[2] for h in fit.history]))
