@@ -9,9 +9,8 @@ estimators do.
   per-user ``array<double>``; the centroids enter as literals.
 * One DEC step is one full-data gradient pass; the loop runs one job per
   round of mini-batches (``autoencoder.dec_train``).
-* k-means uses MLlib; restarts (sklearn ``n_init``) are independent fits
-  run concurrently from driver threads, as MLlib's own tuning does with
-  ``parallelism``.
+* k-means (``kmeans``) advances all k and restarts (sklearn ``n_init``)
+  together: one pass over the rows per iteration.
 * The silhouette is the squared-Euclidean form, linear in the number of
   users: with per-cluster n, sum vector S and sum of squared norms Q, the
   total squared distance of x to cluster c is ``n_c |x|^2 - 2 x.S_c + Q_c``.
@@ -21,10 +20,7 @@ estimators do.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 import numpy as np
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -34,6 +30,7 @@ from ..functions.scalar import squared_distance
 from ..sources.storage import materialize
 from .autoencoder import dec_loss_and_grads, dec_train, summed
 from .joins import broadcast_if_within
+from .kmeans import best_of, fit_many
 
 ALPHA = 1.0                   # fixed value: Student-t degrees of freedom
 KLD_EPSILON = 1e-7            # fixed value: Keras clips p and q to [1e-7, 1] in 'kld'
@@ -201,44 +198,20 @@ def total_sum_of_squares(points: DataFrame) -> float:
     return float(inertia_k1(points).first()["inertia"])
 
 
-def _fit(vectors: DataFrame, k: int, seed: int, max_iter: int):
-    model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features").fit(vectors)
-    return model.summary.trainingCost, model
-
-
-def kmeans_restarts(vectors: DataFrame, k: int, n_init: int = N_INIT, max_iter: int = KMEANS_ITERATIONS,
-                    parallelism: int | None = None):
-    """Best of ``n_init`` seeded fits (lowest within-cluster cost).
+def elbow(points: DataFrame, ks=ELBOW_KS, n_init: int = N_INIT, max_iter: int = KMEANS_ITERATIONS) -> DataFrame:
+    """Within-cluster sum of squares for each k, best of ``n_init`` restarts (C1); all models in one pass an iteration.
 
-    The fits are independent Spark jobs submitted from driver threads
-    (``parallelism``, default: one per restart up to the cluster's cores).
+    One centre has no restarts: its k-means is the mean.
     """
-    cores = vectors.sparkSession.sparkContext.defaultParallelism
-    workers = parallelism or max(1, min(n_init, cores))
-    with ThreadPoolExecutor(max_workers=workers) as pool:
-        fits = list(pool.map(lambda s: _fit(vectors, k, s, max_iter), range(n_init)))
-    return min(fits, key=lambda f: f[0])
-
-
-def elbow(points: DataFrame, ks=ELBOW_KS, n_init: int = N_INIT, max_iter: int = KMEANS_ITERATIONS) -> DataFrame:
-    """Within-cluster sum of squares for each k."""
-    vectors = as_vectors(points).persist()
-    rows = []
-    for k in ks:
-        cost = total_sum_of_squares(points) if k == 1 else kmeans_restarts(vectors, k, n_init, max_iter)[0]
-        rows.append((int(k), float(cost)))
-    vectors.unpersist()
-    return points.sparkSession.createDataFrame(rows, "k int, inertia double")
+    best = best_of(fit_many(points, [(k, s) for k in ks for s in range(n_init if k > 1 else 1)], max_iter))
+    return points.sparkSession.createDataFrame([(int(k), float(best[k].cost)) for k in ks], "k int, inertia double")
 
 
 def kmeans_segments(points: DataFrame, k: int = N_CLUSTERS, n_init: int = N_INIT,
                     max_iter: int = KMEANS_ITERATIONS) -> tuple[DataFrame, np.ndarray]:
-    """``KMeans(k, n_init).fit_predict``: labels and centroids."""
-    vectors = as_vectors(points).persist()
-    _, model = kmeans_restarts(vectors, k, n_init, max_iter)
-    vectors.unpersist()
-    labels = model.transform(as_vectors(points)).select("user_id", F.col("prediction").cast("int").alias("cluster"))
-    centers = np.array([c.tolist() for c in model.clusterCenters()])
+    """``KMeans(k, n_init).fit_predict``: labels and centroids of the cheapest restart."""
+    centers = best_of(fit_many(points, [(k, s) for s in range(n_init)], max_iter))[k].centres
+    labels = hard_labels(soft_assignment(points, centers)).select("user_id", "cluster")
     return labels, centers
 
 

@@ -19,6 +19,7 @@ from ..operators import merge
 from ..operators import profiles as prof
 from ..operators import quality as qual
 from ..operators import selection as sel
+from ..operators import kmeans as km
 from ..operators import latent as lt
 from ..operators import segments as seg
 from ..operators.autoencoder import DEC_TOLERANCE, DEC_MAX_STEPS, _flatten, dec_labels, dec_train, encode_fitted, \
@@ -918,10 +919,35 @@ def _kmeans_fixed_point(spark, sf_dir):
         F.array(*(F.avg(F.get("latent", F.lit(i))) for i in range(cents.shape[1]))).alias("mean")).collect()
     shift = max(float(np.abs(np.array(r["mean"]) - cents[r["cluster"]]).max()) for r in means)
     return spark.createDataFrame(
-        [(sum(r["n"] for r in means), len(means), sum(r["away"] for r in means), shift < 1e-2)],
+        [(sum(r["n"] for r in means), len(means), sum(r["away"] for r in means), shift < 1e-6)],
         "users long, clusters int, users_not_at_nearest long, centres_are_means boolean")
 
 
+FIXTURE_MODELS = ([0, 1], [0, 1, 2], [0, 1, 2, 3])
+
+
+@query("lloyd_many_step")
+def _lloyd_many_step(spark, sf_dir):
+    """C1 (one combined step): three models, from the centroids of labels 0-1, 0-2 and 0-3, advanced in one pass:
+    new centres, users per centre, and the cost under the old ones."""
+    points = latent(spark, sf_dir)
+    steps = km.lloyd_step(points, [seg.label_centroids(points, labels) for labels in FIXTURE_MODELS])
+    rows = [(len(c), j, i, float(c[j, i]), int(n[j]), float(cost))
+            for c, n, cost in steps for j in range(c.shape[0]) for i in range(c.shape[1])]
+    return spark.createDataFrame(rows, "k int, cluster int, dim int, mean double, users long, cost double")
+
+
+@query("elbow_invariants")
+def _elbow_invariants(spark, sf_dir):
+    """k = 1 costs the total sum of squares, and the cost never rises with k (checked on the fitted curve)."""
+    points = latent(spark, sf_dir)
+    cost = [r["inertia"] for r in seg.elbow(points).orderBy("k").collect()]
+    total = seg.total_sum_of_squares(points)
+    return spark.createDataFrame(
+        [("k1_is_total", abs(cost[0] - total) <= 1e-9 * total), ("all_k", len(cost) == len(seg.ELBOW_KS)),
+         ("never_rises", all(b <= a for a, b in zip(cost, cost[1:])))], "invariant string, holds boolean")
+
+
 @query("autoencoder_gradient")
 def _autoencoder_gradient(spark, sf_dir):
     """C9 (one full-data pass): gradient sums of the fixture autoencoder (L1 1e-3), times 1000."""

@@ -418,6 +418,24 @@ SELECT l.cluster, v.dim, avg(v.value) AS mean, count(*) AS users
 FROM (SELECT user_id, CAST(cluster AS INTEGER) AS cluster, row_number() OVER
         (PARTITION BY user_id ORDER BY d2, cluster) AS rn FROM d2_t) l
 JOIN lv0_t v ON v.user_id = l.user_id WHERE l.rn = 1 GROUP BY 1, 2""", ("mean",))
+# one combined step of three models: the nearest of the first k label centroids
+BOOK.add("lc_t", """
+SELECT CAST(l.label AS INTEGER) AS cluster, v.dim, avg(v.value) AS c
+FROM lv0_t v JOIN lat_t l ON l.user_id = v.user_id WHERE l.label < 4 GROUP BY 1, 2""")
+BOOK.add("ld_t", """
+SELECT v.user_id, c.cluster, sum((v.value - c.c) * (v.value - c.c)) AS d2
+FROM lv0_t v JOIN lc_t c ON v.dim = c.dim GROUP BY 1, 2""")
+BOOK.add("ln_t", """
+SELECT m.k, d.user_id, d.cluster, d.d2,
+       row_number() OVER (PARTITION BY m.k, d.user_id ORDER BY d.d2, d.cluster) AS rn
+FROM ld_t d JOIN (SELECT CAST(unnest([2, 3, 4]) AS INTEGER) AS k) m ON d.cluster < m.k""")
+oracle("lloyd_many_step", """
+SELECT n.k, n.cluster, v.dim, avg(v.value) AS mean, count(*) AS users, any_value(t.cost) AS cost
+FROM ln_t n JOIN lv0_t v ON v.user_id = n.user_id
+JOIN (SELECT k, sum(d2) AS cost FROM ln_t WHERE rn = 1 GROUP BY 1) t ON t.k = n.k
+WHERE n.rn = 1 GROUP BY 1, 2, 3""", ("mean", "cost"))
+oracle("elbow_invariants", """
+SELECT unnest(['k1_is_total', 'all_k', 'never_rises']) AS invariant, true AS holds""")
 oracle("kmeans_fixed_point", """
 SELECT count(*) AS users, 3 AS clusters, CAST(0 AS BIGINT) AS users_not_at_nearest, true AS centres_are_means
 FROM lat_t""")
