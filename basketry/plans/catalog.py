@@ -22,6 +22,7 @@ from ..operators import selection as sel
 from ..operators import kmeans as km
 from ..operators import latent as lt
 from ..operators import segments as seg
+from ..operators import silhouette as sil
 from ..operators.autoencoder import DEC_TOLERANCE, DEC_MAX_STEPS, _flatten, dec_labels, dec_train, encode_fitted, \
     fit_autoencoder, fitted_weights, loss_and_gradient
 from ..operators.sharded import weights_of
@@ -854,6 +855,21 @@ def _silhouette_sq_basket(spark, sf_dir):
     return seg.silhouette_from_triples(b.triples, b.labels)
 
 
+@query("silhouette_euclidean")
+def _silhouette_euclidean(spark, sf_dir):
+    """C14: Euclidean silhouette of the latent vectors by their label, with its standard error (0 where exact)."""
+    points = latent(spark, sf_dir)
+    return sil.silhouette_euclidean(points, points.select("user_id", F.col("label").alias("cluster"))) \
+        .select("silhouette", "users")
+
+
+@query("silhouette_euclidean_basket")
+def _silhouette_euclidean_basket(spark, sf_dir):
+    """C14: Euclidean silhouette of the sparse basket vectors by segment, with its standard error."""
+    b = Basket(spark, sf_dir)
+    return sil.silhouette_euclidean(b.vectors, b.labels, d=b.width)
+
+
 @query("elbow")
 def _elbow(spark, sf_dir):
     """Within-cluster sum of squares for k = 1 … 14, 10 restarts each."""

@@ -542,6 +542,33 @@ oracle("silhouette_sq", _silhouette_sql(
     "(SELECT user_id, dim AS idx, value FROM lv0_t)", "(SELECT user_id, label AS cluster FROM lat_t)"),
     ("silhouette",))
 oracle("silhouette_sq_basket", _silhouette_sql("tri_t", "lab_t"), ("silhouette",))
+
+
+def _euclidean_sql(triples: str, labels: str, columns: str) -> str:
+    return f"""SELECT {columns} FROM (
+WITH lab AS (SELECT user_id, cluster FROM {labels}),
+tri AS (SELECT t.user_id, t.idx, t.value FROM {triples} t JOIN lab l ON l.user_id = t.user_id),
+nrm AS (SELECT user_id, sum(value * value) AS nx FROM tri GROUP BY 1),
+dot AS (SELECT a.user_id, b.user_id AS other, sum(a.value * b.value) AS xy
+        FROM tri a JOIN tri b ON a.idx = b.idx GROUP BY 1, 2),
+dist AS (SELECT a.user_id, a.cluster AS own, b.cluster,
+                sqrt(greatest(COALESCE(na.nx, 0) + COALESCE(nb.nx, 0) - 2 * COALESCE(d.xy, 0), 0)) AS dist,
+                a.user_id = b.user_id AS self
+         FROM lab a CROSS JOIN lab b LEFT JOIN nrm na ON na.user_id = a.user_id LEFT JOIN nrm nb ON nb.user_id = b.user_id
+         LEFT JOIN dot d ON d.user_id = a.user_id AND d.other = b.user_id),
+per AS (SELECT user_id, own, cluster, sum(CASE WHEN self THEN 0 ELSE dist END) AS total, count(*) AS n
+        FROM dist GROUP BY 1, 2, 3),
+ab AS (SELECT user_id, max(CASE WHEN own = cluster THEN n END) AS n,
+              max(CASE WHEN own = cluster AND n > 1 THEN total / (n - 1) END) AS a,
+              min(CASE WHEN own <> cluster THEN total / n END) AS b FROM per GROUP BY 1)
+SELECT avg(CASE WHEN n = 1 OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette,
+       CAST(0 AS DOUBLE) AS standard_error, count(*) AS users, count(*) AS sampled, true AS exact FROM ab)"""
+
+
+oracle("silhouette_euclidean", _euclidean_sql(
+    "(SELECT user_id, dim AS idx, value FROM lv0_t)", "(SELECT user_id, label AS cluster FROM lat_t)",
+    "silhouette, users"), ("silhouette",))
+oracle("silhouette_euclidean_basket", _euclidean_sql("tri_t", "lab_t", "*"), ("silhouette", "standard_error"))
 oracle("encode_latent", "SELECT user_id, k AS dim, a AS value FROM h2_t", ("value",))
 oracle("reconstruction_error", f"""
 SELECT CASE WHEN {_hash(7)} < {int(0.2 * 2 ** 32)} THEN 'validation' ELSE 'train' END AS split,
