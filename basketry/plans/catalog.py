@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import embedding_map as em
 from ..operators import features as feat
 from ..operators import matrix as mx
 from ..operators import merge
@@ -896,6 +897,19 @@ def _latent_map_2d(spark, sf_dir):
     return seg.latent_map_2d(points, points.select("user_id", F.col("label").alias("cluster")))
 
 
+@query("neighbour_affinities")
+def _neighbour_affinities(spark, sf_dir):
+    """The map's affinities ``p_{j|i} + p_{i|j}`` over the 90 nearest neighbours at perplexity 30."""
+    return em.affinities(em.neighbours(latent(spark, sf_dir), int(em.NEIGHBOURS * em.PERPLEXITY)))
+
+
+@query("latent_map_tsne")
+def _latent_map_tsne(spark, sf_dir):
+    """Non-linear 2-D map (t-SNE, perplexity 30, 1,000 steps) of all latent vectors, with the label."""
+    points = latent(spark, sf_dir)
+    return em.map_2d(points).join(points.select("user_id", F.col("label").alias("cluster")), "user_id")
+
+
 @query("encode_latent")
 def _encode_latent(spark, sf_dir):
     """Fixed-weight encoder (d -> 8 -> 4, sigmoid) applied to every user vector."""

@@ -445,6 +445,29 @@ SELECT 'z' || dim AS "column", count(value) AS count, avg(value) AS mean, stddev
        quantile_cont(value, 0.75) AS q75, max(value) AS max
 FROM lv0_t GROUP BY dim""", _DESC)
 
+# affinities of the 2-D map: 90 nearest neighbours, the precision of perplexity 30 by bisection on its logarithm
+oracle("neighbour_affinities", """SELECT * FROM (
+WITH RECURSIVE d AS (
+  SELECT a.user_id, b.user_id AS other, sum((a.value - b.value) * (a.value - b.value)) AS d2
+  FROM lv0_t a JOIN lv0_t b ON a.dim = b.dim WHERE a.user_id <> b.user_id GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY d2, other) AS rn FROM d),
+n AS (SELECT user_id, list(d2 - m ORDER BY rn) AS ds, list(other ORDER BY rn) AS others
+      FROM (SELECT *, min(d2) OVER (PARTITION BY user_id) AS m FROM r WHERE rn <= 90) GROUP BY 1),
+s AS (SELECT user_id, 0 AS it, CAST(-50 AS DOUBLE) AS lo, CAST(50 AS DOUBLE) AS hi FROM n
+      UNION ALL
+      SELECT user_id, it + 1, CASE WHEN e > ln(30) THEN mid ELSE lo END, CASE WHEN e > ln(30) THEN hi ELSE mid END
+      FROM (SELECT user_id, it, lo, hi, mid,
+                   ln(list_sum(w)) + exp(mid) * list_sum(list_transform(range(len(w)), lambda i: w[i + 1] * ds[i + 1]))
+                   / list_sum(w) AS e
+            FROM (SELECT s.user_id, s.it, s.lo, s.hi, (s.lo + s.hi) / 2 AS mid, n.ds,
+                         list_transform(n.ds, lambda x: exp(-exp((s.lo + s.hi) / 2) * x)) AS w
+                  FROM s JOIN n ON n.user_id = s.user_id WHERE s.it < 80))),
+w AS (SELECT n.user_id, unnest(n.others) AS other, unnest(list_transform(n.ds, lambda x: exp(-exp(s.lo) * x))) AS w
+      FROM s JOIN n ON n.user_id = s.user_id WHERE s.it = 80),
+p AS (SELECT user_id, other, w / sum(w) OVER (PARTITION BY user_id) AS p FROM w)
+SELECT user_id, other, sum(p) AS affinity
+FROM (SELECT user_id, other, p FROM p UNION ALL SELECT other, user_id, p FROM p) GROUP BY 1, 2)""", ("affinity",))
+
 # one full-data pass of the fixture autoencoder (d -> 8 -> 4 -> d), L1 1e-3
 BOOK.add("dz3_t", """
 SELECT o.user_id, o.j, (CAST(2 AS DOUBLE) / d.d) * (o.y - COALESCE(t.value, 0)) * o.y * (1 - o.y) AS g
