@@ -21,11 +21,12 @@ def histogram_bin(v: Column, lo: Column, hi: Column, bins: int) -> Column:
     """Equal-width bin index in ``[0, bins)``; the last bin is closed on the right.
 
     ``least(bins - 1, floor((v - lo) / (hi - lo) * bins))``; when ``hi == lo``
-    every value falls in bin 0.
+    every value falls in bin 0. A null or NaN has no bin.
     """
     width = hi - lo
     raw = F.floor((v - lo) / width * F.lit(float(bins)))
-    return F.when(width == 0, F.lit(0)).otherwise(F.least(F.lit(bins - 1), raw)).cast("int")
+    at = F.when(width == 0, F.lit(0)).otherwise(F.least(F.lit(bins - 1), raw)).cast("int")
+    return F.when(v.isNotNull() & ~F.isnan(v), at)
 
 
 def sigmoid(x: Column) -> Column:

@@ -51,7 +51,9 @@ def histogram(values: DataFrame, bins: int, value: str = "value") -> DataFrame:
 
     ``(model, bin, lo, hi, count)``; the per-model range is a tiny table joined
     on ``model``, and the bin list is generated from it, not cross joined.
+    Nulls, NaN and infinities are not counted and do not widen the range.
     """
+    values = values.where(F.abs(F.col(value)) < F.lit(float("inf")))  # NaN orders above infinity
     rng = values.groupBy("model").agg(F.min(value).alias("vmin"), F.max(value).alias("vmax"))
     counted = values.join(F.broadcast(rng), "model").groupBy(
         "model", histogram_bin(F.col(value), F.col("vmin"), F.col("vmax"), bins).alias("bin")

@@ -7,6 +7,7 @@ DuckDB oracle (``plans.oracle``) can be compared by value.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -26,9 +27,11 @@ from ..operators import segments as seg
 from ..operators import silhouette as sil
 from ..operators.autoencoder import DEC_TOLERANCE, DEC_MAX_STEPS, _flatten, dec_labels, dec_train, encode_fitted, \
     fit_autoencoder, fitted_weights, loss_and_gradient
+from ..operators.sequence import row_numbers
 from ..operators.sharded import weights_of
+from ..functions import sql_functions
 from ..session import scratch_path
-from ..sources import files
+from ..sources import files, npy
 from ..sources.basket import read_table
 from ..sources.schemas import USER_FEATURES
 from ..sources.storage import materialize, remember, reuse_or_write
@@ -704,6 +707,46 @@ def _scan_latent(spark, sf_dir):
     return lt.latent_values(files.scan_latent(spark, path))
 
 
+@query("scan_npy")
+def _scan_npy(spark, sf_dir):
+    """S-3, S-4: two models' latent matrices written as NumPy files and read back by the data source, one row per value."""
+    folder = scratch_path(spark, "npy").removeprefix("file://")  # NumPy's files need a path that the file system knows
+    os.makedirs(folder)
+    models = materialize(latent_models(spark, sf_dir), "npy_models")
+    for name in ("embedding", "embedding_sigmoid"):
+        npy.write_npy(models.where(F.col("model") == name), f"{folder}/{name}.npy")
+    ids = row_numbers(latent(spark, sf_dir).select("user_id"), [], ["user_id"], "rn") \
+        .select("user_id", (F.col("rn") - 1).cast("long").alias("row"))
+    return lt.latent_values(npy.read_npy(spark, folder).join(ids, "row"))
+
+
+@query("sql_sticky")
+def _sql_sticky(spark, sf_dir):
+    """U1, A14 from SQL text: stickiness by the registered SQL function."""
+    sql_functions.register(spark)
+    return spark.sql("""
+        SELECT p.user_id, p.product_id, stickiness(p.n, t.total, p.first_order, p.last_order) AS sticky
+        FROM (SELECT user_id, product_id, count(order_id) AS n, min(order_number) AS first_order,
+                     max(order_number) AS last_order FROM {lines} GROUP BY user_id, product_id) p
+        JOIN (SELECT user_id, max(order_number) AS total FROM {lines} GROUP BY user_id) t ON t.user_id = p.user_id""",
+        lines=Basket(spark, sf_dir).pareto)
+
+
+@query("sql_target_distribution")
+def _sql_target_distribution(spark, sf_dir):
+    """U3, U4 from SQL text: soft assignment to the label-0/1/2 centroids and the target distribution."""
+    sql_functions.register(spark)
+    points = latent(spark, sf_dir)
+    given = F.array(*(F.array(*(F.lit(float(v)) for v in c)) for c in _fixture_centroids(points)))
+    q = spark.sql("SELECT user_id, soft_assignment(latent, :centroids) AS q FROM {points}", {"centroids": given},
+                  points=points)
+    totals = spark.sql("SELECT sum(q[0]) AS a, sum(q[1]) AS b, sum(q[2]) AS c FROM {q}", q=q).first()
+    return spark.sql("""
+        SELECT user_id, cluster, q[cluster] AS q, p
+        FROM (SELECT user_id, q, target_distribution(q, :totals) AS ps FROM {q})
+        LATERAL VIEW posexplode(ps) AS cluster, p""", {"totals": F.array(*(F.lit(t) for t in totals))}, q=q)
+
+
 @query("weights_roundtrip")
 def _weights_roundtrip(spark, sf_dir):
     """S-5: a model's weights and centroids written as Parquet and read back, one row per weight."""

@@ -310,6 +310,8 @@ oracle("write_csv", "SELECT * FROM feature_t", FEATURE_DOUBLES)
 oracle("write_latent", """
 SELECT model, count(*) AS users, CAST(sum(n) AS BIGINT) AS "values"
 FROM (SELECT model, user_id, count(*) AS n FROM latv_t GROUP BY 1, 2) GROUP BY model""")
+oracle("scan_npy", "SELECT model, user_id, dim, value FROM latv_t", ("value",))
+oracle("sql_sticky", "SELECT user_id, product_id, sticky FROM sticky_t", ("sticky",))
 oracle("scan_latent", "SELECT model, user_id, dim, value FROM latv_t", ("value",))
 
 
@@ -362,6 +364,7 @@ oracle("latent_variance", "SELECT model, var_pop(value) AS variance FROM latv_t
        ("variance",))
 oracle("soft_assignment", "SELECT user_id, cluster, q FROM q_t", ("q",))
 oracle("target_distribution", "SELECT user_id, cluster, q, p FROM p_t", ("q", "p"))
+oracle("sql_target_distribution", "SELECT user_id, cluster, q, p FROM p_t", ("q", "p"))
 _EPS = "CAST(1e-7 AS DOUBLE)"
 _ONE = "CAST(1 AS DOUBLE)"
 oracle("kl_loss", f"""

@@ -58,6 +58,12 @@ def test_histogram_of_constant_values_is_one_bin(spark):
     assert lt.latent_variance(vals).first().variance == 0.0
 
 
+def test_histogram_skips_nulls_and_non_finite_values(spark):
+    vals = spark.createDataFrame([("m", v) for v in (None, 1.0, 3.0, float("nan"), float("inf"))], "model string, value double")
+    h = {r.bin: (r["count"], r.lo, r.hi) for r in lt.histogram(vals, 4).collect()}
+    assert [h[b][0] for b in range(4)] == [1, 0, 0, 1] and h[3][2] == 3.0
+
+
 def test_autoencoder_gradient_matches_finite_differences():
     rng = np.random.default_rng(1)
     x = rng.random((5, 6))
