@@ -1,9 +1,10 @@
 """Texts as NumPy arrays: words, word hashes and rolling hashes.
 
 A run of texts is laid out in one byte array; word borders come from a
-256-entry table of separator bytes, and every word gets a 64-bit polynomial
-hash from one prefix sum (arithmetic modulo 2**64), so no Python code runs per
-word. All separators are ASCII, so UTF-8 bytes give the same words as
+256-entry table of separator bytes, and every word gets a 64-bit hash: its
+blocks of eight bytes, each mixed with its number, are added up and mixed with
+the length, so no Python code runs per word and no pair of words collides by
+the form of the hash. All separators are ASCII, so UTF-8 bytes give the same words as
 characters would.
 """
 
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 
 U64 = np.uint64
-BYTE_BASE = 0x9E3779B97F4A7C15 | 1
+BLOCK_SALT = U64(0x9E3779B97F4A7C15)
 WORD_BASE = 0xD1342543DE82EF95 | 1
 CHECK_BASE = 0xAF251AF3B0F025B5 | 1
 CHUNK_BYTES = 1 << 20
@@ -36,6 +37,8 @@ ALNUM_WORDS = _table([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BYTE_VALUE = np.random.RandomState(20240607).randint(1, 2**63 - 1, size=256, dtype=np.int64).astype(U64) | U64(1)
+#: the bytes of a little-endian block that belong to a word of which so many are left
+BLOCK_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -93,16 +96,30 @@ def words_of(texts: list[bytes], table: np.ndarray, lower: bool, hashed: bool =
         edge = np.concatenate(([0], edge))
     start, end = edge[0::2], edge[1::2]  # the buffer ends with a separator
     first = np.searchsorted(start, at)
-    h = None
-    if hashed:
-        pw, inv = powers(BYTE_BASE, len(buf) + 1)
-        v = BYTE_VALUE[low]
-        v *= pw[:len(buf)]
-        v[~inside] = 0
-        sums = np.zeros(len(buf) + 1, dtype=U64)
-        np.cumsum(v, out=sums[1:])
-        h = mix((sums[end] - sums[start]) * inv[start])
-    return Words(buf, start, end, first, at, h)
+    return Words(buf, start, end, first, at, word_hashes(low, start, end) if hashed else None)
+
+
+def word_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes [start, end) of every word (none is empty)."""
+    if not len(start):
+        return np.zeros(0, dtype=U64)
+    n = end - start
+    blocks = (n + 7) >> 3
+    if int(blocks.max()) == 1:
+        at, left, number = start, n, U64(0)
+    else:
+        first = np.concatenate(([0], np.cumsum(blocks)[:-1]))
+        number = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+        at = np.repeat(start, blocks) + 8 * number
+        left = np.minimum(np.repeat(end, blocks) - at, 8)
+        number = number.astype(U64)
+    padded = np.concatenate((low, np.zeros(8, dtype=np.uint8)))
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)[at]
+    value = np.ascontiguousarray(eight).view("<u8").ravel() & BLOCK_MASK[left]
+    value = mix(value + (number + U64(1)) * BLOCK_SALT)
+    if int(blocks.max()) > 1:
+        value = np.add.reduceat(value, first)
+    return mix(value ^ n.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def rolling(values: np.ndarray, k: int, base: int = WORD_BASE) -> np.ndarray:
