@@ -41,12 +41,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .exchange import (back_to_slots, buckets_for, by_slot, cut_by_bucket, ids_of, slots_in, text_bytes)
+from .exchange import (MIN_BUCKETS, back_to_slots, by_slot, cut_by_bucket, ids_of, slots_in, text_bytes)
 from .substring import _sliding_min
 from .text import BYTE_VALUE, CHECK_BASE, U64, as_bytes, rolling
 
 SEED_BYTES = 32
 HOT = 1 << 17
+#: small tables are cut into at most so many slots
+FINE_SLOTS = 256
 #: bytes of pieces that one suffix array takes; an anchor's pieces stay together
 SHARD_BYTES = 2 << 20
 
@@ -323,8 +325,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                  seed_bytes: int = SEED_BYTES, hot: int = HOT) -> DataFrame:
     """Documents without the bytes of repeated strings: doc_id, text (the bytes left), n_bytes, n_removed, spans."""
     seed, size = min(seed_bytes, min_bytes), min_bytes
-    dealt, parts, slots = by_slot(docs, id_col, text_col, text_bytes(docs, text_col), null_by_text=True)
-    buckets = buckets_for(parts, slots)
+    # a row goes out per slot, bucket and kind: no more slots and buckets than the partitions need
+    dealt, parts, slots = by_slot(docs, id_col, text_col, text_bytes(docs, text_col), fine_slots=FINE_SLOTS,
+                                  null_by_text=True)
+    buckets = max(min(MIN_BUCKETS, slots), parts)
 
     def sent(rows):
         import pyarrow as pa
