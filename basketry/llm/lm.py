@@ -150,14 +150,10 @@ def lm_counts(docs: DataFrame, id_col: str, text_col: str, order: int, folds: in
 
     def answer(batches):
         import pyarrow as pa
-        rows: dict[int, list] = {}  # requests by bucket, still packed
-        for batch in batches:
-            for bucket, *rest in zip(*(c.to_pylist() for c in batch.columns)):
-                rows.setdefault(bucket, []).append(rest)
         totals = np.zeros(2, dtype="<i8")
-        for bucket in sorted(rows):
+
+        def answered(bucket, own_rows):
             out = []
-            own_rows = rows.pop(bucket)
             for k in range(1, order + 1):
                 asked = [(slot, n, data) for slot, kk, n, data in own_rows if kk == k]
                 if not asked:
@@ -168,12 +164,22 @@ def lm_counts(docs: DataFrame, id_col: str, text_col: str, order: int, folds: in
                 own, inv = np.unique(keys, return_inverse=True)
                 c, f = np.bincount(inv, weights=c), np.bincount(inv, weights=f)
                 if k == 1:
-                    totals += np.array([(c > 0).sum(), c.sum()]).astype("<i8")
+                    totals[:] += np.array([(c > 0).sum(), c.sum()]).astype("<i8")
                 ends = np.cumsum(n)
                 out += [(slot, k, bucket, _planes(c[inv[x:y]], f[inv[x:y]]))
                         for (slot, _, _), x, y in zip(asked, ends - n, ends)]
-            del own_rows
-            yield _answers(out, pa)
+            return _answers(out, pa)
+
+        held, now = [], None  # the requests come sorted by bucket: one bucket at a time
+        for batch in batches:
+            for bucket, *rest in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and bucket != now:
+                    yield answered(now, held)
+                    held = []
+                now = bucket
+                held.append(rest)
+        if held:
+            yield answered(now, held)
         yield _answers([(-1, 0, 0, totals.tobytes())], pa)
 
     def join(left, right):
@@ -209,7 +215,8 @@ def lm_counts(docs: DataFrame, id_col: str, text_col: str, order: int, folds: in
                  pa.int64(), pa.int64()]
         return pa.table({n: pa.array([r[j] for r in rows], t) for j, (n, t) in enumerate(zip(names, kinds))})
 
-    back = (dealt.mapInArrow(request, SENT).repartition(parts, "bucket").mapInArrow(answer, BACK))
+    back = (dealt.mapInArrow(request, SENT).repartition(parts, "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(answer, BACK))
     back = back.repartition(parts, "slot")
 
     def counted(then=lambda table: table, schema: str = STATS) -> DataFrame:
