@@ -6,7 +6,7 @@ reaches a threshold.
 *Shards.* Equal vectors of a label fold to one representative with a count, so
 a large group of copies is one vector. Representatives are dealt by hash to
 shards of at most ``SHARD_VECTORS`` per label and dimension; each shard builds
-one graph (layers by a hash of the id, neighbours chosen for diversity), kept
+one graph (layers by a hash of the vector, neighbours chosen for diversity), kept
 as one row.
 
 *Search.* Every vector queries every shard of its label; a task holds two
@@ -21,10 +21,11 @@ forest, so no pair leaves it; components are joined by grouped star steps.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and
 vectors with a null label, link with nothing: a row of their own, with
-component_id = vec_id and no links. A null id orders last and is reported as
-null. Repeated rows of one id are copies of each other if vector and label are
-equal: they count as links of each other. An empty table gives an empty table.
-Other columns are not read.
+component_id = vec_id and no links. Rows are told apart by their vector, not
+their id: rows that share an id, or have none, are linked only by what they
+hold, and copies count as links of each other. The component of a class whose
+ids are all null is null; its rows are kept. An empty table gives an empty
+table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .exchange import NULL_ID, ids_of, stored
+from .exchange import stored
 
 SHARD_VECTORS = 8192
 DEGREE = 16  # neighbours of a layer; twice as many on the ground layer
@@ -205,7 +206,7 @@ class Graph:
 
 
 def layer_of(ids: np.ndarray) -> np.ndarray:
-    """Top layer of each id: a geometric draw from a hash of the id."""
+    """Top layer of each vector: a geometric draw from a hash of its number or key."""
     from .text import U64, mix
     u = (mix(ids.astype(U64) + U64(0x9E3779B97F4A7C15)) >> U64(11)).astype(np.float64) / 2**53
     return np.minimum(np.floor(-np.log(np.maximum(u, 1e-16)) / np.log(DEGREE)), 6).astype(np.int64)
@@ -270,7 +271,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     def unit(batches):
         import pyarrow as pa
         for batch in batches:
-            ids = ids_of(batch.column(0))
             keys, data, dims = [], [], []
             for v, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 x = None
@@ -287,29 +287,31 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 data.append((x / np.sqrt((x * x).sum())).tobytes())
                 dims.append(len(v))
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), batch.column(2), pa.array(dims, pa.int32()),
+                batch.column(0), batch.column(2), pa.array(dims, pa.int32()),
                 pa.array(keys, pa.binary()), pa.array(data, pa.binary())],
                 names=["doc", "label", "dim", "key", "unit"])
 
     units = stored(rows.mapInArrow(unit, "doc long, label string, dim int, key binary, unit binary"), "hnsw-units")
     kinds = ["label", "dim"]
     reps = (units.where("key is not null").groupBy(*kinds, "key")
-            .agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")))
-    reps = stored(reps, "hnsw-representatives")
+            .agg(F.min("doc").alias("low"), F.count("*").alias("copies"), F.first("unit").alias("unit")))
+    # a number of its own for every vector, fixed by writing it; ids come back in the last step
+    reps = stored(reps.withColumn("rep", F.monotonically_increasing_id()), "hnsw-representatives")
     sizes = reps.groupBy(*kinds).agg((F.ceil(F.count("*") / F.lit(shard_vectors))).cast("int").alias("shards"))
-    dealt = reps.join(sizes, kinds).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
+    dealt = reps.join(sizes, kinds).withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
 
     def build(table):
         import pickle
 
         import pyarrow as pa
         ids = table.column("rep").to_numpy()
-        order = np.argsort(ids)
-        ids, copies = ids[order], table.column("copies").to_numpy()[order]
+        keys = np.frombuffer(b"".join(table.column("key").to_pylist()), dtype="<i8")[::2]
+        order = np.argsort(keys, kind="stable")
+        ids, keys, copies = ids[order], keys[order], table.column("copies").to_numpy()[order]
         dim = table.column("dim")[0].as_py()
         data = table.column("unit").to_pylist()
         vecs = np.frombuffer(b"".join(data[i] for i in order), dtype=np.float64).reshape(len(ids), dim)
-        g = Graph(vecs, layer_of(ids)).build()
+        g = Graph(vecs, layer_of(keys)).build()
         graph = pickle.dumps({"ids": ids, "copies": copies, "levels": g.levels, "adj": g.adj, "entry": g.entry})
         return pa.table({"label": table.column("label").slice(0, 1), "dim": table.column("dim").slice(0, 1),
                          "shard": table.column("shard").slice(0, 1), "graph": pa.array([graph], pa.binary()),
@@ -357,12 +359,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = stored(tasks.mapInArrow(search, "rep long, n long, root long"), "hnsw-links")
     linked = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), "hnsw-components")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    member = (units.join(reps.select(*kinds, "key", "rep", "copies"), [*kinds, "key"], "left")
-              .select("doc", F.coalesce("rep", "doc").alias("rep"), F.coalesce(F.col("copies") - 1, F.lit(0)).alias("own")))
-    out = (member.join(counts, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-           .select("doc", (F.col("own") + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"),
-                   F.coalesce("component", "rep").alias("component_id")))
-    null_id = F.lit(int(NULL_ID))
-    return out.select(F.nullif("doc", null_id).alias("vec_id"), "n_links",
-                      F.nullif("component_id", null_id).alias("component_id"),
-                      (F.col("doc") == F.col("component_id")).alias("kept"))
+    lowest = (reps.select("rep", "low").join(linked.withColumnRenamed("node", "rep"), "rep")
+              .groupBy("component").agg(F.min("low").alias("lowest")))
+    told = (reps.select(*kinds, "key", "rep", "copies", "low")
+            .join(counts, "rep", "left").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
+            .join(lowest, "component", "left")
+            .select(*kinds, "key", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n"),
+                    F.coalesce("lowest", "low").alias("low")))
+    out = (units.where("key is not null").select("doc", *kinds, "key").join(told, [*kinds, "key"])
+           .select("doc", "n", "low")
+           .union(units.where("key is null").select("doc", F.lit(0), "doc")))
+    return out.select(F.col("doc").alias("vec_id"), F.col("n").cast("long").alias("n_links"),
+                      F.col("low").alias("component_id"), F.col("doc").eqNullSafe(F.col("low")).alias("kept"))

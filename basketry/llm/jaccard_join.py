@@ -24,9 +24,10 @@ change it, so no link between different texts is lost.
 
 Null text, or text without words: an empty set, linked with nothing. Texts of
 fewer words than a shingle form one shingle. Repeated rows of one id give one
-row each, all with the class of the id. Rows with a null id are judged as one
-id that orders last and are reported with a null id and component. An empty
-table gives an empty table. Other columns are not read.
+row each. Rows are told apart by their sets, not their ids: unequal texts of
+one id, or of rows without an id, each have the class of what they hold. A
+class whose ids are all null has a null component. An empty table gives an
+empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .exchange import NULL_ID, bucket_of, buckets_for, cut_by_bucket, ids_of, parts_for, stored, text_bytes
+from .exchange import bucket_of, buckets_for, cut_by_bucket, parts_for, stored, text_bytes
 from .text import SPACE_WORDS, U64, as_bytes, chunked, rolling, words_of
 
 #: counters of the frequency estimate (2**SKETCH_BITS of four bytes), whatever the input's size
@@ -49,6 +50,7 @@ MAX_MATCHES = 8
 VERIFY_COST = 0.02
 #: estimated holders from which a shingle's postings are dealt by document as well
 HOT_POSTINGS = 4096
+#: ``doc``: the first half of the set's digest
 POSTING = np.dtype([("token", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("pos", "<i4"), ("need", "<i4")])
 LIVE = "token long, doc long, n int, pos int, need int"
 
@@ -144,11 +146,11 @@ def _postings(docs: DataFrame, counts, background: int, pct: int, k: int, bucket
         import pyarrow as pa
         table = counts.value
         for batch in batches:
-            texts, ids = as_bytes(batch.column(1)), ids_of(batch.column(0))
+            texts = as_bytes(batch.column(0))
             out = []
             seen: set[bytes] = set()
             for lo, hi in chunked(map(len, texts), 8 << 20):
-                for doc, s in zip(ids[lo:hi], shingle_sets(texts[lo:hi], k)):
+                for s in shingle_sets(texts[lo:hi], k):
                     sig = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     if not len(s) or sig in seen:  # equal sets of a batch fold to the first
                         continue
@@ -158,7 +160,7 @@ def _postings(docs: DataFrame, counts, background: int, pct: int, k: int, bucket
                     s, held = s[order], held[order]
                     length, need = choose_prefix(np.maximum(held - background, 0), len(s), pct)
                     p = np.empty(length, dtype=POSTING)
-                    p["token"], p["doc"], p["n"] = s[:length], doc, len(s)
+                    p["token"], p["doc"], p["n"] = s[:length], int.from_bytes(sig[:8], "little", signed=True), len(s)
                     p["pos"], p["need"] = np.arange(length), need
                     out.append((p, held[:length] - background >= HOT_POSTINGS))
             rows = []
@@ -206,28 +208,38 @@ def _posting_rows(p, pa):
 
 
 def _set_rows(docs: DataFrame, k: int) -> DataFrame:
-    """(doc, n, sig) of every row: the size and the 128-bit digest of its set."""
+    """(doc, content, n, half, sig) of every row: size, first half and whole of the 128-bit digest of its set.
+
+    ``content`` is a hash of the text, by which a set's text is found again.
+    """
 
     def info(batches):
         import pyarrow as pa
         for batch in batches:
-            texts, ids = as_bytes(batch.column(1)), ids_of(batch.column(0))
+            texts = as_bytes(batch.column(2))
             n, sig = [], []
             for lo, hi in chunked(map(len, texts), 8 << 20):
                 for s in shingle_sets(texts[lo:hi], k):
                     n.append(len(s))
                     sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()),
-                                              pa.array(sig, pa.binary())], names=["doc", "n", "sig"])
-
-    return docs.mapInArrow(info, "doc long, n long, sig binary")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, pct: int, k: int, name: str) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold, by exact comparison of the whole texts."""
-    ids = pairs.select(F.col("u").alias("doc")).union(pairs.select(F.col("v").alias("doc"))).distinct()
-    # merged whatever the size of ``ids``: the texts move once at every size, so the plan grows evenly
-    texts = stored(docs.join(ids.hint("merge"), "doc", "left_semi").groupBy("doc").agg(F.first("text").alias("text")), f"{name}-texts")
+            half = np.frombuffer(b"".join(sig), dtype="<i8")[::2]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()),
+                                              pa.array(half, pa.int64()), pa.array(sig, pa.binary())],
+                                             names=["doc", "content", "n", "half", "sig"])
+
+    return (docs.select("doc", F.xxhash64("text").alias("content"), "text")
+            .mapInArrow(info, "doc long, content long, n long, half long, sig binary"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, pct: int, k: int, name: str) -> DataFrame:
+    """The pairs (u, v) of sets that reach the threshold, by comparing the sets of their whole texts."""
+    nodes = pairs.select(F.col("u").alias("rep")).union(pairs.select(F.col("v").alias("rep"))).distinct()
+    wanted = reps.join(nodes, "rep").select("rep", F.col("row.content").alias("content"), F.col("row.doc").alias("id"))
+    # merged whatever the size of ``wanted``: the texts move once at every size, so the plan grows evenly
+    hashed = docs.select(F.col("doc").alias("of"), F.xxhash64("text").alias("hash"), "text")
+    same = (F.col("hash") == F.col("content")) & F.col("of").eqNullSafe(F.col("id"))
+    texts = stored(hashed.join(wanted.hint("merge"), same)
+                   .groupBy(F.col("rep").alias("doc")).agg(F.first("text").alias("text")), f"{name}-texts")
     both = (pairs.select("u", "v")
             .join(texts.select(F.col("doc").alias("u"), F.col("text").alias("a")), "u")
             .join(texts.select(F.col("doc").alias("v"), F.col("text").alias("b")), "v"))
@@ -254,8 +266,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest linked doc_id."""
     spark = docs.sparkSession
     pct, k = percent, shingle
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NULL_ID))).alias("doc"),
-                       F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     parts = parts_for(text_bytes(rows), spark)
     buckets = buckets_for(parts, 512)
     held = sketch(rows, "text", k)
@@ -263,13 +274,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     background = int(np.median(held))
 
     sets = stored(_set_rows(rows, k), "jaccard-sets")
-    reps = stored(sets.where("n > 0").groupBy("sig").agg(F.min("doc").alias("rep")), "jaccard-reps")
-    classes = stored(sets.join(reps, "sig", "left").select("doc", "n", F.coalesce("rep", "doc").alias("rep")),
-                     "jaccard-classes")
+    # a number of its own for every set, fixed by writing it; ids come back in the last step
+    reps = stored(sets.where("n > 0").groupBy("sig", "half", "n")
+                  .agg(F.min("doc").alias("low"), F.min(F.struct(F.col("doc").isNull(), "content", "doc")).alias("row"))
+                  .withColumn("rep", F.monotonically_increasing_id()), "jaccard-reps")
 
-    live = _postings(rows, counts, background, pct, k, buckets, parts)
+    live = _postings(rows.select("text"), counts, background, pct, k, buckets, parts)
+    # sets that agree in half of their digest and in size share postings; their texts tell them apart
     postings = stored(
-        live.join(classes.select("doc", "rep").distinct(), "doc")
+        live.join(reps.select(F.col("half").alias("doc"), "n", "rep"), ["doc", "n"])
         .groupBy("token", F.col("rep").alias("doc")).agg(F.first("n").alias("n"), F.min("pos").alias("pos"),
                                                          F.first("need").alias("need")), "jaccard-postings")
     counts.unpersist()
@@ -285,7 +298,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
            .where("met >= need"))
     best = (met.groupBy("doc").agg(F.max(F.struct("met", "pivot")).alias("b"))
             .select(F.col("doc").alias("u"), F.col("b.pivot").alias("v")))
-    stars = _verified(stored(best, "jaccard-stars"), rows, pct, k, "jaccard-star")
+    stars = _verified(stored(best, "jaccard-stars"), rows, reps, pct, k, "jaccard-star")
     first = components(stars, "jaccard-components")
 
     # candidate pairs between different components only
@@ -308,14 +321,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                   F.first(F.col("n") + F.col("o_n")).alias("total"))
              .where("met >= need")
              .where(f"met + rest - 1 >= {_overlap_sql(pct, 'total')}"))
-    links = _verified(stored(pairs.select("u", "v"), "jaccard-pairs"), rows, pct, k, "jaccard-pair")
+    links = _verified(stored(pairs.select("u", "v"), "jaccard-pairs"), rows, reps, pct, k, "jaccard-pair")
     linked = components(stars.union(links), "jaccard-components")
 
-    out = (classes.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-           .select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")))
-    null_id = F.lit(int(NULL_ID))
-    return out.select(F.nullif("doc", null_id).alias("doc_id"), "n_shingles",
-                      F.nullif("component_id", null_id).alias("component_id"))
+    placed = (reps.select("sig", "rep", "low").join(linked.withColumnRenamed("node", "rep"), "rep", "left")
+              .withColumn("component", F.coalesce("component", "rep")))
+    lowest = placed.groupBy("component").agg(F.min("low").alias("lowest"))
+    named = placed.join(lowest, "component").select("sig", "lowest")
+    return (sets.join(named, "sig", "left")
+            .select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
+                    F.when(F.col("n") > 0, F.col("lowest")).otherwise(F.col("doc")).alias("component_id")))
 
 
 def _overlap_sql(pct: int, total: str) -> str:

@@ -263,6 +263,18 @@ def test_near_duplicates_match_brute_force(spark, shard_vectors):
         ("1", 2, 1), ("1", 2, 1), ("None", 2, 1)]
 
 
+@pytest.mark.parametrize("odd", [None, 5, 2**63 - 1])
+def test_near_duplicates_join_nothing_through_an_id(spark, odd):
+    rows = [(1, [1.0, 0.0, 0.0], 1), (odd, [1.0, 0.05, 0.0], 1), (odd, [0.05, 1.0, 0.0], 1), (2, [0.0, 1.0, 0.0], 1)]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted(((str(r.vec_id), r.n_links, r.component_id, r.kept) for r in got)) == sorted([
+        ("1", 1, 1, True), (str(odd), 1, 1, False), (str(odd), 1, 2, False), ("2", 1, 2, True)])
+    alone = spark.createDataFrame([(odd, [1.0], 1), (odd, [2.0], 2), (odd, None, 1)],
+                                  "vec_id long, embedding array<double>, label int")
+    assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in near_duplicates(alone).collect()] == [
+        (odd, 0, odd, True)] * 3
+
+
 def test_graph_recall_of_nearest_neighbours():
     rng = np.random.RandomState(2)
     v = rng.normal(size=(1500, 24))

@@ -279,6 +279,16 @@ def test_empty_tables(no_docs, op):
     assert op(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("odd", [None, 5, 2**63 - 1])
+def test_jaccard_join_keeps_texts_of_one_id_apart(spark, odd):
+    one, two = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(1, one), (odd, one + " x"), (odd, two + " x"), (2, two), (odd, "alone"), (odd, ""), (odd, two + " x")]
+    want = [("1", 1), ("2", 2), (str(odd), 1), (str(odd), 2), (str(odd), 2), (str(odd), odd), (str(odd), odd)]
+    for order in (rows, rows[::-1]):
+        got = jaccard_components(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted(((str(r.doc_id), r.component_id) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_null_ids_and_repeated_rows(spark, odd_docs):
     cut = substring_dedup(odd_docs).select("doc_id", "n_removed").collect()
     assert sorted(map(tuple, cut), key=str) == sorted([(5, 0), (5, 0), (None, 60), (None, 0), (3, 0), (9, 60)], key=str)
