@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import blocks as bk
+from ..operators import bloom
 from ..operators import embedding_map as em
 from ..operators import features as feat
 from ..operators import matrix as mx
@@ -25,6 +27,7 @@ from ..operators import kmeans as km
 from ..operators import latent as lt
 from ..operators import segments as seg
 from ..operators import silhouette as sil
+from ..operators import sketches as sk
 from ..operators.autoencoder import DEC_TOLERANCE, DEC_MAX_STEPS, _flatten, dec_labels, dec_train, encode_fitted, \
     fit_autoencoder, fitted_weights, loss_and_gradient
 from ..operators.sequence import row_numbers
@@ -164,6 +167,14 @@ def _lines_in_head(spark, sf_dir):
     return sel.lines_in_products(b.data, cutoff, bounded=b.small)
 
 
+@query("lines_in_head_products_bloom")
+def _lines_in_head_bloom(spark, sf_dir):
+    """F4 for a key set of any size: a Bloom filter where the lines are read, then the exact semi join."""
+    b = Basket(spark, sf_dir)
+    cutoff = sel.pareto_cutoff(sel.cumulative_share(sel.product_counts(b.data), bounded=b.small))
+    return bloom.rows_with_keys(b.data, cutoff, "product_id")
+
+
 @query("lines_without_top6")
 def _lines_without_top6(spark, sf_dir):
     """lines of all but the six most bought products."""
@@ -513,6 +524,37 @@ def _profile_describe(spark, sf_dir):
     return qual.profile_describe(Basket(spark, sf_dir).features)
 
 
+SKETCHED = ("order_number", "order_dow", "days_since_prior_order", "add_to_cart_order", "user_id", "product_id")
+
+
+@query("profile_sketch")
+def _profile_sketch(spark, sf_dir):
+    """D2, A15 from stored sketches: one row per weekday and column, merged to the whole line table.
+
+    Counts, mean, least and greatest value are exact; the distinct count and the
+    quartiles are checked against the lines and told as within their stated errors or not.
+    """
+    b = Basket(spark, sf_dir)
+    stored = b._stage("line_sketches", lambda: sk.sketch_rows(b.data.withColumn("weekday", F.col("order_dow")),
+                                                              SKETCHED, ["weekday"]))
+    whole = sk.profile(sk.merge_sketches(stored))
+    told = {r["column"]: r for r in whole.collect()}  # a row per column
+    checks = []
+    for c in told:
+        ranks = [(F.sum((F.col(c) < told[c][f"q{int(q * 100)}"]).cast("long")),
+                  F.sum((F.col(c) <= told[c][f"q{int(q * 100)}"]).cast("long")), q) for q in sk.QUANTILES]
+        n = F.count(c)
+        near = F.lit(True)
+        for under, upto, q in ranks:
+            near = near & (under <= (q + sk.RANK_ERROR) * n) & (upto >= (q - sk.RANK_ERROR) * n)
+        exact = F.count_distinct(c)
+        checks.append(F.struct(F.lit(c).alias("column"),
+                               (F.abs(exact - told[c]["distinct"]) <= sk.DISTINCT_ERROR * exact).alias("distinct_within"),
+                               near.alias("quartiles_within")))
+    found = b.data.agg(F.array(*checks).alias("checks")).select(F.inline("checks"))
+    return whole.select("column", "n_rows", "n_values", "mean", "min", "max").join(found, "column")
+
+
 @query("describe_strings")
 def _describe_strings(spark, sf_dir):
     """describe() of the string feature columns."""
@@ -1195,3 +1237,55 @@ def _dec_train_encoder(spark, sf_dir):
     done = dec_train(b.vectors, encoder, cents, d)
     z = lt.encode(b.vectors, done.encoder, d)
     return seg.hard_labels(seg.soft_assignment(z, done.centroids)).select("user_id", "cluster")
+
+
+# ------------------------------------------------------------- matrix blocks --
+
+def _user_blocks(b: Basket, cols_per_block: int = bk.COLS_PER_BLOCK):
+    """The user x product matrix in blocks, written once: users dealt by hash, products by ranges of their index."""
+    def build():
+        n = bk.blocks_for(b.triples, "user_id")
+        return bk.to_blocks(b.triples, "user_id", "idx", "value", bk.hashed(F.col("user_id"), n),
+                            bk.ranged(F.col("idx"), cols_per_block))
+    return b._stage(f"blocks-{cols_per_block}", build)
+
+
+@query("block_column_sums")
+def _block_column_sums(spark, sf_dir):
+    """R3 in blocks: sum and stored cells of every matrix column."""
+    sums = bk.column_sums(_user_blocks(Basket(spark, sf_dir)))
+    return sums.select(F.col("col").cast("int").alias("idx"), "total", "n_cells")
+
+
+@query("block_transpose")
+def _block_transpose(spark, sf_dir):
+    """R5 on the block matrix: the cells of the product x user matrix."""
+    cells = bk.to_cells(bk.transpose(_user_blocks(Basket(spark, sf_dir), 16)))
+    return cells.select(F.col("row").cast("int").alias("idx"), F.col("col").alias("user_id"), F.col("val").alias("value"))
+
+
+@query("block_gram")
+def _block_gram(spark, sf_dir):
+    """R3 in blocks: the product x product matrix of common stickiness (transpose times matrix)."""
+    blocks = _user_blocks(Basket(spark, sf_dir), 16)
+    cells = bk.to_cells(bk.multiply(bk.transpose(blocks), blocks))
+    return cells.select(F.col("row").cast("int").alias("idx"), F.col("col").cast("int").alias("idx2"),
+                        F.col("val").alias("value"))
+
+
+@query("matrix_column_range")
+def _matrix_column_range(spark, sf_dir):
+    """A range of the wide matrix's columns, read from the blocks of that range only."""
+    return bk.wide_range(_user_blocks(Basket(spark, sf_dir), 16), 14, 20, cols_per_block=16)
+
+
+@query("encode_latent_blocks")
+def _encode_latent_blocks(spark, sf_dir):
+    """C10 by block products: the fixed-weight encoder (d -> 8 -> 4) without a dense row of width d."""
+    b = Basket(spark, sf_dir)
+    (w1, b1), (w2, b2) = lt.fixture_layers(b.width)[:2]
+    hidden = bk.layer(_user_blocks(b), bk.weight_blocks(spark, np.asarray(w1)), list(b1))
+    again = bk.to_blocks(hidden, "row", "col", "val", bk.hashed(F.col("row"), bk.blocks_for(hidden, "row")),
+                         bk.ranged(F.col("col")))
+    z = bk.layer(again, bk.weight_blocks(spark, np.asarray(w2)), list(b2))
+    return z.select(F.col("row").alias("user_id"), F.col("col").cast("int").alias("dim"), F.col("val").alias("value"))

@@ -82,6 +82,8 @@ FROM counts_t c LEFT JOIN products_t p ON c.product_id = p.product_id""",
        ("observation_percentage",))
 oracle("lines_in_head_products", f"""
 SELECT {LINE_COLS} FROM data_t WHERE product_id IN (SELECT product_id FROM cutoff_t)""", DAYS)
+oracle("lines_in_head_products_bloom", f"""
+SELECT {LINE_COLS} FROM data_t WHERE product_id IN (SELECT product_id FROM cutoff_t)""", DAYS)
 oracle("lines_without_top6", f"""
 SELECT {LINE_COLS} FROM data_t WHERE product_id NOT IN (SELECT product_id FROM top6_t)""", DAYS)
 oracle("pareto_lines", f"SELECT {LINE_COLS} FROM pl_t", DAYS)
@@ -603,3 +605,21 @@ FROM umse_t GROUP BY 1""", ("mse",))
 oracle("elbow_k1", """
 SELECT sum((v.value - m.m) * (v.value - m.m)) AS inertia
 FROM lv0_t v JOIN (SELECT dim, avg(value) AS m FROM lv0_t GROUP BY dim) m ON v.dim = m.dim""", ("inertia",))
+
+# ------------------------------------------------- matrix blocks and sketches --
+oracle("block_column_sums", """
+SELECT idx, sum(value) AS total, count(*) AS n_cells FROM tri_t GROUP BY 1""", ("total",))
+oracle("block_transpose", "SELECT idx, user_id, value FROM tri_t", ("value",))
+oracle("block_gram", """
+SELECT a.idx, b.idx AS idx2, sum(a.value * b.value) AS value
+FROM tri_t a JOIN tri_t b ON a.user_id = b.user_id GROUP BY 1, 2 HAVING sum(a.value * b.value) <> 0""", ("value",))
+_RANGE = [f"c{i}" for i in range(14, 20)]
+oracle("matrix_column_range", "SELECT user_id, " + ", ".join(
+    f"coalesce(sum(value) FILTER (idx = {c[1:]}), 0) AS {c}" for c in _RANGE) + " FROM tri_t GROUP BY 1", tuple(_RANGE))
+oracle("encode_latent_blocks", "SELECT user_id, k AS dim, a AS value FROM h2_t", ("value",))
+oracle("profile_sketch", " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS n_rows, count({c}) AS n_values, avg(CAST({c} AS DOUBLE)) AS mean,
+       CAST(min({c}) AS DOUBLE) AS "min", CAST(max({c}) AS DOUBLE) AS "max",
+       true AS distinct_within, true AS quartiles_within FROM data_t"""
+    for c in ("order_number", "order_dow", "days_since_prior_order", "add_to_cart_order", "user_id", "product_id")),
+    ("mean", '"min"', '"max"'))
