@@ -6,10 +6,11 @@
 4. benchmark decontamination: documents that hold a 10-word window of a benchmark item go;
 5. best-fit packing of what is left.
 
-Rows with a null doc_id are kept by no stage: they can't be told apart. Rows
-that repeat a doc_id share its fate in every stage. Null texts are rejected by
-the first stage. Empty tables pass through. Columns of ``docs`` other than
-those of ``documents`` are dropped by the first stage.
+Rows with a null doc_id go through every stage by a key made from their text,
+which orders after the ids (up to 2^62); of such rows with one text the Jaccard join keeps one.
+Rows that repeat a doc_id share its fate in every stage. Null texts are
+rejected by the first stage. Empty tables pass through. Columns of ``docs``
+other than those of ``documents`` are dropped by the first stage.
 """
 
 from __future__ import annotations
@@ -31,37 +32,57 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHINGLE, PERCENT, PASSAGE, WINDOW = 5, 80, 50, 10
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids``."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+#: keys of rows without an id: 62 bits of a hash of the text above this
+NO_ID = 1 << 62
+
+
+def _key():
+    """What tells a row: its id, or its text where it has none."""
+    made = F.xxhash64("text").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
+    return F.when(F.col("doc_id").isNull(), made).otherwise(F.col("doc_id"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` as the operators take them: no id is null."""
+    return docs.withColumn("doc_id", _key())
+
+
+def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is in ``keys`` (column doc_id)."""
+    told = keys.select(F.col("doc_id").alias("key")).distinct()
+    return docs.withColumn("key", _key()).join(told, "key", "left_semi").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents that it rejects go."""
     pages = page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return _kept(docs, identify(docs, pages).where("accepted"))
+    return _kept(docs, identify(_keyed(docs), pages).where("accepted"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: one document of each group stays, the one with the smallest id."""
-    groups = jaccard_components(docs, shingle=SHINGLE, percent=PERCENT)
-    return _kept(docs, groups.where("doc_id = component_id"))
+    groups = jaccard_components(_keyed(docs), shingle=SHINGLE, percent=PERCENT)
+    kept = _kept(docs, groups.where("doc_id = component_id"))
+    if docs.where("doc_id is null").isEmpty():
+        return kept
+    nameless = kept.where("doc_id is null").dropDuplicates(["text"])
+    return kept.where("doc_id is not null").unionByName(nameless)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Substring dedup: passages that also start earlier are cut out; emptied documents go."""
-    cut = (substring_dedup(docs, min_words=PASSAGE, keep_spacing=True)
+    cut = (substring_dedup(_keyed(docs), min_words=PASSAGE, keep_spacing=True)
            .where("n_removed < n_words or n_words = 0")
-           .groupBy("doc_id").agg(F.first("text").alias("kept"), F.max("n_removed").alias("n_removed")))
+           .groupBy(F.col("doc_id").alias("key")).agg(F.first("text").alias("kept"), F.max("n_removed").alias("n_removed")))
     changed = F.col("n_removed") > 0
-    return (docs.join(cut, "doc_id")
+    return (docs.withColumn("key", _key()).join(cut, "key")
             .select("doc_id", F.when(changed, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source",
                     F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a window of a benchmark item go."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=WINDOW, slop=0)
+    found = contamination(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=WINDOW, slop=0)
     clean = (found.groupBy("doc_id").agg(F.max(F.size("spans")).alias("n")).where("n = 0"))
     return _kept(docs, clean)
 
