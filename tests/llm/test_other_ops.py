@@ -326,3 +326,32 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     check_bins(rows, [len(t.split()) + 1 for t in after["decontamination"].values()], (512, 1024, 2048, 4096))
     again = cp.run(spark, str(tmp_path))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
+
+
+def test_pipeline_judges_rows_without_an_id(spark, tmp_path):
+    import corpus_pipeline as cp
+    rng = np.random.RandomState(10)
+    vocabulary = ["".join(rng.choice(list("abcdefghijklmno"), 6)) for _ in range(3000)]
+    text = lambda n: " ".join(rng.choice(vocabulary, n))
+    clean = [text(rng.randint(60, 200)) for _ in range(30)]
+    passage, leak, alone = text(70), text(30), text(80)
+    near = clean[2].split()
+    near[5] = "changed"
+    docs = [(i, t) for i, t in enumerate(clean)]
+    docs += [(None, alone), (None, alone), (None, " ".join(near)), (None, clean[1]), (None, None), (None, "12 34 !!"),
+             (None, f"{text(40)} {leak} {text(40)}"), (40, f"{text(60)} {passage} {text(60)}"), (None, f"{text(60)} {passage}")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in cp.STAGES[:4]:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+    rows = now.collect()
+    assert {r.doc_id for r in rows} == set(range(30)) | {40, None}
+    tail = docs[-1][1].split()[:60]
+    assert sorted(r.text for r in rows if r.doc_id is None) == sorted([alone, " ".join(tail)])
+    empty = spark.createDataFrame([], schema)
+    for _, stage in cp.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
