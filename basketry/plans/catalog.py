@@ -1289,3 +1289,26 @@ def _encode_latent_blocks(spark, sf_dir):
                          bk.ranged(F.col("col")))
     z = bk.layer(again, bk.weight_blocks(spark, np.asarray(w2)), list(b2))
     return z.select(F.col("row").alias("user_id"), F.col("col").cast("int").alias("dim"), F.col("val").alias("value"))
+
+
+# ------------------------------------------------------- stages keyed by user --
+
+@query("user_features_keyed")
+def _user_features_keyed(spark, sf_dir):
+    """J5 over lines written in buckets of users: no exchange."""
+    return Basket(spark, sf_dir).pareto_by_user.each(feat.user_features)
+
+
+@query("sticky_keyed")
+def _sticky_keyed(spark, sf_dir):
+    """A12-A14 over lines written in buckets of users: no exchange."""
+    return Basket(spark, sf_dir).pareto_by_user.each(feat.sticky)
+
+
+@query("user_vectors_keyed")
+def _user_vectors_keyed(spark, sf_dir):
+    """R4 over matrix cells written in buckets of users: no exchange."""
+    b = Basket(spark, sf_dir)
+    vectors = b.keyed("triples", lambda: b.triples).each(mx.user_arrays)
+    return vectors.select("user_id", F.posexplode(F.arrays_zip("indices", "values")).alias("k", "cell")).select(
+        "user_id", "k", F.col("cell.indices").alias("idx"), F.col("cell.values").alias("value"))

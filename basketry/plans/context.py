@@ -22,6 +22,7 @@ from ..operators import matrix as mx
 from ..operators import selection as sel
 from ..operators.profiles import label_by_modulo
 from ..sources.basket import BasketTables, basket_tables, dimension_bound, latent_fixture
+from ..sources.keyed import KeyedStage, write_keyed
 from ..sources.storage import remember, reuse_or_write, source_fingerprint
 
 DOUBLE_DIGITS = 6
@@ -84,6 +85,15 @@ class Basket:
         """Lines of the 80 % head products without the top 6 (script 2/3 selection), written once."""
         return self._stage("pareto_lines", lambda: sel.pareto_lines(self.data, bounded=self.small))
 
+    def keyed(self, label: str, build) -> KeyedStage:
+        """A stage written in buckets of ``user_id``, once per input."""
+        return remember(self.spark, ("keyed", label, self.key), lambda: write_keyed(build(), "user_id", f"keyed-{label}"))
+
+    @cached_property
+    def pareto_by_user(self) -> KeyedStage:
+        """The Pareto-selected lines in buckets of users."""
+        return self.keyed("pareto_lines", lambda: self.pareto)
+
     @cached_property
     def features(self) -> DataFrame:
         """The long feature table (script 3 output), written once."""

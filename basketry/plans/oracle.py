@@ -623,3 +623,10 @@ oracle("profile_sketch", " UNION ALL ".join(
        true AS distinct_within, true AS quartiles_within FROM data_t"""
     for c in ("order_number", "order_dow", "days_since_prior_order", "add_to_cart_order", "user_id", "product_id")),
     ("mean", '"min"', '"max"'))
+
+# --------------------------------------------------------- stages keyed by user --
+oracle("user_features_keyed", "SELECT * FROM user_t", USER_DOUBLES)
+oracle("sticky_keyed", "SELECT user_id, product_id, sticky FROM sticky_t", ("sticky",))
+oracle("user_vectors_keyed", """
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY idx) - 1 AS INTEGER) AS k, idx, value
+FROM tri_t""", ("value",))
