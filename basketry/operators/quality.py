@@ -47,17 +47,19 @@ def profile_info(df: DataFrame) -> DataFrame:
 def exact_quantiles(long: DataFrame, probs: Iterable[float] = QUANTILES, bins: int = QUANTILE_BINS) -> DataFrame:
     """Linear-interpolation quantiles per ``column`` of a ``(column, value)`` frame.
 
-    NULL values are skipped. Result: ``(column, p, q)``. A histogram of
+    NULL and NaN values are skipped; infinities stand at the ends of the order. Result: ``(column, p, q)``. A histogram of
     ``bins`` equal-width bins per column tells which bins hold the wanted
     ranks; only the values of these bins are grouped (equal values fold before
     the shuffle) and ranked. Nothing of the size of the input is sorted.
     """
     probs = [float(p) for p in probs]
-    vals = long.where(F.col("value").isNotNull())
-    stats = vals.groupBy("column").agg(F.min("value").alias("lo"), F.max("value").alias("hi"),
+    vals = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+    finite = F.when(F.abs("value") < float("inf"), F.col("value"))
+    stats = vals.groupBy("column").agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"),
                                        F.count(F.lit(1)).alias("n"))  # one row per column
     width = F.col("hi") - F.col("lo")
-    place = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / width * bins))) \
+    place = F.when(F.col("value") == float("-inf"), -1).when(F.col("value") == float("inf"), bins) \
+        .when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / width * bins))) \
         .otherwise(0).cast("int")
     binned = vals.join(F.broadcast(stats), "column").select("column", "value", "n", place.alias("bin"))
     by_bin = Window.partitionBy("column").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -76,19 +78,20 @@ def exact_quantiles(long: DataFrame, probs: Iterable[float] = QUANTILES, bins: i
                & (F.col("rank") < F.col("before") + F.col("upto")))  # a few ranks per column
     frac = F.max("h") - F.floor(F.max("h"))
     low, high = F.min_by("value", "rank"), F.max_by("value", "rank")
-    return at.groupBy("column", "p").agg((low + frac * (high - low)).alias("q"))
+    q = F.when((frac == 0) | (low == high), low).otherwise(low + frac * (high - low))
+    return at.groupBy("column", "p").agg(q.alias("q"))
 
 
 def profile_describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """``describe()`` of numeric columns in long form.
 
     ``(column, count, mean, std, min, q25, q50, q75, max)``; ``std`` is the
-    sample standard deviation. The exact quartiles come from a histogram and the
+    sample standard deviation. NULL and NaN are skipped. The exact quartiles come from a histogram and the
     values of the bins that hold them; ``approx=True`` uses ``percentile_approx`` (a bounded sketch
     per column, partial before the shuffle) instead.
     """
     cols = list(cols) if cols is not None else numeric_columns(df)
-    long = _long(df, cols)
+    long = _long(df, cols).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
     stats = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"),

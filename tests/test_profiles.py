@@ -1,9 +1,11 @@
 """Segment means, zero-filled top/bottom lists, matrix gates."""
 
+import numpy as np
 import pytest
 
 from basketry.operators import matrix as mx
 from basketry.operators import profiles as prof
+from basketry.operators import quality as qual
 
 
 def test_extremes_overlap_when_few_items(spark):
@@ -128,3 +130,21 @@ def test_quantiles_with_heavy_ties_and_few_bins(spark):
     for bins in (1, 7, 4096):
         for r in qual.exact_quantiles(long, bins=bins).collect():
             assert r.q == pytest.approx(np.quantile(data[r.column], r.p)), (r, bins)
+
+
+def test_describe_skips_nan_and_orders_infinities(spark):
+    import pandas as pd
+    inf, nan = float("inf"), float("nan")
+    cols = {"a": [1.0, 2.0, 3.0, inf, nan, None], "b": [-inf, 4.0, nan, nan, None, 5.0], "c": [nan, nan, None, None, nan, nan],
+            "d": [inf, inf, -inf, None, nan, 0.5]}
+    df = spark.createDataFrame(list(zip(*cols.values())), ", ".join(f"{c} double" for c in cols))
+    got = {r.column: r for r in qual.profile_describe(df).collect()}
+    for c, v in cols.items():
+        x = pd.Series(v, dtype="float64").dropna()
+        assert got[c]["count"] == len(x)
+        for q in (25, 50, 75):
+            want, have = (x.quantile(q / 100, interpolation="linear") if len(x) else None), got[c][f"q{q}"]
+            if len(x) and np.isfinite(want):
+                assert have == want
+    assert (got["a"].q25, got["a"].q50, got["a"].q75, got["a"].max) == (1.75, 2.5, inf, inf)
+    assert (got["d"].min, got["d"].max, got["c"].q50, got["c"].max) == (-inf, inf, None, None)
