@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import NULL_ID, ids_of, parts_for, stored, text_bytes
-from .text import _table, as_bytes, chunked, words_of
+from .text import LOWER, _table, as_bytes, chunked, word_hashes, words_of
 
 MAGIC = b"WVMX1\0"
 RANK_BITS = 512
@@ -43,7 +43,7 @@ SHARDS = "part int, shard int, first_id long, n_docs long, n_tokens long, payloa
 ROWS = "part int, shard int, doc_no int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 #: words are cut at these only; any other white space stays for the tokenizer
 _BLANK_WORDS = _table([(0x20, 0x20), (0x09, 0x0A), (0x0D, 0x0D)])
-_KNOWN_WORDS = 400_000
+_KNOWN_PIECES = 400_000
 
 
 # ---------------------------------------------------------------- encoding --
@@ -64,33 +64,63 @@ _CLASS = _byte_classes()
 _GROUP = 256
 
 
-def _pieces(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(does a byte start a piece of the tokenizer's split, is the byte unsettled).
+def _pieces(w) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, settled) of the pieces of all words, in order.
 
-    Pieces are runs of letters, single digits, and runs of other characters.
-    Of the non-ASCII letters those of the two-byte range C3 80 - C3 BF are
-    settled here (but for the two signs among them).
+    Pieces are runs of letters, single digits, and runs of other characters,
+    lower-cased; the tokenizer splits there too. Of the non-ASCII letters those
+    of the two-byte range C3 80 - C3 BF are settled by their bytes (but for the
+    two signs among them). A word with any other byte is one piece, unchanged.
     """
-    c = _CLASS[buf]
-    lead = np.flatnonzero(buf[:-1] == 0xC3)
-    after = buf[lead + 1]
-    lead = lead[(after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)]
+    c = _CLASS[w.buf]
+    low = LOWER[w.buf]
+    lead = np.flatnonzero(w.buf[:-1] == 0xC3)
+    after = w.buf[lead + 1]
+    letter = (after >= 0x80) & (after <= 0xBF) & (after != 0x97) & (after != 0xB7)
+    lead, after = lead[letter], after[letter]
     c[lead] = c[lead + 1] = 1
+    low[lead + 1] = after + np.where(after < 0x9F, 0x20, 0).astype(np.uint8)
+    word = np.repeat(np.arange(len(w.start)), w.end - w.start)
+    inside = np.arange(len(word)) + np.repeat(w.start - np.append(0, np.cumsum(w.end - w.start)[:-1]), w.end - w.start)
+    c = c[inside]
+    settled = np.ones(len(w.start), dtype=bool)
+    settled[word[c == 9]] = False
+    plain = settled[word]
+    odd = inside[~plain]
+    low[odd] = w.buf[odd]
     new = np.ones(len(c), dtype=bool)
-    new[1:] = c[1:] != c[:-1]
-    return (new & ((c == 1) | (c == 3))) | (c == 2), c == 9
+    new[1:] = word[1:] != word[:-1]
+    new[1:] |= plain[1:] & ((c[1:] != c[:-1]) | (c[1:] == 2))
+    at = np.flatnonzero(new)
+    size = np.diff(np.append(at, len(c)))
+    return low, inside[at], inside[at] + size, plain[at]
 
 
 class Encoder:
-    """Token ids of whole texts; equal words are encoded once.
+    """Token ids of whole texts; equal pieces are encoded once.
 
     The tokenizer drops white space and splits at it before anything else, so
-    a text's ids are those of its blank-separated words in order. New words go
-    to the tokenizer many at a time; the ids are told apart by the vocabulary's
-    word ends, one for every piece that a word splits into. Words whose pieces
-    their bytes don't settle are encoded one by one.
+    a text's ids are those of its blank-separated words in order, and a word's
+    those of its pieces where its bytes settle them. New pieces go to the
+    tokenizer many at a time; the ids are told apart by the vocabulary's word
+    ends, one for every piece. Words whose pieces their bytes don't settle are
+    encoded one by one.
+
+    Known pieces are found by their hash, and their bytes are compared: the
+    hash of up to 8 bytes is one to one for each length, longer ones are
+    compared byte by byte. A piece that differs from the known one of its hash
+    is encoded by itself.
     """
 
+    _of: dict[str, Encoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """The encoder of this Python worker, with what its earlier tasks learnt."""
+        if path not in cls._of:
+            cls._of[path] = cls(path)
+        return cls._of[path]
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -104,72 +134,99 @@ class Encoder:
         self.at = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
+        self.raw_at = np.zeros(0, dtype=np.int64)
+        self.raw_size = np.zeros(0, dtype=np.int64)
+        self.raw = np.zeros(0, dtype=np.uint8)
 
-    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids per word) of words encoded one by one."""
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(
+            [w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
         size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
         return np.fromiter((i for g in got for i in g), dtype=np.uint32, count=int(size.sum())), size
 
-    def _encoded_groups(self, words: list[bytes], pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ids per word) of words of known piece counts, ``_GROUP`` at a time."""
+    def _encoded_groups(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids per piece) of settled pieces, ``_GROUP`` at a time."""
         ids, sizes = [np.zeros(0, dtype=np.uint32)], [np.zeros(0, dtype=np.int64)]
-        texts = [b" ".join(words[i:i + _GROUP]).decode() for i in range(0, len(words), _GROUP)]
+        texts = [b" ".join(pieces[i:i + _GROUP]).decode() for i in range(0, len(pieces), _GROUP)]
         for g, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             got = np.array(e.ids, dtype=np.uint32)
-            want = np.cumsum(pieces[g * _GROUP:(g + 1) * _GROUP])
+            group = pieces[g * _GROUP:(g + 1) * _GROUP]
             ends = np.flatnonzero(self.ends[got]) + 1
-            if len(ends) == want[-1] and ends[-1] == len(got):
-                cut = ends[want - 1]
-                size = np.diff(cut, prepend=0)
+            if len(ends) == len(group) and ends[-1] == len(got):
+                size = np.diff(ends, prepend=0)
             else:  # a vocabulary without word ends
-                got, size = self._encoded([w.decode() for w in words[g * _GROUP:(g + 1) * _GROUP]])
+                got, size = self._encoded(group)
             ids.append(got)
             sizes.append(size)
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _learn(self, w, first: np.ndarray, hashes: np.ndarray) -> None:
-        """Encode the words at ``first`` and keep their ids under ``hashes``."""
-        starts, unsettled = _pieces(w.buf)
-        n_start, n_open = (np.append(0, np.cumsum(x)) for x in (starts, unsettled))
-        a, b = w.start[first], w.end[first]
-        pieces = n_start[b] - n_start[a]
-        plain = (n_open[b] == n_open[a]) & (pieces > 0)
-        raw = w.buf.tobytes()
-        cut = [raw[x:y] for x, y in zip(a.tolist(), b.tolist())]
-        quick, slow = np.flatnonzero(plain), np.flatnonzero(~plain)
-        ids, size = self._encoded_groups([cut[i] for i in quick], pieces[quick])
+    def _learn(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, settled: np.ndarray,
+               hashes: np.ndarray) -> None:
+        """Encode the pieces given and keep their ids and bytes under ``hashes``."""
+        raw = low.tobytes()
+        quick, slow = np.flatnonzero(settled), np.flatnonzero(~settled)
+        order = np.concatenate((quick, slow))
+        cut = [raw[a:b] for a, b in zip(start[order].tolist(), end[order].tolist())]
+        ids, size = self._encoded_groups(cut[:len(quick)])
         if len(slow):
-            more, sizes = self._encoded([cut[i].decode("utf-8", "replace") for i in slow])
+            more, sizes = self._encoded(cut[len(quick):])
             ids, size = np.concatenate((ids, more)), np.concatenate((size, sizes))
+        raw_size = (end - start)[order]
         at = len(self.ids) + np.cumsum(size) - size
+        raw_at = len(self.raw) + np.cumsum(raw_size) - raw_size
         self.ids = np.concatenate((self.ids, ids))
-        keys = np.concatenate((self.hashes, hashes[quick], hashes[slow]))
-        order = np.argsort(keys, kind="stable")
-        self.hashes = keys[order]
-        self.at = np.concatenate((self.at, at))[order]
-        self.size = np.concatenate((self.size, size))[order]
+        self.raw = np.concatenate((self.raw, np.frombuffer(b"".join(cut), dtype=np.uint8)))
+        by_hash = np.argsort(hashes[order])
+        slot = np.searchsorted(self.hashes, hashes[order][by_hash])
+        for name, values in (("hashes", hashes[order]), ("at", at), ("size", size), ("raw_at", raw_at),
+                             ("raw_size", raw_size)):
+            setattr(self, name, np.insert(getattr(self, name), slot, values[by_hash]))
+
+    def _other(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Pieces whose bytes are not those of the known piece of their hash."""
+        size = end - start
+        differ = size != self.raw_size[known]
+        long = np.flatnonzero(~differ & (size > 8))
+        if len(long):
+            n = size[long]
+            first = np.cumsum(n) - n
+            step = np.arange(int(n.sum())) - np.repeat(first, n)
+            unequal = low[np.repeat(start[long], n) + step] != self.raw[np.repeat(self.raw_at[known[long]], n) + step]
+            differ[long] = np.logical_or.reduceat(unequal, first)
+        return np.flatnonzero(differ)
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by the end id; ids per text)."""
-        w = words_of(texts, _BLANK_WORDS, lower=False)
-        own, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        if len(self.hashes) > _KNOWN_WORDS:
+        w = words_of(texts, _BLANK_WORDS, lower=False, hashed=False)
+        low, start, end, settled = _pieces(w)
+        own, first, inverse = np.unique(word_hashes(low, start, end), return_index=True, return_inverse=True)
+        if len(self.hashes) > _KNOWN_PIECES:
             self.reset()
         where = np.minimum(np.searchsorted(self.hashes, own), max(len(self.hashes) - 1, 0))
         new = self.hashes[where] != own if len(self.hashes) else np.ones(len(own), dtype=bool)
         if new.any():
-            self._learn(w, first[new], own[new])
+            i = first[new]
+            self._learn(low, start[i], end[i], settled[i], own[new])
             where = np.searchsorted(self.hashes, own)
-        at, size = self.at[where][inverse], self.size[where][inverse]
+        known = where[inverse]
+        at, size, ids = self.at[known], self.size[known], self.ids
+        other = self._other(low, start, end, known)
+        if len(other):
+            raw = low.tobytes()
+            more, sizes = self._encoded([raw[a:b] for a, b in zip(start[other].tolist(), end[other].tolist())])
+            at[other] = len(ids) + np.cumsum(sizes) - sizes
+            size[other] = sizes
+            ids = np.concatenate((ids, more))
         total = np.zeros(len(size) + 1, dtype=np.int64)
         np.cumsum(size, out=total[1:])
-        per_text = total[w.first[1:]] - total[w.first[:-1]] + 1
+        before = total[np.searchsorted(start, w.text_at)]
+        per_text = np.diff(before) + 1
         last = np.cumsum(per_text) - 1
         out = np.empty(int(total[-1]) + len(texts), dtype=np.uint32)
         inside = np.ones(len(out), dtype=bool)
         inside[last] = False
-        out[inside] = self.ids[np.arange(total[-1]) + np.repeat(at - total[:-1], size)]
+        out[inside] = ids[np.arange(total[-1]) + np.repeat(at - total[:-1], size)]
         out[last] = end_id
         return out, per_text
 
@@ -325,7 +382,7 @@ def write_shards(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         from pyspark import TaskContext
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
         part = TaskContext.get().partitionId()
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of(tokenizer)
         ids, sizes, docs_, held, shard = [], [], [], 0, 0
 
         def flush():

@@ -65,3 +65,27 @@ def test_lm_counts(spark):
     df = spark.createDataFrame([(i, t) for i, t in rows[:20]] + [(held, B)], "doc_id long, text string")
     r = lm_scores(df, order=2, folds=7, test_fold=2, em_fold=3).where(f"doc_id = {held}").first()
     assert (r.held_out, r.n_tokens, r.n_known) == (True, 2, 1)  # the end alone is known
+
+
+@pytest.mark.parametrize("buckets", [0, 3])  # 3: most pieces over 8 bytes share a hash, so their bytes must tell
+def test_encoder_equals_the_tokenizer(monkeypatch, buckets):
+    P = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+    from basketry.llm import wavelet
+    path = P.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    if buckets:
+        real = wavelet.word_hashes
+        monkeypatch.setattr(wavelet, "word_hashes", lambda low, start, end: np.where(
+            end - start > 8, real(low, start, end) % np.uint64(buckets), real(low, start, end)))
+    rng = np.random.RandomState(1)
+    parts = ["Abc", "éÉÀß", "ÿþ", "×÷", "12", "...", "it's", "'ll", "<|endoftext|>", "日本", "é", " ", "İ",
+             "x" * 300, "y" * 300, "z" * 9, "Übermäßig", "ÜBERMÄSSIG", "_-_", "a1b2", "\x00", " ", "naïve,", "ſ", "K"]
+    texts = ["", " ", "\t\n", *parts, *(
+        "".join(rng.choice([*parts, " ", "  ", "\n"]) for _ in range(rng.randint(1, 40))) for _ in range(300))]
+    encoder = wavelet.Encoder(path)
+    for lo, hi in ((0, 100), (100, len(texts))):
+        ids, size = encoder.encode([t.encode() for t in texts[lo:hi]], 2)
+        want = [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts[lo:hi]]
+        assert size.tolist() == [len(x) for x in want]
+        assert ids.tolist() == [i for x in want for i in x]
