@@ -21,11 +21,14 @@ slot, never once per document, and no pairs of documents are formed.
 Null text has no words. Repeated rows of one id: a run counts as repeated
 only if its (id, start) is strictly larger than the first one's. A null id
 orders last. An empty table gives an empty table. Only the id and text columns
-are read, so other columns may have any name.
+are read, so other columns may have any name. ``text_md5`` of a result row
+tells the text it was cut from, where rows share an id.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import DataFrame
 
@@ -36,7 +39,7 @@ from .text import CHECK_BASE, SPACE_WORDS, as_bytes, rolling, runs_inside, words
 SEED_WORDS = 8
 RUN = np.dtype([("run", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("at", "<i4")])
 KEY = np.dtype([("run", "<u8"), ("check", "<u8")])
-RESULT = ("doc_id long, text string, n_words long, n_removed long, "
+RESULT = ("doc_id long, text_md5 string, text string, n_words long, n_removed long, "
           "spans array<struct<start:int,end:int>>")
 
 
@@ -150,7 +153,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             told = told[np.lexsort((told["check"], told["run"]))]
             r, c = run[order], check[order]
             lo = np.searchsorted(told["run"], r)
-            for _ in range(8):  # equal first halves with different second halves: step through them
+            while True:  # equal first halves with different second halves: step through all of them
                 lo_c = np.minimum(lo, len(told) - 1)
                 step = (told["run"][lo_c] == r) & (told["check"][lo_c] < c) & (lo < len(told))
                 if not step.any():
@@ -198,6 +201,7 @@ def _cleaned(left, texts, w, gone, keep_spacing):
         kept_texts.append(text.decode("utf-8", "replace"))
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
     return pa.table({
-        "doc_id": left.column("doc_id"), "text": pa.array(kept_texts, pa.string()),
+        "doc_id": left.column("doc_id"), "text_md5": pa.array([hashlib.md5(t).hexdigest() for t in texts], pa.string()),
+        "text": pa.array(kept_texts, pa.string()),
         "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()),
         "spans": pa.array(spans, span)})

@@ -355,3 +355,13 @@ def test_pipeline_judges_rows_without_an_id(spark, tmp_path):
     empty = spark.createDataFrame([], schema)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_cuts_each_text_of_a_repeated_id(spark, tmp_path):
+    import corpus_pipeline as cp
+    passage = " ".join(f"p{i}" for i in range(60))
+    docs = [(1, f"head one {passage} tail one"), (2, f"x {passage} y"), (2, "another text"), (2, "another text"), (2, None)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs],
+                                  "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id, r.text or "", r.n_chars) for r in cp.repeated_passages(spark, table, str(tmp_path)).collect())
+    assert got == [(1, docs[0][1], len(docs[0][1])), (2, "", 0), (2, "another text", 12), (2, "another text", 12), (2, "x y", 3)]
