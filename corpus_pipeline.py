@@ -8,7 +8,8 @@
 
 Rows with a null doc_id go through every stage by a key made from their text,
 which orders after the ids (up to 2^62); of such rows with one text the Jaccard join keeps one.
-Rows that repeat a doc_id share its fate in every stage. Null texts are
+Rows that repeat a doc_id are kept or dropped together by the other filters;
+the substring dedup cuts each of their texts by itself. Null texts are
 rejected by the first stage. Empty tables pass through. Columns of ``docs``
 other than those of ``documents`` are dropped by the first stage.
 """
@@ -73,9 +74,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Substring dedup: passages that also start earlier are cut out; emptied documents go."""
     cut = (substring_dedup(_keyed(docs), min_words=PASSAGE, keep_spacing=True)
            .where("n_removed < n_words or n_words = 0")
-           .groupBy(F.col("doc_id").alias("key")).agg(F.first("text").alias("kept"), F.max("n_removed").alias("n_removed")))
+           .groupBy(F.col("doc_id").alias("key"), "text_md5")
+           .agg(F.first("text").alias("kept"), F.max("n_removed").alias("n_removed")))
     changed = F.col("n_removed") > 0
-    return (docs.withColumn("key", _key()).join(cut, "key")
+    told = docs.withColumn("key", _key()).withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
+    return (told.join(cut, ["key", "text_md5"])
             .select("doc_id", F.when(changed, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source",
                     F.when(changed, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")))
 
