@@ -44,6 +44,7 @@ DEC_TOLERANCE = 4e-5
 DEC_LR, DEC_MOMENTUM = 1e-4, 0.1
 SUM_BLOCK = 1 << 16           # values that are added up in one executor row
 DRIVER_VALUES = 1 << 20       # parameters (8 MB) of a model that may pass through the driver
+BARRIER_VALUES = 1 << 22      # numbers of one round that all tasks of a barrier stage may get (tasks x tasks x parameters)
 
 
 def init_layers(shapes, seed: int = 0):
@@ -394,7 +395,7 @@ class DecResult:
 def dec_train(rows: DataFrame, encoder, centroids: np.ndarray, d: int, r: float = 1e-7,
               max_steps: int = DEC_MAX_STEPS, interval: int = DEC_INTERVAL, tol: float = DEC_TOLERANCE,
               check: int = DEC_CHECK, lr: float = DEC_LR, momentum: float = DEC_MOMENTUM,
-              batch_rows: int = BATCH_ROWS, driver_values: int = DRIVER_VALUES) -> DecResult:
+              batch_rows: int = BATCH_ROWS, driver_values: int = DRIVER_VALUES, barrier: bool = False) -> DecResult:
     """DEC: mini-batch SGD with momentum on the encoder (if any) and the centroids.
 
     ``rows``: ``(user_id, indices, values)`` for an encoder, else ``(user_id,
@@ -409,6 +410,12 @@ def dec_train(rows: DataFrame, encoder, centroids: np.ndarray, d: int, r: float
     is kept between rounds: labels of the round before follow from its
     parameters. Up to ``driver_values`` parameters pass through the driver;
     larger models stay on the executors (``sharded``).
+
+    ``barrier``: all rounds run inside one barrier stage (``_one_stage``), one
+    job instead of two a round. All tasks must run at once and hold their rows
+    (a scan partition each), so this path is taken only where the tasks fit the
+    session's cores and what a round exchanges is at most ``BARRIER_VALUES``;
+    otherwise the loop above runs. Both take the same steps.
     """
     k = centroids.shape[0]
     fit = encoder if isinstance(encoder, FitResult) else None
@@ -503,18 +510,41 @@ def dec_train(rows: DataFrame, encoder, centroids: np.ndarray, d: int, r: float
             return np.array([n_rows, taken], dtype=float), n_rows, (vec, vel, now[0])
         return round_of(data, state, tasks, columns, ["deal", "user_id"], block_work, 2)[1]
 
-    step, next_check, history = 0, check, []
-    while True:
-        seen = refresh_round(state)
+    def stops(seen, step, next_check, history):
+        """(does the loop end here, the next step with a check); a check is added to ``history``."""
         if not seen[k]:
-            break
+            return True, next_check
         if step >= next_check:
             churn = float(seen[k + 1] / seen[k])
             history.append((step, churn))
             next_check += check * max(1, -(-(step - next_check + 1) // check))
             if churn < tol:
-                break
-        if step >= max_steps:
+                return True, next_check
+        return step >= max_steps, next_check
+
+    def all_rounds(exchange, batches):
+        """The whole loop inside one task: its sums are exchanged with those of the others."""
+        held, now, step, next_check, history = list(batches), (flat, np.zeros(size), None), 0, check, []
+        while True:
+            seen = exchange(refresh(now[0], now[2], iter(held)))
+            end, next_check = stops(seen, step, next_check, history)
+            if end:
+                return now[0], history
+            n_rows, taken, vec, vel = steps(now[0], now[1], seen[:k], step, iter(held))
+            got = exchange(np.concatenate(([n_rows, taken], n_rows * vec, n_rows * vel)))
+            now = got[2:2 + size] / got[0], got[2 + size:] / got[0], now[0]
+            step += max(interval, 1)
+
+    if barrier and local and _fits_one_stage(data, size):
+        vec, history = _one_stage(data.select(*columns), all_rounds)
+        drop_written(data)
+        enc, mu = parts(vec)
+        return DecResult(enc, mu, history, shapes)
+    step, next_check, history = 0, check, []
+    while True:
+        seen = refresh_round(state)
+        end, next_check = stops(seen, step, next_check, history)
+        if end:
             break
         after = step_round(state, seen[:k])
         if not local:
@@ -531,6 +561,39 @@ def dec_train(rows: DataFrame, encoder, centroids: np.ndarray, d: int, r: float
     return DecResult(None, np.concatenate(end)[n_enc - low * state.block:].reshape(centroids.shape), history, shapes, state)
 
 
+def _fits_one_stage(data: DataFrame, size: int) -> bool:
+    """Can all tasks of ``data`` run at once, and is what they exchange in a round bounded?"""
+    tasks = data.rdd.getNumPartitions()  # of the written table's scan; no job runs
+    cores = data.sparkSession.sparkContext.defaultParallelism
+    return 0 < tasks <= cores and tasks * tasks * (2 + 2 * size) <= BARRIER_VALUES
+
+
+def _one_stage(data: DataFrame, all_rounds: Callable) -> tuple[np.ndarray, list]:
+    """``all_rounds`` in every task of one barrier stage, its sums added up over the tasks at each exchange.
+
+    Every task adds up the same arrays in the order of the tasks, so all come
+    to the same parameters and end in the same round; the first one returns
+    them. A lost executor fails the stage, and Spark runs it again as a whole
+    from the written rows.
+    """
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from base64 import b64decode, b64encode
+        from pyspark import BarrierTaskContext
+        context = BarrierTaskContext.get()
+
+        def exchange(own: np.ndarray) -> np.ndarray:
+            told = context.allGather(b64encode(own.tobytes()).decode())
+            return sum(np.frombuffer(b64decode(t)) for t in told)
+
+        vec, history = all_rounds(exchange, batches)
+        if context.partitionId() == 0:
+            yield pd.DataFrame({"vec": [vec.tobytes()], "steps": [[int(n) for n, _ in history]],
+                                "churn": [[float(c) for _, c in history]]})
+
+    row = data.mapInPandas(work, "vec binary, steps array<long>, churn array<double>", barrier=True).collect()[0]
+    return np.frombuffer(row["vec"]), list(zip(row["steps"], row["churn"]))
+
+
 def dec_labels(vectors: DataFrame, done: DecResult, d: int) -> DataFrame:
     """``(user_id, latent, cluster)`` of rows ``(user_id, indices, values)`` under a trained encoder and its centroids."""
     if done.encoder is None:

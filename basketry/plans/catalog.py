@@ -926,6 +926,25 @@ def _dec_refine(spark, sf_dir):
     return labels
 
 
+@query("dec_one_stage")
+def _dec_one_stage(spark, sf_dir):
+    """C8 in one barrier stage: its labels against those of the loop of jobs, and its stop rule.
+
+    ``users_apart``: users whose labels differ between the two; ``stopped_by_rule``:
+    the churn fell below its bound, or the steps ran out.
+    """
+    points = latent(spark, sf_dir).select("user_id", "latent")
+    _, cents = seg.kmeans_segments(points, seg.N_CLUSTERS, n_init=seg.N_INIT)
+    _, labels, history = seg.dec_refine(points, cents, barrier=True)
+    _, loop, _ = seg.dec_refine(points, cents)
+    step, churn = history[-1] if history else (0, 1.0)
+    stopped = churn < DEC_TOLERANCE or step >= DEC_MAX_STEPS
+    return (labels.join(loop.withColumnRenamed("cluster", "other"), "user_id", "full")
+            .agg(F.count("*").alias("users"),
+                 F.coalesce(F.sum((~F.col("cluster").eqNullSafe(F.col("other"))).cast("long")), F.lit(0)).alias("users_apart"),
+                 F.lit(stopped).alias("stopped_by_rule")))
+
+
 @query("silhouette_sq")
 def _silhouette_sq(spark, sf_dir):
     """Squared-Euclidean silhouette of the latent vectors by their label."""

@@ -444,6 +444,8 @@ SELECT unnest(['k1_is_total', 'all_k', 'never_rises']) AS invariant, true AS hol
 oracle("kmeans_fixed_point", """
 SELECT count(*) AS users, 3 AS clusters, CAST(0 AS BIGINT) AS users_not_at_nearest, true AS centres_are_means
 FROM lat_t""")
+oracle("dec_one_stage", """
+SELECT count(*) AS users, CAST(0 AS BIGINT) AS users_apart, true AS stopped_by_rule FROM lat_t""")
 oracle("describe_latent", """
 SELECT 'z' || dim AS "column", count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std,
        min(value) AS min, quantile_cont(value, 0.25) AS q25, quantile_cont(value, 0.5) AS q50,

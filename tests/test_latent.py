@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from basketry.operators import autoencoder as ae
 from basketry.operators import latent as lt
 from basketry.operators import segments as seg
 from basketry.operators.autoencoder import batch_loss_and_grads, init_layers
@@ -146,7 +147,6 @@ def test_autoencoder_stops_by_patience_and_returns_the_best_weights(spark):
 
 
 def test_training_averages_tasks_by_rows(spark, monkeypatch):
-    from basketry.operators import autoencoder as ae
     df, _ = sparse_rows(spark)
     monkeypatch.setattr(ae, "TASK_ROWS", 100)  # three tasks
     res = ae.fit_autoencoder(df, 6, [(6, 5), (5, 2), (2, 6)], 1e-4, epochs=8, batch_rows=32)
@@ -162,6 +162,34 @@ def test_dec_loop_runs_to_its_stop_rule(spark):
     assert short == []
 
 
+@pytest.mark.parametrize("tasks", [1, 3])
+def test_dec_in_one_barrier_stage_takes_the_same_steps(spark, monkeypatch, tasks):
+    df, x, _ = points(spark, n=300, d=3)
+    df = df.select("user_id", "latent")
+    monkeypatch.setattr(ae, "TASK_ROWS", -(-300 // tasks))
+    status, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    done, jobs = {}, {}
+    for barrier in (False, True):
+        group = f"dec-{tasks}-{barrier}"
+        sc.setJobGroup(group, group)
+        done[barrier] = ae.dec_train(df, [], x[:3].copy(), 3, max_steps=300, tol=0.0, barrier=barrier)
+        jobs[barrier] = len(status.getJobIdsForGroup(group))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert done[True].history == done[False].history and len(done[True].history) == 3
+    np.testing.assert_allclose(done[True].centroids, done[False].centroids, rtol=0, atol=1e-12)
+    assert jobs[True] <= 6 and jobs[False] >= 24  # two a round without a barrier
+    empty = ae.dec_train(df.limit(0), [], x[:3].copy(), 3, barrier=True)
+    assert empty.history == [] and np.array_equal(empty.centroids, x[:3])
+
+
+def test_dec_with_too_many_tasks_for_one_stage_still_runs(spark, monkeypatch):
+    df, x, _ = points(spark, n=120, d=3)
+    monkeypatch.setattr(ae, "BARRIER_VALUES", 1)
+    monkeypatch.setattr(ae, "_one_stage", None)
+    done = ae.dec_train(df.select("user_id", "latent"), [], x[:3].copy(), 3, max_steps=50, barrier=True)
+    assert done.centroids.shape == (3, 3)
+
+
 def test_dense_silhouette_equals_the_sparse_one(spark):
     df, _, lab = points(spark, n=50, d=3, seed=2)
     labels = df.select("user_id", F.col("label").alias("cluster"))
@@ -183,7 +211,6 @@ def wide_rows(spark, n=300, d=11, seed=5):
 @pytest.fixture
 def small_blocks(monkeypatch):
     """Blocks and tasks so small that layers, rows and centroids lie across several."""
-    from basketry.operators import autoencoder as ae
     from basketry.operators import sharded as sh
     for module in (ae, sh):
         monkeypatch.setattr(module, "BLOCK", 16)
