@@ -89,3 +89,25 @@ def test_encoder_equals_the_tokenizer(monkeypatch, buckets):
         want = [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts[lo:hi]]
         assert size.tolist() == [len(x) for x in want]
         assert ids.tolist() == [i for x in want for i in x]
+
+
+@pytest.mark.parametrize("bits", [1, 21])  # 1: nearly all known pieces have lost their slot
+def test_known_pieces_are_found_by_slot(monkeypatch, bits):
+    P = pytest.importorskip("public_tokenizers")
+    from basketry.llm import wavelet
+    monkeypatch.setattr(wavelet, "_SLOT_BITS", bits)
+    rng = np.random.RandomState(2)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.randint(1, 12))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words, 50)).encode() for _ in range(60)]
+    path = P.path("word_bpe_49k.json")
+    encoder, sorted_ = wavelet.Encoder(path), []
+    real = np.unique
+    monkeypatch.setattr(np, "unique", lambda x, **k: (sorted_.append(len(x)), real(x, **k))[1])
+    got = [encoder.encode(texts[lo:lo + 20], 2)[0] for lo in (0, 20, 40)]
+    sorted_.clear()
+    got.append(encoder.encode(texts[:20], 2)[0])
+    again = sum(sorted_)  # the last pass knows all its pieces
+    want = [wavelet.Encoder(path).encode(texts[lo:lo + 20], 2)[0] for lo in (0, 20, 40, 0)]
+    assert all((a == b).all() for a, b in zip(got, want))
+    if bits > 1:
+        assert again < 50  # of 1,000
