@@ -51,6 +51,8 @@ HOT = 1 << 17
 FINE_SLOTS = 256
 #: bytes of pieces that one suffix array takes; an anchor's pieces stay together
 SHARD_BYTES = 2 << 20
+#: text bytes a bucket: a task holds one bucket at a time, in pieces up to 4 times, in single windows up to 32 times as much
+BUCKET_BYTES = 6 << 20
 
 ANCHOR = np.dtype([("h", "<u8"), ("n", "<i4"), ("windows", "<i4")])
 KNOWN = np.dtype([("h", "<u8"), ("hot", "i1")])
@@ -326,9 +328,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Documents without the bytes of repeated strings: doc_id, text (the bytes left), n_bytes, n_removed, spans."""
     seed, size = min(seed_bytes, min_bytes), min_bytes
     # a row goes out per slot, bucket and kind: no more slots and buckets than the partitions need
-    dealt, parts, slots = by_slot(docs, id_col, text_col, text_bytes(docs, text_col), fine_slots=FINE_SLOTS,
-                                  null_by_text=True)
-    buckets = max(min(MIN_BUCKETS, slots), parts)
+    n_bytes = text_bytes(docs, text_col)
+    dealt, parts, slots = by_slot(docs, id_col, text_col, n_bytes, fine_slots=FINE_SLOTS, null_by_text=True)
+    buckets = max(min(MIN_BUCKETS, slots), parts, -(-n_bytes // BUCKET_BYTES))
 
     def sent(rows):
         import pyarrow as pa
@@ -351,17 +353,22 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield sent(rows())
 
     def known_anchors(batches):
-        data, slot = _items(batches, 0, ANCHOR)
-        order = np.argsort(data["h"], kind="stable")
-        data, slot = data[order], slot[order]
-        new = np.ones(len(data), dtype=bool)
-        new[1:] = data["h"][1:] != data["h"][:-1]
-        group = np.cumsum(new) - 1
-        total, windows = (np.bincount(group, weights=data[c]) for c in ("n", "windows"))
-        keep = total[group] > 1
-        out = np.empty(int(keep.sum()), dtype=KNOWN)
-        out["h"], out["hot"] = data["h"][keep], windows[group[keep]] > hot
-        yield back_to_slots(slot[keep], out, 0)
+        known, slots = [np.zeros(0, dtype=KNOWN)], [np.zeros(0, dtype=np.int32)]
+        for rows in _by_bucket(batches):
+            data = np.frombuffer(b"".join(r[3] for r in rows), dtype=ANCHOR)
+            slot = np.repeat(np.array([r[1] for r in rows], dtype=np.int32), [len(r[3]) // ANCHOR.itemsize for r in rows])
+            order = np.argsort(data["h"], kind="stable")
+            data, slot = data[order], slot[order]
+            new = np.ones(len(data), dtype=bool)
+            new[1:] = data["h"][1:] != data["h"][:-1]
+            group = np.cumsum(new) - 1
+            total, windows = (np.bincount(group, weights=data[c]) for c in ("n", "windows"))
+            keep = total[group] > 1
+            out = np.empty(int(keep.sum()), dtype=KNOWN)
+            out["h"], out["hot"] = data["h"][keep], windows[group[keep]] > hot
+            known.append(out)
+            slots.append(slot[keep])
+        yield back_to_slots(np.concatenate(slots), np.concatenate(known), 0)
 
     def send(left, right):
         import pyarrow as pa
@@ -384,46 +391,50 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.Table.from_batches([sent(_rows_of(s, has & ~is_hot, is_hot, slot, buckets))])
 
     def find(batches):
-        pieces, texts, windows, wslots, passed = [], [], [], [], []
-        for b in batches:
-            kind = b.column(2).to_numpy(zero_copy_only=False)
-            slot = b.column(1).to_numpy(zero_copy_only=False)
-            data, extra = b.column(3).to_pylist(), b.column(4).to_pylist()
-            for k, sl, d, x in zip(kind, slot, data, extra):
-                if k == 1:
-                    p = np.frombuffer(d, dtype=PIECE)
-                    pieces.append((sl, p))
-                    texts.append(x)
-                elif k == 2:
-                    w = np.frombuffer(d, dtype=WINDOW)
-                    windows.append(w)
-                    wslots.append(np.full(len(w), sl, dtype=np.int32))
-                else:
-                    passed.append((sl, np.frombuffer(d, dtype=RANGE)))
-        for sl, r in passed:
-            yield back_to_slots(np.full(len(r), sl, dtype=np.int32), r, 0)
-        if windows:
-            yield _late_windows(np.concatenate(windows), np.concatenate(wslots), size)
-        if pieces:
-            yield from _shards(pieces, texts, size)
+        for rows in _by_bucket(batches):  # all copies of a window are in one bucket
+            passed = [(r[1], np.frombuffer(r[3], dtype=RANGE)) for r in rows if r[2] == 0]
+            pieces = [(r[1], np.frombuffer(r[3], dtype=PIECE)) for r in rows if r[2] == 1]
+            texts = [r[4] for r in rows if r[2] == 1]
+            windows = [np.frombuffer(r[3], dtype=WINDOW) for r in rows if r[2] == 2]
+            wslots = [np.full(len(w), r[1], dtype=np.int32) for r, w in zip((r for r in rows if r[2] == 2), windows)]
+            rows.clear()
+            if passed:
+                yield back_to_slots(np.concatenate([np.full(len(r), sl, dtype=np.int32) for sl, r in passed]),
+                                    np.concatenate([r for _, r in passed]), 0)
+            if windows:
+                held, hslots = np.concatenate(windows), np.concatenate(wslots)
+                windows.clear()
+                yield _late_windows(held, hslots, size)
+                del held, hslots
+            if pieces:
+                yield from _shards(pieces, texts, size)
 
     def remove(left, right):
         return _result(left, _back(right, 0, RANGE), size)
 
-    seeds = dealt.mapInArrow(anchors, SENT).repartition(parts, "bucket").mapInArrow(known_anchors, BACK)
-    ranges = (dealt.groupBy("slot").cogroup(seeds.repartition(parts, "slot").groupBy("slot"))
-              .applyInArrow(send, SENT).repartition(parts, "bucket").mapInArrow(find, BACK))
+    def bucketed(sent_rows):
+        return sent_rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+
+    seeds = bucketed(dealt.mapInArrow(anchors, SENT)).mapInArrow(known_anchors, BACK)
+    ranges = bucketed(dealt.groupBy("slot").cogroup(seeds.repartition(parts, "slot").groupBy("slot"))
+                      .applyInArrow(send, SENT)).mapInArrow(find, BACK)
     return (dealt.groupBy("slot").cogroup(ranges.repartition(parts, "slot").groupBy("slot"))
             .applyInArrow(remove, RESULT))
 
 
-def _items(batches, kind: int, dtype) -> tuple[np.ndarray, np.ndarray]:
-    items, slots = [np.zeros(0, dtype=dtype)], [np.zeros(0, dtype=np.int32)]
-    for b in batches:
-        data, slot = b.column(3).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
-        items.append(np.frombuffer(b"".join(data), dtype=dtype))
-        slots.append(np.repeat(slot, [len(d) // dtype.itemsize for d in data]).astype(np.int32))
-    return np.concatenate(items), np.concatenate(slots)
+def _by_bucket(batches):
+    """The rows (SENT) of each bucket of a partition that is sorted by bucket."""
+    now, held = None, []
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):  # so that a batch is not held twice
+            for row in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
+                if row[0] != now:
+                    if held:
+                        yield held
+                    now, held = row[0], []
+                held.append(row)
+    if held:
+        yield held
 
 
 def _back(table, kind: int, dtype) -> np.ndarray:
@@ -511,7 +522,8 @@ def _shards(pieces, texts, size: int):
         cut = np.append(0, np.cumsum(p["len"]))
         content += [x[a:b] for a, b in zip(cut[:-1], cut[1:])]
     info = np.concatenate([p for _, p in pieces])
-    del pieces, texts
+    pieces.clear()  # the caller holds these lists too
+    texts.clear()
     order = np.lexsort((info["at"], info["doc"], info["h"]))
     new = np.append(True, info["h"][order][1:] != info["h"][order][:-1])
     starts = np.append(np.flatnonzero(new), len(order))

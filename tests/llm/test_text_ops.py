@@ -301,3 +301,20 @@ def test_null_ids_and_repeated_rows(spark, odd_docs):
     assert sorted((str(r.doc_id), len(r["items"])) for r in contamination(odd_docs, items).collect()) == [
         ("3", 0), ("5", 1), ("5", 1), ("9", 1), ("None", 0), ("None", 1)]
     assert contamination(odd_docs, items.limit(0)).where("size(items) > 0").count() == 0
+
+
+def test_suffix_dedup_holds_one_bucket_at_a_time(spark, monkeypatch):
+    """However much lies in a partition, a task makes arrays of one bucket; more text means more buckets."""
+    from basketry.llm import suffix_array as sa
+    rows = [(b, 3, k, bytes([b, k % 256]), b"") for b in (2, 5, 9) for k in range(300)]
+    import pyarrow as pa
+    names = ["bucket", "slot", "kind", "data", "extra"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[lo:lo + 350]]) for lo in range(0, 900, 350)]
+    assert list(map(list, sa._by_bucket(iter(batches)))) == [rows[:300], rows[300:600], rows[600:]]
+    assert list(sa._by_bucket(iter([]))) == []
+    # rows out of fewer, larger buckets are the same
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(400))
+    docs = spark.createDataFrame([(i, text[i:] + f" {i} " * 40 + text[:200]) for i in range(30)], "doc_id long, text string")
+    want = sorted(map(tuple, suffix_dedup(docs).collect()))
+    monkeypatch.setattr(sa, "BUCKET_BYTES", 50)
+    assert sorted(map(tuple, suffix_dedup(docs).collect())) == want and any(r[3] for r in want)
