@@ -265,3 +265,27 @@ def test_early_stop_returns_the_best_epoch(spark, small_blocks):
     rows, d = wide_rows(spark)
     fit = ae.fit_autoencoder(rows, d, [(d, d), (d, 3), (3, d)], 1e-3, epochs=6, patience=2, batch_rows=32, driver_values=0)
     assert fit.best_epoch == int(np.argmin([h[2] for h in fit.history]))
+
+
+def test_dec_labels_of_the_round_before_only_where_a_check_looks(spark, monkeypatch):
+    """A round's refresh reads the parameters of the round before at a check only, and the checks tell the same churn."""
+    x = np.random.default_rng(3).normal(size=(60, 4))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "user_id long, latent array<double>")
+    values = []
+    real = ae.student_t
+
+    def here(rows, columns, value, size, work):
+        values.append(0)
+        return work(value, iter([rows.select(*columns).toPandas()]))
+
+    def counted(*args):
+        values[-1] += 1
+        return real(*args)
+
+    whole = ae.dec_train(df, [], x[:3].copy(), 4, max_steps=4, interval=1, check=2, tol=-1.0, lr=5.0)
+    monkeypatch.setattr(ae, "summed", here)
+    monkeypatch.setattr(ae, "student_t", counted)
+    done = ae.dec_train(df, [], x[:3].copy(), 4, max_steps=4, interval=1, check=2, tol=-1.0, lr=5.0)
+    assert values[::2] == [1, 1, 2, 1, 2]  # refreshes of steps 0 to 4; those of 2 and 4 are checks
+    assert done.history == whole.history and [s for s, _ in done.history] == [2, 4]
+    assert np.allclose(done.centroids, whole.centroids)
